@@ -51,13 +51,37 @@ def fold_order_key(seed: int):
     return F.md5(hash_key(F.lit(seed), F.col("workitem")))
 
 
+def hashed_row_number(df: DataFrame, group: str, hex_key: str, tie: str, out: str,
+                      digits: int = 4) -> DataFrame:
+    """``row_number() over (partition by group order by hex_key, tie)`` for a
+    uniformly distributed hex key (an md5 digest).
+
+    The first ``digits`` hex digits cut the order into 16^digits buckets that
+    are ranges of the order and hold about the same number of rows, even when
+    one group holds most rows. Bucket sizes give each bucket its offset (a
+    table of groups x buckets rows, broadcast); inside a bucket the window is
+    partitioned by (group, bucket). Deterministic: no sampling, no ids that
+    depend on task order, so a recomputed task gives the same numbers."""
+    bucket = F.conv(F.substring(F.col(hex_key), 1, digits), 16, 10).cast("int")
+    local = Window.partitionBy(group, "_bk").orderBy(hex_key, tie)
+    numbered = df.withColumn("_bk", bucket).withColumn("_loc", F.row_number().over(local))
+    # bucket sizes from the same (group, bucket) partitioning: no second pass
+    sizes = numbered.groupBy(group, "_bk").agg(F.max("_loc").alias("_n"))
+    before = Window.partitionBy(group).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(group, "_bk", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    # offsets has at most groups x 16^digits rows: a bounded broadcast
+    return (numbered.join(F.broadcast(offsets), on=[group, "_bk"])
+            .withColumn(out, (F.col("_off") + F.col("_loc")).cast("bigint"))
+            .drop("_bk", "_loc", "_off"))
+
+
 def assign_folds(seqs: DataFrame, k: int, seed: int) -> DataFrame:
     """K1: stratified, balanced folds. Rows of a class are put in a
     pseudo-random order by md5(seed:workitem) (ties broken by workitem) and
     dealt round-robin: ``kfold = (position - 1) mod k``. Fold sizes inside a
     class differ by at most one; no list of ids passes through the driver."""
     keyed = seqs.withColumn("_h", fold_order_key(seed))
-    numbered = ordered_row_number(keyed, "cls", ["_h", "workitem"], "_pos")
+    numbered = hashed_row_number(keyed, "cls", "_h", "workitem", "_pos")
     return (numbered.withColumn("kfold", ((F.col("_pos") - 1) % F.lit(k)).cast("int"))
             .drop("_h", "_pos"))
 

@@ -23,65 +23,62 @@ from segstate.functions.arrays import array_sum, ieee_ln, l1_normalize, let
 from segstate.functions.obs import obs_prefix
 from segstate.spec import HsmmSpec
 
-_STATE = "struct<ap:array<array<double>>,eh:array<array<double>>,score:double>"
+_STATE = "struct<ap:array<double>,eh:array<double>,score:double>"
 
 
-def _states(m: int) -> Column:
-    return F.sequence(F.lit(0), F.lit(m - 1))
-
-
-def _alpha(e: Column, eh: Column, ap: Column, p: Column, m: int) -> Column:
-    """Unnormalised alpha(., t) from the emission vector ``e`` of step t,
-    the emission history ``eh`` (newest first, includes ``e``) and the
-    forward-prime history ``ap`` (newest first)."""
-    # one entry per usable duration d = x + 1, x = 0 .. size(eh) - 1
-    steps = F.transform(eh, lambda h, x: F.struct(h.alias("h"), ap[x].alias("a"), (x + 1).alias("d")))
-
-    def per_state(j: Column) -> Column:
-        start = F.struct(e[j].alias("u"), (F.lit(0.0) * p[j][0] * e[j]).alias("s"))
-
-        def step(acc: Column, z: Column) -> Column:
-            return let(acc["u"] * z["h"][j], lambda u: F.struct(
-                u.alias("u"), (acc["s"] + z["a"][j] * p[j][z["d"]] * u).alias("s")))
-        return F.aggregate(steps, start, step, lambda acc: acc["s"])
-    return F.transform(_states(m), per_state)
-
-
-def _transit(alpha_n: Column, a: Column, m: int) -> Column:
-    """alpha'(j) = sum_{i != j} alpha(i) A(i, j), then F5."""
-    raw = F.transform(_states(m), lambda j: F.aggregate(
-        _states(m), F.lit(0.0),
-        lambda s, i: F.when(i == j, s).otherwise(s + alpha_n[i] * a[i][j])))
-    return l1_normalize(raw)
+def _sum(terms: list[Column]) -> Column:
+    out = terms[0]
+    for t in terms[1:]:
+        out = out + t
+    return out
 
 
 def forward_score(obs: Column, pi: Column, a: Column, b: Column, p: Column,
                   spec: HsmmSpec) -> Column:
-    """R2 + R3: the sequence score of ``obs`` under (pi, a, b, p), row-major."""
+    """R2 + R3: the sequence score of ``obs`` under (pi, a, b, p), row-major.
+
+    The loops over states and durations are unrolled (M and D are fixed per
+    plan), so one fold step is a fixed expression of scalar arithmetic. The
+    state keeps the histories flat, newest first: ``ap[(d-1)*M + j]`` is
+    alpha'(j, t-d+1) and ``eh[x*M + j]`` is b(j, o_{t-x})."""
     m, keep = spec.m, spec.d - 1
+    width = keep * m
     init = F.struct(
-        F.array(l1_normalize(pi)).alias("ap"),
-        F.array().cast("array<array<double>>").alias("eh"),
+        F.slice(l1_normalize(pi), 1, width).alias("ap"),
+        F.array().cast("array<double>").alias("eh"),
         F.lit(0.0).alias("score"),
     ).cast(_STATE)
 
     def merge(acc: Column, o: Column) -> Column:
-        e = F.transform(b, lambda row: F.get(row, o))
-        eh = F.slice(F.concat(F.array(e), acc["eh"]), 1, keep)
-
-        def with_scale(alpha: Column) -> Column:
-            def finish(scale: Column) -> Column:
-                alpha_n = F.when(scale == 0, alpha).otherwise(
-                    F.transform(alpha, lambda v: v * (F.lit(1.0) / scale)))
-                nxt = _transit(alpha_n, a, m)
-                return F.struct(
-                    F.slice(F.concat(F.array(nxt), acc["ap"]), 1, keep).alias("ap"),
-                    eh.alias("eh"),
-                    (acc["score"] + ieee_ln(scale)).alias("score"),
-                ).cast(_STATE)
-            return let(array_sum(alpha), finish)
-
-        return let(_alpha(e, eh, acc["ap"], p, m), with_scale)
+        e = [F.get(b[j], o) for j in range(m)]
+        hist = F.slice(F.concat(F.array(*e), acc["eh"]), 1, width)
+
+        def with_hist(eh: Column) -> Column:
+            avail = F.size(eh)
+
+            def alpha(j: int) -> Column:
+                # d = 0 reads alpha'(j, t+1), still zero (Q1)
+                terms = [F.lit(0.0) * p[j][0] * e[j]]
+                u = e[j]
+                for d in range(1, keep + 1):
+                    u = u * eh[(d - 1) * m + j]  # u(t,j,d), latest emission twice (Q2)
+                    terms.append(F.when(avail >= d * m, acc["ap"][(d - 1) * m + j] * p[j][d] * u)
+                                 .otherwise(F.lit(0.0)))
+                return _sum(terms)
+
+            def with_alpha(al: Column) -> Column:
+                def with_scale(sc: Column) -> Column:
+                    an = [F.when(sc == 0, al[i]).otherwise(al[i] * (F.lit(1.0) / sc)) for i in range(m)]
+                    moved = F.array(*[_sum([F.lit(0.0)] + [an[i] * a[i][j] for i in range(m) if i != j])
+                                      for j in range(m)])
+                    return F.struct(
+                        F.slice(F.concat(l1_normalize(moved), acc["ap"]), 1, width).alias("ap"),
+                        eh.alias("eh"),
+                        (acc["score"] + ieee_ln(sc)).alias("score"),
+                    )
+                return let(_sum([al[j] for j in range(m)]), with_scale)
+            return let(F.array(*[alpha(j) for j in range(m)]), with_alpha)
+        return let(hist, with_hist)
 
     return F.aggregate(obs, init, merge, lambda acc: acc["score"])
 

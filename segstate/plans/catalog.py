@@ -24,7 +24,7 @@ from segstate.operators.evaluate import confusion_counts, fold_metrics, predict,
 from segstate.operators.forward import score_sequences
 from segstate.operators.joins import attach_single_model
 from segstate.operators.trace import kernel_long_form
-from segstate.session import new_work_dir
+from segstate.session import materialize, new_work_dir
 from segstate.sources import events as EV
 from segstate.sources import store as ST
 from segstate.spec import HsmmSpec, RunParams
@@ -53,15 +53,23 @@ def d2(spark: SparkSession, sf: str) -> DataFrame:
     return EV.labelled_sequences(spark, sf)
 
 
-def folded(spark: SparkSession, sf: str) -> DataFrame:
-    """D2 with row ids (P3) and folds (K1)."""
-    return FO.assign_folds(FO.row_ids(d2(spark, sf)), K_FOLDS, SEED)
+def d2_table(spark: SparkSession, sf: str) -> DataFrame:
+    """D2 built once from the events and stored as a table."""
+    return materialize(d2(spark, sf), "sequences")
 
 
-def start_models(spark: SparkSession, sf: str, fld: DataFrame | None = None) -> DataFrame:
-    """F11 start models for every (fold, cls) present in the folded data."""
-    fld = fld if fld is not None else folded(spark, sf)
-    keys = fld.select(F.col("kfold").alias("fold"), "cls").distinct()
+def folded(spark: SparkSession, sf: str, with_row_ids: bool = False) -> DataFrame:
+    """D2 with folds (K1) and, when asked, row ids."""
+    seqs = d2_table(spark, sf)
+    if with_row_ids:
+        seqs = FO.row_ids(seqs)
+    return FO.assign_folds(seqs, K_FOLDS, SEED)
+
+
+def start_models(spark: SparkSession, sf: str | None = None, fld: DataFrame | None = None) -> DataFrame:
+    """F11 start models of the k folds x 2 classes (a parameter grid)."""
+    keys = spark.range(K_FOLDS).select(F.col("id").cast("int").alias("fold"),
+                                       F.explode(F.array(F.lit(0), F.lit(1))).alias("cls"))
     return init_models(keys, SPEC, SEED)
 
 
@@ -185,7 +193,7 @@ SQL_VALIDATION_SPLIT = f"SELECT kfold AS fold, cls, count(*) AS n FROM ({FOLDED_
 
 def q_roundtrip_folds(spark, sf):
     path = os.path.join(new_work_dir(spark, "folds"), "folds")
-    ST.write_folds(folded(spark, sf), path)
+    ST.write_folds(folded(spark, sf, with_row_ids=True), path)
     back = ST.read_folds(spark, path)
     return back.select("workitem", "cls", obs_to_str(F.col("obs")).alias("str_obs"), "row_id", "kfold")
 

@@ -58,11 +58,20 @@ def last_rows(trace: DataFrame) -> DataFrame:
     return trace.groupBy("fold", "cls").agg(latest.alias("r")).select("fold", "cls", "r.*")
 
 
+MODEL_ROW_SCHEMA = ("fold int, cls int, pi array<double>, a array<array<double>>, "
+                    "b array<array<double>>, p array<array<double>>, prev_loglik double")
+DRIVER_MODEL_LIMIT = 64 * 1024 * 1024
+
+
 def train_models(folded: DataFrame, spec: HsmmSpec, k: int, seed: int, work_dir: str,
                  epsilon: float = 1e-4, max_iterations: int = 3,
                  start: DataFrame | None = None) -> DataFrame:
     """Train every (fold, cls) model; returns the final model table
-    (fold, cls, m, k, d, pi, a, b, p, loglik, iteration, converged)."""
+    (fold, cls, m, k, d, pi, a, b, p, loglik, iteration, converged).
+
+    The model table (one row per fold and class, size fixed by M, K, D) is
+    the only thing the driver holds between iterations; it re-enters the
+    next E-step as a broadcast relation."""
     if spec.d < 2:
         raise ValueError("D must be at least 2: duration column 0 carries no forward mass")
     spark = folded.sparkSession
@@ -71,47 +80,48 @@ def train_models(folded: DataFrame, spec: HsmmSpec, k: int, seed: int, work_dir:
         if start is None:
             start = init_models(model_keys(folded, k), spec, seed)
         start.select("fold", "cls", "m", "k", "d", "pi", "a", "b", "p").write.parquet(init_path)
-    init = spark.read.parquet(init_path)
-    n_models = init.count()
-    if n_models == 0:
+    init_rows = spark.read.parquet(init_path).collect()
+    if not init_rows:
         raise ValueError("no model to train: empty training data")
+    if len(init_rows) * spec.model_row_bytes() > DRIVER_MODEL_LIMIT:
+        raise ValueError("model table too large for one broadcast: reduce folds or K")
+    p_start = {(r.fold, r.cls): r.p for r in init_rows}
 
-    # Q19: a model whose training split is empty cannot be estimated.
-    sizes = training_fanout(folded, k).groupBy("fold", "cls").count()
-    empty = init.join(sizes, ["fold", "cls"], "left_anti").limit(1).collect()
-    if empty:
-        raise ValueError(f"empty training split for fold={empty[0]['fold']} cls={empty[0]['cls']}")
-
-    frozen_p = init.select("fold", "cls", F.col("p").alias("p_start"))
     trace_path = _trace_path(work_dir)
     trace = read_trace(spark, work_dir)
     if trace is None:
-        current = init.select("fold", "cls", "pi", "a", "b",
-                              F.lit(None).cast("double").alias("loglik"),
-                              F.lit(False).alias("converged"))
+        current = {(r.fold, r.cls): (r.pi, r.a, r.b, None, False) for r in init_rows}
         first = 0
     else:
-        current = last_rows(trace)
-        first = int(trace.agg(F.max("iteration")).first()[0]) + 1
+        last = last_rows(trace).collect()
+        current = {(r.fold, r.cls): (r.pi, r.a, r.b, r.loglik, r.converged) for r in last}
+        first = max(r.iteration for r in last) + 1
 
+    train = training_fanout(folded, k)
     for it in range(first, max_iterations):
-        active = current.where(~F.col("converged"))
-        n_active = active.count()
-        if n_active == 0:
+        active = [(key, v) for key, v in sorted(current.items()) if not v[4]]
+        if not active:
             break
-        params = active.join(frozen_p, ["fold", "cls"]).select(
-            "fold", "cls", "pi", "a", "b", F.col("p_start").alias("p"))
-        stats = e_step_stats(training_fanout(folded, k), params, spec, n_models=n_active)
-        new = m_step(stats, spec).join(
-            active.select("fold", "cls", F.col("loglik").alias("prev_loglik")), ["fold", "cls"])
+        params = spark.createDataFrame(
+            [(f, c, pi, a, b, p_start[(f, c)], ll) for (f, c), (pi, a, b, ll, _) in active],
+            MODEL_ROW_SCHEMA)
+        stats = e_step_stats(train, params.drop("prev_loglik"), spec, n_models=len(active))
+        new = m_step(stats, spec).join(F.broadcast(params.select("fold", "cls", "prev_loglik")),
+                                       ["fold", "cls"])
         rows = new.select(
-            "fold", "cls", F.lit(it).alias("iteration"),
+            "fold", "cls",
             F.lit(spec.m).alias("m"), F.lit(spec.k).alias("k"), F.lit(spec.d).alias("d"),
             "pi", "a", "b", "p", "loglik", "prev_loglik", "n_seq", "n_undefined",
             em_converged(F.col("loglik"), F.col("prev_loglik"), epsilon).alias("converged"))
         # the partition folder carries the iteration number
-        rows.drop("iteration").coalesce(1).write.parquet(os.path.join(trace_path, f"iteration={it}"))
-        current = last_rows(spark.read.parquet(trace_path))
+        out = os.path.join(trace_path, f"iteration={it}")
+        rows.coalesce(1).write.parquet(out)
+        done = spark.read.parquet(out).select("fold", "cls", "pi", "a", "b", "loglik", "converged").collect()
+        if len(done) < len(active):  # Q19: nothing to estimate from
+            missing = sorted({key for key, _ in active} - {(r.fold, r.cls) for r in done})
+            raise ValueError(f"empty training split for (fold, cls) {missing[:5]}")
+        for r in done:
+            current[(r.fold, r.cls)] = (r.pi, r.a, r.b, r.loglik, r.converged)
 
     trace = read_trace(spark, work_dir)
     if trace is None:

@@ -52,3 +52,12 @@ def new_work_dir(spark: SparkSession, name: str = "run") -> str:
     """A fresh folder for the tables of one run, under the checkpoint dir."""
     base = ensure_checkpoint_dir(spark)
     return os.path.join(base, "segstate", f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+def materialize(df, name: str = "table"):
+    """Write ``df`` as Parquet under the shared work folder and read it back:
+    later stages scan a small stored table instead of re-running its
+    lineage, and a lost executor recomputes nothing before it."""
+    path = os.path.join(new_work_dir(df.sparkSession, name), name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
