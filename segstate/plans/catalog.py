@@ -605,3 +605,186 @@ ORACLES: dict[str, str] = {
     "roundtrip_scores": SQL_SCORE_BOTH,
     "pending_folds": SQL_PENDING_FOLDS,
 }
+
+
+# ------------------------------------------ oracles of the recursion keys
+
+_TRACE_BASE = (f"SELECT f.workitem, f.obs, m.pi, m.a, m.b, m.p FROM ({FOLDED_SQL}) f "
+               f"JOIN ({MODELS_SQL}) m ON m.fold = f.kfold AND m.cls = 1")
+_LAYERS = Q.estep_layers_sql(_TRACE_BASE, SPEC)
+# quantity -> (list column, axes, size of the t axis)
+_TRACE_SHAPES = {
+    "u": ("u", "tij", "len(x.obs)", SPEC.m, SPEC.d),
+    "alpha": ("alpha", "ti", "len(x.obs)", SPEC.m, 1),
+    "alpha_prime": ("ap", "ti", "len(x.obs) + 1", SPEC.m, 1),
+    "scale": ("scale", "t", "len(x.obs)", 1, 1),
+    "beta": ("beta", "ti", "len(x.obs)", SPEC.m, 1),
+    "beta_prime": ("bp", "ti", "len(x.obs) + 1", SPEC.m, 1),
+    "n": ("n", "tij", "len(x.obs)", SPEC.m, SPEC.d),
+    "xi": ("xi", "tij", "len(x.obs)", SPEC.m, SPEC.m),
+    "gamma": ("gamma", "ti", "len(x.obs)", SPEC.m, 1),
+    "new_a": ("new_a", "ij", "1", SPEC.m, SPEC.m),
+    "new_b": ("new_b", "ij", "1", SPEC.m, SPEC.k),
+    "new_p": ("new_p", "ij", "1", SPEC.m, SPEC.d),
+    "new_pi": ("new_pi", "i", "1", SPEC.m, 1),
+}
+
+
+def _trace_sql(names: list[str]) -> str:
+    parts = []
+    for name in names:
+        col, axes, t_len, n_i, n_j = _TRACE_SHAPES[name]
+        idx = {"t": "t", "i": "i", "j": "j"}
+        access = "x." + col + "".join(f"[{idx[a]} + 1]" for a in axes)
+        parts.append(
+            f"SELECT x.workitem, '{name}' AS param, "
+            f"CAST({'t' if 't' in axes else 0} AS INTEGER) AS t, "
+            f"CAST({'i' if 'i' in axes else 0} AS INTEGER) AS i, "
+            f"CAST({'j' if 'j' in axes else 0} AS INTEGER) AS j, "
+            f"{r6sql(access)} AS value FROM ({_LAYERS}) x, range({t_len}) rt(t), "
+            f"range({n_i}) ri(i), range({n_j}) rj(j)")
+    return " UNION ALL ".join(parts)
+
+
+_ESTEP_BASE = (f"SELECT ff.fold, s.cls, s.obs, m.pi, m.a, m.b, m.p FROM ({FOLDED_SQL}) s "
+               f"JOIN (SELECT CAST(range AS INTEGER) AS fold FROM range({K_FOLDS})) ff ON s.kfold <> ff.fold "
+               f"JOIN ({MODELS_SQL}) m ON m.fold = ff.fold AND m.cls = s.cls")
+
+
+def _estep_sums_sql() -> str:
+    layers = Q.estep_layers_sql(_ESTEP_BASE, SPEC)
+    scal = (f"SELECT fold, cls, 'loglik' AS param, 0 AS i, 0 AS j, sum(loglik) AS value FROM x GROUP BY ALL "
+            f"UNION ALL SELECT fold, cls, 'n_seq', 0, 0, CAST(count(*) AS DOUBLE) FROM x GROUP BY ALL "
+            f"UNION ALL SELECT fold, cls, 'n_undefined', 0, 0, "
+            f"CAST(sum(CASE WHEN isfinite(loglik) THEN 0 ELSE 1 END) AS DOUBLE) FROM x GROUP BY ALL")
+    mats = []
+    for col, name, n_j in (("new_a", "a", SPEC.m), ("new_b", "b", SPEC.k), ("new_p", "p", SPEC.d)):
+        mats.append(f"SELECT fold, cls, '{name}', CAST(i AS INTEGER), CAST(j AS INTEGER), "
+                    f"sum({col}[i + 1][j + 1]) FROM x, range({SPEC.m}) ri(i), range({n_j}) rj(j) GROUP BY ALL")
+    pi = (f"SELECT fold, cls, 'pi', CAST(i AS INTEGER), 0, sum(new_pi[i + 1]) "
+          f"FROM x, range({SPEC.m}) ri(i) GROUP BY ALL")
+    return f"WITH x AS ({layers}) " + " UNION ALL ".join([scal, pi] + mats)
+
+
+SQL_ESTEP_SUMS = _estep_sums_sql()
+SQL_E_STEP_STATS = f"SELECT fold, cls, param, i, j, {r6sql('value')} AS value FROM ({SQL_ESTEP_SUMS})"
+SQL_M_STEP = (
+    "SELECT fold, cls, param, i, j, " + r6sql(
+        "CASE WHEN param = 'p' THEN value * (1.0 / sum(value) OVER (PARTITION BY fold, cls, param)) "
+        "WHEN param = 'pi' THEN CASE WHEN sum(abs(value)) OVER (PARTITION BY fold, cls, param) = 0 THEN value "
+        "ELSE value / sum(abs(value)) OVER (PARTITION BY fold, cls, param) END "
+        "ELSE CASE WHEN sum(abs(value)) OVER (PARTITION BY fold, cls, param, i) = 0 THEN value "
+        "ELSE value / sum(abs(value)) OVER (PARTITION BY fold, cls, param, i) END END") +
+    f" AS value FROM ({SQL_ESTEP_SUMS}) WHERE param IN ('pi', 'a', 'b', 'p')")
+
+for _key, _names in {
+    "segment_likelihood": ["u"],
+    "forward_alpha": ["alpha", "alpha_prime", "scale"],
+    "backward_beta": ["beta", "beta_prime"],
+    "duration_posterior": ["n"],
+    "transition_posterior": ["xi"],
+    "state_occupancy": ["gamma"],
+    "estimate_transition": ["new_a"],
+    "estimate_emission": ["new_b"],
+    "estimate_duration": ["new_p"],
+    "estimate_initial": ["new_pi"],
+}.items():
+    ORACLES[_key] = _trace_sql(_names)
+ORACLES["e_step_stats"] = SQL_E_STEP_STATS
+ORACLES["m_step"] = SQL_M_STEP
+ORACLES["em_one_iteration"] = SQL_M_STEP
+
+
+# ------------------------------------------ EM, V6 and V7 unrolled in SQL
+
+def _sums_sql(base: str) -> str:
+    return _estep_sums_sql_from(base)
+
+
+def _estep_sums_sql_from(base: str) -> str:
+    layers = Q.estep_layers_sql(base, SPEC)
+    scal = ("SELECT fold, cls, 'loglik' AS param, 0 AS i, 0 AS j, sum(loglik) AS value FROM x GROUP BY ALL")
+    mats = []
+    for col, name, n_j in (("new_a", "a", SPEC.m), ("new_b", "b", SPEC.k), ("new_p", "p", SPEC.d)):
+        mats.append(f"SELECT fold, cls, '{name}', CAST(i AS INTEGER), CAST(j AS INTEGER), "
+                    f"sum({col}[i + 1][j + 1]) FROM x, range({SPEC.m}) ri(i), range({n_j}) rj(j) GROUP BY ALL")
+    pi = (f"SELECT fold, cls, 'pi', CAST(i AS INTEGER), 0, sum(new_pi[i + 1]) "
+          f"FROM x, range({SPEC.m}) ri(i) GROUP BY ALL")
+    return f"WITH x AS ({layers}) " + " UNION ALL ".join([scal, pi] + mats)
+
+
+_NORM = ("CASE WHEN param = 'p' THEN value * (1.0 / sum(value) OVER (PARTITION BY fold, cls, param)) "
+         "WHEN param = 'pi' THEN CASE WHEN sum(abs(value)) OVER (PARTITION BY fold, cls, param) = 0 THEN value "
+         "ELSE value / sum(abs(value)) OVER (PARTITION BY fold, cls, param) END "
+         "ELSE CASE WHEN sum(abs(value)) OVER (PARTITION BY fold, cls, param, i) = 0 THEN value "
+         "ELSE value / sum(abs(value)) OVER (PARTITION BY fold, cls, param, i) END END")
+
+
+def _model_from_sums(sums: str) -> str:
+    norm = f"SELECT fold, cls, param, i, j, {_NORM} AS value FROM {sums} WHERE param IN ('pi', 'a', 'b', 'p')"
+    rows = f"SELECT fold, cls, param, i, list(value ORDER BY j) AS r FROM ({norm}) GROUP BY ALL"
+    mats = f"SELECT fold, cls, param, list(r ORDER BY i) AS mat FROM ({rows}) GROUP BY ALL"
+    return (f"SELECT fold, cls, any_value(CASE WHEN param = 'pi' THEN list_transform(mat, lambda r_: r_[1]) END) AS pi, "
+            f"any_value(CASE WHEN param = 'a' THEN mat END) AS a, any_value(CASE WHEN param = 'b' THEN mat END) AS b, "
+            f"any_value(CASE WHEN param = 'p' THEN mat END) AS p, "
+            f"any_value(ll.value) AS loglik FROM ({mats}) mm "
+            f"JOIN (SELECT fold AS lf, cls AS lc, value FROM {sums} WHERE param = 'loglik') ll "
+            f"ON ll.lf = mm.fold AND ll.lc = mm.cls GROUP BY fold, cls")
+
+
+def _converged(cur: str, prev: str, eps: float) -> str:
+    return (f"coalesce(abs({cur} - {prev}) / ((abs({cur}) + abs({prev}) + {2.0 ** -52!r}) / 2) "
+            f"< {eps!r}, false)")
+
+
+def em_sql(iterations: int) -> str:
+    """WITH-chain: start, per-iteration sums/models, trace and final models."""
+    ctes = [
+        f"folded AS ({FOLDED_SQL})",
+        f"start AS (SELECT fold, cls, {Q.init_model_sql(SPEC, SEED)} FROM "
+        f"(SELECT CAST(f AS INTEGER) AS fold, CAST(c AS INTEGER) AS cls FROM range({K_FOLDS}) rf(f), range(2) rc(c)))",
+        f"train AS (SELECT ff.fold, s.cls, s.obs FROM folded s JOIN (SELECT CAST(range AS INTEGER) AS fold "
+        f"FROM range({K_FOLDS})) ff ON s.kfold <> ff.fold)",
+        "par0 AS (SELECT fold, cls, pi, a, b, p FROM start)",
+    ]
+    for it in range(iterations):
+        base = (f"SELECT t.fold, t.cls, t.obs, m.pi, m.a, m.b, m.p FROM train t "
+                f"JOIN par{it} m ON m.fold = t.fold AND m.cls = t.cls")
+        ctes.append(f"sum{it} AS ({_estep_sums_sql_from(base)})")
+        ctes.append(f"mod{it} AS ({_model_from_sums(f'sum{it}')})")
+        ctes.append(f"par{it + 1} AS (SELECT m.fold, m.cls, m.pi, m.a, m.b, s.p FROM mod{it} m "
+                    f"JOIN start s ON s.fold = m.fold AND s.cls = m.cls)")
+    # trace: iteration it exists while no earlier iteration converged
+    trace_parts = []
+    for it in range(iterations):
+        prev = "'-inf'::DOUBLE" if it == 0 else f"mod{it - 1}.loglik"
+        joins = " ".join(f"JOIN mod{q} ON mod{q}.fold = mod{it}.fold AND mod{q}.cls = mod{it}.cls"
+                         for q in range(it))
+        alive = " AND ".join(["true"] + [
+            f"NOT {_converged(f'mod{q}.loglik', 'mod' + str(q - 1) + '.loglik' if q else chr(39) + '-inf' + chr(39) + '::DOUBLE', RUN.epsilon)}"
+            for q in range(it)])
+        trace_parts.append(
+            f"SELECT mod{it}.fold, mod{it}.cls, {it} AS iteration, mod{it}.pi, mod{it}.a, mod{it}.b, mod{it}.p, "
+            f"mod{it}.loglik, {_converged(f'mod{it}.loglik', prev, RUN.epsilon)} AS converged "
+            f"FROM mod{it} {joins} WHERE {alive}")
+    ctes.append("trace AS (" + " UNION ALL ".join(trace_parts) + ")")
+    ctes.append("final AS (SELECT * FROM trace QUALIFY iteration = max(iteration) OVER (PARTITION BY fold, cls))")
+    return "WITH " + ", ".join(ctes) + " "
+
+
+def _cv_scores_sql(t_prefix: int | None, models: str = "final") -> str:
+    obs = "f.obs" if t_prefix is None else Q.prefix_sql("f.obs", t_prefix)
+    return (f"SELECT f.workitem, f.cls, f.kfold AS fold, {_score_sql(obs, 'm1')} AS score1, "
+            f"{_score_sql(obs, 'm0')} AS score0 FROM folded f "
+            f"JOIN {models} m1 ON m1.fold = f.kfold AND m1.cls = 1 "
+            f"JOIN {models} m0 ON m0.fold = f.kfold AND m0.cls = 0")
+
+
+_EM3 = em_sql(RUN.max_iterations)
+ORACLES["em_train"] = _EM3 + (
+    f"SELECT fold, cls, param, i, j, {r6sql('value')} AS value FROM ({long_model_sql('SELECT * FROM final')})")
+ORACLES["trace_resume"] = _EM3 + (
+    f"SELECT fold, cls, iteration, {r6sql('loglik')} AS loglik, converged FROM trace")
+ORACLES["cross_validate"] = _EM3 + _metrics_sql(_counts_sql(_cv_scores_sql(None)))
+ORACLES["cross_validate_prefix"] = _EM3 + _metrics_sql(_counts_sql(" UNION ALL ".join(
+    f"SELECT {t} AS t_prefix, * FROM ({_cv_scores_sql(t)})" for t in (1, 2, T_PREFIX)), "t_prefix, fold"))
