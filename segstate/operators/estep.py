@@ -107,16 +107,21 @@ def partial_sums(spec: HsmmSpec):
 
 
 def e_step_stats(train: DataFrame, models: DataFrame, spec: HsmmSpec,
-                 n_models: int | None = None) -> DataFrame:
+                 n_models: int | None = None, long_train: DataFrame | None = None) -> DataFrame:
     """Summed per-sequence estimates per model: (fold, cls, param, i, j, value).
 
     ``train`` has (fold, cls, obs); ``models`` has (fold, cls, pi, a, b, p)
-    with the parameters the E-step must use."""
+    with the parameters the E-step must use. ``long_train`` holds the
+    long-form training rows (fold, cls, workitem, ts, event_id, sym) of
+    sequences too long for arrays; their partial sums join the same sum."""
     rows = train.select("fold", "cls", "obs").where(F.size("obs") > 0)
     joined = attach_models(rows, models.select("fold", "cls", "pi", "a", "b", "p"),
                            ["fold", "cls"], spec, n_models)
     flat = joined.select("fold", "cls", "obs", "pi", F.flatten("a").alias("a"),
                          F.flatten("b").alias("b"), F.flatten("p").alias("p"))
     partial = flat.mapInArrow(partial_sums(spec), STATS_SCHEMA)
+    if long_train is not None:
+        from segstate.operators.longseq import long_e_step_stats
+        partial = partial.unionByName(long_e_step_stats(long_train, models, spec))
     return (partial.groupBy("fold", "cls", "param", "i", "j")
             .agg(F.sum("value").alias("value")))

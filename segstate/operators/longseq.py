@@ -1,0 +1,348 @@
+"""Long sequences kept as rows: exact recursions with bounded memory.
+
+A sequence longer than the array limit is never collected into one array.
+Its events stay rows ``(workitem, t, sym)``; every model/sequence pair is
+hash-partitioned on its key and sorted by position inside the partition
+(Spark's external sort spills), and the recursions run as streaming folds
+over the sorted rows that carry only O(M*D) state from row to row:
+
+1. forward (t ascending): alpha(t), alpha'(t), alpha'(t+1), scale(t);
+2. backward over the forward rows (t descending): beta(t), beta'(t+1); the
+   end of the sweep (t = -1, index wrapping to T-1) is emitted as one extra
+   row carrying beta'(0), the final beta(T-1) and T;
+3. estimates (t ascending, the extra row first): n, xi, gamma and the
+   per-sequence estimates, summed per model into the same long-form partial
+   sums as the array path.
+
+Scoring needs pass 1 only. The arithmetic follows ``kernel`` step by step, so
+results equal the array path (checked in tests/).
+"""
+
+from __future__ import annotations
+
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from segstate.operators.estep import STATS_SCHEMA, _emit
+from segstate.operators.kernel import l1
+from segstate.spec import HsmmSpec
+
+KEY = ["fold", "cls", "workitem"]
+
+
+def _log(x: float) -> float:
+    if x > 0:
+        return math.log(x)
+    if x == 0:
+        return float("-inf")
+    return float("nan")
+
+
+def model_params(models: DataFrame, spec: HsmmSpec, limit_bytes: int = 64 << 20) -> dict:
+    """(fold, cls) -> numpy (pi, a, b, p). The table is bounded (one row per
+    model) and its size is checked before it is shipped with the tasks."""
+    rows = models.select("fold", "cls", "pi", "a", "b", "p").collect()
+    if len(rows) * spec.model_row_bytes() > limit_bytes:
+        raise ValueError("model table too large to ship with the tasks")
+    return {(r.fold, r.cls): tuple(np.asarray(x, dtype=float) for x in (r.pi, r.a, r.b, r.p))
+            for r in rows}
+
+
+CHUNK = 8192
+_L = pa.list_(pa.float64())
+_FWD_ARROW = [("fold", pa.int32()), ("cls", pa.int32()), ("workitem", pa.string()), ("t", pa.int32()),
+              ("sym", pa.int32()), ("alpha", _L), ("ap", _L), ("ap_next", _L), ("scale", pa.float64())]
+_BWD_ARROW = _FWD_ARROW + [("beta", _L), ("bp_next", _L), ("t_len", pa.int32())]
+_SCORE_ARROW = [("fold", pa.int32()), ("cls", pa.int32()), ("workitem", pa.string()), ("score", pa.float64())]
+
+
+class _Out:
+    """Column buffers flushed as Arrow batches every CHUNK rows."""
+
+    def __init__(self, fields):
+        self.schema = pa.schema(fields)
+        self.cols = {f[0]: [] for f in fields}
+
+    def put(self, vals) -> None:
+        for c, v in zip(self.cols, vals):
+            self.cols[c].append(v)
+
+    def full(self) -> bool:
+        return len(next(iter(self.cols.values()))) >= CHUNK
+
+    def take(self):
+        if not next(iter(self.cols.values())):
+            return None
+        batch = pa.RecordBatch.from_pydict(self.cols, schema=self.schema)
+        self.cols = {c: [] for c in self.cols}
+        return batch
+
+
+def _rows(batches: Iterator[pa.RecordBatch], cols: list[str]):
+    for batch in batches:
+        data = [batch.column(c).to_pylist() for c in cols]
+        yield from zip(*data)
+
+
+# ------------------------------------------------------------------ pass 1
+
+FWD_SCHEMA = ("fold int, cls int, workitem string, t int, sym int, alpha array<double>, "
+              "ap array<double>, ap_next array<double>, scale double")
+
+
+def _forward(params: dict, spec: HsmmSpec, emit_rows: bool, t_prefix: int | None = None):
+    m, keep = spec.m, spec.d - 1
+    off = ~np.eye(m, dtype=bool)
+
+    def run(batches):
+        out = _Out(_FWD_ARROW if emit_rows else _SCORE_ARROW)
+        cur = None
+        ap_hist: list = []
+        eh: list = []
+        score = 0.0
+
+        def flush():
+            if cur is not None and not emit_rows:
+                out.put((*cur, score))
+
+        t = -1
+        for fold, cls, wid, sym in _rows(batches, ["fold", "cls", "workitem", "sym"]):
+            key = (fold, cls, wid)
+            pi, a, b, p = params[(fold, cls)]
+            if key != cur:
+                flush()
+                cur, ap_hist, eh, score, t = key, [l1(pi)], [], 0.0, -1
+            t += 1
+            if t_prefix is not None and t >= t_prefix:
+                continue
+            e = b[:, sym]
+            eh = ([e] + eh)[:keep]
+            with np.errstate(invalid="ignore", over="ignore", divide="ignore"):
+                acc = np.zeros(m) + 0.0 * p[:, 0] * e
+                u = e
+                for d in range(1, keep + 1):
+                    if d <= len(eh):
+                        u = u * eh[d - 1]
+                        acc = acc + ap_hist[d - 1] * p[:, d] * u
+                rs = float(acc.sum())
+                alpha = acc if rs == 0 else acc * (1.0 / rs)
+                moved = np.where(off, alpha[:, None] * a, 0.0).sum(axis=0)
+                nxt = l1(moved)
+            if emit_rows:
+                out.put((fold, cls, wid, t, sym, alpha.tolist(), ap_hist[0].tolist(), nxt.tolist(), rs))
+            ap_hist = ([nxt] + ap_hist)[:max(keep, 1)]
+            score += _log(rs)
+            if out.full():
+                yield out.take()
+        flush()
+        last = out.take()
+        if last is not None:
+            yield last
+
+    return run
+
+
+# ------------------------------------------------------------------ pass 2
+
+BWD_SCHEMA = FWD_SCHEMA + ", beta array<double>, bp_next array<double>, t_len int"
+
+
+def _backward(params: dict, spec: HsmmSpec):
+    m, keep = spec.m, spec.d - 1
+    off = ~np.eye(m, dtype=bool)
+    cols = ["fold", "cls", "workitem", "t", "sym", "alpha", "ap", "ap_next", "scale"]
+
+    def run(batches):
+        out = _Out(_BWD_ARROW)
+        put = out.put
+
+        state = None  # [key, T, e_ahead (e(t+1), e(t+2)..), beta_ahead, a, p, e(T-1)]
+
+        def finish(st):
+            (fold, cls, wid), t_len, e_ah, b_ah, a, p, e_last = st
+            with np.errstate(invalid="ignore", over="ignore"):
+                acc = p[:, 0] * e_last * 1.0
+                for d in range(1, keep + 1):
+                    if d - 1 < t_len:
+                        # u(d-1, d) = e(d-1) * e(d-1) * ... * e(0)
+                        u = e_ah[d - 1]
+                        for x in range(d - 1, -1, -1):
+                            u = u * e_ah[x]
+                        acc = acc + p[:, d] * u * b_ah[d - 1]
+                bp0 = l1(acc)
+                beta_last = l1(1.0 + np.where(off, a * bp0[None, :], 0.0).sum(axis=1))
+            put((fold, cls, wid, -1, -1, None, None, None, None, beta_last.tolist(), bp0.tolist(), t_len))
+
+        for row in _rows(batches, cols):
+            fold, cls, wid, t, sym = row[:5]
+            key = (fold, cls, wid)
+            pi, a, b, p = params[(fold, cls)]
+            e = b[:, sym]
+            if state is None or state[0] != key:
+                if state is not None:
+                    finish(state)
+                t_len = t + 1
+                bp = l1(p[:, 0] * e * 1.0)
+                beta = np.ones(m)
+                state = [key, t_len, [e], [beta], a, p, e]
+                put((*row, beta.tolist(), bp.tolist(), t_len))
+                if out.full():
+                    yield out.take()
+                continue
+            _, t_len, e_ah, b_ah, _, _, _ = state
+            with np.errstate(invalid="ignore", over="ignore"):
+                acc = p[:, 0] * e * 0.0
+                for d in range(1, keep + 1):
+                    if t + d < t_len:
+                        # u(t+d, d) = e(t+d) * e(t+d) * e(t+d-1) * ... * e(t+1)
+                        u = e_ah[d - 1]
+                        for x in range(d - 1, -1, -1):
+                            u = u * e_ah[x]
+                        acc = acc + p[:, d] * u * b_ah[d - 1]
+                bp = l1(acc)
+                beta = l1(0.0 + np.where(off, a * bp[None, :], 0.0).sum(axis=1))
+            put((*row, beta.tolist(), bp.tolist(), t_len))
+            state[2] = ([e] + e_ah)[:max(keep, 1)]
+            state[3] = ([beta] + b_ah)[:max(keep, 1)]
+            if out.full():
+                yield out.take()
+        if state is not None:
+            finish(state)
+        last = out.take()
+        if last is not None:
+            yield last
+
+    return run
+
+
+# ------------------------------------------------------------------ pass 3
+
+def _estimates(params: dict, spec: HsmmSpec):
+    m, k, dd = spec.m, spec.k, spec.d
+    keep = dd - 1
+    cols = ["fold", "cls", "workitem", "t", "sym", "alpha", "ap", "ap_next", "scale", "beta", "bp_next", "t_len"]
+
+    def run(batches):
+        acc_models: dict = {}
+        st: dict = {}
+
+        def close():
+            if not st:
+                return
+            with np.errstate(invalid="ignore", divide="ignore"):
+                num_a = st["num_a"]
+                new_a = l1(num_a / num_a.sum(axis=1, keepdims=True), axis=1)
+                new_b = l1(st["num_b"] / st["sum_g"][:, None], axis=1)
+                num_p = st["num_p"]
+                new_p = num_p / num_p.sum(axis=1, keepdims=True)
+                new_p = new_p * (1.0 / new_p.sum())
+                g0 = st["g0"]
+                new_pi = l1(g0 / g0.sum())
+            s = acc_models.setdefault(st["model"], {
+                "loglik": 0.0, "n_seq": 0.0, "n_undefined": 0.0, "pi": np.zeros(m),
+                "a": np.zeros((m, m)), "b": np.zeros((m, k)), "p": np.zeros((m, dd))})
+            s["loglik"] += st["score"]
+            s["n_seq"] += 1.0
+            s["n_undefined"] += 0.0 if math.isfinite(st["score"]) else 1.0
+            s["pi"] += new_pi
+            s["a"] += new_a
+            s["b"] += new_b
+            s["p"] += new_p
+
+        for row in _rows(batches, cols):
+            fold, cls, wid, t, sym, alpha, ap, ap_next, scale, beta, bp_next, t_len = row
+            pi, a, b, p = params[(fold, cls)]
+            if t == -1:
+                close()
+                st.clear()
+                st.update(model=(fold, cls), T=t_len, beta_last=np.asarray(beta), bp0=np.asarray(bp_next),
+                          eh=[], aph=[], num_a=np.zeros((m, m)), num_b=np.zeros((m, k)),
+                          sum_g=np.zeros(m), num_p=np.zeros((m, dd)), score=0.0, g0=None, prev=None)
+                continue
+            alpha, ap, ap_next, bp_next = (np.asarray(x) for x in (alpha, ap, ap_next, bp_next))
+            t_len = st["T"]
+            beta_t = st["beta_last"] if t == t_len - 1 else np.asarray(beta)
+            e = b[:, sym]
+            st["eh"] = ([e] + st["eh"])[:max(keep, 1)]
+            st["aph"] = ([ap] + st["aph"])[:max(keep, 1)]
+            with np.errstate(invalid="ignore", over="ignore", divide="ignore"):
+                n_row = np.zeros((m, dd))
+                n_row[:, 0] = ap_next * p[:, 0] * e * beta_t
+                u = e
+                for d in range(1, dd):
+                    if t - d + 1 >= 0:
+                        u = u * st["eh"][d - 1]
+                        n_row[:, d] = st["aph"][d - 1] * p[:, d] * u * beta_t
+                st["num_p"] += l1(n_row, axis=1)
+                st["num_a"] += l1(alpha[:, None] * a * bp_next[None, :], axis=1)
+                if t == t_len - 1:
+                    g = l1(alpha)
+                elif t == 0:
+                    g = l1(pi * st["bp0"])
+                else:
+                    g_prev, alpha_prev, beta_prev, bp_t = st["prev"]
+                    g = l1(g_prev + ap * bp_t - alpha_prev * beta_prev)
+            if t == 0:
+                st["g0"] = g
+            st["sum_g"] += g
+            st["num_b"][:, sym] += g
+            st["score"] += _log(scale)
+            st["prev"] = (g, alpha, np.asarray(beta), bp_next)
+        close()
+        if acc_models:
+            yield _emit(acc_models, spec)
+
+    return run
+
+
+# ------------------------------------------------------------- plans
+
+def _sorted(df: DataFrame, order: list, descending: bool = False) -> DataFrame:
+    cols = [F.col(c).desc() if descending else F.col(c) for c in order]
+    return df.repartition(*KEY).sortWithinPartitions(*[F.col(c) for c in KEY], *cols)
+
+
+def long_e_step_stats(rows: DataFrame, models: DataFrame, spec: HsmmSpec,
+                      order: list[str] | None = None) -> DataFrame:
+    """Partial sums (STATS_SCHEMA) of the E-step for long-form training rows
+    ``(fold, cls, workitem, sym, *order)`` under ``models`` (fold, cls, pi, a,
+    b, p); ``order`` gives the position inside a sequence (default ts, event_id)."""
+    order = order or ["ts", "event_id"]
+    params = model_params(models, spec)
+    fwd = _sorted(rows.select("fold", "cls", "workitem", "sym", *order), order).mapInArrow(
+        _forward(params, spec, emit_rows=True), FWD_SCHEMA)
+    bwd = _sorted(fwd, ["t"], descending=True).mapInArrow(_backward(params, spec), BWD_SCHEMA)
+    return _sorted(bwd, ["t"]).mapInArrow(_estimates(params, spec), STATS_SCHEMA)
+
+
+def long_scores(rows: DataFrame, models: DataFrame, spec: HsmmSpec, order: list[str] | None = None,
+                t_prefix: int | None = None) -> DataFrame:
+    """(fold, cls, workitem, score) of long-form rows under the model of
+    their (fold, cls) key; ``t_prefix`` scores the first T symbols only."""
+    order = order or ["ts", "event_id"]
+    params = model_params(models, spec)
+    return _sorted(rows.select("fold", "cls", "workitem", "sym", *order), order).mapInArrow(
+        _forward(params, spec, emit_rows=False, t_prefix=t_prefix),
+        "fold int, cls int, workitem string, score double")
+
+
+def long_score_pairs(valid: DataFrame, models: DataFrame, spec: HsmmSpec,
+                     order: list[str] | None = None, t_prefix: int | None = None) -> DataFrame:
+    """V3 for long sequences: (workitem, cls, fold, score1, score0); ``valid``
+    has (workitem, cls, fold, sym, *order)."""
+    def side(c: int) -> DataFrame:
+        rows = valid.select("workitem", "fold", F.lit(c).alias("cls"), "sym", *(order or ["ts", "event_id"]))
+        return long_scores(rows, models, spec, order, t_prefix).select(
+            "workitem", "fold", F.lit(c).alias("model"), "score")
+    both = side(1).unionByName(side(0))
+    truth = valid.select("workitem", F.col("cls").alias("true_cls")).distinct()
+    pairs = both.groupBy("workitem", "fold").agg(
+        F.max(F.when(F.col("model") == 1, F.col("score"))).alias("score1"),
+        F.max(F.when(F.col("model") == 0, F.col("score"))).alias("score0"))
+    return pairs.join(truth, "workitem").select(
+        "workitem", F.col("true_cls").alias("cls"), "fold", "score1", "score0")

@@ -37,6 +37,8 @@ SPEC_USER = HsmmSpec(m=2, k=len(EV.USER_ALPHABET), d=4)
 SPEC = HsmmSpec(m=2, k=len(EV.LABELLED_ALPHABET), d=4)
 RUN = RunParams(spec=SPEC, folds=K_FOLDS, seed=SEED, epsilon=1e-4, max_iterations=3, t_prefix=T_PREFIX)
 ROUND = 6
+# sequences with more observations than this stay rows (streaming path)
+MAX_ARRAY_LEN = 100_000
 
 
 def r6(c: Column | str) -> Column:
@@ -515,12 +517,14 @@ def q_trace_resume(spark, sf):
 
 def q_cross_validate(spark, sf):
     from segstate.plans.crossval import cross_validate
-    return cross_validate(d2(spark, sf), RUN, new_work_dir(spark, "cv"))
+    arrays, long_rows = EV.labelled_sequence_set(spark, sf, MAX_ARRAY_LEN)
+    return cross_validate(arrays, RUN, new_work_dir(spark, "cv"), long_rows)
 
 
 def q_cross_validate_prefix(spark, sf):
     from segstate.plans.crossval import cross_validate_prefix
-    return cross_validate_prefix(d2(spark, sf), RUN, new_work_dir(spark, "cvp"), [1, 2, T_PREFIX])
+    arrays, long_rows = EV.labelled_sequence_set(spark, sf, MAX_ARRAY_LEN)
+    return cross_validate_prefix(arrays, RUN, new_work_dir(spark, "cvp"), [1, 2, T_PREFIX], long_rows)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from segstate.operators.evaluate import confusion_counts, fold_metrics, score_both
-from segstate.operators.folds import assign_folds, validation_rows
+from segstate.operators.folds import assign_folds, row_ids, validation_rows
 from segstate.plans.em import train_models
 from segstate.sources.events import hash_sample
 from segstate.sources.store import (append_metrics, path_exists, pending_folds, read_folds,
@@ -39,7 +39,6 @@ def prepare_folds(seqs: DataFrame, params: RunParams, work_dir: str) -> DataFram
     spark = seqs.sparkSession
     path = os.path.join(work_dir, "folds")
     if not path_exists(spark, path):
-        from segstate.operators.folds import row_ids
         sample = hash_sample(seqs, params.sample_fraction, params.seed)
         sample = _validate_symbols(sample, params.spec.k)
         folded = assign_folds(row_ids(sample), params.folds, params.seed)
@@ -47,34 +46,63 @@ def prepare_folds(seqs: DataFrame, params: RunParams, work_dir: str) -> DataFram
     return read_folds(spark, path)
 
 
-def train(folded: DataFrame, params: RunParams, work_dir: str) -> DataFrame:
+LONG_KEY_BYTES = 64
+
+
+def long_folded(folded: DataFrame, long_rows: DataFrame | None) -> DataFrame | None:
+    """Event rows of the long sequences with their fold. The long keys are
+    at most events / max_len rows; they are broadcast when that bound fits."""
+    if long_rows is None:
+        return None
+    keys = folded.where(F.col("obs").isNull()).select("workitem", "kfold")
+    n = keys.count()
+    if n == 0:
+        return None
+    keys = F.broadcast(keys) if n * LONG_KEY_BYTES <= 64 << 20 else keys
+    return long_rows.join(keys, "workitem")
+
+
+def train(folded: DataFrame, params: RunParams, work_dir: str,
+          long_rows: DataFrame | None = None) -> DataFrame:
     models_path = os.path.join(work_dir, "models")
     spark = folded.sparkSession
     if not path_exists(spark, models_path):
         models = train_models(folded, params.spec, params.folds, params.seed,
-                              os.path.join(work_dir, "em"), params.epsilon, params.max_iterations)
+                              os.path.join(work_dir, "em"), params.epsilon, params.max_iterations,
+                              long_rows=long_rows)
         models.write.parquet(models_path)
     return spark.read.parquet(models_path)
 
 
 def evaluate(folded: DataFrame, models: DataFrame, params: RunParams,
-             t_prefix: int | None = None) -> DataFrame:
+             t_prefix: int | None = None, long_rows: DataFrame | None = None) -> DataFrame:
     """Scores of every held-out row under both models of its fold."""
-    return score_both(validation_rows(folded), models, params.spec, params.folds, t_prefix)
+    arrays = folded.where(F.col("obs").isNotNull())
+    scores = score_both(validation_rows(arrays), models, params.spec, params.folds, t_prefix)
+    if long_rows is not None:
+        from segstate.operators.longseq import long_score_pairs
+        valid = long_rows.withColumn("fold", F.col("kfold"))
+        scores = scores.unionByName(long_score_pairs(valid, models, params.spec, t_prefix=t_prefix))
+    return scores
 
 
-def cross_validate(seqs: DataFrame, params: RunParams, work_dir: str) -> DataFrame:
+def cross_validate(seqs: DataFrame, params: RunParams, work_dir: str,
+                   long_rows: DataFrame | None = None) -> DataFrame:
     """V6 (flagship): metrics per fold (n, tp, fp, fn, tn, sensitivity,
-    specificity, accuracy, error, n_undefined)."""
+    specificity, accuracy, error, n_undefined). ``seqs`` rows with a null
+    ``obs`` are long sequences whose events are ``long_rows``."""
     spark = seqs.sparkSession
     folded = prepare_folds(seqs, params, work_dir)
-    models = train(folded, params, work_dir)
+    longs = long_folded(folded, long_rows)
+    models = train(folded, params, work_dir, longs)
     metrics_path = os.path.join(work_dir, "metrics")
     todo = pending_folds(spark, folded.select(F.col("kfold").alias("fold")).distinct(), metrics_path)
     if todo.limit(1).count() > 0:
         scores_path = os.path.join(work_dir, "scores")
-        todo_rows = folded.join(F.broadcast(todo.withColumnRenamed("fold", "kfold")), "kfold")
-        scores = evaluate(todo_rows, models, params)
+        todo_k = F.broadcast(todo.withColumnRenamed("fold", "kfold"))  # at most k rows
+        todo_rows = folded.join(todo_k, "kfold")
+        todo_long = None if longs is None else longs.join(todo_k, "kfold")
+        scores = evaluate(todo_rows, models, params, long_rows=todo_long)
         write_scores(scores, scores_path)
         done_scores = read_scores(spark, scores_path).join(F.broadcast(todo), "fold")
         append_metrics(fold_metrics(confusion_counts(done_scores)), metrics_path)
@@ -82,13 +110,15 @@ def cross_validate(seqs: DataFrame, params: RunParams, work_dir: str) -> DataFra
 
 
 def cross_validate_prefix(seqs: DataFrame, params: RunParams, work_dir: str,
-                          prefixes: list[int] | None = None) -> DataFrame:
+                          prefixes: list[int] | None = None,
+                          long_rows: DataFrame | None = None) -> DataFrame:
     """V7: metrics per (t_prefix, fold) with models and folds of a V6 run in
     ``work_dir`` (trained first when missing)."""
     spark = seqs.sparkSession
     prefixes = prefixes or [params.t_prefix]
     folded = prepare_folds(seqs, params, work_dir)
-    models = train(folded, params, work_dir)
+    longs = long_folded(folded, long_rows)
+    models = train(folded, params, work_dir, longs)
     scores_path = os.path.join(work_dir, "prefix_scores")
     saved = None
     if path_exists(spark, scores_path):
@@ -96,9 +126,8 @@ def cross_validate_prefix(seqs: DataFrame, params: RunParams, work_dir: str,
     wanted = spark.createDataFrame([(int(t),) for t in prefixes], "t_prefix int")
     todo = wanted if saved is None else wanted.join(saved, "t_prefix", "left_anti")
     todo_list = [r[0] for r in todo.collect()]  # at most len(prefixes) values
-    valid = validation_rows(folded)
     for t in todo_list:
-        scores = score_both(valid, models, params.spec, params.folds, t)
+        scores = evaluate(folded, models, params, t, long_rows=longs)
         write_scores(scores.withColumn("t_prefix", F.lit(t)), scores_path)
     scores = read_scores(spark, scores_path).where(F.col("t_prefix").isin(prefixes))
     return fold_metrics(confusion_counts(scores, ["t_prefix", "fold"]))

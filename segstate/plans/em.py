@@ -65,7 +65,7 @@ DRIVER_MODEL_LIMIT = 64 * 1024 * 1024
 
 def train_models(folded: DataFrame, spec: HsmmSpec, k: int, seed: int, work_dir: str,
                  epsilon: float = 1e-4, max_iterations: int = 3,
-                 start: DataFrame | None = None) -> DataFrame:
+                 start: DataFrame | None = None, long_rows: DataFrame | None = None) -> DataFrame:
     """Train every (fold, cls) model; returns the final model table
     (fold, cls, m, k, d, pi, a, b, p, loglik, iteration, converged).
 
@@ -97,7 +97,8 @@ def train_models(folded: DataFrame, spec: HsmmSpec, k: int, seed: int, work_dir:
         current = {(r.fold, r.cls): (r.pi, r.a, r.b, r.loglik, r.converged) for r in last}
         first = max(r.iteration for r in last) + 1
 
-    train = training_fanout(folded, k)
+    train = training_fanout(folded.where(F.col("obs").isNotNull()), k)
+    long_train = None if long_rows is None else training_fanout(long_rows, k)
     for it in range(first, max_iterations):
         active = [(key, v) for key, v in sorted(current.items()) if not v[4]]
         if not active:
@@ -105,7 +106,8 @@ def train_models(folded: DataFrame, spec: HsmmSpec, k: int, seed: int, work_dir:
         params = spark.createDataFrame(
             [(f, c, pi, a, b, p_start[(f, c)], ll) for (f, c), (pi, a, b, ll, _) in active],
             MODEL_ROW_SCHEMA)
-        stats = e_step_stats(train, params.drop("prev_loglik"), spec, n_models=len(active))
+        stats = e_step_stats(train, params.drop("prev_loglik"), spec, n_models=len(active),
+                             long_train=long_train)
         new = m_step(stats, spec).join(F.broadcast(params.select("fold", "cls", "prev_loglik")),
                                        ["fold", "cls"])
         rows = new.select(

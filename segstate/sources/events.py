@@ -62,28 +62,68 @@ def bucket_of(ts: Column) -> Column:
     return F.floor(days / F.lit(BUCKET_DAYS)).cast("bigint")
 
 
-def labelled_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fixture D2 (flagship input): one sequence per (user, 3-day bucket).
-
-    ``cls`` is 1 when the bucket holds an error event; the error events are
-    the label, the other types are the observations (K = 4). Buckets with no
-    observation left are dropped."""
+def _labelled_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = read_table(spark, sf_dir, "events")
     is_label = F.col("event_type") == F.lit(LABEL_EVENT)
-    base = ev.select(
+    return ev.select(
         "user_id", "ts", "event_id",
         bucket_of(F.col("ts")).alias("bucket"),
         is_label.alias("_lab"),
         symbol_index(F.col("event_type"), LABELLED_ALPHABET).alias("_sym"),
     )
+
+
+def _workitem() -> Column:
+    return F.concat_ws("-", F.col("user_id").cast("string"), F.col("bucket").cast("string"))
+
+
+def labelled_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fixture D2 (flagship input): one sequence per (user, 3-day bucket).
+
+    ``cls`` is 1 when the bucket holds an error event; the error events are
+    the label, the other types are the observations (K = 4). Buckets with no
+    observation left are dropped."""
+    return _labelled_arrays(_labelled_base(spark, sf_dir))
+
+
+def _labelled_arrays(base: DataFrame) -> DataFrame:
     seqs = (base.groupBy("user_id", "bucket")
             .agg(F.max(F.col("_lab").cast("int")).alias("cls"),
                  ordered_symbols(F.col("ts"), F.col("event_id"), F.col("_sym"),
                                  keep=~F.col("_lab")).alias("obs")))
     return (seqs.where(F.size("obs") > 0)
-            .select(F.concat_ws("-", F.col("user_id").cast("string"),
-                                F.col("bucket").cast("string")).alias("workitem"),
-                    F.col("cls").cast("int").alias("cls"), "obs"))
+            .select(_workitem().alias("workitem"), F.col("cls").cast("int").alias("cls"), "obs"))
+
+
+LONG_KEY_BYTES = 96  # user_id, bucket, workitem text and class of one long sequence
+
+
+def labelled_sequence_set(spark: SparkSession, sf_dir: str, max_len: int,
+                          broadcast_limit: int = 64 << 20) -> tuple[DataFrame, DataFrame]:
+    """D2 split by length. Sequences with at most ``max_len`` observations
+    become arrays; longer ones are never collected: their key row carries a
+    null ``obs`` and their events stay rows (workitem, cls, ts, event_id, sym)
+    for the streaming path. The number of long sequences is at most
+    events / max_len, which bounds the key table that is broadcast."""
+    from segstate.session import materialize
+
+    base = _labelled_base(spark, sf_dir)
+    sizes = base.groupBy("user_id", "bucket").agg(
+        F.sum(F.when(~F.col("_lab"), 1).otherwise(0)).alias("n_obs"),
+        F.max(F.col("_lab").cast("int")).alias("cls"))
+    # written once: later joins and the count read a small stored table
+    long_keys = materialize(sizes.where(F.col("n_obs") > max_len).select(
+        "user_id", "bucket", _workitem().alias("workitem"), F.col("cls").cast("int").alias("cls")),
+        "long_keys")
+    n_long = long_keys.count()
+    keys = F.broadcast(long_keys) if n_long * LONG_KEY_BYTES <= broadcast_limit else long_keys
+    arrays = _labelled_arrays(base.join(keys.select("user_id", "bucket"), ["user_id", "bucket"], "left_anti"))
+    if n_long:
+        arrays = arrays.unionByName(long_keys.select(
+            "workitem", "cls", F.lit(None).cast("array<int>").alias("obs")))
+    long_rows = (base.where(~F.col("_lab")).join(keys, ["user_id", "bucket"])
+                 .select("workitem", "cls", "ts", "event_id", F.col("_sym").alias("sym")))
+    return arrays, long_rows
 
 
 def hash_sample(df: DataFrame, fraction: float, seed: int, key: str = "workitem") -> DataFrame:

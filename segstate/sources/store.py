@@ -45,7 +45,8 @@ def read_raw_sequences(spark: SparkSession, paths: dict[int, str]) -> DataFrame:
 # ------------------------------------------------------------ S2 / S3
 def write_folds(folded: DataFrame, path: str) -> None:
     """S3: fold assignment, partitioned by class and fold (prunable)."""
-    (folded.select(F.col("workitem").cast("string"), obs_to_str(F.col("obs")).alias("str_obs"),
+    text = F.when(F.col("obs").isNotNull(), obs_to_str(F.col("obs")))  # null: long-form sequence
+    (folded.select(F.col("workitem").cast("string"), text.alias("str_obs"),
                    "row_id", "kfold", "cls")
      .write.mode("overwrite").partitionBy("cls", "kfold").parquet(path))
 

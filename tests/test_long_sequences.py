@@ -1,0 +1,56 @@
+"""Sequences above the array limit run through the long-form streaming path
+and give the same results as arrays."""
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from segstate.operators import folds as FO
+from segstate.operators.estep import e_step_stats
+from segstate.operators.longseq import long_e_step_stats, long_scores
+from segstate.plans import catalog as C
+from segstate.plans.crossval import cross_validate, cross_validate_prefix
+from segstate.session import new_work_dir
+from segstate.sources.events import labelled_sequence_set
+from tests.conftest import SF_SMALL
+
+
+def test_long_estep_equals_arrays(spark):
+    fld = C.folded(spark, SF_SMALL)
+    models = C.start_models(spark, SF_SMALL)
+    train = FO.training_fanout(fld, C.K_FOLDS)
+    arr = {(r.fold, r.cls, r.param, r.i, r.j): r.value
+           for r in e_step_stats(train, models, C.SPEC).collect()}
+    rows = train.select("fold", "cls", "workitem", F.posexplode("obs").alias("t", "sym"))
+    lon = {(r.fold, r.cls, r.param, r.i, r.j): r.value for r in
+           long_e_step_stats(rows, models, C.SPEC, order=["t"])
+           .groupBy("fold", "cls", "param", "i", "j").agg(F.sum("value").alias("value")).collect()}
+    assert set(arr) == set(lon)
+    for key, v in arr.items():
+        assert lon[key] == pytest.approx(v, rel=1e-9, abs=1e-9), key
+
+
+def test_long_scores_equal_arrays(spark):
+    from segstate.operators.evaluate import score_both
+    fld = C.folded(spark, SF_SMALL)
+    models = C.start_models(spark, SF_SMALL)
+    v = FO.validation_rows(fld)
+    want = {r.workitem: r.score1 for r in score_both(v, models, C.SPEC, C.K_FOLDS, 2).collect()}
+    rows = v.select("fold", F.lit(1).alias("cls"), "workitem", F.posexplode("obs").alias("t", "sym"))
+    got = {r.workitem: r.score for r in long_scores(rows, models, C.SPEC, ["t"], t_prefix=2).collect()}
+    assert set(got) == set(want)
+    assert max(abs(got[k] - want[k]) for k in want) < 1e-9
+
+
+def test_cross_validation_with_long_sequences(spark):
+    """Half of the sequences (length > 4) go through the long path."""
+    arrays, long_rows = labelled_sequence_set(spark, SF_SMALL, max_len=4)
+    assert arrays.where(F.col("obs").isNull()).count() > 0
+    mixed = {r.fold: r for r in cross_validate(arrays, C.RUN, new_work_dir(spark, "cvl"), long_rows).collect()}
+    plain = {r.fold: r for r in cross_validate(C.d2(spark, SF_SMALL), C.RUN, new_work_dir(spark, "cva")).collect()}
+    assert sorted(mixed) == sorted(plain) == list(range(C.K_FOLDS))
+    for f in plain:
+        for c in ("n", "tp", "fp", "fn", "tn"):
+            assert mixed[f][c] == plain[f][c], (f, c)
+    mp = cross_validate_prefix(arrays, C.RUN, new_work_dir(spark, "cvpl"), [2], long_rows).collect()
+    pp = cross_validate_prefix(C.d2(spark, SF_SMALL), C.RUN, new_work_dir(spark, "cvpa"), [2]).collect()
+    assert sorted((r.fold, r.tp, r.tn) for r in mp) == sorted((r.fold, r.tp, r.tn) for r in pp)
