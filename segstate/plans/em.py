@@ -117,7 +117,7 @@ def train_models(folded: DataFrame, spec: HsmmSpec, k: int, seed: int, work_dir:
             em_converged(F.col("loglik"), F.col("prev_loglik"), epsilon).alias("converged"))
         # the partition folder carries the iteration number
         out = os.path.join(trace_path, f"iteration={it}")
-        rows.coalesce(1).write.parquet(out)
+        rows.coalesce(1).write.mode("overwrite").parquet(out)  # a failed attempt is replaced
         done = spark.read.parquet(out).select("fold", "cls", "pi", "a", "b", "loglik", "converged").collect()
         if len(done) < len(active):  # Q19: nothing to estimate from
             missing = sorted({key for key, _ in active} - {(r.fold, r.cls) for r in done})

@@ -60,9 +60,12 @@ def read_folds(spark: SparkSession, path: str) -> DataFrame:
 
 # ------------------------------------------------------------ S4 / S5
 def write_scores(scores: DataFrame, path: str) -> None:
-    """One folder per (t_prefix, fold, cls)."""
+    """One folder per (t_prefix, fold, cls). Only the folders present in
+    ``scores`` are replaced (dynamic partition overwrite), so a re-run after
+    a failure never duplicates rows."""
     parts = [c for c in ("t_prefix", "fold", "cls") if c in scores.columns]
-    scores.write.mode("append").partitionBy(*parts).parquet(path)
+    (scores.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy(*parts).parquet(path))
 
 
 def read_scores(spark: SparkSession, path: str) -> DataFrame:
@@ -139,8 +142,10 @@ def unflatten_row_major(models: DataFrame, spec: HsmmSpec) -> DataFrame:
 
 # ---------------------------------------------------------------- S8
 def append_metrics(metrics: DataFrame, path: str) -> None:
-    """One row per finished fold; a fold present here is committed."""
-    metrics.write.mode("append").parquet(path)
+    """One row per finished fold; a fold present here is committed.
+    Folders are per fold and replaced idempotently."""
+    (metrics.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("fold").parquet(path))
 
 
 def pending_folds(spark: SparkSession, all_folds: DataFrame, metrics_path: str,
