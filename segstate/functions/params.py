@@ -19,13 +19,14 @@ def _grid(rows: int, cols: int, cell) -> Column:
     )
 
 
-def init_model_columns(fold: Column, cls: Column, spec: HsmmSpec, seed: int) -> dict[str, Column]:
+def init_model_columns(fold: Column, cls: Column, spec: HsmmSpec, seed: int,
+                       smoothing: float = 0.0) -> dict[str, Column]:
     """uniform Pi (F5), A and B row-stochastic (F6), P whole-matrix.
 
-    Every cell is ``md5_uniform(seed:fold:cls:param:i:j)``.
+    Every cell is ``md5_uniform(seed:fold:cls:param:i:j)`` (+ ``smoothing``).
     """
     def u(param: str):
-        return lambda i, j: md5_uniform(hash_key(F.lit(seed), fold, cls, F.lit(param), i, j))
+        return lambda i, j: md5_uniform(hash_key(F.lit(seed), fold, cls, F.lit(param), i, j)) + F.lit(smoothing)
 
     pi_raw = F.transform(F.sequence(F.lit(0), F.lit(spec.m - 1)), lambda i: u("pi")(i, F.lit(0)))
     return {
@@ -36,9 +37,9 @@ def init_model_columns(fold: Column, cls: Column, spec: HsmmSpec, seed: int) ->
     }
 
 
-def init_models(model_keys: DataFrame, spec: HsmmSpec, seed: int) -> DataFrame:
+def init_models(model_keys: DataFrame, spec: HsmmSpec, seed: int, smoothing: float = 0.0) -> DataFrame:
     """One start model per ``(fold, cls)`` row of ``model_keys``."""
-    cols = init_model_columns(F.col("fold"), F.col("cls"), spec, seed)
+    cols = init_model_columns(F.col("fold"), F.col("cls"), spec, seed, smoothing)
     return model_keys.select(
         F.col("fold").cast("int").alias("fold"),
         F.col("cls").cast("int").alias("cls"),

@@ -59,7 +59,10 @@ def _emit(acc: dict, spec: HsmmSpec) -> pa.RecordBatch:
         ("i", pa.int32()), ("j", pa.int32()), ("value", pa.float64())]))
 
 
-def partial_sums(spec: HsmmSpec):
+def partial_sums(spec: HsmmSpec, skip_undefined: bool = False):
+    """Per-task sums per model. With ``skip_undefined`` a sequence whose
+    estimates hold a NaN (0/0, Q10) is left out of the sums and counted in
+    ``n_undefined``; by default it poisons the sums like the reference."""
     m, k, d = spec.m, spec.k, spec.d
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -86,8 +89,16 @@ def partial_sums(spec: HsmmSpec):
                     obs = vals[offs[sel][:, None] + np.arange(t_len)[None, :]].astype(np.int64)
                     sc, npi, na, nb, np_ = kernel.e_step(obs, k, pi[sel], a[sel], b[sel], p[sel])
                     keys = np.stack([folds[sel], clss[sel]], axis=1)
+                    bad = None
+                    if skip_undefined:
+                        bad = (np.isnan(npi).any(axis=1) | np.isnan(na).any(axis=(1, 2))
+                               | np.isnan(nb).any(axis=(1, 2)) | np.isnan(np_).any(axis=(1, 2)))
                     for key in {tuple(x) for x in keys.tolist()}:
                         mk = (keys[:, 0] == key[0]) & (keys[:, 1] == key[1])
+                        n_bad = 0.0
+                        if bad is not None:
+                            n_bad = float((mk & bad).sum())
+                            mk = mk & ~bad
                         s = acc.get(key)
                         if s is None:
                             s = acc[key] = {"loglik": 0.0, "n_seq": 0.0, "n_undefined": 0.0,
@@ -95,7 +106,7 @@ def partial_sums(spec: HsmmSpec):
                                             "b": np.zeros((m, k)), "p": np.zeros((m, d))}
                         s["loglik"] += sc[mk].sum()
                         s["n_seq"] += float(mk.sum())
-                        s["n_undefined"] += float((~np.isfinite(sc[mk])).sum())
+                        s["n_undefined"] += float((~np.isfinite(sc[mk])).sum()) + n_bad
                         s["pi"] += npi[mk].sum(axis=0)
                         s["a"] += na[mk].sum(axis=0)
                         s["b"] += nb[mk].sum(axis=0)
@@ -107,7 +118,8 @@ def partial_sums(spec: HsmmSpec):
 
 
 def e_step_stats(train: DataFrame, models: DataFrame, spec: HsmmSpec,
-                 n_models: int | None = None, long_train: DataFrame | None = None) -> DataFrame:
+                 n_models: int | None = None, long_train: DataFrame | None = None,
+                 skip_undefined: bool = False) -> DataFrame:
     """Summed per-sequence estimates per model: (fold, cls, param, i, j, value).
 
     ``train`` has (fold, cls, obs); ``models`` has (fold, cls, pi, a, b, p)
@@ -119,9 +131,10 @@ def e_step_stats(train: DataFrame, models: DataFrame, spec: HsmmSpec,
                            ["fold", "cls"], spec, n_models)
     flat = joined.select("fold", "cls", "obs", "pi", F.flatten("a").alias("a"),
                          F.flatten("b").alias("b"), F.flatten("p").alias("p"))
-    partial = flat.mapInArrow(partial_sums(spec), STATS_SCHEMA)
+    partial = flat.mapInArrow(partial_sums(spec, skip_undefined), STATS_SCHEMA)
     if long_train is not None:
         from segstate.operators.longseq import long_e_step_stats
-        partial = partial.unionByName(long_e_step_stats(long_train, models, spec))
+        partial = partial.unionByName(long_e_step_stats(long_train, models, spec,
+                                                        skip_undefined=skip_undefined))
     return (partial.groupBy("fold", "cls", "param", "i", "j")
             .agg(F.sum("value").alias("value")))

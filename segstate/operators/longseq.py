@@ -222,7 +222,7 @@ def _backward(params: dict, spec: HsmmSpec):
 
 # ------------------------------------------------------------------ pass 3
 
-def _estimates(params: dict, spec: HsmmSpec):
+def _estimates(params: dict, spec: HsmmSpec, skip_undefined: bool = False):
     m, k, dd = spec.m, spec.k, spec.d
     keep = dd - 1
     cols = ["fold", "cls", "workitem", "t", "sym", "alpha", "ap", "ap_next", "scale", "beta", "bp_next", "t_len"]
@@ -246,6 +246,9 @@ def _estimates(params: dict, spec: HsmmSpec):
             s = acc_models.setdefault(st["model"], {
                 "loglik": 0.0, "n_seq": 0.0, "n_undefined": 0.0, "pi": np.zeros(m),
                 "a": np.zeros((m, m)), "b": np.zeros((m, k)), "p": np.zeros((m, dd))})
+            if skip_undefined and any(np.isnan(x).any() for x in (new_pi, new_a, new_b, new_p)):
+                s["n_undefined"] += 1.0
+                return
             s["loglik"] += st["score"]
             s["n_seq"] += 1.0
             s["n_undefined"] += 0.0 if math.isfinite(st["score"]) else 1.0
@@ -308,7 +311,7 @@ def _sorted(df: DataFrame, order: list, descending: bool = False) -> DataFrame:
 
 
 def long_e_step_stats(rows: DataFrame, models: DataFrame, spec: HsmmSpec,
-                      order: list[str] | None = None) -> DataFrame:
+                      order: list[str] | None = None, skip_undefined: bool = False) -> DataFrame:
     """Partial sums (STATS_SCHEMA) of the E-step for long-form training rows
     ``(fold, cls, workitem, sym, *order)`` under ``models`` (fold, cls, pi, a,
     b, p); ``order`` gives the position inside a sequence (default ts, event_id)."""
@@ -317,7 +320,7 @@ def long_e_step_stats(rows: DataFrame, models: DataFrame, spec: HsmmSpec,
     fwd = _sorted(rows.select("fold", "cls", "workitem", "sym", *order), order).mapInArrow(
         _forward(params, spec, emit_rows=True), FWD_SCHEMA)
     bwd = _sorted(fwd, ["t"], descending=True).mapInArrow(_backward(params, spec), BWD_SCHEMA)
-    return _sorted(bwd, ["t"]).mapInArrow(_estimates(params, spec), STATS_SCHEMA)
+    return _sorted(bwd, ["t"]).mapInArrow(_estimates(params, spec, skip_undefined), STATS_SCHEMA)
 
 
 def long_scores(rows: DataFrame, models: DataFrame, spec: HsmmSpec, order: list[str] | None = None,

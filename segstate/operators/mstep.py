@@ -36,13 +36,28 @@ def gather_sums(stats: DataFrame, spec: HsmmSpec) -> DataFrame:
     )
 
 
-def m_step(stats: DataFrame, spec: HsmmSpec) -> DataFrame:
-    """New (pi, a, b, p) and the E-step log-likelihood sum per model."""
+def _plus(x: Column, eps: float) -> Column:
+    return F.transform(x, lambda v: v + F.lit(eps))
+
+
+def _plus2(x: Column, eps: float) -> Column:
+    return F.transform(x, lambda row: _plus(row, eps))
+
+
+def m_step(stats: DataFrame, spec: HsmmSpec, smoothing: float = 0.0) -> DataFrame:
+    """New (pi, a, b, p) and the E-step log-likelihood sum per model.
+
+    ``smoothing`` adds a constant to every summed cell before normalising
+    (the reference's disabled variant uses 2^-52); the default 0 is the
+    reference behaviour."""
     sums = gather_sums(stats, spec)
+    pi, a, b, p = (F.col(c) for c in ("pi_sum", "a_sum", "b_sum", "p_sum"))
+    if smoothing:
+        pi, a, b, p = _plus(pi, smoothing), _plus2(a, smoothing), _plus2(b, smoothing), _plus2(p, smoothing)
     return sums.select(
         "fold", "cls", "loglik", "n_seq", "n_undefined",
-        l1_normalize(F.col("pi_sum")).alias("pi"),
-        row_stochastic(F.col("a_sum")).alias("a"),
-        row_stochastic(F.col("b_sum")).alias("b"),
-        matrix_normalize(F.col("p_sum")).alias("p"),
+        l1_normalize(pi).alias("pi"),
+        row_stochastic(a).alias("a"),
+        row_stochastic(b).alias("b"),
+        matrix_normalize(p).alias("p"),
     )

@@ -69,7 +69,8 @@ def train(folded: DataFrame, params: RunParams, work_dir: str,
     if not path_exists(spark, models_path):
         models = train_models(folded, params.spec, params.folds, params.seed,
                               os.path.join(work_dir, "em"), params.epsilon, params.max_iterations,
-                              long_rows=long_rows)
+                              long_rows=long_rows, feedback_duration=params.feedback_duration,
+                              smoothing=params.smoothing, skip_undefined=params.skip_undefined)
         models.write.parquet(models_path)
     return spark.read.parquet(models_path)
 

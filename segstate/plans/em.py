@@ -65,10 +65,17 @@ DRIVER_MODEL_LIMIT = 64 * 1024 * 1024
 
 def train_models(folded: DataFrame, spec: HsmmSpec, k: int, seed: int, work_dir: str,
                  epsilon: float = 1e-4, max_iterations: int = 3,
-                 start: DataFrame | None = None, long_rows: DataFrame | None = None) -> DataFrame:
+                 start: DataFrame | None = None, long_rows: DataFrame | None = None,
+                 feedback_duration: bool = False, smoothing: float = 0.0,
+                 skip_undefined: bool = False) -> DataFrame:
     """Train every (fold, cls) model; returns the final model table
     (fold, cls, m, k, d, pi, a, b, p, loglik, iteration, converged).
 
+    Defaults reproduce the reference: the E-step keeps the start P
+    (``feedback_duration=True`` feeds the estimated P back), no smoothing,
+    and an undefined sequence poisons its model's sums (``skip_undefined``
+    leaves it out and counts it).
+
     The model table (one row per fold and class, size fixed by M, K, D) is
     the only thing the driver holds between iterations; it re-enters the
     next E-step as a broadcast relation."""
@@ -95,6 +102,8 @@ def train_models(folded: DataFrame, spec: HsmmSpec, k: int, seed: int, work_dir:
     else:
         last = last_rows(trace).collect()
         current = {(r.fold, r.cls): (r.pi, r.a, r.b, r.loglik, r.converged) for r in last}
+        if feedback_duration:
+            p_start.update({(r.fold, r.cls): r.p for r in last})
         first = max(r.iteration for r in last) + 1
 
     train = training_fanout(folded.where(F.col("obs").isNotNull()), k)
@@ -107,8 +116,8 @@ def train_models(folded: DataFrame, spec: HsmmSpec, k: int, seed: int, work_dir:
             [(f, c, pi, a, b, p_start[(f, c)], ll) for (f, c), (pi, a, b, ll, _) in active],
             MODEL_ROW_SCHEMA)
         stats = e_step_stats(train, params.drop("prev_loglik"), spec, n_models=len(active),
-                             long_train=long_train)
-        new = m_step(stats, spec).join(F.broadcast(params.select("fold", "cls", "prev_loglik")),
+                             long_train=long_train, skip_undefined=skip_undefined)
+        new = m_step(stats, spec, smoothing).join(F.broadcast(params.select("fold", "cls", "prev_loglik")),
                                        ["fold", "cls"])
         rows = new.select(
             "fold", "cls",
@@ -118,12 +127,14 @@ def train_models(folded: DataFrame, spec: HsmmSpec, k: int, seed: int, work_dir:
         # the partition folder carries the iteration number
         out = os.path.join(trace_path, f"iteration={it}")
         rows.coalesce(1).write.mode("overwrite").parquet(out)  # a failed attempt is replaced
-        done = spark.read.parquet(out).select("fold", "cls", "pi", "a", "b", "loglik", "converged").collect()
+        done = spark.read.parquet(out).select("fold", "cls", "pi", "a", "b", "p", "loglik", "converged").collect()
         if len(done) < len(active):  # Q19: nothing to estimate from
             missing = sorted({key for key, _ in active} - {(r.fold, r.cls) for r in done})
             raise ValueError(f"empty training split for (fold, cls) {missing[:5]}")
         for r in done:
             current[(r.fold, r.cls)] = (r.pi, r.a, r.b, r.loglik, r.converged)
+            if feedback_duration:
+                p_start[(r.fold, r.cls)] = r.p
 
     trace = read_trace(spark, work_dir)
     if trace is None:
