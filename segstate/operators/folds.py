@@ -63,10 +63,12 @@ def hashed_row_number(df: DataFrame, group: str, hex_key: str, tie: str, out: st
     partitioned by (group, bucket). Deterministic: no sampling, no ids that
     depend on task order, so a recomputed task gives the same numbers."""
     bucket = F.conv(F.substring(F.col(hex_key), 1, digits), 16, 10).cast("int")
+    keyed = df.withColumn("_bk", bucket)
     local = Window.partitionBy(group, "_bk").orderBy(hex_key, tie)
-    numbered = df.withColumn("_bk", bucket).withColumn("_loc", F.row_number().over(local))
-    # bucket sizes from the same (group, bucket) partitioning: no second pass
-    sizes = numbered.groupBy(group, "_bk").agg(F.max("_loc").alias("_n"))
+    numbered = keyed.withColumn("_loc", F.row_number().over(local))
+    # bucket sizes: a two-phase count over the key columns only (the scan
+    # below prunes every other column)
+    sizes = keyed.groupBy(group, "_bk").agg(F.count("*").alias("_n"))
     before = Window.partitionBy(group).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(group, "_bk", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
     # offsets has at most groups x 16^digits rows: a bounded broadcast
