@@ -138,3 +138,89 @@ def e_step_stats(train: DataFrame, models: DataFrame, spec: HsmmSpec,
                                                         skip_undefined=skip_undefined))
     return (partial.groupBy("fold", "cls", "param", "i", "j")
             .agg(F.sum("value").alias("value")))
+
+
+def partial_sums_by_fold(spec: HsmmSpec, params: dict, k: int, skip_undefined: bool = False):
+    """Like ``partial_sums`` for rows that are *not* fanned out: every row is
+    a sequence (cls, kfold, obs) and trains the models (f, cls), f != kfold,
+    found in ``params``. The (sequence, model) pairs are formed inside the
+    task and each length group runs as one vectorised kernel call, so rows
+    cross Arrow once and parameters not at all."""
+    m, kk, d = spec.m, spec.k, spec.d
+    keys = sorted(params)
+    stack = [np.stack([params[key][x] for key in keys]) for x in range(4)]  # pi, a, b, p
+    classes = sorted({c for _, c in keys})
+    col_of = {c: i for i, c in enumerate(classes)}
+    index = np.full((k, len(classes)), -1, dtype=np.int64)
+    for n, (f, c) in enumerate(keys):
+        index[f, col_of[c]] = n
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = {"loglik": np.zeros(len(keys)), "n_seq": np.zeros(len(keys)),
+                "n_undefined": np.zeros(len(keys)), "pi": np.zeros((len(keys), m)),
+                "a": np.zeros((len(keys), m, m)), "b": np.zeros((len(keys), m, kk)),
+                "p": np.zeros((len(keys), m, d))}
+        seen = np.zeros(len(keys), dtype=bool)
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            clss = batch.column("cls").to_numpy(zero_copy_only=False)
+            kfolds = batch.column("kfold").to_numpy(zero_copy_only=False)
+            lens, vals = _lists(batch.column("obs"))
+            offs = np.concatenate([[0], np.cumsum(lens)])
+            ccol = np.array([col_of.get(c, -1) for c in clss.tolist()], dtype=np.int64)
+            for t_len in np.unique(lens):
+                if t_len == 0:
+                    continue
+                rows = np.nonzero((lens == t_len) & (ccol >= 0))[0]
+                # (sequence, model) pairs: every fold but the row's own
+                rep = np.repeat(rows, k)
+                fold = np.tile(np.arange(k), len(rows))
+                model = index[fold, ccol[rep]]
+                ok = (fold != kfolds[rep]) & (model >= 0)
+                rep, model = rep[ok], model[ok]
+                step = max(1, CELL_BUDGET // int(t_len * m * max(d, m, kk)))
+                for lo in range(0, len(rep), step):
+                    r, mdl = rep[lo: lo + step], model[lo: lo + step]
+                    obs = vals[offs[r][:, None] + np.arange(t_len)[None, :]].astype(np.int64)
+                    sc, npi, na, nb, np_ = kernel.e_step(obs, kk, *(x[mdl] for x in stack))
+                    good = np.ones(len(r), dtype=bool)
+                    if skip_undefined:
+                        good = ~(np.isnan(npi).any(axis=1) | np.isnan(na).any(axis=(1, 2))
+                                 | np.isnan(nb).any(axis=(1, 2)) | np.isnan(np_).any(axis=(1, 2)))
+                    seen[mdl] = True
+                    np.add.at(sums["n_undefined"], mdl[~good], 1.0)
+                    g = mdl[good]
+                    np.add.at(sums["loglik"], g, sc[good])
+                    np.add.at(sums["n_seq"], g, 1.0)
+                    np.add.at(sums["n_undefined"], g, (~np.isfinite(sc[good])).astype(float))
+                    np.add.at(sums["pi"], g, npi[good])
+                    np.add.at(sums["a"], g, na[good])
+                    np.add.at(sums["b"], g, nb[good])
+                    np.add.at(sums["p"], g, np_[good])
+        acc = {keys[n]: {name: (v[n] if v.ndim > 1 else float(v[n])) for name, v in sums.items()}
+               for n in np.nonzero(seen)[0]}
+        if acc:
+            yield _emit(acc, spec)
+
+    return run
+
+
+def e_step_stats_folded(folded: DataFrame, models: DataFrame, spec: HsmmSpec, k: int,
+                        long_train: DataFrame | None = None,
+                        skip_undefined: bool = False) -> DataFrame:
+    """E-step sums of every model in ``models`` over the fold table
+    (workitem, cls, kfold, obs): a sequence of fold g trains the models of
+    its class with fold != g (P4 inside the task). The model table is
+    bounded (one row per model) and size-checked before it ships."""
+    from segstate.operators.longseq import model_params
+
+    params = model_params(models, spec)
+    rows = folded.select("cls", "kfold", "obs").where(F.col("obs").isNotNull() & (F.size("obs") > 0))
+    partial = rows.mapInArrow(partial_sums_by_fold(spec, params, k, skip_undefined), STATS_SCHEMA)
+    if long_train is not None:
+        from segstate.operators.longseq import long_e_step_stats
+        partial = partial.unionByName(long_e_step_stats(long_train, models, spec,
+                                                        skip_undefined=skip_undefined))
+    return (partial.groupBy("fold", "cls", "param", "i", "j")
+            .agg(F.sum("value").alias("value")))

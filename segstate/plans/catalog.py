@@ -473,19 +473,19 @@ def _traced(what: str) -> Callable[[SparkSession, str], DataFrame]:
 # --------------------------------------------------------- R9-R12, V6, V7
 
 def q_e_step_stats(spark, sf):
-    from segstate.operators.estep import e_step_stats
+    from segstate.operators.estep import e_step_stats_folded
     fld = folded(spark, sf)
     models = start_models(spark, sf, fld)
-    st = e_step_stats(FO.training_fanout(fld, K_FOLDS), models, SPEC)
+    st = e_step_stats_folded(fld, models, SPEC, K_FOLDS)
     return st.select("fold", "cls", "param", "i", "j", r6("value").alias("value"))
 
 
 def q_m_step(spark, sf):
-    from segstate.operators.estep import e_step_stats
+    from segstate.operators.estep import e_step_stats_folded
     from segstate.operators.mstep import m_step
     fld = folded(spark, sf)
     models = start_models(spark, sf, fld)
-    new = m_step(e_step_stats(FO.training_fanout(fld, K_FOLDS), models, SPEC), SPEC)
+    new = m_step(e_step_stats_folded(fld, models, SPEC, K_FOLDS), SPEC)
     return ST.model_long(new).withColumn("value", r6("value"))
 
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from segstate.functions.params import em_converged, init_models
-from segstate.operators.estep import e_step_stats
+from segstate.operators.estep import e_step_stats_folded
 from segstate.operators.folds import training_fanout
 from segstate.operators.mstep import m_step
 from segstate.spec import HsmmSpec
@@ -106,7 +106,6 @@ def train_models(folded: DataFrame, spec: HsmmSpec, k: int, seed: int, work_dir:
             p_start.update({(r.fold, r.cls): r.p for r in last})
         first = max(r.iteration for r in last) + 1
 
-    train = training_fanout(folded.where(F.col("obs").isNotNull()), k)
     long_train = None if long_rows is None else training_fanout(long_rows, k)
     for it in range(first, max_iterations):
         active = [(key, v) for key, v in sorted(current.items()) if not v[4]]
@@ -115,8 +114,8 @@ def train_models(folded: DataFrame, spec: HsmmSpec, k: int, seed: int, work_dir:
         params = spark.createDataFrame(
             [(f, c, pi, a, b, p_start[(f, c)], ll) for (f, c), (pi, a, b, ll, _) in active],
             MODEL_ROW_SCHEMA)
-        stats = e_step_stats(train, params.drop("prev_loglik"), spec, n_models=len(active),
-                             long_train=long_train, skip_undefined=skip_undefined)
+        stats = e_step_stats_folded(folded, params.drop("prev_loglik"), spec, k,
+                                    long_train=long_train, skip_undefined=skip_undefined)
         new = m_step(stats, spec, smoothing).join(F.broadcast(params.select("fold", "cls", "prev_loglik")),
                                        ["fold", "cls"])
         rows = new.select(
