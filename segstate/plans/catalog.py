@@ -359,11 +359,20 @@ SQL_EM_CONVERGED = (
 # ------------------------------------------------------------- R1-R3, V1-V5
 
 def q_sequence_score(spark, sf):
-    """R3 on D1 (K=5) under the start model of (fold 0, class 1)."""
+    """R3 on D1 (K=5) under the start model of (fold 0, class 1). Users with
+    more than MAX_ARRAY_LEN events are scored by the streaming path."""
+    from segstate.operators.longseq import long_scores
     keys = spark.createDataFrame([(0, 1)], "fold int, cls int")
     model = init_models(keys, SPEC_USER, SEED)
-    s = score_sequences(EV.user_sequences(spark, sf), model, SPEC_USER, [])
-    return s.select("workitem", r6("score").alias("score"))
+    events = EV.read_table(spark, sf, "events")
+    arrays, long_rows = EV.build_sequence_set(events, ["user_id"], EV.USER_ALPHABET, MAX_ARRAY_LEN)
+    s = score_sequences(arrays.select(F.col("user_id").alias("workitem"), "obs"), model, SPEC_USER, [])
+    longs = long_scores(long_rows.select(F.col("user_id").cast("string").alias("workitem"),
+                                         F.lit(0).alias("fold"), F.lit(1).alias("cls"),
+                                         "sym", "ts", "event_id"), model, SPEC_USER)
+    out = s.select("workitem", "score").unionByName(
+        longs.select(F.col("workitem").cast("bigint").alias("workitem"), "score"))
+    return out.select("workitem", r6("score").alias("score"))
 
 
 SQL_SEQUENCE_SCORE = (

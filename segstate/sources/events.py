@@ -50,6 +50,27 @@ def build_sequences(events: DataFrame, entity: Sequence[str], alphabet: Sequence
             .agg(ordered_symbols(F.col(ts), F.col(tie), F.col("_sym")).alias("obs")))
 
 
+def build_sequence_set(events: DataFrame, entity: Sequence[str], alphabet: Sequence[str],
+                       max_len: int, ts: str = "ts", tie: str = "event_id",
+                       kind: str = "event_type") -> tuple[DataFrame, DataFrame]:
+    """S1b split by length: entities with at most ``max_len`` events become
+    array rows; the events of longer ones stay rows (entity, ts, tie, sym)
+    for the streaming path. Long entities number at most events / max_len;
+    their keys are written once and broadcast when that bound fits."""
+    from segstate.session import materialize
+
+    sym = symbol_index(F.col(kind), alphabet)
+    base = events.select(*entity, ts, tie, sym.alias("sym"))
+    long_keys = materialize(base.groupBy(*entity).count().where(F.col("count") > max_len)
+                            .select(*entity), "long_entities")
+    n_long = long_keys.count()
+    keys = F.broadcast(long_keys) if n_long * LONG_KEY_BYTES <= 64 << 20 else long_keys
+    arrays = (base.join(keys, list(entity), "left_anti").groupBy(*entity)
+              .agg(ordered_symbols(F.col(ts), F.col(tie), F.col("sym")).alias("obs")))
+    long_rows = base.join(keys, list(entity))
+    return arrays, long_rows
+
+
 def user_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fixture D1: one sequence per user over all event types (K = 5)."""
     events = read_table(spark, sf_dir, "events")

@@ -54,3 +54,11 @@ def test_cross_validation_with_long_sequences(spark):
     mp = cross_validate_prefix(arrays, C.RUN, new_work_dir(spark, "cvpl"), [2], long_rows).collect()
     pp = cross_validate_prefix(C.d2(spark, SF_SMALL), C.RUN, new_work_dir(spark, "cvpa"), [2]).collect()
     assert sorted((r.fold, r.tp, r.tn) for r in mp) == sorted((r.fold, r.tp, r.tn) for r in pp)
+
+
+def test_sequence_score_long_users_equal_arrays(spark, monkeypatch):
+    import __spark_entry__ as E
+    want = {r.workitem: r.score for r in E.queries()["sequence_score"](spark, SF_SMALL).collect()}
+    monkeypatch.setattr(C, "MAX_ARRAY_LEN", 60)  # users have 51-88 events at sf0.001
+    got = {r.workitem: r.score for r in C.q_sequence_score(spark, SF_SMALL).collect()}
+    assert got == want
