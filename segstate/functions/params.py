@@ -56,3 +56,30 @@ def em_converged(loglik: Column, previous: Column, threshold: float) -> Column:
     avg = (F.abs(loglik) + F.abs(prev) + F.lit(EPS_2_52)) / 2
     ratio = F.when(avg != 0, delta / avg).otherwise(F.lit(float("nan")))
     return F.coalesce(ratio < F.lit(threshold), F.lit(False))
+
+
+def init_model_values(fold: int, cls: int, spec: HsmmSpec, seed: int) -> dict[str, list]:
+    """The F11 start model of one (fold, cls) as Python lists: the same md5
+    rule as ``init_models``, evaluated on the driver for a single model (a
+    handful of numbers, used as plan literals)."""
+    import hashlib
+
+    def u(param: str, i: int, j: int) -> float:
+        key = f"{seed}:{fold}:{cls}:{param}:{i}:{j}"
+        return int(hashlib.md5(key.encode()).hexdigest()[:8], 16) / 4294967296.0
+
+    def l1(v):
+        n = sum(abs(x) for x in v)
+        return v if n == 0 else [x / n for x in v]
+
+    def grid(param, rows, cols):
+        return [[u(param, i, j) for j in range(cols)] for i in range(rows)]
+
+    p = grid("p", spec.m, spec.d)
+    r = 1.0 / sum(sum(row) for row in p)
+    return {
+        "pi": l1([u("pi", i, 0) for i in range(spec.m)]),
+        "a": [l1(row) for row in grid("a", spec.m, spec.m)],
+        "b": [l1(row) for row in grid("b", spec.m, spec.k)],
+        "p": [[x * r for x in row] for row in p],
+    }

@@ -361,17 +361,22 @@ SQL_EM_CONVERGED = (
 def q_sequence_score(spark, sf):
     """R3 on D1 (K=5) under the start model of (fold 0, class 1). Users with
     more than MAX_ARRAY_LEN events are scored by the streaming path."""
+    from segstate.functions.params import init_model_values
+    from segstate.operators.forward import forward_score
     from segstate.operators.longseq import long_scores
-    keys = spark.createDataFrame([(0, 1)], "fold int, cls int")
-    model = init_models(keys, SPEC_USER, SEED)
+    mv = init_model_values(0, 1, SPEC_USER, SEED)
     events = EV.read_table(spark, sf, "events")
     arrays, long_rows = EV.build_sequence_set(events, ["user_id"], EV.USER_ALPHABET, MAX_ARRAY_LEN)
-    s = score_sequences(arrays.select(F.col("user_id").alias("workitem"), "obs"), model, SPEC_USER, [])
-    longs = long_scores(long_rows.select(F.col("user_id").cast("string").alias("workitem"),
-                                         F.lit(0).alias("fold"), F.lit(1).alias("cls"),
-                                         "sym", "ts", "event_id"), model, SPEC_USER)
-    out = s.select("workitem", "score").unionByName(
-        longs.select(F.col("workitem").cast("bigint").alias("workitem"), "score"))
+    score = forward_score(F.col("obs"), *(F.lit(mv[x]) for x in ("pi", "a", "b", "p")), SPEC_USER)
+    out = arrays.select(F.col("user_id").alias("workitem"), score.alias("score"))
+    if long_rows is not None:
+        model = spark.createDataFrame([(0, 1, mv["pi"], mv["a"], mv["b"], mv["p"])],
+                                      "fold int, cls int, pi array<double>, a array<array<double>>, "
+                                      "b array<array<double>>, p array<array<double>>")
+        longs = long_scores(long_rows.select(F.col("user_id").cast("string").alias("workitem"),
+                                             F.lit(0).alias("fold"), F.lit(1).alias("cls"),
+                                             "sym", "ts", "event_id"), model, SPEC_USER)
+        out = out.unionByName(longs.select(F.col("workitem").cast("bigint").alias("workitem"), "score"))
     return out.select("workitem", r6("score").alias("score"))
 
 

@@ -61,14 +61,32 @@ def build_sequence_set(events: DataFrame, entity: Sequence[str], alphabet: Seque
 
     sym = symbol_index(F.col(kind), alphabet)
     base = events.select(*entity, ts, tie, sym.alias("sym"))
-    long_keys = materialize(base.groupBy(*entity).count().where(F.col("count") > max_len)
-                            .select(*entity), "long_entities")
-    n_long = long_keys.count()
-    keys = F.broadcast(long_keys) if n_long * LONG_KEY_BYTES <= 64 << 20 else long_keys
+    keys = _long_keys(base.groupBy(*entity).count().where(F.col("count") > max_len).select(*entity),
+                      "long_entities")
+    arrays = base.groupBy(*entity).agg(ordered_symbols(F.col(ts), F.col(tie), F.col("sym")).alias("obs"))
+    if keys is None:
+        return arrays, None
     arrays = (base.join(keys, list(entity), "left_anti").groupBy(*entity)
               .agg(ordered_symbols(F.col(ts), F.col(tie), F.col("sym")).alias("obs")))
-    long_rows = base.join(keys, list(entity))
-    return arrays, long_rows
+    return arrays, base.join(keys, list(entity))
+
+
+def _long_keys(candidates: DataFrame, name: str, limit_bytes: int = 64 << 20) -> DataFrame | None:
+    """Keys of the sequences too long for arrays, or None when there are none.
+
+    Up to ``limit_bytes / LONG_KEY_BYTES`` keys are fetched in one job and
+    re-enter the plan as a broadcast relation; beyond that they are written
+    under the work folder and joined by shuffle."""
+    from segstate.session import materialize
+
+    cap = max(1, limit_bytes // LONG_KEY_BYTES)
+    rows = candidates.limit(cap + 1).collect()
+    if not rows:
+        return None
+    if len(rows) <= cap:
+        spark = candidates.sparkSession
+        return F.broadcast(spark.createDataFrame(rows, candidates.schema))
+    return materialize(candidates, name)
 
 
 def user_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,22 +144,17 @@ def labelled_sequence_set(spark: SparkSession, sf_dir: str, max_len: int,
     null ``obs`` and their events stay rows (workitem, cls, ts, event_id, sym)
     for the streaming path. The number of long sequences is at most
     events / max_len, which bounds the key table that is broadcast."""
-    from segstate.session import materialize
-
     base = _labelled_base(spark, sf_dir)
     sizes = base.groupBy("user_id", "bucket").agg(
         F.sum(F.when(~F.col("_lab"), 1).otherwise(0)).alias("n_obs"),
         F.max(F.col("_lab").cast("int")).alias("cls"))
-    # written once: later joins and the count read a small stored table
-    long_keys = materialize(sizes.where(F.col("n_obs") > max_len).select(
+    keys = _long_keys(sizes.where(F.col("n_obs") > max_len).select(
         "user_id", "bucket", _workitem().alias("workitem"), F.col("cls").cast("int").alias("cls")),
-        "long_keys")
-    n_long = long_keys.count()
-    keys = F.broadcast(long_keys) if n_long * LONG_KEY_BYTES <= broadcast_limit else long_keys
+        "long_keys", broadcast_limit)
+    if keys is None:
+        return _labelled_arrays(base), None
     arrays = _labelled_arrays(base.join(keys.select("user_id", "bucket"), ["user_id", "bucket"], "left_anti"))
-    if n_long:
-        arrays = arrays.unionByName(long_keys.select(
-            "workitem", "cls", F.lit(None).cast("array<int>").alias("obs")))
+    arrays = arrays.unionByName(keys.select("workitem", "cls", F.lit(None).cast("array<int>").alias("obs")))
     long_rows = (base.where(~F.col("_lab")).join(keys, ["user_id", "bucket"])
                  .select("workitem", "cls", "ts", "event_id", F.col("_sym").alias("sym")))
     return arrays, long_rows

@@ -44,18 +44,18 @@ def read_raw_sequences(spark: SparkSession, paths: dict[int, str]) -> DataFrame:
 
 # ------------------------------------------------------------ S2 / S3
 def write_folds(folded: DataFrame, path: str) -> None:
-    """S3: fold assignment, partitioned by class and fold (prunable)."""
-    text = F.when(F.col("obs").isNotNull(), obs_to_str(F.col("obs")))  # null: long-form sequence
-    (folded.select(F.col("workitem").cast("string"), text.alias("str_obs"),
+    """S3: fold assignment, partitioned by class and fold (prunable). The
+    observations are stored typed (``array<int>``, null for a long-form
+    sequence), so the scans of every EM iteration parse nothing."""
+    (folded.select(F.col("workitem").cast("string"), F.col("obs").cast("array<int>"),
                    "row_id", "kfold", "cls")
      .write.mode("overwrite").partitionBy("cls", "kfold").parquet(path))
 
 
 def read_folds(spark: SparkSession, path: str) -> DataFrame:
     """Typed read back -> (workitem, cls, obs, row_id, kfold)."""
-    df = spark.read.parquet(path)
-    return df.select("workitem", F.col("cls").cast("int"), parse_obs(F.col("str_obs")).alias("obs"),
-                     F.col("row_id").cast("bigint"), F.col("kfold").cast("int"))
+    df = spark.read.schema("workitem string, obs array<int>, row_id bigint, cls int, kfold int").parquet(path)
+    return df.select("workitem", "cls", "obs", "row_id", "kfold")
 
 
 # ------------------------------------------------------------ S4 / S5

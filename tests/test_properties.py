@@ -52,3 +52,12 @@ def test_trained_models_are_normalised(spark):
             assert sum(abs(v) for v in vals) == pytest.approx(1.0, abs=1e-5)
     for (f, c, param), vals in per_model.items():
         assert sum(vals) == pytest.approx(1.0, abs=1e-5), (f, c, param)
+
+
+def test_driver_start_model_equals_spark(spark):
+    from segstate.functions.params import init_model_values, init_models
+    keys = spark.createDataFrame([(3, 0), (0, 1)], "fold int, cls int")
+    for r in init_models(keys, C.SPEC, 42).collect():
+        mv = init_model_values(r.fold, r.cls, C.SPEC, 42)
+        for x in ("pi", "a", "b", "p"):
+            np.testing.assert_allclose(np.array(getattr(r, x)), np.array(mv[x]), rtol=0, atol=1e-15)
