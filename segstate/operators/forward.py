@@ -33,6 +33,13 @@ def _sum(terms: list[Column]) -> Column:
     return out
 
 
+def _l1_fixed(v: Column, m: int) -> Column:
+    """F5 on a bound vector of known length m, unrolled (no nested lambdas)."""
+    def norm(n: Column) -> Column:
+        return F.when(n == 0, v).otherwise(F.array(*[v[i] / n for i in range(m)]))
+    return let(_sum([F.abs(v[i]) for i in range(m)]), norm)
+
+
 def forward_score(obs: Column, pi: Column, a: Column, b: Column, p: Column,
                   spec: HsmmSpec) -> Column:
     """R2 + R3: the sequence score of ``obs`` under (pi, a, b, p), row-major.
@@ -72,7 +79,7 @@ def forward_score(obs: Column, pi: Column, a: Column, b: Column, p: Column,
                     moved = F.array(*[_sum([F.lit(0.0)] + [an[i] * a[i][j] for i in range(m) if i != j])
                                       for j in range(m)])
                     return F.struct(
-                        F.slice(F.concat(l1_normalize(moved), acc["ap"]), 1, width).alias("ap"),
+                        F.slice(F.concat(let(moved, lambda mv: _l1_fixed(mv, m)), acc["ap"]), 1, width).alias("ap"),
                         eh.alias("eh"),
                         (acc["score"] + ieee_ln(sc)).alias("score"),
                     )
