@@ -12,7 +12,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-
 def nan() -> Column:
     return F.lit(float("nan"))
 
@@ -80,10 +79,6 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def flatten_row_major(mat: Column) -> Column:
-    return F.flatten(mat)
-
-
 def reshape_row_major(flat: Column, rows: int, cols: int) -> Column:
     return F.transform(
         F.sequence(F.lit(0), F.lit(rows - 1)),

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from segstate.functions.arrays import array_sum, ieee_ln, l1_normalize, let
+from segstate.functions.arrays import ieee_ln, l1_normalize, let
 from segstate.functions.obs import obs_prefix
 from segstate.spec import HsmmSpec
 

@@ -21,7 +21,6 @@ from segstate.functions.obs import emission_lookup, obs_length, obs_prefix, obs_
 from segstate.functions.params import em_converged, init_models
 from segstate.operators import folds as FO
 from segstate.operators.evaluate import confusion_counts, fold_metrics, predict, score_both
-from segstate.operators.forward import score_sequences
 from segstate.operators.joins import attach_single_model
 from segstate.operators.trace import kernel_long_form
 from segstate.session import materialize, new_work_dir
@@ -715,10 +714,6 @@ ORACLES["em_one_iteration"] = SQL_M_STEP
 
 # ------------------------------------------ EM, V6 and V7 unrolled in SQL
 
-def _sums_sql(base: str) -> str:
-    return _estep_sums_sql_from(base)
-
-
 def _estep_sums_sql_from(base: str) -> str:
     layers = Q.estep_layers_sql(base, SPEC)
     scal = ("SELECT fold, cls, 'loglik' AS param, 0 AS i, 0 AS j, sum(loglik) AS value FROM x GROUP BY ALL")

@@ -17,6 +17,7 @@ import os
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from segstate.functions.obs import obs_in_range
 from segstate.operators.evaluate import confusion_counts, fold_metrics, score_both
 from segstate.operators.folds import assign_folds, row_ids, validation_rows
 from segstate.plans.em import train_models
@@ -28,7 +29,7 @@ from segstate.spec import RunParams
 
 def _validate_symbols(seqs: DataFrame, k: int) -> DataFrame:
     """Q17: symbols outside [0, k) are rejected up front (not wrapped)."""
-    bad = seqs.where(~F.forall("obs", lambda o: (o >= 0) & (o < k))).limit(1).collect()
+    bad = seqs.where(~obs_in_range(F.col("obs"), k)).limit(1).collect()
     if bad:
         raise ValueError(f"symbol outside [0, {k}) in sequence {bad[0]['workitem']}")
     return seqs

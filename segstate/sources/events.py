@@ -168,8 +168,3 @@ def hash_sample(df: DataFrame, fraction: float, seed: int, key: str = "workitem"
     return df.where(md5_uniform(hash_key(F.lit(seed), F.col(key))) < F.lit(float(fraction)))
 
 
-def short_sequences(spark: SparkSession, sf_dir: str, max_len: int = 6,
-                    fraction: float = 0.2, seed: int = 42) -> DataFrame:
-    """Fixture D3: D2 rows of length <= 6, hash-sampled at 0.2 (seed 42)."""
-    d2 = labelled_sequences(spark, sf_dir)
-    return hash_sample(d2.where(F.size("obs") <= max_len), fraction, seed)

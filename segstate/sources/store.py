@@ -4,12 +4,10 @@ system named by the cluster, so a restarted driver finds what was done."""
 
 from __future__ import annotations
 
-import os
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from segstate.functions.arrays import reshape_row_major
 from segstate.functions.obs import obs_to_str, parse_obs
 from segstate.spec import HsmmSpec
 
@@ -128,18 +126,6 @@ def model_long(models: DataFrame) -> DataFrame:
     return models.select("fold", "cls", F.explode(allc).alias("c")).select("fold", "cls", "c.*")
 
 
-def flat_row_major(models: DataFrame, spec: HsmmSpec) -> DataFrame:
-    return models.select("fold", "cls", "pi", F.flatten("a").alias("a"),
-                         F.flatten("b").alias("b"), F.flatten("p").alias("p"))
-
-
-def unflatten_row_major(models: DataFrame, spec: HsmmSpec) -> DataFrame:
-    return models.select("fold", "cls", "pi",
-                         reshape_row_major(F.col("a"), spec.m, spec.m).alias("a"),
-                         reshape_row_major(F.col("b"), spec.m, spec.k).alias("b"),
-                         reshape_row_major(F.col("p"), spec.m, spec.d).alias("p"))
-
-
 # ---------------------------------------------------------------- S8
 def append_metrics(metrics: DataFrame, path: str) -> None:
     """One row per finished fold; a fold present here is committed.
@@ -158,5 +144,3 @@ def pending_folds(spark: SparkSession, all_folds: DataFrame, metrics_path: str,
     return all_folds.join(done, keys, "left_anti")
 
 
-def join_path(*parts: str) -> str:
-    return os.path.join(*parts)

@@ -77,11 +77,6 @@ def hash_sample_sql(fraction: float, seed: int, key: str = "workitem") -> str:
     return f"{uniform_sql(f'concat_ws(chr(58), {seed}, {key})')} < {float(fraction)}"
 
 
-def short_sequences_sql(max_len: int = 6, fraction: float = 0.2, seed: int = 42) -> str:
-    return (f"SELECT * FROM ({labelled_sequences_sql()}) "
-            f"WHERE len(obs) <= {max_len} AND {hash_sample_sql(fraction, seed)}")
-
-
 def obs_str_sql(obs: str) -> str:
     return f"array_to_string(list_transform({obs}, lambda x: CAST(x AS VARCHAR)), ';')"
 
