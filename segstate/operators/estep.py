@@ -31,6 +31,13 @@ def _lists(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return lens, vals
 
 
+def check_symbols(vals: np.ndarray, k: int) -> None:
+    """Q17: a symbol outside [0, k) is an input error, never wrapped."""
+    if len(vals) and (vals.min() < 0 or vals.max() >= k):
+        bad = vals[(vals < 0) | (vals >= k)][0]
+        raise ValueError(f"symbol {bad} outside [0, {k})")
+
+
 def _fixed(col: pa.Array, n: int, shape: tuple[int, ...]) -> np.ndarray:
     return col.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape((n, *shape))
 
@@ -74,6 +81,7 @@ def partial_sums(spec: HsmmSpec, skip_undefined: bool = False):
             folds = batch.column("fold").to_numpy(zero_copy_only=False)
             clss = batch.column("cls").to_numpy(zero_copy_only=False)
             lens, vals = _lists(batch.column("obs"))
+            check_symbols(vals, k)
             offs = np.concatenate([[0], np.cumsum(lens)])
             pi = _fixed(batch.column("pi"), n, (m,))
             a = _fixed(batch.column("a"), n, (m, m))
@@ -167,6 +175,7 @@ def partial_sums_by_fold(spec: HsmmSpec, params: dict, k: int, skip_undefined: b
             clss = batch.column("cls").to_numpy(zero_copy_only=False)
             kfolds = batch.column("kfold").to_numpy(zero_copy_only=False)
             lens, vals = _lists(batch.column("obs"))
+            check_symbols(vals, kk)
             offs = np.concatenate([[0], np.cumsum(lens)])
             ccol = np.array([col_of.get(c, -1) for c in clss.tolist()], dtype=np.int64)
             for t_len in np.unique(lens):

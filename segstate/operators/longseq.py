@@ -120,6 +120,8 @@ def _forward(params: dict, spec: HsmmSpec, emit_rows: bool, t_prefix: int | None
             t += 1
             if t_prefix is not None and t >= t_prefix:
                 continue
+            if not 0 <= sym < b.shape[1]:
+                raise ValueError(f"symbol {sym} outside [0, {b.shape[1]})")
             e = b[:, sym]
             eh = ([e] + eh)[:keep]
             with np.errstate(invalid="ignore", over="ignore", divide="ignore"):

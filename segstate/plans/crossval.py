@@ -17,7 +17,6 @@ import os
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from segstate.functions.obs import obs_in_range
 from segstate.operators.evaluate import confusion_counts, fold_metrics, score_both
 from segstate.operators.folds import assign_folds, row_ids, validation_rows
 from segstate.plans.em import train_models
@@ -27,21 +26,14 @@ from segstate.sources.store import (append_metrics, path_exists, pending_folds,
 from segstate.spec import RunParams
 
 
-def _validate_symbols(seqs: DataFrame, k: int) -> DataFrame:
-    """Q17: symbols outside [0, k) are rejected up front (not wrapped)."""
-    bad = seqs.where(~obs_in_range(F.col("obs"), k)).limit(1).collect()
-    if bad:
-        raise ValueError(f"symbol outside [0, {k}) in sequence {bad[0]['workitem']}")
-    return seqs
-
-
 def prepare_folds(seqs: DataFrame, params: RunParams, work_dir: str) -> DataFrame:
     """Sample, number, assign folds and store them; reuse them when stored."""
     spark = seqs.sparkSession
     path = os.path.join(work_dir, "folds")
     if not path_exists(spark, path):
+        # symbols outside [0, K) (Q17) are rejected by the E-step of the
+        # first iteration, which reads every training sequence anyway
         sample = hash_sample(seqs, params.sample_fraction, params.seed)
-        sample = _validate_symbols(sample, params.spec.k)
         folded = assign_folds(row_ids(sample), params.folds, params.seed)
         write_folds(folded, path)
     return read_folds(spark, path)

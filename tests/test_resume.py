@@ -26,3 +26,14 @@ def test_crash_after_scores_before_metrics(spark):
     assert _metrics(cross_validate(seqs, C.RUN, work)) == clean
     # and a second run on the finished folder changes nothing
     assert _metrics(cross_validate(seqs, C.RUN, work)) == clean
+
+
+def test_symbol_out_of_range_is_rejected(spark):
+    import pytest
+    from segstate.functions.obs import parse_obs
+    rows = [(f"w{i}", 1 if i % 2 else 0, s) for i, s in enumerate(["0;1", "1;2", "0;7", "2;2", "1;0", "3;1"] * 4)]
+    seqs = spark.createDataFrame(rows, "workitem string, cls int, str_obs string").select(
+        "workitem", "cls", parse_obs(F.col("str_obs")).alias("obs"))
+    with pytest.raises(Exception) as err:
+        cross_validate(seqs, C.RUN, new_work_dir(spark, "badsym")).collect()
+    assert "outside [0, 4)" in str(err.value)
