@@ -29,15 +29,17 @@ def model_pairs(models: DataFrame) -> DataFrame:
 
 
 def score_both(valid: DataFrame, models: DataFrame, spec: HsmmSpec, n_folds: int,
-               t_prefix: int | None = None) -> DataFrame:
-    """V1/V2 + V3: (workitem, cls, fold, score1, score0) for rows with ``fold``."""
+               t_prefix: int | Column | None = None) -> DataFrame:
+    """V1/V2 + V3: (workitem, cls, fold, score1, score0) for rows with ``fold``.
+    ``t_prefix`` may be a column, so several prefix lengths score in one pass."""
     joined = attach_models(valid, model_pairs(models), ["fold"], spec,
                            n_models=n_folds, per_row_models=2)
     obs = F.col("obs") if t_prefix is None else obs_prefix(F.col("obs"), t_prefix)
 
     def s(c: int) -> Column:
         return forward_score(obs, F.col(f"pi{c}"), F.col(f"a{c}"), F.col(f"b{c}"), F.col(f"p{c}"), spec)
-    return joined.select("workitem", "cls", "fold", s(1).alias("score1"), s(0).alias("score0"))
+    keep = ["t_prefix"] if "t_prefix" in valid.columns else []
+    return joined.select("workitem", "cls", "fold", *keep, s(1).alias("score1"), s(0).alias("score0"))
 
 
 def predict(score1: Column, score0: Column) -> Column:

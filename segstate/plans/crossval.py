@@ -120,8 +120,17 @@ def cross_validate_prefix(seqs: DataFrame, params: RunParams, work_dir: str,
     wanted = spark.createDataFrame([(int(t),) for t in prefixes], "t_prefix int")
     todo = wanted if saved is None else wanted.join(saved, "t_prefix", "left_anti")
     todo_list = [r[0] for r in todo.collect()]  # at most len(prefixes) values
-    for t in todo_list:
-        scores = evaluate(folded, models, params, t, long_rows=longs)
-        write_scores(scores.withColumn("t_prefix", F.lit(t)), scores_path)
+    if todo_list:
+        # every pending prefix length in one scoring pass and one write
+        lengths = F.explode(F.array(*[F.lit(t) for t in todo_list])).alias("t_prefix")
+        arrays = folded.where(F.col("obs").isNotNull()).select("*", lengths)
+        scores = score_both(validation_rows(arrays), models, params.spec, params.folds, F.col("t_prefix"))
+        if longs is not None:
+            from segstate.operators.longseq import long_score_pairs
+            valid = longs.withColumn("fold", F.col("kfold"))
+            for t in todo_list:
+                scores = scores.unionByName(long_score_pairs(valid, models, params.spec, t_prefix=t)
+                                            .withColumn("t_prefix", F.lit(t)), allowMissingColumns=False)
+        write_scores(scores, scores_path)
     scores = read_scores(spark, scores_path).where(F.col("t_prefix").isin(prefixes))
     return fold_metrics(confusion_counts(scores, ["t_prefix", "fold"]))
