@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from segstate.operators.evaluate import confusion_counts, fold_metrics, score_both
 from segstate.operators.folds import assign_folds, row_ids, validation_rows
 from segstate.plans.em import train_models
+from segstate.session import materialize
 from segstate.sources.events import hash_sample
 from segstate.sources.store import (append_metrics, path_exists, pending_folds, read_folds,
                                     read_scores, write_folds, write_scores)
@@ -33,7 +34,9 @@ def prepare_folds(seqs: DataFrame, params: RunParams, work_dir: str) -> DataFram
     if not path_exists(spark, path):
         # symbols outside [0, K) (Q17) are rejected by the E-step of the
         # first iteration, which reads every training sequence anyway
-        sample = hash_sample(seqs, params.sample_fraction, params.seed)
+        # stored once: the range sampling and the checkpoint of the row
+        # numbering then scan this table instead of re-running its lineage
+        sample = materialize(hash_sample(seqs, params.sample_fraction, params.seed), "sample")
         folded = assign_folds(row_ids(sample), params.folds, params.seed)
         write_folds(folded, path)
     return read_folds(spark, path)
