@@ -79,7 +79,8 @@ def _long_keys(candidates: DataFrame, name: str, limit_bytes: int = 64 << 20) ->
     under the work folder and joined by shuffle."""
     from segstate.session import materialize
 
-    cap = max(1, limit_bytes // LONG_KEY_BYTES)
+    # Python rows on the driver weigh far more than their bytes: cap the count too
+    cap = max(1, min(limit_bytes // LONG_KEY_BYTES, MAX_DRIVER_KEYS))
     rows = candidates.limit(cap + 1).collect()
     if not rows:
         return None
@@ -135,6 +136,7 @@ def _labelled_arrays(base: DataFrame) -> DataFrame:
 
 
 LONG_KEY_BYTES = 96  # user_id, bucket, workitem text and class of one long sequence
+MAX_DRIVER_KEYS = 100_000  # more long keys are written and joined instead
 
 
 def labelled_sequence_set(spark: SparkSession, sf_dir: str, max_len: int,

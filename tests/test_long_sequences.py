@@ -62,3 +62,14 @@ def test_sequence_score_long_users_equal_arrays(spark, monkeypatch):
     monkeypatch.setattr(C, "MAX_ARRAY_LEN", 60)  # users have 51-88 events at sf0.001
     got = {r.workitem: r.score for r in C.q_sequence_score(spark, SF_SMALL).collect()}
     assert got == want
+
+
+def test_many_long_keys_take_the_stored_path(spark, monkeypatch):
+    from segstate.sources import events as EV
+    want = sorted((r.workitem, r.cls, r.obs is None) for r in
+                  labelled_sequence_set(spark, SF_SMALL, max_len=4)[0].collect())
+    monkeypatch.setattr(EV, "MAX_DRIVER_KEYS", 3)  # far fewer than the long sequences
+    arrays, long_rows = labelled_sequence_set(spark, SF_SMALL, max_len=4)
+    got = sorted((r.workitem, r.cls, r.obs is None) for r in arrays.collect())
+    assert got == want and sum(x[2] for x in got) > 3
+    assert long_rows.count() > 0
