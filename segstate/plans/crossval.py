@@ -37,7 +37,10 @@ def prepare_folds(seqs: DataFrame, params: RunParams, work_dir: str) -> DataFram
         # stored once: the range sampling and the checkpoint of the row
         # numbering then scan this table instead of re-running its lineage
         sample = materialize(hash_sample(seqs, params.sample_fraction, params.seed), "sample")
-        folded = assign_folds(row_ids(sample), params.folds, params.seed)
+        # both numberings run on the slim key table; the sequences (with
+        # their observation arrays) are shuffled once, by the join
+        ids = assign_folds(row_ids(sample.select("workitem", "cls")), params.folds, params.seed)
+        folded = sample.join(ids, ["workitem", "cls"])
         write_folds(folded, path)
     return read_folds(spark, path)
 
