@@ -142,7 +142,7 @@ def e_step_stats(train: DataFrame, models: DataFrame, spec: HsmmSpec,
     partial = flat.mapInArrow(partial_sums(spec, skip_undefined), STATS_SCHEMA)
     if long_train is not None:
         from segstate.operators.longseq import long_e_step_stats
-        partial = partial.unionByName(long_e_step_stats(long_train, models, spec,
+        partial = partial.unionByName(long_e_step_stats(long_train, models, spec, params=params,
                                                         skip_undefined=skip_undefined))
     return (partial.groupBy("fold", "cls", "param", "i", "j")
             .agg(F.sum("value").alias("value")))
@@ -217,19 +217,22 @@ def partial_sums_by_fold(spec: HsmmSpec, params: dict, k: int, skip_undefined: b
 
 def e_step_stats_folded(folded: DataFrame, models: DataFrame, spec: HsmmSpec, k: int,
                         long_train: DataFrame | None = None,
-                        skip_undefined: bool = False) -> DataFrame:
+                        skip_undefined: bool = False, params: dict | None = None) -> DataFrame:
     """E-step sums of every model in ``models`` over the fold table
     (workitem, cls, kfold, obs): a sequence of fold g trains the models of
     its class with fold != g (P4 inside the task). The model table is
-    bounded (one row per model) and size-checked before it ships."""
+    bounded (one row per model) and size-checked before it ships; a caller
+    that already holds it as ``params`` ((fold, cls) -> numpy pi, a, b, p)
+    saves the round trip."""
     from segstate.operators.longseq import model_params
 
-    params = model_params(models, spec)
+    if params is None:
+        params = model_params(models, spec)
     rows = folded.select("cls", "kfold", "obs").where(F.col("obs").isNotNull() & (F.size("obs") > 0))
     partial = rows.mapInArrow(partial_sums_by_fold(spec, params, k, skip_undefined), STATS_SCHEMA)
     if long_train is not None:
         from segstate.operators.longseq import long_e_step_stats
-        partial = partial.unionByName(long_e_step_stats(long_train, models, spec,
+        partial = partial.unionByName(long_e_step_stats(long_train, models, spec, params=params,
                                                         skip_undefined=skip_undefined))
     return (partial.groupBy("fold", "cls", "param", "i", "j")
             .agg(F.sum("value").alias("value")))

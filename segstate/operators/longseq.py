@@ -313,12 +313,14 @@ def _sorted(df: DataFrame, order: list, descending: bool = False) -> DataFrame:
 
 
 def long_e_step_stats(rows: DataFrame, models: DataFrame, spec: HsmmSpec,
-                      order: list[str] | None = None, skip_undefined: bool = False) -> DataFrame:
+                      order: list[str] | None = None, skip_undefined: bool = False,
+                      params: dict | None = None) -> DataFrame:
     """Partial sums (STATS_SCHEMA) of the E-step for long-form training rows
     ``(fold, cls, workitem, sym, *order)`` under ``models`` (fold, cls, pi, a,
     b, p); ``order`` gives the position inside a sequence (default ts, event_id)."""
     order = order or ["ts", "event_id"]
-    params = model_params(models, spec)
+    if params is None:
+        params = model_params(models, spec)
     fwd = _sorted(rows.select("fold", "cls", "workitem", "sym", *order), order).mapInArrow(
         _forward(params, spec, emit_rows=True), FWD_SCHEMA)
     bwd = _sorted(fwd, ["t"], descending=True).mapInArrow(_backward(params, spec), BWD_SCHEMA)

@@ -17,6 +17,8 @@ from __future__ import annotations
 
 import os
 
+import numpy as np
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -114,8 +116,11 @@ def train_models(folded: DataFrame, spec: HsmmSpec, k: int, seed: int, work_dir:
         params = spark.createDataFrame(
             [(f, c, pi, a, b, p_start[(f, c)], ll) for (f, c), (pi, a, b, ll, _) in active],
             MODEL_ROW_SCHEMA)
+        # the driver already holds this bounded table (size checked above)
+        arrays = {(f, c): tuple(np.asarray(x, dtype=float) for x in (pi, a, b, p_start[(f, c)]))
+                  for (f, c), (pi, a, b, _, _) in active}
         stats = e_step_stats_folded(folded, params.drop("prev_loglik"), spec, k,
-                                    long_train=long_train, skip_undefined=skip_undefined)
+                                    long_train=long_train, skip_undefined=skip_undefined, params=arrays)
         new = m_step(stats, spec, smoothing).join(F.broadcast(params.select("fold", "cls", "prev_loglik")),
                                        ["fold", "cls"])
         rows = new.select(
