@@ -26,8 +26,8 @@ def ordered_row_number(df: DataFrame, group: str, order: list[str], out: str = "
     """``row_number() over (partition by group order by *order)`` (1-based),
     distributed over range partitions. ``order`` must be a total order
     inside each group."""
-    n = partitions or _partitions(df)
-    ranged = (df.repartitionByRange(n, group, *order)
+    # without an explicit count AQE may coalesce the range partitions
+    ranged = (df.repartitionByRange(*([partitions] if partitions else []), group, *order)
               .sortWithinPartitions(group, *order)
               .withColumn("_pid", F.spark_partition_id())
               .withColumn("_mid", F.monotonically_increasing_id())
