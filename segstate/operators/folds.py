@@ -17,10 +17,6 @@ from pyspark.sql import functions as F
 from segstate.functions.hashing import hash_key
 
 
-def _partitions(df: DataFrame) -> int:
-    return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-
-
 def ordered_row_number(df: DataFrame, group: str, order: list[str], out: str = "row_id",
                        partitions: int | None = None) -> DataFrame:
     """``row_number() over (partition by group order by *order)`` (1-based),
