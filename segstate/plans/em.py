@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from segstate.functions.params import em_converged, init_models
+from segstate.functions.params import em_converged, init_model_values
 from segstate.operators.estep import e_step_stats_folded
 from segstate.operators.folds import training_fanout
 from segstate.operators.mstep import m_step
@@ -39,12 +39,6 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(conf).exists(p)
 
 
-def model_keys(folded: DataFrame, k: int) -> DataFrame:
-    """(fold, cls) of every model to train: k folds for each class present."""
-    classes = folded.select("cls").distinct()
-    return classes.select(F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("fold"), "cls")
-
-
 def _trace_path(work_dir: str) -> str:
     return os.path.join(work_dir, "trace")
 
@@ -60,6 +54,8 @@ def last_rows(trace: DataFrame) -> DataFrame:
     return trace.groupBy("fold", "cls").agg(latest.alias("r")).select("fold", "cls", "r.*")
 
 
+INIT_SCHEMA = ("fold int, cls int, m int, k int, d int, pi array<double>, a array<array<double>>, "
+               "b array<array<double>>, p array<array<double>>")
 MODEL_ROW_SCHEMA = ("fold int, cls int, pi array<double>, a array<array<double>>, "
                     "b array<array<double>>, p array<array<double>>, prev_loglik double")
 DRIVER_MODEL_LIMIT = 64 * 1024 * 1024
@@ -87,7 +83,15 @@ def train_models(folded: DataFrame, spec: HsmmSpec, k: int, seed: int, work_dir:
     init_path = os.path.join(work_dir, "init")
     if not _exists(spark, init_path):
         if start is None:
-            start = init_models(model_keys(folded, k), spec, seed)
+            # the start models are a pure function of (seed, fold, cls): the
+            # driver evaluates them for the classes present (one small job)
+            classes = sorted(r[0] for r in folded.select("cls").distinct().collect())
+            rows = []
+            for c in classes:
+                for f in range(k):
+                    v = init_model_values(f, c, spec, seed)
+                    rows.append((f, c, spec.m, spec.k, spec.d, v["pi"], v["a"], v["b"], v["p"]))
+            start = spark.createDataFrame(rows, INIT_SCHEMA)
         start.select("fold", "cls", "m", "k", "d", "pi", "a", "b", "p").write.parquet(init_path)
     init_rows = spark.read.parquet(init_path).collect()
     if not init_rows:
