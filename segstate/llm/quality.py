@@ -47,7 +47,7 @@ _SYMBOL = np.zeros(256, dtype=bool)
 _SYMBOL[[ord(c) for c in "[#*$%&|<>]" if c not in "[]"]] = True
 
 SCHEMA = ("doc_id long, rk long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long,"
-          " n_repeat_words long, chars array<long>, words array<long>")
+          " n_repeat_words long, n_chars long, n_common long, chars array<long>, words array<long>")
 
 
 def _common_hashes() -> tuple[np.ndarray, np.ndarray]:
@@ -100,9 +100,9 @@ def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 batch.column("doc_id")[rows], batch.column("rk")[rows], batch.column("lang")[rows], pa.array(w.counts),
                 pa.array(T.group_sum(solid, size)), pa.array(T.group_sum(_SYMBOL[d].astype(np.int64), size)),
                 pa.array(_dup_lines(block, w).astype(np.int64)), pa.array(_repeat_words(w)),
-                _lists(hist), _lists(words)],
+                pa.array(hist.sum(axis=1)), pa.array(words[:, :-1].sum(axis=1)), _lists(hist), _lists(words)],
                 names=["doc_id", "rk", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-                       "chars", "words"])
+                       "n_chars", "n_common", "chars", "words"])
 
 
 def _lists(table: np.ndarray) -> pa.ListArray:
@@ -111,17 +111,12 @@ def _lists(table: np.ndarray) -> pa.ListArray:
 
 
 def js_distance(a: Column, b: Column) -> Column:
-    """Jensen-Shannon distance (0 to 1) of two histograms of counts."""
-    def total(x):
-        return F.aggregate(x, F.lit(0.0), lambda s, v: s + v)
-
+    """Jensen-Shannon distance (0 to 1) of two distributions."""
     def term(p, q):
         return F.when(p > 0, p * F.log2(2 * p / (p + q))).otherwise(F.lit(0.0))
 
-    def part(x, y):
-        p, q = x / total(a), y / total(b)
-        return (term(p, q) + term(q, p)) / 2
-    return F.sqrt(F.greatest(total(F.zip_with(a, b, part)), F.lit(0.0)))
+    parts = F.zip_with(a, b, lambda p, q: (term(p, q) + term(q, p)) / 2)
+    return F.sqrt(F.greatest(F.aggregate(parts, F.lit(0.0), lambda s, v: s + v), F.lit(0.0)))
 
 
 def _common(words: str = "words") -> Column:
@@ -129,20 +124,21 @@ def _common(words: str = "words") -> Column:
     return F.slice(words, 1, len(set(COMMON_WORDS)))
 
 
-def _sum(x: Column) -> Column:
-    return F.aggregate(x, F.lit(0).cast("long"), lambda s, v: s + v)
+def _shares(counts: Column, total: Column) -> Column:
+    return F.transform(counts, lambda v: v / F.nullif(total, F.lit(0)))
 
 
 def references(stats: DataFrame) -> DataFrame:
-    """(lang, ref_chars, ref_words): summed histograms of each language."""
+    """(ref_lang, ref_chars, ref_words): distributions of each language."""
     n_words = len(set(COMMON_WORDS))
     sums = stats.groupBy("lang").agg(
+        F.sum("n_chars").alias("n_chars"), F.sum("n_common").alias("n_common"),
         *[F.sum(F.col("chars")[i]).alias(f"c{i}") for i in range(len(CLASSES))],
         *[F.sum(F.col("words")[i]).alias(f"w{i}") for i in range(n_words)])
     return sums.select(
         F.col("lang").alias("ref_lang"),
-        F.array(*[F.col(f"c{i}").cast("double") for i in range(len(CLASSES))]).alias("ref_chars"),
-        F.array(*[F.col(f"w{i}").cast("double") for i in range(n_words)]).alias("ref_words"))
+        _shares(F.array(*[F.col(f"c{i}") for i in range(len(CLASSES))]), F.col("n_chars")).alias("ref_chars"),
+        _shares(F.array(*[F.col(f"w{i}") for i in range(n_words)]), F.col("n_common")).alias("ref_words"))
 
 
 def quality(docs: DataFrame, max_char: float = MAX_CHAR_DISTANCE, max_word: float = MAX_WORD_DISTANCE) -> DataFrame:
@@ -151,10 +147,9 @@ def quality(docs: DataFrame, max_char: float = MAX_CHAR_DISTANCE, max_word: floa
     stats = stored(docs.select("doc_id", row_key().alias("rk"), F.col("lang").cast("string").alias("lang"), "text")
                    .mapInArrow(measure, SCHEMA), "quality")
     both = stats.join(references(stats), F.col("lang").eqNullSafe(F.col("ref_lang")), "left")
-    doubles = lambda c: F.transform(c, lambda v: v.cast("double"))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    char_js = F.when(_sum(F.col("chars")) >= MIN_CHARS, js_distance(doubles(F.col("chars")), F.col("ref_chars")))
-    word_js = F.when(_sum(_common()) >= MIN_COMMON, js_distance(doubles(_common()), F.col("ref_words")))
+    char_js = F.when(F.col("n_chars") >= MIN_CHARS, js_distance(_shares(F.col("chars"), F.col("n_chars")), F.col("ref_chars")))
+    word_js = F.when(F.col("n_common") >= MIN_COMMON, js_distance(_shares(_common(), F.col("n_common")), F.col("ref_words")))
     return (both.withColumn("base_failed", failed)
             .withColumn("char_distance", F.round(char_js, 6)).withColumn("word_distance", F.round(word_js, 6))
             .withColumn("kept", ~F.col("base_failed")

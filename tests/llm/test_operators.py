@@ -65,10 +65,10 @@ def test_quality_verdict(spark):
 
 def test_distance_matches_plain_form(spark):
     import math
-    a, b = [3.0, 0.0, 5.0], [1.0, 4.0, 0.0]
+    a, b = [0.375, 0.0, 0.625], [0.2, 0.8, 0.0]
     row = spark.createDataFrame([(a, b)], "a array<double>, b array<double>").select(
         quality.js_distance(F.col("a"), F.col("b")).alias("d")).first()
-    p, q = [x / sum(a) for x in a], [x / sum(b) for x in b]
+    p, q = a, b
     m = [(x + y) / 2 for x, y in zip(p, q)]
     kl = lambda x: sum(u * math.log2(u / v) for u, v in zip(x, m) if u)
     assert row.d == pytest.approx(math.sqrt((kl(p) + kl(q)) / 2))
