@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from segstate.llm import textarrays as T
@@ -122,6 +122,12 @@ def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 names=["cid", "set"])
 
 
+def similar(a: Column, b: Column) -> Column:
+    """Exact Jaccard similarity of two sets, at least PERCENT."""
+    both = F.size(F.array_intersect(a, b))
+    return (100 + PERCENT) * both >= PERCENT * (F.size(a) + F.size(b))
+
+
 def repeated_passages(docs: DataFrame, min_words: int = MIN_PASSAGE) -> DataFrame:
     """(doc_id, start, end, component, first_doc_id, n_removed): passages, as
     ranges of words, that repeat elsewhere. ``component`` is that of the first
@@ -140,11 +146,9 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_PASSAGE) -> DataFram
     def verify(pairs: DataFrame) -> DataFrame:
         a = sets.select(F.col("cid").alias("a"), F.col("set").alias("sa"))
         b = sets.select(F.col("cid").alias("b"), F.col("set").alias("sb"))
-        inter = F.size(F.array_intersect("sa", "sb"))
-        return (pairs.join(a, "a").join(b, "b").withColumn("i", inter)
-                .where(100 * F.col("i") >= PERCENT * (F.size("sa") + F.size("sb") - F.col("i"))).select("a", "b"))
+        return pairs.join(a, "a").join(b, "b").where(similar(F.col("sa"), F.col("sb"))).select("a", "b")
 
-    labels = link(shared, verify, PERCENT, hub_rounds=1)
+    labels = link(shared, verify, PERCENT, sets.withColumnRenamed("set", "summary"), similar, hub_rounds=1)
     whole = units.drop("h", "n", "rk").join(labels, F.col("cid") == F.col("node"), "left").select(
         "doc_id", "rid", "idx", "start", "n_words", F.coalesce("comp", "cid").alias("comp"))
     whole = stored(whole, "labelled")

@@ -7,7 +7,8 @@ Buckets whose items are in one component by then are done. In the last step
 the items of the other buckets that stand outside the bucket's largest
 component are compared with all items of other components there, so no link
 between components is lost, and a bucket of near copies costs as many pairs as
-it has items, not their square.
+it has items, not their square. There a compact summary of the items is tested
+in the join itself, so pairs that only share a passage are never emitted.
 """
 
 from __future__ import annotations
@@ -48,14 +49,18 @@ def components(edges: DataFrame) -> DataFrame:
 
 def shared_buckets(bands: DataFrame) -> DataFrame:
     """Rows (h, cid, n, hub, hub_n) of the buckets with two items or more."""
+    # dealt out once, for the aggregate and for the join
+    bands = bands.repartition("h")
     hubs = (bands.groupBy("h").agg(F.min(F.struct("cid", "n")).alias("hub"), F.max("cid").alias("top"))
             .where("hub.cid < top").select("h", F.col("hub.cid").alias("hub"), F.col("hub.n").alias("hub_n")))
     return stored(bands.join(hubs, "h"), "buckets")
 
 
-def link(shared: DataFrame, verify: Callable[[DataFrame], DataFrame], percent: int, hub_rounds: int = 2) -> DataFrame:
+def link(shared: DataFrame, verify: Callable[[DataFrame], DataFrame], percent: int, summaries: DataFrame,
+         alike: Callable[[Column, Column], Column], hub_rounds: int = 2) -> DataFrame:
     """(node, comp) of every item that has a link. ``verify`` takes pairs (a, b)
-    and returns those that are linked."""
+    and returns those that are linked; ``summaries`` has a row (cid, summary)
+    per item, and ``alike`` tells from two summaries whether a link is possible."""
     fits = size_fits(F.col("n"), F.col("hub_n"), percent)
 
     def one_each(rows: DataFrame) -> DataFrame:
@@ -86,9 +91,14 @@ def link(shared: DataFrame, verify: Callable[[DataFrame], DataFrame], percent: i
     sizes = rows.groupBy("h", "comp").agg(F.count("*").alias("k"))
     major = sizes.groupBy("h").agg(F.max(F.struct("k", "comp")).alias("m"), F.count("*").alias("parts")).where(
         "parts > 1").select("h", F.col("m.comp").alias("major"))
-    minor = rows.join(major, "h").where("comp <> major").select(
-        "h", F.col("cid").alias("x"), F.col("n").alias("xn"), F.col("comp").alias("xc"))
-    pairs = (minor.join(rows, "h").where((F.col("xc") != F.col("comp")) & size_fits(F.col("n"), F.col("xn"), percent))
+    rows = stored(rows.join(major, "h").join(summaries, "cid"), "open")
+    minor = rows.where("comp <> major").select("h", F.col("cid").alias("x"), F.col("n").alias("xn"),
+                                               F.col("comp").alias("xc"), F.col("summary").alias("xs"))
+    possible = ((F.col("xc") != F.col("comp")) & size_fits(F.col("n"), F.col("xn"), percent)
+                # two minor items meet once
+                & ((F.col("comp") == F.col("major")) | (F.col("cid") < F.col("x")))
+                & alike(F.col("summary"), F.col("xs")))
+    pairs = (minor.join(rows.withColumnRenamed("h", "h2"), (F.col("h") == F.col("h2")) & possible)
              .select(F.least("cid", "x").alias("a"), F.greatest("cid", "x").alias("b")).distinct())
     found = stored(verify(stored(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")), "links")
     return labels if found.isEmpty() else components(links.unionByName(found))
