@@ -78,10 +78,11 @@ def chosen_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
             break
         above = walk.select("tree", F.col("node").alias("up"), F.col("up").alias("up2"),
                             F.col("total").alias("t2"), F.col("depth").alias("d2"))
-        walk = (walk.join(above, ["tree", "up"], "left")
-                .select("tree", "node", F.col("up2").alias("up"),
-                        (F.col("total") + F.coalesce("t2", F.lit(0.0))).alias("total"),
-                        (F.col("depth") + F.coalesce("d2", F.lit(0))).alias("depth")))
+        # nodes that have reached their root are not joined again
+        further = (walk.where("up is not null").join(above, ["tree", "up"])
+                   .select("tree", "node", F.col("up2").alias("up"), (F.col("total") + F.col("t2")).alias("total"),
+                           (F.col("depth") + F.col("d2")).alias("depth")))
+        walk = walk.where("up is null").unionByName(further)
     rooted = walk.where("up is null").select("tree", "node", "total", "depth")
     leaves = rooted.join(links.select("tree", F.col("anc").alias("node")), ["tree", "node"], "left_anti")
     by_score = Window.partitionBy("tree").orderBy(F.col("mean").desc(), "node")
