@@ -35,6 +35,8 @@ SAMPLE_FRACTION = 0.5
 SPEC_USER = HsmmSpec(m=2, k=len(EV.USER_ALPHABET), d=4)
 SPEC = HsmmSpec(m=2, k=len(EV.LABELLED_ALPHABET), d=4)
 RUN = RunParams(spec=SPEC, folds=K_FOLDS, seed=SEED, epsilon=1e-4, max_iterations=3, t_prefix=T_PREFIX)
+# the same run to the end; RUN stops after the iterations its SQL unrolls
+FULL = RunParams(spec=SPEC, folds=K_FOLDS, seed=SEED, t_prefix=T_PREFIX)
 ROUND = 6
 # sequences with more observations than this stay rows (streaming path)
 MAX_ARRAY_LEN = 100_000
@@ -534,6 +536,19 @@ def q_cross_validate(spark, sf):
     return cross_validate(arrays, RUN, new_work_dir(spark, "cv"), long_rows)
 
 
+def q_em_train_converged(spark, sf):
+    """Every model trained until it converges or diverges."""
+    m = _em(spark, sf, FULL.max_iterations)
+    return m.select("fold", "cls", "iteration", "converged", "status", F.round("loglik", 3).alias("loglik"))
+
+
+def q_cross_validate_converged(spark, sf):
+    """V6 with models trained to the end."""
+    from segstate.plans.crossval import cross_validate
+    arrays, long_rows = EV.labelled_sequence_set(spark, sf, MAX_ARRAY_LEN)
+    return cross_validate(arrays, FULL, new_work_dir(spark, "cv"), long_rows)
+
+
 def q_cross_validate_prefix(spark, sf):
     from segstate.plans.crossval import cross_validate_prefix
     arrays, long_rows = EV.labelled_sequence_set(spark, sf, MAX_ARRAY_LEN)
@@ -541,6 +556,8 @@ def q_cross_validate_prefix(spark, sf):
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "em_train_converged": q_em_train_converged,
+    "cross_validate_converged": q_cross_validate_converged,
     "user_sequences": q_user_sequences,
     "build_sequences": q_build_sequences,
     "source_sequences": q_source_sequences,

@@ -22,7 +22,7 @@ from segstate.operators.folds import assign_folds, row_ids, validation_rows
 from segstate.plans.em import train_models
 from segstate.session import materialize
 from segstate.sources.events import hash_sample
-from segstate.sources.store import (append_metrics, path_exists, pending_folds, read_folds,
+from segstate.sources.store import (append_metrics, is_complete, path_exists, pending_folds, read_folds,
                                     read_scores, write_folds, write_scores)
 from segstate.spec import RunParams
 
@@ -31,16 +31,19 @@ def prepare_folds(seqs: DataFrame, params: RunParams, work_dir: str) -> DataFram
     """Sample, number, assign folds and store them; reuse them when stored."""
     spark = seqs.sparkSession
     path = os.path.join(work_dir, "folds")
-    if not path_exists(spark, path):
+    if not is_complete(spark, path):
         # symbols outside [0, K) (Q17) are rejected by the E-step of the
         # first iteration, which reads every training sequence anyway
         # stored once: the range sampling and the checkpoint of the row
         # numbering then scan this table instead of re-running its lineage
-        sample = materialize(hash_sample(seqs, params.sample_fraction, params.seed), "sample")
+        sample = hash_sample(seqs, params.sample_fraction, params.seed)
         # both numberings run on the slim key table; the sequences (with
         # their observation arrays) are shuffled once, by the join
-        ids = assign_folds(row_ids(sample.select("workitem", "cls")), params.folds, params.seed)
-        folded = sample.join(ids, ["workitem", "cls"])
+        # the row number of the stored table is the join key, so a workitem
+        # that repeats or is null stays as many rows as it was
+        sample = materialize(sample.withColumn("_rid", F.monotonically_increasing_id()), "sample")
+        ids = assign_folds(row_ids(sample.select("workitem", "cls", "_rid")), params.folds, params.seed)
+        folded = sample.join(ids.drop("workitem", "cls"), "_rid").drop("_rid")
         write_folds(folded, path)
     return read_folds(spark, path)
 
@@ -65,13 +68,17 @@ def train(folded: DataFrame, params: RunParams, work_dir: str,
           long_rows: DataFrame | None = None) -> DataFrame:
     models_path = os.path.join(work_dir, "models")
     spark = folded.sparkSession
-    if not path_exists(spark, models_path):
+    if not is_complete(spark, models_path):
         models = train_models(folded, params.spec, params.folds, params.seed,
                               os.path.join(work_dir, "em"), params.epsilon, params.max_iterations,
                               long_rows=long_rows, feedback_duration=params.feedback_duration,
                               smoothing=params.smoothing, skip_undefined=params.skip_undefined)
-        models.write.parquet(models_path)
-    return spark.read.parquet(models_path)
+        models.write.mode("overwrite").parquet(models_path)
+    models = spark.read.parquet(models_path)
+    spec = params.spec
+    if not models.where(~((F.col("m") == spec.m) & (F.col("k") == spec.k) & (F.col("d") == spec.d))).isEmpty():
+        raise ValueError(f"the stored models have other dimensions than {spec}")
+    return models
 
 
 def evaluate(folded: DataFrame, models: DataFrame, params: RunParams,
@@ -122,10 +129,12 @@ def cross_validate_prefix(seqs: DataFrame, params: RunParams, work_dir: str,
     scores_path = os.path.join(work_dir, "prefix_scores")
     saved = None
     if path_exists(spark, scores_path):
-        saved = read_scores(spark, scores_path).select("t_prefix").distinct()
-    wanted = spark.createDataFrame([(int(t),) for t in prefixes], "t_prefix int")
-    todo = wanted if saved is None else wanted.join(saved, "t_prefix", "left_anti")
-    todo_list = [r[0] for r in todo.collect()]  # at most len(prefixes) values
+        saved = read_scores(spark, scores_path).select("t_prefix", "fold", "cls").distinct()
+    lengths = F.explode(F.array(*[F.lit(int(t)) for t in prefixes])).alias("t_prefix")
+    wanted = folded.select(F.col("kfold").alias("fold"), "cls").distinct().select("fold", "cls", lengths)
+    todo = wanted if saved is None else wanted.join(saved, ["t_prefix", "fold", "cls"], "left_anti")
+    # at most len(prefixes) values; a length with a missing part is scored anew
+    todo_list = sorted(r[0] for r in todo.select("t_prefix").distinct().collect())
     if todo_list:
         # every pending prefix length in one scoring pass and one write
         lengths = F.explode(F.array(*[F.lit(t) for t in todo_list])).alias("t_prefix")

@@ -26,17 +26,11 @@ from segstate.functions.params import em_converged, init_model_values
 from segstate.operators.estep import e_step_stats_folded
 from segstate.operators.folds import training_fanout
 from segstate.operators.mstep import m_step
+from segstate.sources.store import is_complete
 from segstate.spec import HsmmSpec
 
 TRACE_COLS = ["fold", "cls", "iteration", "m", "k", "d", "pi", "a", "b", "p",
-              "loglik", "prev_loglik", "n_seq", "n_undefined", "converged"]
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(conf).exists(p)
+              "loglik", "prev_loglik", "n_seq", "n_undefined", "converged", "status"]
 
 
 def _trace_path(work_dir: str) -> str:
@@ -44,8 +38,23 @@ def _trace_path(work_dir: str) -> str:
 
 
 def read_trace(spark: SparkSession, work_dir: str) -> DataFrame | None:
-    path = _trace_path(work_dir)
-    return spark.read.parquet(path) if _exists(spark, path) else None
+    """The iterations that were written to the end, which are the first ones."""
+    path, n = _trace_path(work_dir), 0
+    while is_complete(spark, f"{path}/iteration={n}"):
+        n += 1
+    if not n:
+        return None
+    return spark.read.option("basePath", path).parquet(*[f"{path}/iteration={i}" for i in range(n)])
+
+
+def status(loglik, prev, epsilon: float, pi: str = "pi", a: str = "a", b: str = "b"):
+    """``converged``, ``diverged`` (a parameter or the log-likelihood is not a
+    number, so no later iteration can change it) or ``running``."""
+    undefined = F.isnan(loglik) | F.exists(pi, F.isnan)
+    for matrix in (a, b):
+        undefined = undefined | F.exists(matrix, lambda row: F.exists(row, F.isnan))
+    return (F.when(em_converged(loglik, prev, epsilon), "converged")
+            .when(undefined, "diverged").otherwise("running"))
 
 
 def last_rows(trace: DataFrame) -> DataFrame:
@@ -62,12 +71,12 @@ DRIVER_MODEL_LIMIT = 64 * 1024 * 1024
 
 
 def train_models(folded: DataFrame, spec: HsmmSpec, k: int, seed: int, work_dir: str,
-                 epsilon: float = 1e-4, max_iterations: int = 3,
+                 epsilon: float = 1e-4, max_iterations: int = 10_000,
                  start: DataFrame | None = None, long_rows: DataFrame | None = None,
                  feedback_duration: bool = False, smoothing: float = 0.0,
                  skip_undefined: bool = False) -> DataFrame:
     """Train every (fold, cls) model; returns the final model table
-    (fold, cls, m, k, d, pi, a, b, p, loglik, iteration, converged).
+    (fold, cls, m, k, d, pi, a, b, p, loglik, iteration, converged, status).
 
     Defaults reproduce the reference: the E-step keeps the start P
     (``feedback_duration=True`` feeds the estimated P back), no smoothing,
@@ -81,7 +90,7 @@ def train_models(folded: DataFrame, spec: HsmmSpec, k: int, seed: int, work_dir:
         raise ValueError("D must be at least 2: duration column 0 carries no forward mass")
     spark = folded.sparkSession
     init_path = os.path.join(work_dir, "init")
-    if not _exists(spark, init_path):
+    if not is_complete(spark, init_path):
         if start is None:
             # the start models are a pure function of (seed, fold, cls): the
             # driver evaluates them for the classes present (one small job)
@@ -92,7 +101,7 @@ def train_models(folded: DataFrame, spec: HsmmSpec, k: int, seed: int, work_dir:
                     v = init_model_values(f, c, spec, seed)
                     rows.append((f, c, spec.m, spec.k, spec.d, v["pi"], v["a"], v["b"], v["p"]))
             start = spark.createDataFrame(rows, INIT_SCHEMA)
-        start.select("fold", "cls", "m", "k", "d", "pi", "a", "b", "p").write.parquet(init_path)
+        start.select("fold", "cls", "m", "k", "d", "pi", "a", "b", "p").write.mode("overwrite").parquet(init_path)
     init_rows = spark.read.parquet(init_path).collect()
     if not init_rows:
         raise ValueError("no model to train: empty training data")
@@ -103,18 +112,18 @@ def train_models(folded: DataFrame, spec: HsmmSpec, k: int, seed: int, work_dir:
     trace_path = _trace_path(work_dir)
     trace = read_trace(spark, work_dir)
     if trace is None:
-        current = {(r.fold, r.cls): (r.pi, r.a, r.b, None, False) for r in init_rows}
+        current = {(r.fold, r.cls): (r.pi, r.a, r.b, None, "running") for r in init_rows}
         first = 0
     else:
         last = last_rows(trace).collect()
-        current = {(r.fold, r.cls): (r.pi, r.a, r.b, r.loglik, r.converged) for r in last}
+        current = {(r.fold, r.cls): (r.pi, r.a, r.b, r.loglik, r.status) for r in last}
         if feedback_duration:
             p_start.update({(r.fold, r.cls): r.p for r in last})
         first = max(r.iteration for r in last) + 1
 
     long_train = None if long_rows is None else training_fanout(long_rows, k)
     for it in range(first, max_iterations):
-        active = [(key, v) for key, v in sorted(current.items()) if not v[4]]
+        active = [(key, v) for key, v in sorted(current.items()) if v[4] == "running"]
         if not active:
             break
         params = spark.createDataFrame(
@@ -131,16 +140,17 @@ def train_models(folded: DataFrame, spec: HsmmSpec, k: int, seed: int, work_dir:
             "fold", "cls",
             F.lit(spec.m).alias("m"), F.lit(spec.k).alias("k"), F.lit(spec.d).alias("d"),
             "pi", "a", "b", "p", "loglik", "prev_loglik", "n_seq", "n_undefined",
-            em_converged(F.col("loglik"), F.col("prev_loglik"), epsilon).alias("converged"))
+            em_converged(F.col("loglik"), F.col("prev_loglik"), epsilon).alias("converged"),
+            status(F.col("loglik"), F.col("prev_loglik"), epsilon).alias("status"))
         # the partition folder carries the iteration number
         out = os.path.join(trace_path, f"iteration={it}")
         rows.coalesce(1).write.mode("overwrite").parquet(out)  # a failed attempt is replaced
-        done = spark.read.parquet(out).select("fold", "cls", "pi", "a", "b", "p", "loglik", "converged").collect()
+        done = spark.read.parquet(out).select("fold", "cls", "pi", "a", "b", "p", "loglik", "status").collect()
         if len(done) < len(active):  # Q19: nothing to estimate from
             missing = sorted({key for key, _ in active} - {(r.fold, r.cls) for r in done})
             raise ValueError(f"empty training split for (fold, cls) {missing[:5]}")
         for r in done:
-            current[(r.fold, r.cls)] = (r.pi, r.a, r.b, r.loglik, r.converged)
+            current[(r.fold, r.cls)] = (r.pi, r.a, r.b, r.loglik, r.status)
             if feedback_duration:
                 p_start[(r.fold, r.cls)] = r.p
 
@@ -148,4 +158,4 @@ def train_models(folded: DataFrame, spec: HsmmSpec, k: int, seed: int, work_dir:
     if trace is None:
         raise ValueError("max_iterations must be at least 1")
     return last_rows(trace).select("fold", "cls", "m", "k", "d", "pi", "a", "b", "p",
-                                   "loglik", "iteration", "converged")
+                                   "loglik", "iteration", "converged", "status")

@@ -41,6 +41,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not current:
         current = spark.conf.get("spark.checkpoint.dir", None) or \
             sc.getConf().get("spark.checkpoint.dir", None)
+        if not current and not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         if not current:
             current = tempfile.mkdtemp(prefix="segstate-ckpt-", dir="/tmp")
         sc.setCheckpointDir(current)

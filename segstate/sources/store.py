@@ -23,6 +23,12 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(conf).exists(p)
 
 
+def is_complete(spark: SparkSession, path: str) -> bool:
+    """Whether a table was written to the end; a folder that an interrupted
+    job left behind is not."""
+    return path_exists(spark, f"{path}/_SUCCESS")
+
+
 # ---------------------------------------------------------------- S1
 def write_raw_sequences(seqs: DataFrame, path: str) -> None:
     """Headerless CSV ``workitem,str_obs`` (the reference's input layout)."""
