@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from segstate.llm import bpe, chat, fmindex, hosts, licenses, lines, neardup, paragraphs, pii, quality
 from segstate.llm.common import table
+from segstate.llm.oracles import ORACLES  # noqa: F401
 
 
 def vocabulary_path() -> str:
@@ -75,4 +76,3 @@ QUERIES = {
     "op9_bpe": q_bpe,
     "op10_license_scan": q_licenses,
 }
-ORACLES: dict[str, str] = {}
