@@ -8,7 +8,8 @@ the items of the other buckets that stand outside the bucket's largest
 component are compared with all items of other components there, so no link
 between components is lost, and a bucket of near copies costs as many pairs as
 it has items, not their square. There a compact summary of the items is tested
-in the join itself, so pairs that only share a passage are never emitted.
+in the join itself, so pairs that only share a passage are never emitted, and a
+pair that shares several open buckets is emitted in the least of them only.
 """
 
 from __future__ import annotations
@@ -91,14 +92,19 @@ def link(shared: DataFrame, verify: Callable[[DataFrame], DataFrame], percent: i
     sizes = rows.groupBy("h", "comp").agg(F.count("*").alias("k"))
     major = sizes.groupBy("h").agg(F.max(F.struct("k", "comp")).alias("m"), F.count("*").alias("parts")).where(
         "parts > 1").select("h", F.col("m.comp").alias("major"))
-    rows = stored(rows.join(major, "h").join(summaries, "cid"), "open")
-    minor = rows.where("comp <> major").select("h", F.col("cid").alias("x"), F.col("n").alias("xn"),
-                                               F.col("comp").alias("xc"), F.col("summary").alias("xs"))
+    rows = stored(rows.join(major, "h"), "open")
+    # the open buckets of an item, at most as many as it has bands
+    own = rows.groupBy("cid").agg(F.collect_set("h").alias("hs"))
+    rows = stored(rows.join(own.join(summaries, "cid"), "cid"), "open")
+    minor = rows.where("comp <> major").select("h", F.col("cid").alias("x"), F.col("n").alias("xn"), F.col("comp").alias("xc"),
+                                               F.col("summary").alias("xs"), F.col("hs").alias("xhs"))
     possible = ((F.col("xc") != F.col("comp")) & size_fits(F.col("n"), F.col("xn"), percent)
                 # two minor items meet once
                 & ((F.col("comp") == F.col("major")) | (F.col("cid") < F.col("x")))
-                & alike(F.col("summary"), F.col("xs")))
+                & alike(F.col("summary"), F.col("xs"))
+                # items of different components meet in every open bucket they share
+                & (F.array_min(F.array_intersect("hs", "xhs")) == F.col("h")))
     pairs = (minor.join(rows.withColumnRenamed("h", "h2"), (F.col("h") == F.col("h2")) & possible)
-             .select(F.least("cid", "x").alias("a"), F.greatest("cid", "x").alias("b")).distinct())
+             .select(F.least("cid", "x").alias("a"), F.greatest("cid", "x").alias("b")))
     found = stored(verify(stored(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")), "links")
     return labels if found.isEmpty() else components(links.unionByName(found))
