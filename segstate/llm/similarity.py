@@ -27,17 +27,20 @@ def size_fits(a: Column, b: Column, percent: int) -> Column:
     return (100 * F.least(a, b)) >= (percent * F.greatest(a, b))
 
 
+def _all_stars(edges: DataFrame) -> bool:
+    """Whether every node has one parent at most and no parent has one."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(
+        edges.select(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    return (ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+            .where("up > 1 or (up = 1 and down = 1)").isEmpty())
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, comp) of all nodes of the edges (a, b); ``comp`` is the smallest
     node of the component. Alternates large-star and small-star steps, each a
-    partial aggregate and a join, until nothing changes."""
+    partial aggregate and a join, until only stars are left."""
     e = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    before = None
-    while True:
-        state = e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u"))).first()
-        if state == before or not state[0]:
-            break
-        before = state
+    while not _all_stars(e):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -58,7 +61,7 @@ def shared_buckets(bands: DataFrame) -> DataFrame:
 
 
 def link(shared: DataFrame, verify: Callable[[DataFrame], DataFrame], percent: int, summaries: DataFrame,
-         alike: Callable[[Column, Column], Column], hub_rounds: int = 2) -> DataFrame:
+         alike: Callable[[Column, Column], Column], hub_rounds: int = 1) -> DataFrame:
     """(node, comp) of every item that has a link. ``verify`` takes pairs (a, b)
     and returns those that are linked; ``summaries`` has a row (cid, summary)
     per item, and ``alike`` tells from two summaries whether a link is possible."""
@@ -92,10 +95,9 @@ def link(shared: DataFrame, verify: Callable[[DataFrame], DataFrame], percent: i
     sizes = rows.groupBy("h", "comp").agg(F.count("*").alias("k"))
     major = sizes.groupBy("h").agg(F.max(F.struct("k", "comp")).alias("m"), F.count("*").alias("parts")).where(
         "parts > 1").select("h", F.col("m.comp").alias("major"))
-    rows = stored(rows.join(major, "h"), "open")
-    # the open buckets of an item, at most as many as it has bands
+    # the buckets of an item, at most as many as it has bands
     own = rows.groupBy("cid").agg(F.collect_set("h").alias("hs"))
-    rows = stored(rows.join(own.join(summaries, "cid"), "cid"), "open")
+    rows = stored(rows.join(major, "h").join(own.join(summaries, "cid"), "cid"), "open")
     minor = rows.where("comp <> major").select("h", F.col("cid").alias("x"), F.col("n").alias("xn"), F.col("comp").alias("xc"),
                                                F.col("summary").alias("xs"), F.col("hs").alias("xhs"))
     possible = ((F.col("xc") != F.col("comp")) & size_fits(F.col("n"), F.col("xn"), percent)
