@@ -44,7 +44,9 @@ def row_ids(seqs: DataFrame) -> DataFrame:
 
 
 def fold_order_key(seed: int):
-    return F.md5(hash_key(F.lit(seed), F.col("workitem")))
+    """Salted apart from the hash of ``hash_sample``: a sample keeps one end of
+    that hash, and the buckets of the fold order must stay evenly filled."""
+    return F.md5(hash_key(F.lit(seed), F.lit("fold"), F.col("workitem")))
 
 
 def hashed_row_number(df: DataFrame, group: str, hex_key: str, tie: str, out: str,

@@ -69,23 +69,21 @@ def folded(spark: SparkSession, sf: str, with_row_ids: bool = False) -> DataFram
     return FO.assign_folds(seqs, K_FOLDS, SEED)
 
 
-def start_models(spark: SparkSession, sf: str | None = None, fld: DataFrame | None = None) -> DataFrame:
-    """F11 start models of the k folds x 2 classes (a parameter grid)."""
-    keys = spark.range(K_FOLDS).select(F.col("id").cast("int").alias("fold"),
-                                       F.explode(F.array(F.lit(0), F.lit(1))).alias("cls"))
-    return init_models(keys, SPEC, SEED)
+def start_models(fld: DataFrame) -> DataFrame:
+    """F11 start models of the (fold, class) pairs that the fold table holds."""
+    return init_models(fld.select(F.col("kfold").alias("fold"), "cls").distinct(), SPEC, SEED)
 
 
 def scores_start(spark: SparkSession, sf: str, t_prefix: int | None = None) -> DataFrame:
     fld = folded(spark, sf)
-    return score_both(FO.validation_rows(fld), start_models(spark, sf, fld), SPEC, K_FOLDS, t_prefix)
+    return score_both(FO.validation_rows(fld), start_models(fld), SPEC, K_FOLDS, t_prefix)
 
 
 D2_SQL = Q.labelled_sequences_sql()
 FOLDED_SQL = (
     "SELECT workitem, cls, obs, "
     "row_number() OVER (PARTITION BY cls ORDER BY workitem) AS row_id, "
-    f"CAST((row_number() OVER (PARTITION BY cls ORDER BY md5(concat_ws(':', {SEED}, workitem)), "
+    f"CAST((row_number() OVER (PARTITION BY cls ORDER BY md5(concat_ws(':', {SEED}, 'fold', workitem)), "
     f"workitem) - 1) % {K_FOLDS} AS INTEGER) AS kfold FROM ({D2_SQL})"
 )
 MODELS_SQL = (f"SELECT fold, cls, {Q.init_model_sql(SPEC, SEED)} FROM "
@@ -236,7 +234,7 @@ SQL_OBS_PREFIX = (f"SELECT workitem, {Q.obs_str_sql(Q.prefix_sql('obs', T_PREFIX
 
 def q_emission_lookup(spark, sf):
     fld = folded(spark, sf)
-    m = start_models(spark, sf, fld).where((F.col("fold") == 0) & (F.col("cls") == 1))
+    m = start_models(fld).where((F.col("fold") == 0) & (F.col("cls") == 1))
     j = attach_single_model(fld.select("workitem", "obs"), m.select("b"))
     e = j.select("workitem", F.posexplode(emission_lookup(F.col("obs"), F.col("b"))).alias("t", "row"))
     return e.select("workitem", "t", F.posexplode("row").alias("j", "value")).select(
@@ -312,40 +310,43 @@ SQL_MATRIX_NORMALIZE = (
 
 
 def q_init_params(spark, sf):
-    return ST.model_long(start_models(spark, sf)).withColumn("value", r6("value"))
+    """F11 for every (fold, class) of the fold table."""
+    return ST.model_long(start_models(folded(spark, sf))).withColumn("value", r6("value"))
 
 
 SQL_INIT_PARAMS = f"SELECT fold, cls, param, i, j, {r6sql('value')} AS value FROM ({long_model_sql(MODELS_SQL)})"
 
 
+def _model_files(spark, sf) -> dict[int, str]:
+    """Text files of the models after one EM step, by class."""
+    base = new_work_dir(spark, "modelfiles")
+    models = materialize(_em(spark, sf, 1), "models")
+    paths = {c: os.path.join(base, f"class{c}") for c in (0, 1)}
+    for c, path in paths.items():
+        ST.write_model_file(models.where(F.col("cls") == c), path)
+    return paths
+
+
 def q_model_matrix_to_flat(spark, sf):
-    """S6 write: text lines; checked through their parsed column-major fields."""
-    lines = ST.model_to_flat(start_models(spark, sf).select("fold", "cls", "m", "k", "d", "pi", "a", "b", "p"))
+    """S6 write: the models after one EM step as text files with a header;
+    checked through the column-major fields of their lines."""
+    lines = ST.read_model_lines(spark, _model_files(spark, sf))
     parts = F.split(F.col("line"), ";")
     names = ["pi", "a", "b", "p"]
     fields = F.array(*[F.struct(F.lit(n).alias("param"), F.split(parts[4 + x], ",").alias("v"))
                        for x, n in enumerate(names)])
-    ex = lines.select("fold", "cls", F.explode(fields).alias("f"))
+    ex = lines.select(parts[0].cast("int").alias("fold"), "cls", F.explode(fields).alias("f"))
     return ex.select("fold", "cls", F.col("f.param").alias("param"),
                      F.posexplode("f.v").alias("pos", "text")).select(
         "fold", "cls", "param", "pos", r6(F.col("text").cast("double")).alias("value"))
 
 
-SQL_MODEL_MATRIX_TO_FLAT = (
-    "SELECT fold, cls, param, CAST(CASE WHEN param = 'pi' THEN i ELSE j * "
-    f"(CASE WHEN param = 'pi' THEN 1 ELSE {SPEC.m} END) + i END AS INTEGER) AS pos, "
-    f"{r6sql('value')} AS value FROM ({long_model_sql(MODELS_SQL)})")
-
-
 def q_model_flat_to_matrix(spark, sf):
-    lines = ST.model_to_flat(start_models(spark, sf).select("fold", "cls", "m", "k", "d", "pi", "a", "b", "p"))
-    back = ST.model_from_flat(lines, SPEC)
+    """S6 load: the model of each fold, read back from the text files."""
+    back = ST.read_model_file(spark, _model_files(spark, sf), SPEC)
     return ST.model_long(back).withColumn("value", r6("value"))
 
 
-SQL_MODEL_FLAT_TO_MATRIX = SQL_INIT_PARAMS
-
-
 def q_em_converged(spark, sf):
     """F9 between the scores of each held-out row under its two start models."""
     s = scores_start(spark, sf)
@@ -477,7 +478,7 @@ SQL_PENDING_FOLDS = f"SELECT DISTINCT kfold AS fold FROM ({FOLDED_SQL}) WHERE kf
 
 def _trace(spark, sf, what: str) -> DataFrame:
     fld = folded(spark, sf)
-    models = start_models(spark, sf, fld).where(F.col("cls") == 1)
+    models = start_models(fld).where(F.col("cls") == 1)
     return kernel_long_form(FO.validation_rows(fld), models, SPEC, what, K_FOLDS)
 
 
@@ -490,7 +491,7 @@ def _traced(what: str) -> Callable[[SparkSession, str], DataFrame]:
 def q_e_step_stats(spark, sf):
     from segstate.operators.estep import e_step_stats_folded
     fld = folded(spark, sf)
-    models = start_models(spark, sf, fld)
+    models = start_models(fld)
     st = e_step_stats_folded(fld, models, SPEC, K_FOLDS)
     return st.select("fold", "cls", "param", "i", "j", r6("value").alias("value"))
 
@@ -499,7 +500,7 @@ def q_m_step(spark, sf):
     from segstate.operators.estep import e_step_stats_folded
     from segstate.operators.mstep import m_step
     fld = folded(spark, sf)
-    models = start_models(spark, sf, fld)
+    models = start_models(fld)
     new = m_step(e_step_stats_folded(fld, models, SPEC, K_FOLDS), SPEC)
     return ST.model_long(new).withColumn("value", r6("value"))
 
@@ -626,8 +627,6 @@ ORACLES: dict[str, str] = {
     "row_stochastic": SQL_ROW_STOCHASTIC,
     "matrix_normalize": SQL_MATRIX_NORMALIZE,
     "init_params": SQL_INIT_PARAMS,
-    "model_matrix_to_flat": SQL_MODEL_MATRIX_TO_FLAT,
-    "model_flat_to_matrix": SQL_MODEL_FLAT_TO_MATRIX,
     "em_converged": SQL_EM_CONVERGED,
     "sequence_score": SQL_SEQUENCE_SCORE,
     "score_full": SQL_SCORE_FULL,
@@ -727,6 +726,11 @@ for _key, _names in {
 ORACLES["e_step_stats"] = SQL_E_STEP_STATS
 ORACLES["m_step"] = SQL_M_STEP
 ORACLES["em_one_iteration"] = SQL_M_STEP
+# the models that stand in the text files are those of one EM step
+ORACLES["model_flat_to_matrix"] = SQL_M_STEP
+ORACLES["model_matrix_to_flat"] = (
+    f"SELECT fold, cls, param, CAST(CASE WHEN param = 'pi' THEN i ELSE j * {SPEC.m} + i END AS INTEGER) AS pos, "
+    f"value FROM ({SQL_M_STEP})")
 
 
 # ------------------------------------------ EM, V6 and V7 unrolled in SQL

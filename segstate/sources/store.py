@@ -56,6 +56,22 @@ def write_folds(folded: DataFrame, path: str) -> None:
      .write.mode("overwrite").partitionBy("cls", "kfold").parquet(path))
 
 
+def write_folds_csv(folded: DataFrame, path: str) -> None:
+    """S3 as headerless CSV ``workitem,str_obs,row_id,kfold`` of one class."""
+    (folded.select(F.col("workitem").cast("string"), obs_to_str(F.col("obs")).alias("str_obs"), "row_id", "kfold")
+     .write.mode("overwrite").csv(path))
+
+
+def read_folds_csv(spark: SparkSession, paths: dict[int, str]) -> DataFrame:
+    """S2 from headerless CSV, one path per class."""
+    parts = [spark.read.schema(FOLDS_SCHEMA).csv(p).withColumn("cls", F.lit(c).cast("int"))
+             for c, p in sorted(paths.items())]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.select("workitem", "cls", parse_obs(F.col("str_obs")).alias("obs"), "row_id", "kfold")
+
+
 def read_folds(spark: SparkSession, path: str) -> DataFrame:
     """Typed read back -> (workitem, cls, obs, row_id, kfold)."""
     df = spark.read.schema("workitem string, obs array<int>, row_id bigint, cls int, kfold int").parquet(path)
@@ -120,6 +136,41 @@ def model_from_flat(lines: DataFrame, spec: HsmmSpec) -> DataFrame:
     )
 
 
+MODEL_HEADER = "kfold;M;k;D;Pi;A;B;P"
+
+
+def write_model_file(models: DataFrame, path: str) -> None:
+    """The models of one class as text, one line per fold under a header.
+    At most k lines, so one task writes the one file."""
+    lines = model_to_flat(models).select(F.col("fold").alias("at"), F.col("line").alias("value"))
+    head = models.sparkSession.range(1).select(F.lit(-1).alias("at"), F.lit(MODEL_HEADER).alias("value"))
+    (head.unionByName(lines).repartition(1).sortWithinPartitions("at").select("value")
+     .write.mode("overwrite").text(path))
+
+
+def read_model_lines(spark: SparkSession, paths: dict[int, str]) -> DataFrame:
+    """(cls, line) of the model files of each class, without headers and
+    empty lines."""
+    parts = [spark.read.text(p).select(F.lit(c).cast("int").alias("cls"), F.col("value").alias("line"))
+             for c, p in sorted(paths.items())]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.where((F.col("line") != MODEL_HEADER) & (F.trim("line") != ""))
+
+
+def read_model_file(spark: SparkSession, paths: dict[int, str], spec: HsmmSpec,
+                    fold: int | None = None) -> DataFrame:
+    """The typed models of all folds, or of one. A line whose dimensions
+    are not those of ``spec`` raises when it is read."""
+    # tested on the line, before its arrays are cut to the shape of ``spec``
+    fits = F.col("line").rlike(rf"^\d+;{spec.m};{spec.k};{spec.d};")
+    lines = read_model_lines(spark, paths).withColumn("line", F.when(fits, F.col("line")).otherwise(
+        F.raise_error(F.lit(f"a stored model has other dimensions than {spec}")).cast("string")))
+    found = model_from_flat(lines, spec)
+    return found if fold is None else found.where(F.col("fold") == fold)
+
+
 def model_long(models: DataFrame) -> DataFrame:
     """Long form (fold, cls, param, i, j, value) of a model table."""
     def cells(name: str, col: Column) -> Column:

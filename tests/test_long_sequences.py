@@ -16,7 +16,7 @@ from tests.conftest import SF_SMALL
 
 def test_long_estep_equals_arrays(spark):
     fld = C.folded(spark, SF_SMALL)
-    models = C.start_models(spark, SF_SMALL)
+    models = C.start_models(C.folded(spark, SF_SMALL))
     train = FO.training_fanout(fld, C.K_FOLDS)
     arr = {(r.fold, r.cls, r.param, r.i, r.j): r.value
            for r in e_step_stats(train, models, C.SPEC).collect()}
@@ -32,7 +32,7 @@ def test_long_estep_equals_arrays(spark):
 def test_long_scores_equal_arrays(spark):
     from segstate.operators.evaluate import score_both
     fld = C.folded(spark, SF_SMALL)
-    models = C.start_models(spark, SF_SMALL)
+    models = C.start_models(C.folded(spark, SF_SMALL))
     v = FO.validation_rows(fld)
     want = {r.workitem: r.score1 for r in score_both(v, models, C.SPEC, C.K_FOLDS, 2).collect()}
     rows = v.select("fold", F.lit(1).alias("cls"), "workitem", F.posexplode("obs").alias("t", "sym"))

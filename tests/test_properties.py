@@ -16,7 +16,7 @@ def _stats(df):
 
 def test_estep_independent_of_partitioning(spark):
     fld = C.folded(spark, SF_SMALL)
-    models = C.start_models(spark)
+    models = C.start_models(C.folded(spark, SF_SMALL))
     one = _stats(e_step_stats_folded(fld.coalesce(1), models, C.SPEC, C.K_FOLDS))
     many = _stats(e_step_stats_folded(fld.repartition(7), models, C.SPEC, C.K_FOLDS))
     assert set(one) == set(many)
@@ -26,7 +26,7 @@ def test_estep_independent_of_partitioning(spark):
 
 def test_salted_model_join_equals_broadcast(spark):
     fld = FO.validation_rows(C.folded(spark, SF_SMALL))
-    models = C.start_models(spark)
+    models = C.start_models(C.folded(spark, SF_SMALL))
     want = {r.workitem: (r.score1, r.score0) for r in score_both(fld, models, C.SPEC, C.K_FOLDS).collect()}
     spark.conf.set("segstate.modelBroadcastLimit", "1")
     try:

@@ -53,7 +53,7 @@ def test_expression_matches_kernel_on_events(spark):
     from segstate.plans.catalog import SPEC, folded, start_models
     from tests.conftest import SF_SMALL
     fld = folded(spark, SF_SMALL).withColumn("fold", F.col("kfold"))
-    models = start_models(spark, SF_SMALL, fld).where("cls = 1").drop("cls")
+    models = start_models(fld).where("cls = 1").drop("cls")
     scored = score_sequences(fld, models, SPEC, ["fold"]).join(
         models.withColumnRenamed("fold", "kfold"), "kfold").collect()
     assert len(scored) > 0

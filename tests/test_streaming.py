@@ -13,7 +13,7 @@ from tests.conftest import SF_SMALL
 
 def test_stream_scores_equal_batch(spark):
     fld = folded(spark, SF_SMALL).where(F.col("kfold") == 2)
-    models = start_models(spark, SF_SMALL)
+    models = start_models(folded(spark, SF_SMALL))
     src = os.path.join(new_work_dir(spark, "stream-src"), "seqs")
     fld.select("workitem", "cls", obs_to_str(F.col("obs")).alias("str_obs")).repartition(3).write.parquet(src)
     stream = score_stream(sequence_stream(spark, src, fold=2), models, SPEC, K_FOLDS)
