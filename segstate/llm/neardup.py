@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from segstate.llm import textarrays as T
@@ -37,12 +37,7 @@ K, PERCENT = 5, 75
 BANDS, ROWS = 40, 5
 COORDINATES = BANDS * ROWS
 
-# Two bits of every coordinate, packed. At the threshold 3 in 16 coordinates
-# differ in them; MAX_DIFFERENT lies 5.5 standard deviations above, so the test
-# loses a link with a chance of about 1e-7.
-WORDS, MAX_DIFFERENT = -(-COORDINATES // 64), 68
-
-SCHEMA = "doc_id long, rk long, n long, cid long, bands array<long>, bits array<long>"
+SCHEMA = "doc_id long, rk long, n long, cid long, bands array<long>"
 
 
 def fast_similarity_sketch(values: np.ndarray, counts: np.ndarray, t: int = COORDINATES) -> np.ndarray:
@@ -73,23 +68,6 @@ def band_keys(sketch: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.nd
     return key
 
 
-def coordinate_bits(sketch: np.ndarray) -> np.ndarray:
-    """Two bits of each coordinate as 2 * WORDS numbers: the first bits, then
-    the second ones."""
-    low = (T.mix(sketch) & np.uint64(3)).astype(np.uint8)
-    out = []
-    for part in (low & 1, low >> 1):
-        packed = np.packbits(part, axis=1)
-        out.append(np.pad(packed, ((0, 0), (0, WORDS * 8 - packed.shape[1]))).view(np.uint64))
-    return np.concatenate(out, axis=1)
-
-
-def alike(a: Column, b: Column) -> Column:
-    """Whether two summaries differ in few enough coordinates."""
-    differ = [F.bit_count(a[i].bitwiseXOR(b[i]).bitwiseOR(a[i + WORDS].bitwiseXOR(b[i + WORDS]))) for i in range(WORDS)]
-    return sum(differ[1:], differ[0]) <= MAX_DIFFERENT
-
-
 def shingle_sets(block: T.Block) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes of each text, with counts."""
     w = T.Words(block, T.NOT_SPACE, True)
@@ -102,13 +80,23 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in T.blocks(batch.column("text")):
             sets, n = shingle_sets(block)
             cid = T.mix(T.group_sum(T.seeded(sets, 3), n) + T.mix(n.astype(np.uint64)))
-            sketch = fast_similarity_sketch(sets, n)
-            lists = [pa.ListArray.from_arrays(np.arange(block.n + 1, dtype=np.int32) * k.shape[1], pa.array(T.signed(k.ravel())))
-                     for k in (band_keys(sketch), coordinate_bits(sketch))]
+            keys = band_keys(fast_similarity_sketch(sets, n))
+            bands = pa.ListArray.from_arrays(np.arange(block.n + 1, dtype=np.int32) * BANDS, pa.array(T.signed(keys.ravel())))
             rows = slice(block.first, block.first + block.n)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id")[rows], batch.column("rk")[rows], pa.array(n),
-                 pa.array(T.signed(cid), mask=n == 0), *lists], names=["doc_id", "rk", "n", "cid", "bands", "bits"])
+                 pa.array(T.signed(cid), mask=n == 0), bands], names=["doc_id", "rk", "n", "cid", "bands"])
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(cid, set): the shingles of each text."""
+    for batch in batches:
+        for block in T.blocks(batch.column("text")):
+            sets, n = shingle_sets(block)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("cid")[block.first:block.first + block.n],
+                 pa.ListArray.from_arrays(np.append(0, np.cumsum(n)).astype(np.int32), pa.array(T.signed(sets)))],
+                names=["cid", "set"])
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,8 +126,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     ``docs``; the last two are the document that stays."""
     sk = sketches(docs)
     classes = sk.where("cid is not null").groupBy("cid").agg(
-        F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rk")).alias("first"), F.min("rk").alias("rk"), F.min("n").alias("n"), F.any_value("bands").alias("bands"),
-        F.any_value("bits").alias("summary"))
+        F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rk")).alias("first"), F.min("rk").alias("rk"), F.min("n").alias("n"), F.any_value("bands").alias("bands"))
     shared = shared_buckets(classes.select("cid", "n", F.explode("bands").alias("h")))
     wanted = shared.select("cid").distinct().join(classes.select("cid", "rk"), "cid")
     content = stored(docs.select(row_key().alias("rk"), "text").join(wanted, "rk")
@@ -150,14 +137,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         b = content.select(F.col("cid").alias("b"), F.col("text").alias("tb"))
         return pairs.join(a, "a").join(b, "b").select("a", "b", "ta", "tb").mapInArrow(_compare, "a long, b long")
 
-    labels = link(shared, verify, PERCENT, classes.select("cid", "summary"), alike)
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        return content.join(wanted, "cid").select("cid", "text").mapInArrow(_sets, "cid long, set array<long>")
+
+    labels = link(shared, verify, PERCENT, sets_of)
     named = classes.select("cid", "first").join(labels, F.col("cid") == F.col("node"), "left").select(
         "cid", "first", F.coalesce("comp", "cid").alias("comp"))
     named = stored(named, "classes")
     firsts = named.groupBy("comp").agg(F.min(F.struct(F.col("first.doc_id").isNull().alias("none"), "first")).alias("m"))
     ids = named.join(firsts, "comp").select("cid", F.col("m.first.doc_id").alias("component_id"),
                                             F.col("m.first.rk").alias("component_rk"))
-    return (sk.drop("bands", "bits").join(ids, "cid", "left")
+    return (sk.drop("bands").join(ids, "cid", "left")
             .select("doc_id", "rk", F.col("n").alias("n_shingles"),
                     F.when(F.col("cid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
                     F.coalesce("component_rk", "rk").alias("component_rk")))

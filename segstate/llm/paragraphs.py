@@ -148,7 +148,7 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_PASSAGE) -> DataFram
         b = sets.select(F.col("cid").alias("b"), F.col("set").alias("sb"))
         return pairs.join(a, "a").join(b, "b").where(similar(F.col("sa"), F.col("sb"))).select("a", "b")
 
-    labels = link(shared, verify, PERCENT, sets.withColumnRenamed("set", "summary"), similar)
+    labels = link(shared, verify, PERCENT, lambda wanted: sets.join(wanted, "cid"))
     whole = units.drop("h", "n", "rk").join(labels, F.col("cid") == F.col("node"), "left").select(
         "doc_id", "rid", "idx", "start", "n_words", F.coalesce("comp", "cid").alias("comp"))
     whole = stored(whole, "labelled")

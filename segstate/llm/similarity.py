@@ -5,11 +5,12 @@ are rows (cid, n, h). Each round compares every item with one hub of a bucket
 it shares, verifies the pairs exactly and joins what is linked to components.
 Buckets whose items are in one component by then are done. In the last step
 the items of the other buckets that stand outside the bucket's largest
-component are compared with all items of other components there, so no link
-between components is lost, and a bucket of near copies costs as many pairs as
-it has items, not their square. There a compact summary of the items is tested
-in the join itself, so pairs that only share a passage are never emitted, and a
-pair that shares several open buckets is emitted in the least of them only.
+component are compared with items of other components there, so no link
+between components is lost. Which of them can be linked at all is told by
+prefixes: with the tokens of every item ordered from the rarest to the most
+frequent, two items that share enough tokens share one among the first few of
+each. This test is exact. Near copies whose changes are their own have only own
+tokens there, so a large group of them makes few pairs and not their square.
 """
 
 from __future__ import annotations
@@ -27,6 +28,19 @@ def size_fits(a: Column, b: Column, percent: int) -> Column:
     return (100 * F.least(a, b)) >= (percent * F.greatest(a, b))
 
 
+def prefixes(sets: DataFrame, percent: int) -> DataFrame:
+    """(cid, n, t, pos): the rarest tokens of each set of (cid, set), as many as
+    a pair of that similarity can need. ``pos`` is the place of token ``t`` in
+    the order of its set; tokens of one set only come first and are left out."""
+    tokens = sets.select("cid", F.explode("set").alias("t"))
+    held = stored(tokens.groupBy("t").agg(F.count("*").alias("k")).where("k > 1"), "held")
+    common = tokens.join(held, "t").groupBy("cid").agg(F.array_sort(F.collect_list(F.struct("k", "t"))).alias("ts"))
+    ranked = common.join(sets.select("cid", F.size("set").cast("long").alias("n")), "cid").withColumn("own", F.col("n") - F.size("ts"))
+    length = F.greatest(F.lit(0), F.floor(F.col("n") * (100 - percent) / 100) + 1 - F.col("own")).cast("int")
+    return (ranked.select("cid", "n", "own", F.posexplode(F.slice("ts", F.lit(1), length)).alias("i", "x"))
+            .select("cid", "n", F.col("x.t").alias("t"), (F.col("own") + F.col("i")).alias("pos")))
+
+
 def _all_stars(edges: DataFrame) -> bool:
     """Whether every node has one parent at most and no parent has one."""
     ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(
@@ -52,19 +66,20 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def shared_buckets(bands: DataFrame) -> DataFrame:
-    """Rows (h, cid, n, hub, hub_n) of the buckets with two items or more."""
+    """Rows (h, cid, n, hub, hub_n, k) of the buckets with two items or more;
+    ``k`` is how many."""
     # dealt out once, for the aggregate and for the join
     bands = bands.repartition("h")
-    hubs = (bands.groupBy("h").agg(F.min(F.struct("cid", "n")).alias("hub"), F.max("cid").alias("top"))
-            .where("hub.cid < top").select("h", F.col("hub.cid").alias("hub"), F.col("hub.n").alias("hub_n")))
+    hubs = (bands.groupBy("h").agg(F.min(F.struct("cid", "n")).alias("hub"), F.max("cid").alias("top"), F.count("*").alias("k"))
+            .where("hub.cid < top").select("h", F.col("hub.cid").alias("hub"), F.col("hub.n").alias("hub_n"), "k"))
     return stored(bands.join(hubs, "h"), "buckets")
 
 
-def link(shared: DataFrame, verify: Callable[[DataFrame], DataFrame], percent: int, summaries: DataFrame,
-         alike: Callable[[Column, Column], Column], hub_rounds: int = 1) -> DataFrame:
+def link(shared: DataFrame, verify: Callable[[DataFrame], DataFrame], percent: int,
+         sets_of: Callable[[DataFrame], DataFrame], hub_rounds: int = 1) -> DataFrame:
     """(node, comp) of every item that has a link. ``verify`` takes pairs (a, b)
-    and returns those that are linked; ``summaries`` has a row (cid, summary)
-    per item, and ``alike`` tells from two summaries whether a link is possible."""
+    and returns those that are linked; ``sets_of`` takes rows (cid) and returns
+    the distinct tokens (cid, set) of these items."""
     fits = size_fits(F.col("n"), F.col("hub_n"), percent)
 
     def one_each(rows: DataFrame) -> DataFrame:
@@ -74,16 +89,17 @@ def link(shared: DataFrame, verify: Callable[[DataFrame], DataFrame], percent: i
     tested = stored(one_each(shared.where((F.col("cid") != F.col("hub")) & fits)), "pairs")
     links = stored(verify(tested), "links")
     labels = components(links)
-    plain = shared.select("h", "cid", "n")
+    # an item that meets many others, such as the origin of many copies, makes the best hub
+    plain = shared.select("h", "cid", "n").join(shared.groupBy("cid").agg(F.sum("k").alias("met")), "cid")
     for i in range(hub_rounds):
         rows = plain.join(labels, F.col("cid") == F.col("node"), "left").select(
-            "h", "cid", "n", F.coalesce("comp", "cid").alias("comp"))
-        pick = F.struct(F.xxhash64("cid", F.lit(i)).alias("x"), "cid", "n", "comp")
+            "h", "cid", "n", "met", F.coalesce("comp", "cid").alias("comp"))
+        pick = F.struct("met", F.xxhash64("cid", F.lit(i)).alias("x"), "cid", "n", "comp")
         open_ = (rows.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max(pick).alias("hub"))
                  .where("lo < hi").select("h", F.col("hub.cid").alias("hub"), F.col("hub.n").alias("hub_n"),
                                           F.col("hub.comp").alias("hub_comp")))
         rows = stored(rows.join(open_, "h"), "open")
-        plain = rows.select("h", "cid", "n")
+        plain = rows.select("h", "cid", "n", "met")
         pairs = one_each(rows.where((F.col("comp") != F.col("hub_comp")) & fits))
         pairs = stored(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
         found = stored(verify(pairs), "links")
@@ -95,18 +111,21 @@ def link(shared: DataFrame, verify: Callable[[DataFrame], DataFrame], percent: i
     sizes = rows.groupBy("h", "comp").agg(F.count("*").alias("k"))
     major = sizes.groupBy("h").agg(F.max(F.struct("k", "comp")).alias("m"), F.count("*").alias("parts")).where(
         "parts > 1").select("h", F.col("m.comp").alias("major"))
-    # the buckets of an item, at most as many as it has bands
-    own = rows.groupBy("cid").agg(F.collect_set("h").alias("hs"))
-    rows = stored(rows.join(major, "h").join(own.join(summaries, "cid"), "cid"), "open")
-    minor = rows.where("comp <> major").select("h", F.col("cid").alias("x"), F.col("n").alias("xn"), F.col("comp").alias("xc"),
-                                               F.col("summary").alias("xs"), F.col("hs").alias("xhs"))
-    possible = ((F.col("xc") != F.col("comp")) & size_fits(F.col("n"), F.col("xn"), percent)
+    # the open buckets of an item are at most as many as it has bands
+    items = stored(rows.join(major, "h").groupBy("cid").agg(
+        F.min("comp").alias("comp"), F.collect_set("h").alias("hs"), F.max(F.col("comp") != F.col("major")).alias("minor")), "open")
+    sets = stored(sets_of(items.select("cid")), "sets")
+    heads = stored(prefixes(sets, percent).join(items.drop("hs"), "cid"), "prefixes")
+    other = heads.where("minor").select("t", *[F.col(c).alias(f"x_{c}") for c in ("cid", "n", "comp", "pos")])
+    least = percent * (F.col("n") + F.col("x_n"))
+    possible = ((F.col("comp") != F.col("x_comp")) & size_fits(F.col("n"), F.col("x_n"), percent)
                 # two minor items meet once
-                & ((F.col("comp") == F.col("major")) | (F.col("cid") < F.col("x")))
-                & alike(F.col("summary"), F.col("xs"))
-                # items of different components meet in every open bucket they share
-                & (F.array_min(F.array_intersect("hs", "xhs")) == F.col("h")))
-    pairs = (minor.join(rows.withColumnRenamed("h", "h2"), (F.col("h") == F.col("h2")) & possible)
-             .select(F.least("cid", "x").alias("a"), F.greatest("cid", "x").alias("b")))
+                & (~F.col("minor") | (F.col("cid") < F.col("x_cid")))
+                # tokens from the shared one on are enough for the pair
+                & ((100 + percent) * F.least(F.col("n") - F.col("pos"), F.col("x_n") - F.col("x_pos")) >= least))
+    pairs = (heads.withColumnRenamed("t", "t2").join(other, (F.col("t2") == F.col("t")) & possible)
+             .select(F.least("cid", "x_cid").alias("a"), F.greatest("cid", "x_cid").alias("b")).distinct())
+    buckets = [items.select(F.col("cid").alias(c), F.col("hs").alias(f"h{c}")) for c in ("a", "b")]
+    pairs = pairs.join(buckets[0], "a").join(buckets[1], "b").where(F.arrays_overlap("ha", "hb")).select("a", "b")
     found = stored(verify(stored(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")), "links")
     return labels if found.isEmpty() else components(links.unionByName(found))
