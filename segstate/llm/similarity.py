@@ -1,9 +1,9 @@
 """Linking of near-equal items through shared buckets, without all pairs.
 
 Items are classes of equal content with an id ``cid`` and a size ``n``; bands
-are rows (cid, n, h). Each round compares every item with one hub of a bucket
-it shares, verifies the pairs exactly and joins what is linked to components.
-Buckets whose items are in one component by then are done. In the last step
+are rows (cid, n, h). First every item is compared with one hub, of a bucket it
+shares; the pairs are verified exactly and what is linked is joined to
+components. Buckets whose items are in one component by then are done. In the last step
 the items of the other buckets that stand outside the bucket's largest
 component are compared with items of other components there, so no link
 between components is lost. Which of them can be linked at all is told by
@@ -66,47 +66,30 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def shared_buckets(bands: DataFrame) -> DataFrame:
-    """Rows (h, cid, n, hub, hub_n, k) of the buckets with two items or more;
-    ``k`` is how many."""
+    """Rows (h, cid, n, k) of the buckets with two items or more; ``k`` is how
+    many."""
     # dealt out once, for the aggregate and for the join
     bands = bands.repartition("h")
-    hubs = (bands.groupBy("h").agg(F.min(F.struct("cid", "n")).alias("hub"), F.max("cid").alias("top"), F.count("*").alias("k"))
-            .where("hub.cid < top").select("h", F.col("hub.cid").alias("hub"), F.col("hub.n").alias("hub_n"), "k"))
-    return stored(bands.join(hubs, "h"), "buckets")
+    shared = (bands.groupBy("h").agg(F.min("cid").alias("low"), F.max("cid").alias("top"), F.count("*").alias("k"))
+              .where("low < top").select("h", "k"))
+    return stored(bands.join(shared, "h"), "buckets")
 
 
 def link(shared: DataFrame, verify: Callable[[DataFrame], DataFrame], percent: int,
-         sets_of: Callable[[DataFrame], DataFrame], hub_rounds: int = 1) -> DataFrame:
+         sets_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """(node, comp) of every item that has a link. ``verify`` takes pairs (a, b)
     and returns those that are linked; ``sets_of`` takes rows (cid) and returns
     the distinct tokens (cid, set) of these items."""
-    fits = size_fits(F.col("n"), F.col("hub_n"), percent)
-
-    def one_each(rows: DataFrame) -> DataFrame:
-        return (rows.groupBy("cid").agg(F.min("hub").alias("hub"))
-                .select(F.least("cid", "hub").alias("a"), F.greatest("cid", "hub").alias("b")).distinct())
-
-    tested = stored(one_each(shared.where((F.col("cid") != F.col("hub")) & fits)), "pairs")
+    # an item that meets many others, such as the origin of many copies, makes the best hub
+    met = shared.join(shared.groupBy("cid").agg(F.sum("k").alias("met")), "cid").select("h", "cid", "n", "met")
+    met = stored(met, "met")
+    hubs = met.groupBy("h").agg(F.max(F.struct("met", F.xxhash64("cid").alias("x"), "cid", "n")).alias("hub"))
+    near = met.join(hubs, "h").where((F.col("cid") != F.col("hub.cid")) & size_fits(F.col("n"), F.col("hub.n"), percent))
+    tested = stored(near.groupBy("cid").agg(F.max("hub").alias("hub"))
+                    .select(F.least("cid", "hub.cid").alias("a"), F.greatest("cid", "hub.cid").alias("b")).distinct(), "pairs")
     links = stored(verify(tested), "links")
     labels = components(links)
-    # an item that meets many others, such as the origin of many copies, makes the best hub
-    plain = shared.select("h", "cid", "n").join(shared.groupBy("cid").agg(F.sum("k").alias("met")), "cid")
-    for i in range(hub_rounds):
-        rows = plain.join(labels, F.col("cid") == F.col("node"), "left").select(
-            "h", "cid", "n", "met", F.coalesce("comp", "cid").alias("comp"))
-        pick = F.struct("met", F.xxhash64("cid", F.lit(i)).alias("x"), "cid", "n", "comp")
-        open_ = (rows.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max(pick).alias("hub"))
-                 .where("lo < hi").select("h", F.col("hub.cid").alias("hub"), F.col("hub.n").alias("hub_n"),
-                                          F.col("hub.comp").alias("hub_comp")))
-        rows = stored(rows.join(open_, "h"), "open")
-        plain = rows.select("h", "cid", "n", "met")
-        pairs = one_each(rows.where((F.col("comp") != F.col("hub_comp")) & fits))
-        pairs = stored(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        found = stored(verify(pairs), "links")
-        tested, links = tested.unionByName(pairs), links.unionByName(found)
-        if not found.isEmpty():
-            labels = components(links)
-    rows = stored(plain.join(labels, F.col("cid") == F.col("node"), "left").select(
+    rows = stored(met.join(labels, F.col("cid") == F.col("node"), "left").select(
         "h", "cid", "n", F.coalesce("comp", "cid").alias("comp")), "open")
     sizes = rows.groupBy("h", "comp").agg(F.count("*").alias("k"))
     major = sizes.groupBy("h").agg(F.max(F.struct("k", "comp")).alias("m"), F.count("*").alias("parts")).where(
@@ -128,4 +111,6 @@ def link(shared: DataFrame, verify: Callable[[DataFrame], DataFrame], percent: i
     buckets = [items.select(F.col("cid").alias(c), F.col("hs").alias(f"h{c}")) for c in ("a", "b")]
     pairs = pairs.join(buckets[0], "a").join(buckets[1], "b").where(F.arrays_overlap("ha", "hb")).select("a", "b")
     found = stored(verify(stored(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")), "links")
-    return labels if found.isEmpty() else components(links.unionByName(found))
+    if found.isEmpty():
+        return labels
+    return components(found.unionByName(labels.select(F.col("node").alias("a"), F.col("comp").alias("b"))))
