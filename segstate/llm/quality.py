@@ -1,12 +1,16 @@
 """Quality rules by distribution divergence (operator 2).
 
 One pass over the texts counts the base rules and two histograms per document:
-character classes and common words. Their sums per language over the whole
-corpus are the references. A document goes if a base rule fails or if the
-Jensen-Shannon distance (square root of the divergence in bits) between one of
-its histograms and the reference of its language is above the limit. A
-histogram is only compared from a minimum length on, as short texts diverge by
-chance.
+character classes and common words, the latter with one bin for all other
+words. Their sums per language over the whole corpus are the references. A
+document goes if a base rule fails or if the Jensen-Shannon distance (square
+root of the divergence in bits) between one of its histograms and the reference
+of its language is above the limit of the language. Limits are the upper
+quartile of the distances of the language plus ``FENCE`` quartile ranges, and
+at least a fixed floor. Word distances fall with the square root of the length
+by chance alone, so their quartiles are those of distance times that root and
+the limit of a document is divided by it. The minimum length counts the words
+or characters of the document, whichever they are.
 
 Defined results: null and empty texts have no words and fail the base rule;
 a null or unknown language has a reference of its own; equal rows get equal
@@ -34,8 +38,12 @@ COMMON_WORDS = (
     " el los las y por con una su para se del lo como más al o"
 ).split()
 
-MIN_CHARS, MIN_COMMON = 200, 40
-MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE = 0.35, 0.75
+MIN_CHARS, MIN_WORDS = 200, 50
+# Floors of the limits, in the gap of the distances measured on sf0.01 and
+# check_s: below 0.24 for texts of each language, above 0.28 (words) and 0.33
+# (characters) for texts without its words or full of symbols.
+CHAR_FLOOR, WORD_FLOOR, FENCE = 0.25, 0.25, 2
+MAX_SCALED = 20.0
 
 CLASSES = ("lower", "upper", "wide", "digit", "space", "line", "mark", "symbol")
 _CLASS = np.full(256, 7, dtype=np.int64)
@@ -47,7 +55,7 @@ _SYMBOL = np.zeros(256, dtype=bool)
 _SYMBOL[[ord(c) for c in "[#*$%&|<>]" if c not in "[]"]] = True
 
 SCHEMA = ("doc_id long, rk long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long,"
-          " n_repeat_words long, n_chars long, n_common long, chars array<long>, words array<long>")
+          " n_repeat_words long, n_chars long, n_plain long, chars array<long>, words array<long>")
 
 
 def _common_hashes() -> tuple[np.ndarray, np.ndarray]:
@@ -100,9 +108,9 @@ def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 batch.column("doc_id")[rows], batch.column("rk")[rows], batch.column("lang")[rows], pa.array(w.counts),
                 pa.array(T.group_sum(solid, size)), pa.array(T.group_sum(_SYMBOL[d].astype(np.int64), size)),
                 pa.array(_dup_lines(block, w).astype(np.int64)), pa.array(_repeat_words(w)),
-                pa.array(hist.sum(axis=1)), pa.array(words[:, :-1].sum(axis=1)), _lists(hist), _lists(words)],
+                pa.array(hist.sum(axis=1)), pa.array(words.sum(axis=1)), _lists(hist), _lists(words)],
                 names=["doc_id", "rk", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-                       "n_chars", "n_common", "chars", "words"])
+                       "n_chars", "n_plain", "chars", "words"])
 
 
 def _lists(table: np.ndarray) -> pa.ListArray:
@@ -119,29 +127,41 @@ def js_distance(a: Column, b: Column) -> Column:
     return F.sqrt(F.greatest(F.aggregate(parts, F.lit(0.0), lambda s, v: s + v), F.lit(0.0)))
 
 
-def _common(words: str = "words") -> Column:
-    """Common words of a document without the bin of all others."""
-    return F.slice(words, 1, len(set(COMMON_WORDS)))
-
-
 def _shares(counts: Column, total: Column) -> Column:
     return F.transform(counts, lambda v: v / F.nullif(total, F.lit(0)))
 
 
 def references(stats: DataFrame) -> DataFrame:
     """(ref_lang, ref_chars, ref_words): distributions of each language."""
-    n_words = len(set(COMMON_WORDS))
+    n_words = len(set(COMMON_WORDS)) + 1
     sums = stats.groupBy("lang").agg(
-        F.sum("n_chars").alias("n_chars"), F.sum("n_common").alias("n_common"),
+        F.sum("n_chars").alias("n_chars"), F.sum("n_plain").alias("n_plain"),
         *[F.sum(F.col("chars")[i]).alias(f"c{i}") for i in range(len(CLASSES))],
         *[F.sum(F.col("words")[i]).alias(f"w{i}") for i in range(n_words)])
     return sums.select(
         F.col("lang").alias("ref_lang"),
         _shares(F.array(*[F.col(f"c{i}") for i in range(len(CLASSES))]), F.col("n_chars")).alias("ref_chars"),
-        _shares(F.array(*[F.col(f"w{i}") for i in range(n_words)]), F.col("n_common")).alias("ref_words"))
+        _shares(F.array(*[F.col(f"w{i}") for i in range(n_words)]), F.col("n_plain")).alias("ref_words"))
+
+
+def limits(measured: DataFrame) -> DataFrame:
+    """(limit_lang, char_limit, word_scale): upper fences of each language over
+    the documents that pass the base rules. The rounded values are few, so the
+    exact quartiles need bounded memory."""
+    good = measured.where(~F.col("base_failed"))
+    scaled = F.least(F.col("word_distance") * F.sqrt("n_plain"), F.lit(MAX_SCALED))
+    quartiles = good.groupBy("lang").agg(
+        F.percentile(F.round("char_distance", 3), F.array(F.lit(0.25), F.lit(0.75))).alias("c"),
+        F.percentile(F.round(scaled, 2), F.array(F.lit(0.25), F.lit(0.75))).alias("w"))
+
+    def fence(q):
+        return F.col(q)[1] + FENCE * (F.col(q)[1] - F.col(q)[0])
+
+    return quartiles.select(F.col("lang").alias("limit_lang"), F.greatest(fence("c"), F.lit(CHAR_FLOOR)).alias("char_limit"),
+                            fence("w").alias("word_scale"))
 
 
-def quality(docs: DataFrame, max_char: float = MAX_CHAR_DISTANCE, max_word: float = MAX_WORD_DISTANCE) -> DataFrame:
+def quality(docs: DataFrame) -> DataFrame:
     """Base counts, both distances (null below the minimum length) and the
     verdict of every document."""
     stats = stored(docs.select("doc_id", row_key().alias("rk"), F.col("lang").cast("string").alias("lang"), "text")
@@ -149,11 +169,13 @@ def quality(docs: DataFrame, max_char: float = MAX_CHAR_DISTANCE, max_word: floa
     both = stats.join(references(stats), F.col("lang").eqNullSafe(F.col("ref_lang")), "left")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     char_js = F.when(F.col("n_chars") >= MIN_CHARS, js_distance(_shares(F.col("chars"), F.col("n_chars")), F.col("ref_chars")))
-    word_js = F.when(F.col("n_common") >= MIN_COMMON, js_distance(_shares(_common(), F.col("n_common")), F.col("ref_words")))
-    return (both.withColumn("base_failed", failed)
-            .withColumn("char_distance", F.round(char_js, 6)).withColumn("word_distance", F.round(word_js, 6))
-            .withColumn("kept", ~F.col("base_failed")
-                        & ~(F.coalesce(F.col("char_distance"), F.lit(0.0)) > max_char)
-                        & ~(F.coalesce(F.col("word_distance"), F.lit(0.0)) > max_word))
+    word_js = F.when(F.col("n_plain") >= MIN_WORDS, js_distance(_shares(F.col("words"), F.col("n_plain")), F.col("ref_words")))
+    measured = stored(both.withColumn("base_failed", failed)
+                      .withColumn("char_distance", F.round(char_js, 6)).withColumn("word_distance", F.round(word_js, 6))
+                      .drop("chars", "words", "ref_lang", "ref_chars", "ref_words"), "distances")
+    word_limit = F.greatest(F.col("word_scale") / F.sqrt(F.greatest("n_plain", F.lit(1))), F.lit(WORD_FLOOR))
+    far = (F.col("char_distance") > F.col("char_limit")) | (F.col("word_distance") > word_limit)
+    return (measured.join(limits(measured), F.col("lang").eqNullSafe(F.col("limit_lang")), "left")
+            .withColumn("kept", ~F.col("base_failed") & ~F.coalesce(far, F.lit(False)))
             .select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
                     "kept", "char_distance", "word_distance", "rk"))

@@ -63,6 +63,18 @@ def test_quality_verdict(spark):
     assert all(kept[i] for i in range(30)) and not kept[30]
 
 
+def test_quality_rejects_text_without_common_words(spark):
+    """A long text of none of the common words is compared and goes."""
+    rng = random.Random(4)
+    clean = [" ".join(rng.choice(["the", "of", "and", "is", *[f"word{rng.choice('abcdef')}"] * 8]) + " " +
+                      "".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(90)) for _ in range(30)]
+    rare = " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(200))
+    _, df = make(spark, [*clean, rare])
+    rows = {r.doc_id: r for r in quality.quality(df.withColumn("lang", F.lit("en"))).collect()}
+    assert all(rows[i].kept for i in range(30))
+    assert not rows[30].base_failed and not rows[30].kept and rows[30].word_distance > quality.WORD_FLOOR
+
+
 def test_distance_matches_plain_form(spark):
     import math
     a, b = [0.375, 0.0, 0.625], [0.2, 0.8, 0.0]
