@@ -1,10 +1,13 @@
 """Personal data by bootstrapped contextual extraction (operator 3).
 
-The base patterns (email, ip, card, phone) give the seeds. Every token with a
-digit that is long enough to identify something is an occurrence; its lexical
-patterns are the word before it, the word after it and the written prefix of
-the token itself (up to ``=`` or ``:``), each with the token's shape. Spark
-keeps the graph of patterns and instances (lower-cased tokens): in each round a
+The base patterns (email, ip, card, phone) give the seeds: each whole base
+span, overlapping ones taken together, is a trusted occurrence. Every other
+token with a digit or ``@`` that is long enough to identify something, and any
+token with a fixed secret prefix, is an occurrence as well. Lexical patterns
+are the word before, the word after and the written prefix (up to ``=`` or
+``:``); the words stand alone, for identifiers of any form, and with the coarse
+form of the occurrence (has ``@``, has a digit, neither). Spark keeps the graph
+of patterns and instances (lower-cased occurrences): in each round a
 pattern scores the share of its instances that are trusted, patterns of high
 score and enough trusted instances are promoted, and instances that a promoted
 pattern holds become trusted with its score. Occurrences that a promoted
@@ -42,11 +45,11 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])([0-9]++)\.([0-9]++)\.([0-9]++)\.([0-9]++)")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_TOKEN = re.compile(r"(?<!\S)[^\s0-9]*+[0-9]\S*+")
+_TOKEN = re.compile(r"(?<!\S)[^\s0-9@=:]*+[0-9@=:]\S*+")
 _NOT_DIGIT = re.compile("[^0-9]+")
-_BEFORE = re.compile(r"(\S+)\s+\Z")
-_AFTER = re.compile(r"\s+(\S+)")
 _PREFIX = re.compile(r"[A-Za-z_]+[=:]")
+_GLUED = re.compile(r"(?<![A-Za-z_])[A-Za-z_]+[=:]\Z")
+NEAR = 64  # characters read on either side
 _EDGE = " \t\n\r.,;:!?\"'()[]{}<>|"
 
 
@@ -93,39 +96,58 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def shape(token: str) -> str:
-    """The token with runs of digits, letters and mixed characters folded."""
-    kinds = []
-    for c in token:
-        k = "9" if "0" <= c <= "9" else "a" if c.isalpha() else c
-        if not kinds or kinds[-1] != k:
-            kinds.append(k)
-    folded = "".join(kinds)
-    return re.sub(r"(?:9a|a9){2,}[9a]?", "x", folded)[:32]
+def form(token: str) -> str:
+    """The coarse form of an occurrence."""
+    return "@" if "@" in token else "9" if _DIGIT.search(token) else "a"
+
+
+def whole(base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """Ranges of the base spans, overlapping ones joined."""
+    out: list[tuple[int, int]] = []
+    for a, _, b in base:
+        if out and a < out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
+def _occurrence(text: str, start: int, end: int, seed: bool) -> dict:
+    """The range with the patterns around it."""
+    token = text[start:end]
+    left, right = text[max(0, start - NEAR):start], text[end:end + NEAR]
+    before, after = left.split(), right.split()
+    glued = before.pop() if before and not left[-1].isspace() else ""
+    if after and not right[0].isspace():
+        after = after[1:]
+    patterns = []
+    for kind, word in (("L", before[-1:]), ("R", after[:1])):
+        if word:
+            patterns += [f"{kind}:{word[0].lower()}", f"{kind}:{word[0].lower()}|{form(token)}"]
+    prefix = _GLUED.search(glued) if seed else _PREFIX.match(token)
+    if prefix:
+        patterns.append(f"P:{prefix[0].lower()}")
+    return {"start": start, "end": end, "instance": token.lower()[:256], "patterns": patterns, "seed": seed}
 
 
 def token_occurrences(text: str, base: list[tuple[int, int, int]]) -> list[dict]:
-    """Identifier-like tokens with their patterns."""
-    out = []
-    if not _DIGIT.search(text):
-        return out
+    """Whole base spans and identifier-like tokens with their patterns."""
+    spans = whole(base)
+    out = [_occurrence(text, a, b, True) for a, b in spans]
+    at = 0
     for m in _TOKEN.finditer(text):
         raw = m[0]
         token = raw.strip(_EDGE)
-        if len(token) < MIN_TOKEN:
+        prefix = _PREFIX.match(token)
+        secret = prefix and prefix[0].lower() in SECRET_PREFIXES and prefix.end() < len(token)
+        if not secret and (len(token) < MIN_TOKEN or form(token) == "a"):
             continue
         start = m.start() + raw.index(token)
         end = start + len(token)
-        before = _BEFORE.search(text[max(0, m.start() - 64):m.start()])
-        after = _AFTER.match(text, m.end(), m.end() + 64)
-        form = shape(token)
-        patterns = [f"{kind}:{word.lower()}|{form}" for kind, word in
-                    (("L", before and before[1]), ("R", after and after[1])) if word]
-        prefix = _PREFIX.match(token)
-        if prefix:
-            patterns.append(f"P:{prefix[0].lower()}")
-        seed = any(a < end and start < b for a, _, b in base)
-        out.append({"start": start, "end": end, "instance": token.lower()[:256], "patterns": patterns, "seed": seed})
+        while at < len(spans) and spans[at][1] <= start:
+            at += 1
+        if at == len(spans) or end <= spans[at][0]:
+            out.append(_occurrence(text, start, end, False))
     return out
 
 

@@ -113,6 +113,26 @@ def test_pii_bootstrap_discovers_unseen(spark):
     assert "email" in spans[0] and "id" not in spans[13]
 
 
+def test_pii_contexts_of_whole_spans(spark):
+    """Words around whole spans find identifiers of other forms: after emails
+    without digits, before and after spaced phones and cards in groups."""
+    rng = random.Random(7)
+    names = ("anna", "bob", "carl", "dora", "emil", "fred", "gina", "hans")
+    cards = ("4111 1111 1111 1111", "5500 0000 0000 0004", "3782 822463 10005", "6011 0000 0000 0004")
+    texts = [f"{prose(rng, 5)} Contact: {n}@example.com now" for n in names]
+    texts += [f"{prose(rng, 5)} Call +1 ({200 + i}) 555-38{i}4 today" for i in range(8)]
+    texts += [f"{prose(rng, 5)} Kartennummer {c} bitte" for c in cards]
+    first = len(texts)
+    texts += ["please Contact: user77@mail77 now", "please Contact: staff-20931 soon", "you Call 0049-30-1234x later",
+              "meine Kartennummer AB-99120-X hier", "with password=hunter and", "the chapter of user77x thing"]
+    _, df = make(spark, texts)
+    spans = {r.doc_id: r.spans for r in pii.personal_data(df).collect()}
+    for i, unseen in enumerate(("user77@mail77", "staff-20931", "0049-30-1234x", "AB-99120-X", "password=hunter")):
+        at = texts[first + i].index(unseen)
+        assert spans[first + i] == f"id:{at}:{at + len(unseen)}", unseen
+    assert spans[first + 5] == "" and all("id" not in spans[i] for i in range(8))
+
+
 def test_promotion_rounds(spark):
     """Plain version of the scoring loop."""
     rows = [(f"p{i % 4}", f"i{i % 9}", i % 9 < 4) for i in range(60)] + [("P:password=", "zz", False)]
