@@ -1,19 +1,24 @@
 """Substring deduplication by paragraph MinHash banding (operator 1).
 
-Lines are cut into paragraphs where the hash of the next four words is the
+Texts are cut into fragments where the hash of the next four words is the
 smallest within ``REACH`` words on either side, so the cuts follow the content:
-a passage copied into the middle of another line is cut at the same places.
-Paragraphs are 5-word shingle sets. Equal ones form a class; each class gives
+a passage copied into the middle of another text, or wrapped at other places,
+is cut at the same places. Beside the fragments stand the written paragraphs
+of ``MIN_PASSAGE`` words or more, for copies with changed words: they end at
+empty lines and around lines of ``LONG_LINE`` words or more; shorter lines are
+joined. Units of both kinds are 5-word shingle sets, salted by the kind, so a
+fragment never meets the paragraph it stands in. Equal ones form a class; each class gives
 ``BANDS`` MinHash values as one-row bands, tuned for recall: a pair at the
 threshold of 0.75 shares none with a chance of 0.25 ** BANDS, 1.6 %. Classes
 that share a band are verified by their exact Jaccard similarity and joined to
-components. A paragraph is repeated if its component has two members or more;
-repeated paragraphs that follow each other are one passage, and passages of
+components. A unit is repeated if its component has two members or more;
+repeated units that touch or overlap are one passage, and passages of
 ``MIN_PASSAGE`` words or more are returned. Of each component the first
-paragraph by (doc_id, position) stays, the others are to be removed.
+unit by (doc_id, position) stays, the others are to be removed.
 
-Defined results: null, empty and very short texts have no paragraphs and no
-rows; a passage repeated inside one document counts; rows that share a doc_id
+Defined results: null, empty and very short texts have no units and no
+rows; fewer than ``MIN_PARAGRAPH`` words before the first cut of a text are no
+fragment; a passage repeated inside one document counts; rows that share a doc_id
 are told apart by their text, and equal rows are each other's copies; a null
 doc_id comes first in the order; documents without repeated passages have no
 rows.
@@ -34,22 +39,35 @@ from segstate.llm.similarity import link, shared_buckets
 
 K, PERCENT = 5, 75
 REACH, BANDS = 6, 3
-MIN_PARAGRAPH, MIN_PASSAGE = 6, 14
+MIN_PARAGRAPH, MIN_PASSAGE, LONG_LINE = 6, 14, 25
+FRAGMENT, WRITTEN = 0, 1
 
-UNITS = "doc_id long, rk long, rid long, idx int, start int, n_words int, n int, cid long, h array<long>"
+UNITS = "doc_id long, rk long, rid long, kind int, start int, n_words int, n int, cid long, h array<long>"
 _TOP = np.uint64(2**64 - 1)
 
 
-def paragraphs(block: T.Block) -> tuple[T.Words, np.ndarray, np.ndarray]:
-    """Words, and first word and length of each paragraph of a block."""
+def written(block: T.Block, w: T.Words) -> np.ndarray:
+    """First words of the written paragraphs of a block with words."""
+    n = len(w.hash)
+    line = np.cumsum(block.data == 10)[w.starts]
+    text = np.zeros(n, dtype=bool)
+    text[w.offsets[:-1][w.counts > 0]] = True
+    fresh = text.copy()
+    fresh[1:] |= line[1:] != line[:-1]
+    first = np.flatnonzero(fresh)
+    long = np.diff(np.append(first, n)) >= LONG_LINE
+    cut = text[first]
+    cut[1:] |= (line[first[1:]] - line[first[:-1]] > 1) | long[1:] | long[:-1]
+    return first[cut]
+
+
+def paragraphs(block: T.Block) -> tuple[T.Words, np.ndarray, np.ndarray, np.ndarray]:
+    """Words, and first word, length and kind of each unit of a block."""
     w = T.Words(block, T.NOT_SPACE, True)
     n = len(w.hash)
     if not n:
-        return w, np.zeros(0, np.int64), np.zeros(0, np.int64)
-    breaks = np.cumsum(block.data == 10)
-    line = breaks[w.starts]
-    head = np.ones(n, dtype=bool)
-    head[1:] = line[1:] != line[:-1]
+        return w, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    head = np.zeros(n, dtype=bool)
     head[w.offsets[:-1][w.counts > 0]] = True
     segment = np.cumsum(head)
     v = np.full(n, _TOP)
@@ -65,14 +83,18 @@ def paragraphs(block: T.Block) -> tuple[T.Words, np.ndarray, np.ndarray]:
         same = segment[j:] == segment[:-j]
         lowest[:-j] &= ~same | (v[:-j] <= v[j:])
         lowest[j:] &= ~same | (v[j:] < v[:-j])
-    starts = np.flatnonzero(head | lowest)
-    return w, starts, np.diff(np.append(starts, n))
+    units = []
+    for kind, starts, least in ((FRAGMENT, np.flatnonzero(head | lowest), MIN_PARAGRAPH), (WRITTEN, written(block, w), MIN_PASSAGE)):
+        sizes = np.diff(np.append(starts, n))
+        some = sizes >= least
+        units.append((starts[some], sizes[some], np.full(int(some.sum()), kind)))
+    return w, *(np.concatenate(x) for x in zip(*units, strict=True))
 
 
-def _unit_shingles(w: T.Words, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _unit_shingles(w: T.Words, starts: np.ndarray, sizes: np.ndarray, kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     wins = sizes - K + 1
     at = T.ragged(starts, wins)
-    h = np.full(len(at), K, dtype=np.uint64)
+    h = np.repeat(kinds * 1000 + K, wins).astype(np.uint64)
     for j in range(K):
         h = T.mix(h * np.uint64(0x9E3779B97F4A7C15) + w.hash[at + j])
     return h, wins
@@ -81,15 +103,11 @@ def _unit_shingles(w: T.Words, starts: np.ndarray, sizes: np.ndarray) -> tuple[n
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for block in T.blocks(batch.column("text")):
-            w, starts, sizes = paragraphs(block)
-            doc = np.searchsorted(w.offsets, starts, "right") - 1
-            some = sizes >= MIN_PARAGRAPH
-            starts, sizes, doc = starts[some], sizes[some], doc[some]
+            w, starts, sizes, kinds = paragraphs(block)
             if not len(starts):
                 continue
-            # position of the paragraph among those of its text
-            idx = np.arange(len(starts)) - np.searchsorted(doc, doc)
-            sh, wins = _unit_shingles(w, starts, sizes)
+            doc = np.searchsorted(w.offsets, starts, "right") - 1
+            sh, wins = _unit_shingles(w, starts, sizes, kinds)
             at = np.cumsum(wins) - wins
             mins = np.stack([np.minimum.reduceat(T.seeded(sh, 50 + b), at) for b in range(BANDS)], axis=1)
             mins = T.mix(mins + np.arange(BANDS, dtype=np.uint64))
@@ -101,22 +119,22 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows = pa.array(block.first + doc)
             yield pa.RecordBatch.from_arrays([
                 batch.column("doc_id").take(rows), batch.column("rk").take(rows), batch.column("rid").take(rows),
-                pa.array(idx.astype(np.int32)), pa.array((starts - w.offsets[doc]).astype(np.int32)),
+                pa.array(kinds.astype(np.int32)), pa.array((starts - w.offsets[doc]).astype(np.int32)),
                 pa.array(sizes.astype(np.int32)), pa.array(wins.astype(np.int32)), pa.array(T.signed(cid)), lists],
-                names=["doc_id", "rk", "rid", "idx", "start", "n_words", "n", "cid", "h"])
+                names=["doc_id", "rk", "rid", "kind", "start", "n_words", "n", "cid", "h"])
 
 
 def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(cid, set): shingles of the wanted paragraphs of each text."""
+    """(cid, set): shingles of the wanted units of each text."""
     for batch in batches:
         for block in T.blocks(batch.column("text")):
             w = T.Words(block, T.NOT_SPACE, True)
             want = batch.column("want")[block.first:block.first + block.n].to_pylist()
-            flat = [(x["cid"], w.offsets[d] + x["start"], x["n_words"]) for d, xs in enumerate(want) for x in xs]
+            flat = [(x["cid"], w.offsets[d] + x["start"], x["n_words"], x["kind"]) for d, xs in enumerate(want) for x in xs]
             if not flat:
                 continue
-            cid, starts, sizes = (np.array(c, dtype=np.int64) for c in zip(*flat, strict=True))
-            sets, n = T.distinct(*_unit_shingles(w, starts, sizes))
+            cid, starts, sizes, kinds = (np.array(c, dtype=np.int64) for c in zip(*flat, strict=True))
+            sets, n = T.distinct(*_unit_shingles(w, starts, sizes, kinds))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(cid), pa.ListArray.from_arrays(np.append(0, np.cumsum(n)).astype(np.int32), pa.array(T.signed(sets)))],
                 names=["cid", "set"])
@@ -131,15 +149,15 @@ def similar(a: Column, b: Column) -> Column:
 def repeated_passages(docs: DataFrame, min_words: int = MIN_PASSAGE) -> DataFrame:
     """(doc_id, start, end, component, first_doc_id, n_removed): passages, as
     ranges of words, that repeat elsewhere. ``component`` is that of the first
-    paragraph, ``first_doc_id`` where its kept copy stands, ``n_removed`` the
+    unit, ``first_doc_id`` where its kept copy stands, ``n_removed`` the
     words of the passage that go."""
     units = stored(docs.select("doc_id", row_key().alias("rk"), F.monotonically_increasing_id().alias("rid"), "text")
                    .mapInArrow(_units, UNITS), "paragraphs")
     classes = units.groupBy("cid").agg(F.any_value("h").alias("hs"), F.min("n").alias("n"))
     shared = shared_buckets(classes.select("cid", "n", F.explode("hs").alias("h")))
     near = shared.select("cid").distinct()
-    reps = units.join(near, "cid").groupBy("cid").agg(F.min(F.struct("rk", "start", "n_words")).alias("r"))
-    wanted = reps.groupBy("r.rk").agg(F.collect_list(F.struct("cid", "r.start", "r.n_words")).alias("want"))
+    reps = units.join(near, "cid").groupBy("cid").agg(F.min(F.struct("rk", "start", "n_words", "kind")).alias("r"))
+    wanted = reps.groupBy("r.rk").agg(F.collect_list(F.struct("cid", "r.start", "r.n_words", "r.kind")).alias("want"))
     sets = stored(docs.select(row_key().alias("rk"), "text").join(wanted, "rk").dropDuplicates(["rk"])
                   .select("text", "want").mapInArrow(_contents, "cid long, set array<long>"), "contents")
 
@@ -150,17 +168,24 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_PASSAGE) -> DataFram
 
     labels = link(shared, verify, PERCENT, lambda wanted: sets.join(wanted, "cid"))
     whole = units.drop("h", "n", "rk").join(labels, F.col("cid") == F.col("node"), "left").select(
-        "doc_id", "rid", "idx", "start", "n_words", F.coalesce("comp", "cid").alias("comp"))
+        "doc_id", "rid", "kind", "start", "n_words", F.coalesce("comp", "cid").alias("comp"))
     whole = stored(whole, "labelled")
-    firsts = (whole.groupBy("comp").agg(F.count("*").alias("k"), F.min(F.struct("doc_id", "rid", "idx")).alias("first"))
+    firsts = (whole.groupBy("comp").agg(F.count("*").alias("k"), F.min(F.struct("doc_id", "rid", "start")).alias("first"))
               .where("k > 1").drop("k"))
-    again = whole.join(firsts, "comp").withColumn(
-        "removed", ~(F.struct("doc_id", "rid", "idx").eqNullSafe(F.col("first"))))
-    near_by = Window.partitionBy("rid").orderBy("idx")
-    runs = (again.withColumn("run", F.col("idx") - F.row_number().over(near_by))
+    end = F.col("start") + F.col("n_words")
+    removed = ~F.struct("doc_id", "rid", "start").eqNullSafe(F.col("first"))
+    again = whole.join(firsts, "comp").withColumn("end", end).withColumn("gone", F.when(removed, F.col("end")))
+    in_order = Window.partitionBy("rid").orderBy("start", "kind")
+    before = in_order.rowsBetween(Window.unboundedPreceding, -1)
+    # words of a unit that no earlier unit covers or removes
+    seen = (again.withColumn("fresh", F.coalesce(F.col("start") > F.max("end").over(before), F.lit(True)).cast("int"))
+            .withColumn("n_gone", F.when(F.col("gone").isNotNull(), F.greatest(
+                F.lit(0), F.col("end") - F.greatest("start", F.coalesce(F.max("gone").over(before), F.lit(0)))))))
+    runs = (seen.withColumn("run", F.sum("fresh").over(in_order))
             .groupBy("doc_id", "rid", "run").agg(
-                F.min("start").alias("start"), F.max(F.col("start") + F.col("n_words")).alias("end"),
-                F.min_by("comp", "idx").alias("component"), F.min_by("first.doc_id", "idx").alias("first_doc_id"),
-                F.sum(F.when(F.col("removed"), F.col("n_words")).otherwise(0)).alias("n_removed")))
+                F.min("start").alias("start"), F.max("end").alias("end"),
+                F.min_by("comp", F.struct("start", "kind")).alias("component"),
+                F.min_by("first.doc_id", F.struct("start", "kind")).alias("first_doc_id"),
+                F.coalesce(F.sum("n_gone"), F.lit(0)).alias("n_removed")))
     return runs.where(F.col("end") - F.col("start") >= min_words).select(
         "doc_id", "start", "end", "component", "first_doc_id", "n_removed")

@@ -271,6 +271,27 @@ def test_paragraph_recall(spark):
     assert not {d for d in found if d >= clean}
 
 
+def test_paragraphs_in_short_lines_and_with_a_changed_word(spark):
+    """A passage wrapped in lines of 4 words or of 9 is found, and a written
+    paragraph with one changed word goes as a whole."""
+    rng = random.Random(12)
+    own = lambda n: [f"u{rng.randrange(10**9)}" for _ in range(n)]
+    wrap = lambda ws, n: "\n".join(" ".join(ws[i:i + n]) for i in range(0, len(ws), n))
+    verse, para = own(60), own(60)
+    changed = [*para[:30], "changed", *para[31:]]
+    texts = [wrap(verse, 4), "\n".join([wrap(own(40), 4), wrap(verse, 4), wrap(own(20), 4)]), wrap(own(30), 7) + "\n" + wrap(verse, 9),
+             "\n".join([" ".join(own(50)), " ".join(para), " ".join(own(50))]),
+             "\n".join([" ".join(own(70)), " ".join(changed), " ".join(own(40))]), " ".join(own(90))]
+    _, df = make(spark, texts)
+    rows = paragraphs.repeated_passages(df).collect()
+    got = {r.doc_id: r for r in rows}
+    assert len(got) == len(rows) and set(got) == {0, 1, 2, 3, 4}
+    for d, at in ((1, 40), (2, 30)):
+        assert got[d].start <= at + 20 and got[d].end >= at + 40 and got[d].first_doc_id == 0 and got[d].n_removed >= 30
+    assert (got[4].start, got[4].end, got[4].n_removed, got[4].first_doc_id) == (70, 130, 60, 3)
+    assert (got[3].start, got[3].end, got[3].n_removed) == (50, 110, 0)
+
+
 def test_chat(spark):
     rows = [(1, 0, "user", "hi"), (1, 1, "assistant", None), (1, 2, None, "</s>\n<s>[user]\n\\[x]"), (2, 5, "assistant", ""),
             (2, 5, "assistant", ""), (3, 0, "system", "é" * 10), (3, 7, "assistant", "a<b\\"), (None, 0, "user", "lost")]
