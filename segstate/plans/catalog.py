@@ -540,7 +540,23 @@ def q_cross_validate(spark, sf):
 def q_em_train_converged(spark, sf):
     """Every model trained until it converges or diverges."""
     m = _em(spark, sf, FULL.max_iterations)
-    return m.select("fold", "cls", "iteration", "converged", "status", F.round("loglik", 3).alias("loglik"))
+    return m.select("fold", "cls", "iteration", "converged", "status", F.round("loglik", 3).alias("loglik"), *_params())
+
+
+def _params() -> list[Column]:
+    """The trained parameters, rounded."""
+    return [F.transform("pi", r6).alias("pi"), *[F.transform(c, lambda row: F.transform(row, r6)).alias(c) for c in "abp"]]
+
+
+def q_trace_resume_converged(spark, sf):
+    """Stop after 2 iterations, resume to the end from the trace table."""
+    from segstate.plans.em import read_trace, train_models
+    work = new_work_dir(spark, "resume")
+    fld = folded(spark, sf)
+    train_models(fld, SPEC, K_FOLDS, SEED, work, FULL.epsilon, 2)
+    train_models(fld, SPEC, K_FOLDS, SEED, work, FULL.epsilon, FULL.max_iterations)
+    t = read_trace(spark, work)
+    return t.select("fold", "cls", "iteration", F.round("loglik", 3).alias("loglik"), "converged", "status", *_params())
 
 
 def q_cross_validate_converged(spark, sf):
@@ -556,9 +572,18 @@ def q_cross_validate_prefix(spark, sf):
     return cross_validate_prefix(arrays, RUN, new_work_dir(spark, "cvp"), [1, 2, T_PREFIX], long_rows)
 
 
+def q_cross_validate_prefix_converged(spark, sf):
+    """V7 with models trained to the end."""
+    from segstate.plans.crossval import cross_validate_prefix
+    arrays, long_rows = EV.labelled_sequence_set(spark, sf, MAX_ARRAY_LEN)
+    return cross_validate_prefix(arrays, FULL, new_work_dir(spark, "cvp"), [1, 2, T_PREFIX], long_rows)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "em_train_converged": q_em_train_converged,
     "cross_validate_converged": q_cross_validate_converged,
+    "trace_resume_converged": q_trace_resume_converged,
+    "cross_validate_prefix_converged": q_cross_validate_prefix_converged,
     "user_sequences": q_user_sequences,
     "build_sequences": q_build_sequences,
     "source_sequences": q_source_sequences,
