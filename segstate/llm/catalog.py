@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from segstate.llm import bpe, chat, fmindex, hosts, licenses, lines, neardup, paragraphs, pii, quality
+from segstate.llm import bpe, chat, fmindex, hosts, licenses, lines, merkle, neardup, paragraphs, pii, quality, repair, simhash
 from segstate.llm.common import table
 from segstate.llm.oracles import ORACLES  # noqa: F401
 
@@ -64,6 +64,21 @@ def q_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def q_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    leaves, tops, nodes = merkle.manifest(table(spark, sf_dir, "documents"), merkle.tampered_text())
+    return merkle.multiproofs(leaves, tops, nodes)
+
+
+def q_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = table(spark, sf_dir, "conversations")
+    return repair.repair(repair.damage(told), told)
+
+
+def q_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash.hex_digits().alias("fingerprint"), "component_id")
+
+
 QUERIES = {
     "op1_paragraph_dedup": q_paragraphs,
     "op2_quality_divergence": q_quality,
@@ -75,4 +90,7 @@ QUERIES = {
     "op8_reply_trees": q_chat,
     "op9_bpe": q_bpe,
     "op10_license_scan": q_licenses,
+    "op11_merkle_manifest": q_merkle,
+    "op12_structure_repair": q_repair,
+    "op13_simhash": q_simhash,
 }
