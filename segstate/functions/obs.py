@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 
 def parse_obs(str_obs: Column) -> Column:
-    """``'0;3;1'`` -> ``array<int>``."""
-    return F.transform(F.split(str_obs, ";"), lambda x: x.cast("int"))
+    """``'0;3;1'`` -> ``array<int>``; what is no number is a null symbol, which
+    no model accepts (Q17)."""
+    return F.transform(F.split(str_obs, ";"), lambda x: x.try_cast("int"))
 
 
 def obs_to_str(obs: Column) -> Column:

@@ -1,11 +1,12 @@
 """E-step over all models at once (R9 + R10).
 
-Rows are (fold, cls, obs) training rows with the parameters of their model
-attached (broadcast join on (fold, cls)). Each task runs the vectorised
-kernel on its Arrow batches, grouped by sequence length so that no padding is
-needed, and adds the per-sequence estimates per model. A task emits one small
-long-form block: (fold, cls, param, i, j, value) per model it saw, never one
-row per sequence. The final sum is a two-phase hash aggregate.
+Rows are the fold table (cls, kfold, obs), without parameters; a sequence of
+fold g trains the models of its class with fold != g, and the (sequence, model)
+pairs are formed inside the task. Whole sequences run through the vectorised
+kernel, grouped by length so that no padding is needed; sequences in blocks
+through ``blockpass``. A task emits one small long-form block (fold, cls, param,
+i, j, value) per model it saw, never one row per sequence; the final sum is a
+two-phase hash aggregate.
 """
 
 from __future__ import annotations
@@ -17,143 +18,46 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from segstate.operators import kernel
-from segstate.operators.joins import attach_models
+from segstate.operators import blockpass, kernel
+from segstate.operators.blockpass import CELL_BUDGET, check_symbols
+from segstate.operators.scoring import model_params
 from segstate.spec import HsmmSpec
 
 STATS_SCHEMA = "fold int, cls int, param string, i int, j int, value double"
-CELL_BUDGET = 2_000_000  # N*T*M*D cells per kernel call (16 MB per array)
-
-
-def _lists(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    lens = col.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-    vals = col.flatten().to_numpy(zero_copy_only=False)
-    return lens, vals
-
-
-def check_symbols(vals: np.ndarray, k: int) -> None:
-    """Q17: a symbol outside [0, k) is an input error, never wrapped."""
-    if len(vals) and (vals.min() < 0 or vals.max() >= k):
-        bad = vals[(vals < 0) | (vals >= k)][0]
-        raise ValueError(f"symbol {bad} outside [0, {k})")
-
-
-def _fixed(col: pa.Array, n: int, shape: tuple[int, ...]) -> np.ndarray:
-    return col.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape((n, *shape))
-
-
-def _emit(acc: dict, spec: HsmmSpec) -> pa.RecordBatch:
-    cols = {c: [] for c in ("fold", "cls", "param", "i", "j", "value")}
-
-    def put(key, param, arr):
-        arr = np.atleast_2d(arr)
-        for i in range(arr.shape[0]):
-            for j in range(arr.shape[1]):
-                cols["fold"].append(key[0]); cols["cls"].append(key[1])
-                cols["param"].append(param); cols["i"].append(i); cols["j"].append(j)
-                cols["value"].append(float(arr[i, j]))
-
-    for key, s in acc.items():
-        put(key, "loglik", np.array([[s["loglik"]]]))
-        put(key, "n_seq", np.array([[s["n_seq"]]]))
-        put(key, "n_undefined", np.array([[s["n_undefined"]]]))
-        put(key, "pi", s["pi"][:, None])
-        put(key, "a", s["a"])
-        put(key, "b", s["b"])
-        put(key, "p", s["p"])
-    return pa.RecordBatch.from_pydict(cols, schema=pa.schema([
-        ("fold", pa.int32()), ("cls", pa.int32()), ("param", pa.string()),
-        ("i", pa.int32()), ("j", pa.int32()), ("value", pa.float64())]))
-
-
-def partial_sums(spec: HsmmSpec, skip_undefined: bool = False):
-    """Per-task sums per model. With ``skip_undefined`` a sequence whose
-    estimates hold a NaN (0/0, Q10) is left out of the sums and counted in
-    ``n_undefined``; by default it poisons the sums like the reference."""
-    m, k, d = spec.m, spec.k, spec.d
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        acc: dict = {}
-        for batch in batches:
-            n = batch.num_rows
-            if n == 0:
-                continue
-            folds = batch.column("fold").to_numpy(zero_copy_only=False)
-            clss = batch.column("cls").to_numpy(zero_copy_only=False)
-            lens, vals = _lists(batch.column("obs"))
-            check_symbols(vals, k)
-            offs = np.concatenate([[0], np.cumsum(lens)])
-            pi = _fixed(batch.column("pi"), n, (m,))
-            a = _fixed(batch.column("a"), n, (m, m))
-            b = _fixed(batch.column("b"), n, (m, k))
-            p = _fixed(batch.column("p"), n, (m, d))
-            for t_len in np.unique(lens):
-                if t_len == 0:
-                    continue
-                rows = np.nonzero(lens == t_len)[0]
-                step = max(1, CELL_BUDGET // int(t_len * m * max(d, m, k)))
-                for lo in range(0, len(rows), step):
-                    sel = rows[lo: lo + step]
-                    obs = vals[offs[sel][:, None] + np.arange(t_len)[None, :]].astype(np.int64)
-                    sc, npi, na, nb, np_ = kernel.e_step(obs, k, pi[sel], a[sel], b[sel], p[sel])
-                    keys = np.stack([folds[sel], clss[sel]], axis=1)
-                    bad = None
-                    if skip_undefined:
-                        bad = (np.isnan(npi).any(axis=1) | np.isnan(na).any(axis=(1, 2))
-                               | np.isnan(nb).any(axis=(1, 2)) | np.isnan(np_).any(axis=(1, 2)))
-                    for key in {tuple(x) for x in keys.tolist()}:
-                        mk = (keys[:, 0] == key[0]) & (keys[:, 1] == key[1])
-                        n_bad = 0.0
-                        if bad is not None:
-                            n_bad = float((mk & bad).sum())
-                            mk = mk & ~bad
-                        s = acc.get(key)
-                        if s is None:
-                            s = acc[key] = {"loglik": 0.0, "n_seq": 0.0, "n_undefined": 0.0,
-                                            "pi": np.zeros(m), "a": np.zeros((m, m)),
-                                            "b": np.zeros((m, k)), "p": np.zeros((m, d))}
-                        s["loglik"] += sc[mk].sum()
-                        s["n_seq"] += float(mk.sum())
-                        s["n_undefined"] += float((~np.isfinite(sc[mk])).sum()) + n_bad
-                        s["pi"] += npi[mk].sum(axis=0)
-                        s["a"] += na[mk].sum(axis=0)
-                        s["b"] += nb[mk].sum(axis=0)
-                        s["p"] += np_[mk].sum(axis=0)
-        if acc:
-            yield _emit(acc, spec)
-
-    return run
-
-
-def e_step_stats(train: DataFrame, models: DataFrame, spec: HsmmSpec,
-                 n_models: int | None = None, long_train: DataFrame | None = None,
-                 skip_undefined: bool = False) -> DataFrame:
-    """Summed per-sequence estimates per model: (fold, cls, param, i, j, value).
-
-    ``train`` has (fold, cls, obs); ``models`` has (fold, cls, pi, a, b, p)
-    with the parameters the E-step must use. ``long_train`` holds the
-    long-form training rows (fold, cls, workitem, ts, event_id, sym) of
-    sequences too long for arrays; their partial sums join the same sum."""
-    rows = train.select("fold", "cls", "obs").where(F.size("obs") > 0)
-    joined = attach_models(rows, models.select("fold", "cls", "pi", "a", "b", "p"),
-                           ["fold", "cls"], spec, n_models)
-    flat = joined.select("fold", "cls", "obs", "pi", F.flatten("a").alias("a"),
-                         F.flatten("b").alias("b"), F.flatten("p").alias("p"))
-    partial = flat.mapInArrow(partial_sums(spec, skip_undefined), STATS_SCHEMA)
-    if long_train is not None:
-        from segstate.operators.longseq import long_e_step_stats
-        partial = partial.unionByName(long_e_step_stats(long_train, models, spec, params=params,
-                                                        skip_undefined=skip_undefined))
-    return (partial.groupBy("fold", "cls", "param", "i", "j")
-            .agg(F.sum("value").alias("value")))
+_ARROW = pa.schema([("fold", pa.int32()), ("cls", pa.int32()), ("param", pa.string()), ("i", pa.int32()), ("j", pa.int32()),
+                    ("value", pa.float64())])
+PARAMS = ("loglik", "n_seq", "n_undefined", "pi", "a", "b", "p")
+
+
+def _emit(sums: dict, spec: HsmmSpec) -> pa.RecordBatch:
+    """Long form of the sums of each model: scalars, vectors and matrices."""
+    parts = []
+    for name in (x for x in PARAMS if x in next(iter(sums.values()))):
+        cells = np.stack([np.asarray(s[name], dtype=float) for s in sums.values()])
+        shape = (cells.shape + (1, 1))[1:3]  # scalars and vectors have one column
+        model, i, j = (x.ravel() for x in np.indices((len(sums), *shape)))
+        parts.append((name, model, i, j, cells.ravel()))
+    keys = np.array(list(sums), dtype=np.int32).reshape(-1, 2)
+    model = np.concatenate([p[1] for p in parts])
+    names = np.repeat([p[0] for p in parts], [len(p[1]) for p in parts])
+    return pa.RecordBatch.from_arrays(
+        [pa.array(keys[model, 0]), pa.array(keys[model, 1]), pa.array(names.tolist(), pa.string()),
+         *(pa.array(np.concatenate([p[x] for p in parts]).astype(np.int32)) for x in (2, 3)),
+         pa.array(np.concatenate([p[4] for p in parts]))], schema=_ARROW)
+
+
+def _add(total: np.ndarray, model: np.ndarray, values: np.ndarray) -> None:
+    """total[model] += values, for sorted ``model``."""
+    if len(model):
+        starts = np.flatnonzero(np.append(True, model[1:] != model[:-1]))
+        total[model[starts]] += np.add.reduceat(values, starts, axis=0)
 
 
 def partial_sums_by_fold(spec: HsmmSpec, params: dict, k: int, skip_undefined: bool = False):
-    """Like ``partial_sums`` for rows that are *not* fanned out: every row is
-    a sequence (cls, kfold, obs) and trains the models (f, cls), f != kfold,
-    found in ``params``. The (sequence, model) pairs are formed inside the
-    task and each length group runs as one vectorised kernel call, so rows
-    cross Arrow once and parameters not at all."""
+    """Sums over whole sequences (cls, kfold, obs) of the models in ``params``.
+    With ``skip_undefined`` a sequence whose estimates hold a NaN (0/0, Q10) is
+    left out and counted in ``n_undefined``; by default it poisons the sums like
+    the reference."""
     m, kk, d = spec.m, spec.k, spec.d
     keys = sorted(params)
     stack = [np.stack([params[key][x] for key in keys]) for x in range(4)]  # pi, a, b, p
@@ -174,20 +78,26 @@ def partial_sums_by_fold(spec: HsmmSpec, params: dict, k: int, skip_undefined: b
                 continue
             clss = batch.column("cls").to_numpy(zero_copy_only=False)
             kfolds = batch.column("kfold").to_numpy(zero_copy_only=False)
-            lens, vals = _lists(batch.column("obs"))
+            obs_col = batch.column("obs")
+            lens = obs_col.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            vals = obs_col.flatten().to_numpy(zero_copy_only=False)
             check_symbols(vals, kk)
             offs = np.concatenate([[0], np.cumsum(lens)])
-            ccol = np.array([col_of.get(c, -1) for c in clss.tolist()], dtype=np.int64)
+            ccol = np.full(batch.num_rows, -1, dtype=np.int64)
+            for c, i in col_of.items():
+                ccol[clss == c] = i
             for t_len in np.unique(lens):
                 if t_len == 0:
                     continue
-                rows = np.nonzero((lens == t_len) & (ccol >= 0))[0]
+                rows = np.flatnonzero((lens == t_len) & (ccol >= 0))
                 # (sequence, model) pairs: every fold but the row's own
                 rep = np.repeat(rows, k)
                 fold = np.tile(np.arange(k), len(rows))
                 model = index[fold, ccol[rep]]
                 ok = (fold != kfolds[rep]) & (model >= 0)
                 rep, model = rep[ok], model[ok]
+                order = np.argsort(model, kind="stable")
+                rep, model = rep[order], model[order]
                 step = max(1, CELL_BUDGET // int(t_len * m * max(d, m, kk)))
                 for lo in range(0, len(rep), step):
                     r, mdl = rep[lo: lo + step], model[lo: lo + step]
@@ -198,41 +108,40 @@ def partial_sums_by_fold(spec: HsmmSpec, params: dict, k: int, skip_undefined: b
                         good = ~(np.isnan(npi).any(axis=1) | np.isnan(na).any(axis=(1, 2))
                                  | np.isnan(nb).any(axis=(1, 2)) | np.isnan(np_).any(axis=(1, 2)))
                     seen[mdl] = True
-                    np.add.at(sums["n_undefined"], mdl[~good], 1.0)
+                    _add(sums["n_undefined"], mdl, (~good | ~np.isfinite(sc)).astype(float))
                     g = mdl[good]
-                    np.add.at(sums["loglik"], g, sc[good])
-                    np.add.at(sums["n_seq"], g, 1.0)
-                    np.add.at(sums["n_undefined"], g, (~np.isfinite(sc[good])).astype(float))
-                    np.add.at(sums["pi"], g, npi[good])
-                    np.add.at(sums["a"], g, na[good])
-                    np.add.at(sums["b"], g, nb[good])
-                    np.add.at(sums["p"], g, np_[good])
-        acc = {keys[n]: {name: (v[n] if v.ndim > 1 else float(v[n])) for name, v in sums.items()}
-               for n in np.nonzero(seen)[0]}
+                    _add(sums["n_seq"], g, np.ones(len(g)))
+                    for name, v in (("loglik", sc), ("pi", npi), ("a", na), ("b", nb), ("p", np_)):
+                        _add(sums[name], g, v[good])
+        acc = {keys[n]: {name: v[n] for name, v in sums.items()} for n in np.flatnonzero(seen)}
         if acc:
             yield _emit(acc, spec)
 
     return run
 
 
-def e_step_stats_folded(folded: DataFrame, models: DataFrame, spec: HsmmSpec, k: int,
-                        long_train: DataFrame | None = None,
-                        skip_undefined: bool = False, params: dict | None = None) -> DataFrame:
-    """E-step sums of every model in ``models`` over the fold table
-    (workitem, cls, kfold, obs): a sequence of fold g trains the models of
-    its class with fold != g (P4 inside the task). The model table is
-    bounded (one row per model) and size-checked before it ships; a caller
-    that already holds it as ``params`` ((fold, cls) -> numpy pi, a, b, p)
-    saves the round trip."""
-    from segstate.operators.longseq import model_params
-
+def partial_sums(folded: DataFrame, params: dict, spec: HsmmSpec, k: int, skip_undefined: bool = False,
+                 parts: bool | None = None) -> DataFrame:
+    """``STATS_SCHEMA`` rows of every task. ``parts`` tells whether some sequences
+    stand in several blocks, for callers that know."""
+    rows = blockpass.whole_rows(folded.where(F.col("obs").isNotNull()))
+    partial = rows.select("cls", "kfold", "obs").mapInArrow(partial_sums_by_fold(spec, params, k, skip_undefined), STATS_SCHEMA)
+    if blockpass.has_parts(folded) if parts is None else parts:
+        blocks = blockpass.consume_blocks(blockpass.part_rows(folded), params, spec, blockpass.trained_by(params),
+                                          lambda: blockpass.EStep(spec, skip_undefined, _emit), STATS_SCHEMA)
+        partial = partial.unionByName(blocks)
+    return partial
+
+
+def e_step_stats_folded(folded: DataFrame, models: DataFrame | dict, spec: HsmmSpec, k: int,
+                        skip_undefined: bool = False, parts: bool | None = None) -> DataFrame:
+    """E-step sums of every model over the fold table (cls, kfold, obs and, for
+    sequences in blocks, rid, t0, whole). ``models`` is a table or what
+    ``model_params`` gives. Models beyond the limit for tables that travel with
+    the tasks are joined to the symbols (``wide``)."""
+    params = models if isinstance(models, dict) else model_params(models, spec)
     if params is None:
-        params = model_params(models, spec)
-    rows = folded.select("cls", "kfold", "obs").where(F.col("obs").isNotNull() & (F.size("obs") > 0))
-    partial = rows.mapInArrow(partial_sums_by_fold(spec, params, k, skip_undefined), STATS_SCHEMA)
-    if long_train is not None:
-        from segstate.operators.longseq import long_e_step_stats
-        partial = partial.unionByName(long_e_step_stats(long_train, models, spec, params=params,
-                                                        skip_undefined=skip_undefined))
-    return (partial.groupBy("fold", "cls", "param", "i", "j")
-            .agg(F.sum("value").alias("value")))
+        from segstate.operators.wide import wide_e_step
+        return wide_e_step(folded, models, spec, skip_undefined)
+    return (partial_sums(folded, params, spec, k, skip_undefined, parts)
+            .groupBy("fold", "cls", "param", "i", "j").agg(F.sum("value").alias("value")))

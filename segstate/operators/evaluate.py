@@ -1,10 +1,9 @@
 """Scoring under two models and the confusion metrics.
 
 Instead of scoring a split twice and joining the two results on workitem,
-the two models of a fold are put side by side in one row per fold
-(``model_pairs``), attached to every validation row with one broadcast
-equi-join on ``fold``, and both scores are computed in the same projection.
-The confusion counts of all folds are one ``groupBy(fold)``.
+every validation row gets both scores in the same pass (``scoring``), so an id
+that occurs in both classes never mixes. The confusion counts of all folds are
+one ``groupBy(fold)``.
 """
 
 from __future__ import annotations
@@ -13,33 +12,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from segstate.functions.arrays import ieee_div
-from segstate.functions.obs import obs_prefix
-from segstate.operators.forward import forward_score
-from segstate.operators.joins import attach_models
+from segstate.operators.scoring import model_params, prefix_scores
 from segstate.spec import HsmmSpec
 
 
-def model_pairs(models: DataFrame) -> DataFrame:
-    """One row per fold: parameters of the class-1 model (suffix 1) and of
-    the class-0 model (suffix 0)."""
-    def side(c: int) -> DataFrame:
-        return models.where(F.col("cls") == c).select(
-            "fold", *[F.col(x).alias(f"{x}{c}") for x in ("pi", "a", "b", "p")])
-    return side(1).join(side(0), "fold")
-
-
-def score_both(valid: DataFrame, models: DataFrame, spec: HsmmSpec, n_folds: int,
-               t_prefix: int | Column | None = None) -> DataFrame:
+def score_both(valid: DataFrame, models: DataFrame | dict, spec: HsmmSpec, n_folds: int,
+               t_prefix: int | list[int] | None = None) -> DataFrame:
     """V1/V2 + V3: (workitem, cls, fold, score1, score0) for rows with ``fold``.
-    ``t_prefix`` may be a column, so several prefix lengths score in one pass."""
-    joined = attach_models(valid, model_pairs(models), ["fold"], spec,
-                           n_models=n_folds, per_row_models=2)
-    obs = F.col("obs") if t_prefix is None else obs_prefix(F.col("obs"), t_prefix)
-
-    def s(c: int) -> Column:
-        return forward_score(obs, F.col(f"pi{c}"), F.col(f"a{c}"), F.col(f"b{c}"), F.col(f"p{c}"), spec)
-    keep = ["t_prefix"] if "t_prefix" in valid.columns else []
-    return joined.select("workitem", "cls", "fold", *keep, s(1).alias("score1"), s(0).alias("score0"))
+    A list of prefix lengths scores all of them in one pass and adds the column
+    ``t_prefix``. Models that are too large to travel with the tasks are joined
+    to the symbols instead (``wide``)."""
+    lengths = t_prefix if isinstance(t_prefix, list) else [t_prefix]
+    params = models if isinstance(models, dict) else model_params(models, spec)
+    if params is None:
+        from segstate.operators.wide import wide_scores
+        scores = wide_scores(valid, models, spec, lengths)
+    else:
+        scores = prefix_scores(valid, params, spec, lengths)
+    return scores if isinstance(t_prefix, list) else scores.drop("t_prefix")
 
 
 def predict(score1: Column, score0: Column) -> Column:

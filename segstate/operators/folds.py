@@ -5,8 +5,12 @@ the rows are range-partitioned on (class, order key) and sorted inside each
 partition, so the partitions hold consecutive runs of the order. A tiny table
 of per-(partition, class) counts (partitions x classes rows) gives every
 partition its starting offset, and row number = offset + local position. The
-range-partitioned data is checkpointed first so that the count pass and the
+range-partitioned keys are stored first so that the count pass and the
 numbering pass see identical partitions even after a lost executor.
+
+Sequence tables have one row per block of a sequence (``sources.blocks``); their
+numbers and folds are worked out on slim keys, one per sequence, and joined back
+on the row id.
 """
 
 from __future__ import annotations
@@ -15,6 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from segstate.functions.hashing import hash_key
+from segstate.session import materialize
 
 
 def ordered_row_number(df: DataFrame, group: str, order: list[str], out: str = "row_id",
@@ -23,11 +28,10 @@ def ordered_row_number(df: DataFrame, group: str, order: list[str], out: str = "
     distributed over range partitions. ``order`` must be a total order
     inside each group."""
     # without an explicit count AQE may coalesce the range partitions
-    ranged = (df.repartitionByRange(*([partitions] if partitions else []), group, *order)
-              .sortWithinPartitions(group, *order)
-              .withColumn("_pid", F.spark_partition_id())
-              .withColumn("_mid", F.monotonically_increasing_id())
-              .checkpoint(eager=True))
+    ranged = materialize(df.repartitionByRange(*([partitions] if partitions else []), group, *order)
+                         .sortWithinPartitions(group, *order)
+                         .withColumn("_pid", F.spark_partition_id())
+                         .withColumn("_mid", F.monotonically_increasing_id()), "numbered")
     counts = ranged.groupBy("_pid", group).agg(F.count("*").alias("_n"), F.min("_mid").alias("_first"))
     before = Window.partitionBy(group).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_pid", group, "_first",
@@ -38,9 +42,22 @@ def ordered_row_number(df: DataFrame, group: str, order: list[str], out: str = "
             .drop("_pid", "_mid", "_first", "_off"))
 
 
-def row_ids(seqs: DataFrame) -> DataFrame:
-    """``row_id`` in ``workitem`` order inside each class."""
-    return ordered_row_number(seqs, "cls", ["workitem"], "row_id")
+def sequence_keys(seqs: DataFrame) -> DataFrame:
+    """(rid, workitem, cls), one row per sequence of a sequence table."""
+    return seqs.where(F.col("t0") == 0).select("rid", "workitem", "cls")
+
+
+def row_ids(keys: DataFrame) -> DataFrame:
+    """``row_id`` in ``workitem`` order inside each class; ids that repeat
+    are told apart by the row id."""
+    return ordered_row_number(keys, "cls", [c for c in ("workitem", "rid") if c in keys.columns], "row_id")
+
+
+def folded_sequences(seqs: DataFrame, k: int, seed: int, with_row_ids: bool = False) -> DataFrame:
+    """A sequence table with ``kfold`` (K1) and, when asked, ``row_id``."""
+    keys = sequence_keys(seqs)
+    numbered = assign_folds(row_ids(keys) if with_row_ids else keys, k, seed)
+    return seqs.join(numbered.drop("workitem", "cls"), "rid")
 
 
 def fold_order_key(seed: int):
@@ -81,7 +98,8 @@ def assign_folds(seqs: DataFrame, k: int, seed: int) -> DataFrame:
     dealt round-robin: ``kfold = (position - 1) mod k``. Fold sizes inside a
     class differ by at most one; no list of ids passes through the driver."""
     keyed = seqs.withColumn("_h", fold_order_key(seed))
-    numbered = hashed_row_number(keyed, "cls", "_h", "workitem", "_pos")
+    tie = "rid" if "rid" in seqs.columns else "workitem"
+    numbered = hashed_row_number(keyed, "cls", "_h", tie, "_pos")
     return (numbered.withColumn("kfold", ((F.col("_pos") - 1) % F.lit(k)).cast("int"))
             .drop("_h", "_pos"))
 

@@ -19,29 +19,44 @@ def l1(v: np.ndarray, axis: int = -1) -> np.ndarray:
         return np.where(n == 0, v, v / n)
 
 
-def segment_likelihood(obs: np.ndarray, b: np.ndarray, d_cols: int):
-    """Emissions e (N,T,M) and u (N,T,M,D) with u[..,0] = e and
-    u[:,t,:,d] = u[:,t,:,d-1] * e[:,t-d+1] where t-d+1 >= 0, else 0."""
-    n, t_len = obs.shape
-    e = np.take_along_axis(b, obs[:, None, :], axis=2).transpose(0, 2, 1)
-    u = np.zeros((n, t_len, b.shape[1], d_cols))
+def emissions(obs: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """e (N,T,M), the columns of b (N,M,K) that the symbols pick."""
+    return np.take_along_axis(b, obs[:, None, :], axis=2).transpose(0, 2, 1)
+
+
+def segments(e: np.ndarray, d_cols: int) -> np.ndarray:
+    """U (N,T,M,D) with u[..,0] = e and u[:,t,:,d] = u[:,t,:,d-1] *
+    e[:,t-d+1] where t-d+1 >= 0, else 0."""
+    t_len = e.shape[1]
+    u = np.zeros((*e.shape, d_cols))
     u[..., 0] = e
     for d in range(1, d_cols):
         if d - 1 < t_len:
             u[:, d - 1:, :, d] = u[:, d - 1:, :, d - 1] * e[:, : t_len - d + 1, :]
-    return e, u
+    return u
+
+
+def segment_likelihood(obs: np.ndarray, b: np.ndarray, d_cols: int):
+    """R1 from the symbols: emissions and segment likelihoods."""
+    e = emissions(obs, b)
+    return e, segments(e, d_cols)
+
 
+def forward(pi, a, p, u, heads=None):
+    """Alpha (N,T,M), alpha' (N,T+1,M), scale (N,T), score (N,).
 
-def forward(pi, a, p, u):
-    """Alpha (N,T,M), alpha' (N,T+1,M), scale (N,T), score (N,)."""
+    ``heads`` (N,H+1,M) goes on inside a sequence: u then starts H positions
+    before the block, where alpha' is known up to position H, and the results
+    of the first H positions are left empty (scale 1)."""
     n, t_len, m, d_cols = u.shape
     off = ~np.eye(m, dtype=bool)
     ap = np.zeros((n, t_len + 1, m))
-    ap[:, 0] = l1(pi)
+    known = 0 if heads is None else heads.shape[1] - 1
+    ap[:, :known + 1] = l1(pi)[:, None] if heads is None else heads
     alpha = np.zeros((n, t_len, m))
     scale = np.ones((n, t_len))
     with np.errstate(invalid="ignore", divide="ignore", over="ignore"):
-        for t in range(t_len):
+        for t in range(known, t_len):
             acc = np.zeros((n, m))
             for d in range(d_cols):
                 s = t - d + 1
@@ -56,6 +71,52 @@ def forward(pi, a, p, u):
     return alpha, ap, scale, score
 
 
+def backward_block(a, p, u, tails=None):
+    """R4 inside a sequence: beta (N,T,M), beta' (N,T+1,M) of a block whose u
+    reaches H positions beyond it, where ``tails`` (N,H,M) are the betas.
+    Without ``tails`` the block ends the sequence. beta'[:, 0] holds what the
+    block gives for the position before it, and so does the third result, the
+    beta there."""
+    n, t_ext, m, d_cols = u.shape
+    off = ~np.eye(m, dtype=bool)
+    t_len = t_ext - (0 if tails is None else tails.shape[1])
+    beta = np.zeros((n, t_ext + 1, m))  # the last place is read as position -1
+    bp = np.zeros((n, t_len + 1, m))
+    start = t_len - 1
+    if tails is None:
+        beta[:, t_len - 1] = 1.0
+        with np.errstate(invalid="ignore", over="ignore"):
+            bp[:, t_len] = l1(p[:, :, 0] * u[:, t_len - 1, :, 0] * beta[:, t_len - 1])
+        start = t_len - 2
+    else:
+        beta[:, t_len:t_ext] = tails
+    with np.errstate(invalid="ignore", divide="ignore", over="ignore"):
+        for t in range(start, -2, -1):
+            acc = np.zeros((n, m))
+            for d in range(d_cols):
+                if t + d < t_ext and t + d >= 0:
+                    acc = acc + p[:, :, d] * u[:, t + d, :, d] * beta[:, t + d]
+            bp[:, t + 1] = l1(acc)
+            back = np.where(off[None], a * bp[:, t + 1][:, None, :], 0.0).sum(axis=2)
+            beta[:, t] = l1(beta[:, t] + back)
+    return beta[:, :t_len], bp, beta[:, -1]
+
+
+def backward_end(a, p, u, beta, e_last):
+    """The sweep at t = -1, where index -1 wraps to the end (Q3): beta' at 0 and
+    the beta that replaces the last one; ``e_last`` are the last emissions and
+    ``u``, ``beta`` the first positions."""
+    n, t_len, m, d_cols = u.shape
+    off = ~np.eye(m, dtype=bool)
+    with np.errstate(invalid="ignore", divide="ignore", over="ignore"):
+        acc = np.zeros((n, m)) + p[:, :, 0] * e_last * 1.0
+        for d in range(1, d_cols):
+            if d - 1 < t_len:
+                acc = acc + p[:, :, d] * u[:, d - 1, :, d] * beta[:, d - 1]
+        first = l1(acc)
+        return first, l1(1.0 + np.where(off[None], a * first[:, None, :], 0.0).sum(axis=2))
+
+
 def backward(a, p, u):
     """Beta (N,T,M) and beta' (N,T+1,M). The sweep runs t = T-1 .. -1;
     at t = -1 the index -1 wraps to T-1 (Q3), exactly like numpy indexing."""
@@ -115,28 +176,39 @@ def _ratio(num, den):
         return num / den
 
 
-def estimates(obs, k, pi, a, p, u, alpha, ap, beta, bp):
-    """R5-R8 for one batch: new pi (N,M), a (N,M,M), b (N,M,K), p (N,M,D)."""
-    n, t_len, m, _ = u.shape
-    dur = duration_posterior(ap, p, u, beta)
-    xi = transition_posterior(alpha, a, bp)
-    g = occupancy(pi, alpha, ap, beta, bp)
+def symbol_sums(obs, g, k):
+    """Sums of the occupancy g (N,T,M) by symbol: (N,M,K)."""
+    n, _, m = g.shape
+    flat = (np.arange(n)[:, None] * k + obs).ravel()
+    return np.stack([np.bincount(flat, weights=g[:, :, i].ravel(), minlength=n * k).reshape(n, k)
+                     for i in range(m)], axis=1)
 
-    num_a = xi.sum(axis=1)
-    new_a = l1(_ratio(num_a, num_a.sum(axis=2, keepdims=True)), axis=2)
 
-    flat = (np.arange(n)[:, None] * k + obs).ravel()
-    num_b = np.stack([np.bincount(flat, weights=g[:, :, i].ravel(), minlength=n * k).reshape(n, k)
-                      for i in range(m)], axis=1)
-    new_b = l1(_ratio(num_b, g.sum(axis=1)[:, :, None]), axis=2)
+def new_transition(num_a):
+    return l1(_ratio(num_a, num_a.sum(axis=2, keepdims=True)), axis=2)
 
-    num_p = dur.sum(axis=1)
+
+def new_emission(num_b, sum_g):
+    return l1(_ratio(num_b, sum_g[:, :, None]), axis=2)
+
+
+def new_duration(num_p):
     new_p = _ratio(num_p, num_p.sum(axis=2, keepdims=True))
     with np.errstate(invalid="ignore", divide="ignore"):
-        new_p = new_p * (1.0 / new_p.sum(axis=(1, 2)))[:, None, None]
+        return new_p * (1.0 / new_p.sum(axis=(1, 2)))[:, None, None]
+
+
+def new_initial(g0):
+    return l1(_ratio(g0, g0.sum(axis=1, keepdims=True)))
 
-    new_pi = l1(_ratio(g[:, 0], g[:, 0].sum(axis=1, keepdims=True)))
-    return new_pi, new_a, new_b, new_p
+
+def estimates(obs, k, pi, a, p, u, alpha, ap, beta, bp):
+    """R5-R8 for one batch: new pi (N,M), a (N,M,M), b (N,M,K), p (N,M,D)."""
+    num_a = transition_posterior(alpha, a, bp).sum(axis=1)
+    num_p = duration_posterior(ap, p, u, beta).sum(axis=1)
+    g = occupancy(pi, alpha, ap, beta, bp)
+    return (new_initial(g[:, 0]), new_transition(num_a),
+            new_emission(symbol_sums(obs, g, k), g.sum(axis=1)), new_duration(num_p))
 
 
 def e_step(obs, k, pi, a, b, p):

@@ -1,9 +1,12 @@
 """Long-form output of the per-sequence recursions.
 
-For inspection and per-operator checks: every scored row emits the requested
-quantity as rows (workitem, param, t, i, j, value). The work is the same
-kernel as the E-step, run inside ``mapInArrow`` tasks over Arrow batches
-grouped by sequence length; output grows with sum(T) * M * D.
+For inspection and per-operator checks: every held-out sequence emits the
+requested quantity under both models of its fold, as rows (workitem, cls, param,
+t, i, j, value) where ``cls`` is the class of the model. The recursions are those
+of the E-step, and only what the quantity needs is computed. A kernel call takes
+as many sequences of one length as fit in the cell budget; sequences in blocks
+come block by block with the carried states of ``blockpass``. So a task holds at
+most the budget, whatever the number and the length of the sequences.
 """
 
 from __future__ import annotations
@@ -15,15 +18,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from segstate.operators import kernel
-from segstate.operators.joins import attach_models
+from segstate.operators import blockpass, kernel
+from segstate.operators.scoring import model_params
 from segstate.spec import HsmmSpec
 
-TRACE_SCHEMA = "workitem string, param string, t int, i int, j int, value double"
-_ARROW = pa.schema([("workitem", pa.string()), ("param", pa.string()), ("t", pa.int32()),
-                    ("i", pa.int32()), ("j", pa.int32()), ("value", pa.float64())])
+TRACE_SCHEMA = "workitem string, cls int, param string, t int, i int, j int, value double"
+_ARROW = pa.schema([("workitem", pa.string()), ("cls", pa.int32()), ("param", pa.string()), ("t", pa.int32()), ("i", pa.int32()),
+                    ("j", pa.int32()), ("value", pa.float64())])
+EMIT_CELLS = 250_000  # rows of one emitted batch and cells of one kernel call
 
-# quantity -> list of (param name, axes of the per-sequence array after N)
+# operator -> names of its arrays
 WHAT = {
     "segment_likelihood": ["u"],
     "forward_alpha": ["alpha", "alpha_prime", "scale"],
@@ -36,77 +40,147 @@ WHAT = {
     "estimate_duration": ["new_p"],
     "estimate_initial": ["new_pi"],
 }
-# how each array maps to (t, i, j): position of the t axis, then i, then j
+# how each array maps to (t, i, j): the axes after that of the sequence
 _AXES = {
     "u": "tij", "alpha": "ti", "alpha_prime": "ti", "scale": "t", "beta": "ti", "beta_prime": "ti",
     "n": "tij", "xi": "tij", "gamma": "ti", "new_a": "ij", "new_b": "ij", "new_p": "ij", "new_pi": "i",
 }
 
 
-def _quantities(obs, k, pi, a, b, p, names):
-    _, u = kernel.segment_likelihood(obs, b, p.shape[2])
-    out = {"u": u}
-    alpha, ap, scale, _ = kernel.forward(pi, a, p, u)
-    out.update(alpha=alpha, alpha_prime=ap, scale=scale)
-    if set(names) - {"u", "alpha", "alpha_prime", "scale"}:
-        beta, bp = kernel.backward(a, p, u)
-        out.update(beta=beta, beta_prime=bp)
-        out["n"] = kernel.duration_posterior(ap, p, u, beta)
-        out["xi"] = kernel.transition_posterior(alpha, a, bp)
-        out["gamma"] = kernel.occupancy(pi, alpha, ap, beta, bp)
-        npi, na, nb, np_ = kernel.estimates(obs, k, pi, a, p, u, alpha, ap, beta, bp)
-        out.update(new_pi=npi, new_a=na, new_b=nb, new_p=np_)
-    return out
-
-
-def _rows(ids: np.ndarray, name: str, arr: np.ndarray) -> dict:
-    axes = _AXES[name]
-    shape = arr.shape
-    idx = np.indices(shape).reshape(len(shape), -1)
-    cols = {"t": np.zeros(idx.shape[1], np.int32), "i": np.zeros(idx.shape[1], np.int32),
-            "j": np.zeros(idx.shape[1], np.int32)}
-    for pos, ax in enumerate(axes, start=1):
-        cols[ax] = idx[pos].astype(np.int32)
-    return {"workitem": ids[idx[0]], "param": np.full(idx.shape[1], name, dtype=object),
-            "t": cols["t"], "i": cols["i"], "j": cols["j"], "value": arr.reshape(-1)}
-
-
-def _emitter(spec: HsmmSpec, what: str):
-    names = WHAT[what]
-    m, k, d = spec.m, spec.k, spec.d
+class _Recursions:
+    """Arrays of a batch of whole sequences, each computed when it is read."""
+
+    def __init__(self, obs, k, pi, a, b, p):
+        self.obs, self.k, self.pi, self.a, self.p = obs, k, pi, a, p
+        self.made = {"u": kernel.segment_likelihood(obs, b, p.shape[2])[1]}
+
+    def __getitem__(self, name: str) -> np.ndarray:
+        if name not in self.made:
+            self.made.update(self.compute(name))
+        return self.made[name]
+
+    def compute(self, name: str) -> dict:
+        if name in ("alpha", "alpha_prime", "scale"):
+            return dict(zip(("alpha", "alpha_prime", "scale"), kernel.forward(self.pi, self.a, self.p, self["u"]), strict=False))
+        if name in ("beta", "beta_prime"):
+            return dict(zip(("beta", "beta_prime"), kernel.backward(self.a, self.p, self["u"]), strict=True))
+        if name == "n":
+            return {name: kernel.duration_posterior(self["alpha_prime"], self.p, self["u"], self["beta"])}
+        if name == "xi":
+            return {name: kernel.transition_posterior(self["alpha"], self.a, self["beta_prime"])}
+        if name == "gamma":
+            return {name: kernel.occupancy(self.pi, self["alpha"], self["alpha_prime"], self["beta"], self["beta_prime"])}
+        if name == "new_a":
+            return {name: kernel.new_transition(self["xi"].sum(axis=1))}
+        if name == "new_p":
+            return {name: kernel.new_duration(self["n"].sum(axis=1))}
+        if name == "new_pi":
+            return {name: kernel.new_initial(self["gamma"][:, 0])}
+        return {name: kernel.new_emission(kernel.symbol_sums(self.obs, self["gamma"], self.k), self["gamma"].sum(axis=1))}
+
+
+def _emit(workitems: list, classes: list[int], name: str, values: np.ndarray, t0: int = 0) -> Iterator[pa.RecordBatch]:
+    """Rows of an array whose first axis runs over (workitem, class) pairs."""
+    ids, models = pa.array(workitems, pa.string()), np.asarray(classes, dtype=np.int32)
+    cells = int(np.prod(values.shape[1:]))
+    flat = values.reshape(-1)
+    for lo in range(0, len(flat), EMIT_CELLS):
+        at = np.arange(lo, min(lo + EMIT_CELLS, len(flat)))
+        row, rest = at // cells, at % cells
+        places = dict(zip(_AXES[name], np.unravel_index(rest, values.shape[1:]), strict=True))
+        zero = np.zeros(len(at), dtype=np.int32)
+        t, i, j = (pa.array(places.get(x, zero).astype(np.int32) + (t0 if x == "t" and x in places else 0), pa.int32()) for x in "tij")
+        yield pa.RecordBatch.from_arrays([ids.take(pa.array(row)), pa.array(models[row]),
+                                          pa.array([name]).take(pa.array(np.zeros(len(at), dtype=np.int64))), t, i, j, pa.array(flat[at])],
+                                         schema=_ARROW)
+
+
+def _whole(params: dict, spec: HsmmSpec, names: list[str]):
+    stacks = {key: params[key] for key in sorted(params)}
+    index = {key: n for n, key in enumerate(stacks)}
+    stack = [np.stack([v[x] for v in stacks.values()]) for x in range(4)]
+    choice = blockpass.held_out(params)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = batch.num_rows
-            if n == 0:
-                continue
-            ids = np.array(batch.column("workitem").to_pylist(), dtype=object)
+            ids, folds = batch.column("workitem").to_pylist(), batch.column("fold").to_pylist()
             obs_col = batch.column("obs")
             lens = obs_col.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
             vals = obs_col.flatten().to_numpy(zero_copy_only=False)
-            offs = np.concatenate([[0], np.cumsum(lens)])
-
-            def fixed(c, shape):
-                return batch.column(c).flatten().to_numpy(zero_copy_only=False).reshape((n, *shape))
-            pi, a, b, p = fixed("pi", (m,)), fixed("a", (m, m)), fixed("b", (m, k)), fixed("p", (m, d))
-            for t_len in np.unique(lens):
-                if t_len == 0:
-                    continue
-                sel = np.nonzero(lens == t_len)[0]
-                obs = vals[offs[sel][:, None] + np.arange(t_len)[None, :]].astype(np.int64)
-                q = _quantities(obs, k, pi[sel], a[sel], b[sel], p[sel], names)
-                for name in names:
-                    yield pa.RecordBatch.from_pydict(_rows(ids[sel], name, q[name]), schema=_ARROW)
-
+            blockpass.check_symbols(vals, spec.k)
+            offs = np.append(0, np.cumsum(lens))
+            for t_len in np.unique(lens[lens > 0]):
+                pairs = [(r, key) for r in np.flatnonzero(lens == t_len).tolist() for key in choice(0, folds[r])]
+                step = max(1, EMIT_CELLS // int(t_len * spec.m * max(spec.d, spec.m)))
+                for lo in range(0, len(pairs), step):
+                    part = pairs[lo:lo + step]
+                    rows, at = np.array([r for r, _ in part]), [index[key] for _, key in part]
+                    obs = vals[offs[rows][:, None] + np.arange(t_len)].astype(np.int64)
+                    made = _Recursions(obs, spec.k, *(x[at] for x in stack))
+                    for name in names:
+                        yield from _emit([ids[r] for r in rows], [key[1] for _, key in part], name, made[name])
     return run
 
 
-def kernel_long_form(rows: DataFrame, models: DataFrame, spec: HsmmSpec, what: str,
-                     n_folds: int) -> DataFrame:
-    """``rows`` (workitem, fold, obs) scored under ``models`` (one per fold)."""
-    joined = attach_models(rows.select("workitem", "fold", "obs").where(F.size("obs") > 0),
-                           models.select("fold", "pi", "a", "b", "p"), ["fold"], spec, n_models=n_folds)
-    flat = joined.select(F.col("workitem").cast("string"), "obs", "pi", F.flatten("a").alias("a"),
-                         F.flatten("b").alias("b"), F.flatten("p").alias("p"))
-    out = flat.mapInArrow(_emitter(spec, what), TRACE_SCHEMA)
+class _Parts:
+    """The same for sequences in blocks."""
+
+    def __init__(self, spec: HsmmSpec, names: list[str]):
+        self.spec, self.names, self.sums = spec, names, {}
+
+    def block(self, x: blockpass.Block):
+        for name in self.names:
+            values, t0 = self.values(name, x), x.t0
+            if values is not None:
+                yield from _emit([x.row[3]] * len(x.keys), [key[1] for key in x.keys], name, values, t0)
+
+    def total(self, name: str, x: blockpass.Block, value: np.ndarray) -> np.ndarray | None:
+        """The running sum of a sequence, at its last block."""
+        key = (name, x.keys[0])
+        self.sums[key] = value + (0 if x.first else self.sums[key])
+        return self.sums.pop(key) if x.last else None
+
+    def values(self, name: str, x: blockpass.Block) -> np.ndarray | None:
+        end = x.obs.shape[0]
+        simple = {"u": x.u, "alpha": x.alpha, "scale": x.scale, "beta": x.beta, "gamma": x.gamma}
+        if name in simple:
+            return simple[name]
+        if name in ("alpha_prime", "beta_prime"):
+            # the place after the last one is that of the next block
+            found = x.ap if name == "alpha_prime" else x.bp
+            return found if x.last else found[:, :end]
+        if name == "n":
+            return x.durations()
+        if name == "xi":
+            return kernel.transition_posterior(x.alpha, x.stack[1], x.bp)
+        if name == "new_pi":
+            return kernel.new_initial(x.gamma[:, 0]) if x.first else None
+        if name == "new_a":
+            total = self.total(name, x, kernel.transition_posterior(x.alpha, x.stack[1], x.bp).sum(axis=1))
+            return None if total is None else kernel.new_transition(total)
+        if name == "new_p":
+            total = self.total(name, x, x.durations().sum(axis=1))
+            return None if total is None else kernel.new_duration(total)
+        symbols = np.broadcast_to(x.obs, (len(x.keys), end))
+        by_symbol = self.total(name, x, kernel.symbol_sums(symbols, x.gamma, self.spec.k))
+        every = self.total("sum_g", x, x.gamma.sum(axis=1))
+        return None if by_symbol is None else kernel.new_emission(by_symbol, every)
+
+    def close(self):
+        return ()
+
+
+def kernel_long_form(rows: DataFrame, models: DataFrame | dict, spec: HsmmSpec, what: str) -> DataFrame:
+    """``rows`` (workitem, fold, obs and, for sequences in blocks, cls, rid, t0,
+    whole) under the models of their fold."""
+    params = models if isinstance(models, dict) else model_params(models, spec)
+    if params is None:
+        raise ValueError("the long form needs models that travel with the tasks")
+    names = WHAT[what]
+    whole = blockpass.whole_rows(rows.where(F.col("obs").isNotNull()))
+    out = whole.select(F.col("workitem").cast("string"), "fold", "obs").mapInArrow(_whole(params, spec, names), TRACE_SCHEMA)
+    if blockpass.has_parts(rows):
+        parts = blockpass.part_rows(rows.withColumn("kfold", F.col("fold")))
+        out = out.unionByName(blockpass.consume_blocks(parts, params, spec, blockpass.held_out(params),
+                                                       lambda: _Parts(spec, names), TRACE_SCHEMA))
     return out.withColumn("value", F.round("value", 6))

@@ -4,7 +4,12 @@ Spark derives from it) as a whole; nothing is sampled to make a check cheap
 except where sampling is the operator itself (P1).
 
 Fixed parameters of the registered queries (FIXTURES.md): M=2, D=4, k=5
-folds, seed 42, prefix T=3, epsilon 1e-4, at most 3 EM iterations.
+folds, seed 42, prefix T=3, epsilon 1e-4. Training runs until every model has
+converged or diverged (at most 10,000 iterations); the SQL of these keys is a
+recursive CTE with the same stop test.
+
+The tables that a query makes on its way are deleted when its result stands
+(``WorkScope``).
 """
 
 from __future__ import annotations
@@ -12,7 +17,8 @@ from __future__ import annotations
 import os
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from segstate import sqlcheck as Q
@@ -21,9 +27,10 @@ from segstate.functions.obs import emission_lookup, obs_length, obs_prefix, obs_
 from segstate.functions.params import em_converged, init_models
 from segstate.operators import folds as FO
 from segstate.operators.evaluate import confusion_counts, fold_metrics, predict, score_both
-from segstate.operators.joins import attach_single_model
+from segstate.operators.joins import attach_models
 from segstate.operators.trace import kernel_long_form
-from segstate.session import materialize, new_work_dir
+from segstate.session import WorkScope, materialize, new_work_dir
+from segstate.sources import blocks as BL
 from segstate.sources import events as EV
 from segstate.sources import store as ST
 from segstate.spec import HsmmSpec, RunParams
@@ -34,12 +41,10 @@ T_PREFIX = 3
 SAMPLE_FRACTION = 0.5
 SPEC_USER = HsmmSpec(m=2, k=len(EV.USER_ALPHABET), d=4)
 SPEC = HsmmSpec(m=2, k=len(EV.LABELLED_ALPHABET), d=4)
-RUN = RunParams(spec=SPEC, folds=K_FOLDS, seed=SEED, epsilon=1e-4, max_iterations=3, t_prefix=T_PREFIX)
-# the same run to the end; RUN stops after the iterations its SQL unrolls
-FULL = RunParams(spec=SPEC, folds=K_FOLDS, seed=SEED, t_prefix=T_PREFIX)
+RUN = RunParams(spec=SPEC, folds=K_FOLDS, seed=SEED, t_prefix=T_PREFIX)
 ROUND = 6
-# sequences with more observations than this stay rows (streaming path)
-MAX_ARRAY_LEN = 100_000
+# block length of the keys that run users (some 70 symbols) through block edges
+SHORT_BLOCK = 32
 
 
 def r6(c: Column | str) -> Column:
@@ -53,25 +58,28 @@ def r6sql(x: str) -> str:
 # ------------------------------------------------------------------ inputs
 
 def d2(spark: SparkSession, sf: str) -> DataFrame:
+    """D2 as a sequence table (blocks)."""
     return EV.labelled_sequences(spark, sf)
 
 
-def d2_table(spark: SparkSession, sf: str) -> DataFrame:
-    """D2 built once from the events and stored as a table."""
-    return materialize(d2(spark, sf), "sequences")
+def d2_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """D2 with whole arrays, one text line per sequence (the CSV layout)."""
+    return BL.arrays(d2(spark, sf))
 
 
 def folded(spark: SparkSession, sf: str, with_row_ids: bool = False) -> DataFrame:
-    """D2 with folds (K1) and, when asked, row ids."""
-    seqs = d2_table(spark, sf)
-    if with_row_ids:
-        seqs = FO.row_ids(seqs)
-    return FO.assign_folds(seqs, K_FOLDS, SEED)
+    """D2 with folds (K1) and, when asked, row ids (P3), stored once."""
+    return materialize(FO.folded_sequences(d2(spark, sf), K_FOLDS, SEED, with_row_ids), "folded")
+
 
+def folded_keys(spark: SparkSession, sf: str) -> DataFrame:
+    """(workitem, cls, kfold) of D2, without symbols."""
+    return FO.assign_folds(EV.labelled_keys(spark, sf), K_FOLDS, SEED)
 
-def start_models(fld: DataFrame) -> DataFrame:
+
+def start_models(fld: DataFrame, spec: HsmmSpec = SPEC) -> DataFrame:
     """F11 start models of the (fold, class) pairs that the fold table holds."""
-    return init_models(fld.select(F.col("kfold").alias("fold"), "cls").distinct(), SPEC, SEED)
+    return init_models(fld.select(F.col("kfold").alias("fold"), "cls").distinct(), spec, SEED)
 
 
 def scores_start(spark: SparkSession, sf: str, t_prefix: int | None = None) -> DataFrame:
@@ -116,7 +124,7 @@ def long_model_sql(models_sql: str) -> str:
 # ------------------------------------------------------------ S1, S1b, P1
 
 def q_user_sequences(spark, sf):
-    s = EV.user_sequences(spark, sf)
+    s = BL.arrays(EV.user_sequences(spark, sf))
     return s.select("workitem", obs_to_str(F.col("obs")).alias("str_obs"), F.size("obs").alias("length"))
 
 
@@ -125,18 +133,28 @@ SQL_USER_SEQUENCES = (f"SELECT workitem, {Q.obs_str_sql('obs')} AS str_obs, "
 
 
 def q_build_sequences(spark, sf):
-    return d2(spark, sf).select("workitem", "cls", obs_to_str(F.col("obs")).alias("str_obs"),
-                                F.size("obs").alias("length"))
+    return d2_lines(spark, sf).select("workitem", "cls", obs_to_str(F.col("obs")).alias("str_obs"),
+                                      F.size("obs").alias("length"))
 
 
 SQL_BUILD_SEQUENCES = (f"SELECT workitem, cls, {Q.obs_str_sql('obs')} AS str_obs, "
                        f"CAST(len(obs) AS INTEGER) AS length FROM ({D2_SQL})")
 
 
+def q_sequence_symbols(spark, sf):
+    """S1b in blocks: every symbol with its place, without putting a sequence
+    together. With this block length users cross block edges."""
+    return BL.symbols(EV.user_sequences(spark, sf, SHORT_BLOCK)).select("workitem", "t", "sym")
+
+
+SQL_SEQUENCE_SYMBOLS = (f"SELECT user_id AS workitem, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS t, "
+                        f"{Q.symbol_sql(EV.USER_ALPHABET)} AS sym FROM events")
+
+
 def q_source_sequences(spark, sf):
     """Write each class as a headerless CSV, read them back typed."""
     base = new_work_dir(spark, "raw")
-    seqs = d2(spark, sf)
+    seqs = d2_lines(spark, sf)
     paths = {c: os.path.join(base, f"class{c}") for c in (0, 1)}
     for c, p in paths.items():
         ST.write_raw_sequences(seqs.where(F.col("cls") == c), p)
@@ -146,7 +164,7 @@ def q_source_sequences(spark, sf):
 
 
 def q_sample_sequences(spark, sf):
-    return EV.hash_sample(d2(spark, sf), SAMPLE_FRACTION, SEED).select("workitem", "cls")
+    return EV.hash_sample(EV.labelled_keys(spark, sf), SAMPLE_FRACTION, SEED).select("workitem", "cls")
 
 
 SQL_SAMPLE_SEQUENCES = (f"SELECT workitem, cls FROM ({D2_SQL}) "
@@ -156,28 +174,28 @@ SQL_SAMPLE_SEQUENCES = (f"SELECT workitem, cls FROM ({D2_SQL}) "
 # ------------------------------------------------------- P3-P6, K1, S2/S3
 
 def q_class_counts(spark, sf):
-    return FO.class_counts(d2(spark, sf))
+    return FO.class_counts(EV.labelled_keys(spark, sf))
 
 
 SQL_CLASS_COUNTS = f"SELECT cls, count(*) AS n FROM ({D2_SQL}) GROUP BY cls"
 
 
 def q_row_ids(spark, sf):
-    return FO.row_ids(d2(spark, sf)).select("workitem", "cls", "row_id")
+    return FO.row_ids(EV.labelled_keys(spark, sf)).select("workitem", "cls", "row_id")
 
 
 SQL_ROW_IDS = f"SELECT workitem, cls, row_id FROM ({FOLDED_SQL})"
 
 
 def q_assign_folds(spark, sf):
-    return FO.assign_folds(d2(spark, sf), K_FOLDS, SEED).select("workitem", "cls", "kfold")
+    return folded_keys(spark, sf).select("workitem", "cls", "kfold")
 
 
 SQL_ASSIGN_FOLDS = f"SELECT workitem, cls, kfold FROM ({FOLDED_SQL})"
 
 
 def q_train_split(spark, sf):
-    return FO.training_fanout(folded(spark, sf), K_FOLDS).groupBy("fold", "cls").agg(F.count("*").alias("n"))
+    return FO.training_fanout(folded_keys(spark, sf), K_FOLDS).groupBy("fold", "cls").agg(F.count("*").alias("n"))
 
 
 SQL_TRAIN_SPLIT = (f"SELECT f.fold, s.cls, count(*) AS n FROM ({FOLDED_SQL}) s, "
@@ -186,7 +204,7 @@ SQL_TRAIN_SPLIT = (f"SELECT f.fold, s.cls, count(*) AS n FROM ({FOLDED_SQL}) s,
 
 
 def q_validation_split(spark, sf):
-    return FO.validation_rows(folded(spark, sf)).groupBy("fold", "cls").agg(F.count("*").alias("n"))
+    return FO.validation_rows(folded_keys(spark, sf)).groupBy("fold", "cls").agg(F.count("*").alias("n"))
 
 
 SQL_VALIDATION_SPLIT = f"SELECT kfold AS fold, cls, count(*) AS n FROM ({FOLDED_SQL}) GROUP BY kfold, cls"
@@ -195,7 +213,7 @@ SQL_VALIDATION_SPLIT = f"SELECT kfold AS fold, cls, count(*) AS n FROM ({FOLDED_
 def q_roundtrip_folds(spark, sf):
     path = os.path.join(new_work_dir(spark, "folds"), "folds")
     ST.write_folds(folded(spark, sf, with_row_ids=True), path)
-    back = ST.read_folds(spark, path)
+    back = BL.arrays(ST.read_folds(spark, path), ["row_id", "kfold"])
     return back.select("workitem", "cls", obs_to_str(F.col("obs")).alias("str_obs"), "row_id", "kfold")
 
 
@@ -205,7 +223,7 @@ SQL_ROUNDTRIP_FOLDS = f"SELECT workitem, cls, {Q.obs_str_sql('obs')} AS str_obs,
 # ---------------------------------------------------------------- F1-F11
 
 def q_parse_obs(spark, sf):
-    raw = d2(spark, sf).select("workitem", obs_to_str(F.col("obs")).alias("str_obs"))
+    raw = d2_lines(spark, sf).select("workitem", obs_to_str(F.col("obs")).alias("str_obs"))
     obs = parse_obs(F.col("str_obs"))
     return raw.select("workitem", F.size(obs).alias("t"),
                       F.aggregate(obs, F.lit(0).cast("bigint"), lambda s, x: s + x).alias("obs_sum"),
@@ -217,15 +235,19 @@ SQL_PARSE_OBS = (f"SELECT workitem, CAST(len(obs) AS INTEGER) AS t, CAST(list_su
 
 
 def q_obs_length(spark, sf):
-    return d2(spark, sf).select("workitem", obs_length(F.col("obs")).alias("t"))
+    return (d2(spark, sf).groupBy("rid", "workitem").agg(F.sum(obs_length(F.col("obs"))).cast("int").alias("t"))
+            .select("workitem", "t"))
 
 
 SQL_OBS_LENGTH = f"SELECT workitem, CAST(len(obs) AS INTEGER) AS t FROM ({D2_SQL})"
 
 
 def q_obs_prefix(spark, sf):
-    pre = obs_prefix(F.col("obs"), T_PREFIX)
-    return d2(spark, sf).select("workitem", obs_to_str(pre).alias("prefix"), F.size(pre).alias("t"))
+    """F3 of the blocks that begin before T, put together per sequence (at most
+    T symbols)."""
+    head = d2(spark, sf).where(F.col("t0") < T_PREFIX)
+    pre = head.withColumn("obs", obs_prefix(F.col("obs"), F.lit(T_PREFIX) - F.col("t0").cast("int")))
+    return BL.arrays(pre).select("workitem", obs_to_str(F.col("obs")).alias("prefix"), F.size("obs").alias("t"))
 
 
 SQL_OBS_PREFIX = (f"SELECT workitem, {Q.obs_str_sql(Q.prefix_sql('obs', T_PREFIX))} AS prefix, "
@@ -233,26 +255,29 @@ SQL_OBS_PREFIX = (f"SELECT workitem, {Q.obs_str_sql(Q.prefix_sql('obs', T_PREFIX
 
 
 def q_emission_lookup(spark, sf):
+    """every held-out sequence under both models of its fold."""
     fld = folded(spark, sf)
-    m = start_models(fld).where((F.col("fold") == 0) & (F.col("cls") == 1))
-    j = attach_single_model(fld.select("workitem", "obs"), m.select("b"))
-    e = j.select("workitem", F.posexplode(emission_lookup(F.col("obs"), F.col("b"))).alias("t", "row"))
-    return e.select("workitem", "t", F.posexplode("row").alias("j", "value")).select(
-        "workitem", "t", "j", r6("value").alias("value"))
+    models = start_models(fld).select("fold", F.col("cls").alias("model"), "b")
+    rows = FO.validation_rows(fld).select("workitem", "fold", "t0", "obs")
+    j = attach_models(rows, models, ["fold"], SPEC, n_models=2 * K_FOLDS)
+    e = j.select("workitem", F.col("model").alias("cls"), "t0", F.posexplode(emission_lookup(F.col("obs"), F.col("b"))).alias("at", "row"))
+    return e.select("workitem", "cls", (F.col("t0") + F.col("at")).cast("int").alias("t"), F.posexplode("row").alias("j", "value")).select(
+        "workitem", "cls", "t", "j", r6("value").alias("value"))
 
 
 SQL_EMISSION_LOOKUP = (
-    f"SELECT s.workitem, CAST(t - 1 AS INTEGER) AS t, CAST(j - 1 AS INTEGER) AS j, "
-    f"{r6sql('m.b[j][s.obs[t] + 1]')} AS value FROM ({D2_SQL}) s, "
-    f"(SELECT * FROM ({MODELS_SQL}) WHERE fold = 0 AND cls = 1) m, "
+    f"SELECT s.workitem, m.cls, CAST(t - 1 AS INTEGER) AS t, CAST(j - 1 AS INTEGER) AS j, "
+    f"{r6sql('m.b[j][s.obs[t] + 1]')} AS value FROM ({FOLDED_SQL}) s JOIN ({MODELS_SQL}) m ON m.fold = s.kfold, "
     f"range(1, len(s.obs) + 1) rt(t), range(1, {SPEC.m} + 1) rj(j)")
 
 
 def q_l1_normalize(spark, sf):
-    """F5 on each sequence's symbol-count vector."""
-    counts = F.transform(F.sequence(F.lit(0), F.lit(SPEC.k - 1)),
-                         lambda v: F.size(F.filter("obs", lambda o: o == v)).cast("double"))
-    n = d2(spark, sf).select("workitem", l1_normalize(counts).alias("f"))
+    """F5 on each sequence's symbol-count vector, summed over its blocks."""
+    def held(v: int) -> Column:
+        return F.sum(F.size(F.filter("obs", lambda o: o == v))).cast("double").alias(f"n{v}")
+    counts = [held(v) for v in range(SPEC.k)]
+    seqs = d2(spark, sf).groupBy("rid", "workitem").agg(*counts)
+    n = seqs.select("workitem", l1_normalize(F.array(*[f"n{v}" for v in range(SPEC.k)])).alias("f"))
     return n.select("workitem", F.posexplode("f").alias("v", "value")).select(
         "workitem", "v", r6("value").alias("value"))
 
@@ -264,10 +289,14 @@ SQL_L1_NORMALIZE = (
 
 
 def _bigram_matrix(seqs: DataFrame) -> DataFrame:
-    """Per class: K x K counts of consecutive symbol pairs (zeros included)."""
+    """Per class: K x K counts of consecutive symbol pairs (zeros included),
+    those across block edges too."""
     pairs = seqs.select("cls", F.explode(F.arrays_zip(
         F.slice("obs", 1, F.greatest(F.size("obs") - 1, F.lit(0))),
         F.slice("obs", 2, F.greatest(F.size("obs") - 1, F.lit(0))))).alias("z"))
+    edges = seqs.where("not whole").select("cls", "rid", "t0", F.element_at("obs", 1).alias("1"), F.element_at("obs", -1).alias("last"))
+    edges = edges.withColumn("0", F.lag("last").over(Window.partitionBy("rid").orderBy("t0"))).where(F.col("0").isNotNull())
+    pairs = pairs.unionByName(edges.select("cls", F.struct("0", "1").alias("z")))
     counts = pairs.groupBy("cls", F.col("z.0").alias("i"), F.col("z.1").alias("j")).count()
     cells = counts.groupBy("cls").agg(F.map_from_entries(F.collect_list(F.struct(
         F.concat_ws(":", "i", "j"), F.col("count").cast("double")))).alias("mp"))
@@ -360,26 +389,24 @@ SQL_EM_CONVERGED = (
 
 # ------------------------------------------------------------- R1-R3, V1-V5
 
-def q_sequence_score(spark, sf):
-    """R3 on D1 (K=5) under the start model of (fold 0, class 1). Users with
-    more than MAX_ARRAY_LEN events are scored by the streaming path."""
+def _user_scores(spark, sf, block: int) -> DataFrame:
+    from segstate.operators.scoring import prefix_scores
     from segstate.functions.params import init_model_values
-    from segstate.operators.forward import forward_score
-    from segstate.operators.longseq import long_scores
     mv = init_model_values(0, 1, SPEC_USER, SEED)
-    events = EV.read_table(spark, sf, "events")
-    arrays, long_rows = EV.build_sequence_set(events, ["user_id"], EV.USER_ALPHABET, MAX_ARRAY_LEN)
-    score = forward_score(F.col("obs"), *(F.lit(mv[x]) for x in ("pi", "a", "b", "p")), SPEC_USER)
-    out = arrays.select(F.col("user_id").alias("workitem"), score.alias("score"))
-    if long_rows is not None:
-        model = spark.createDataFrame([(0, 1, mv["pi"], mv["a"], mv["b"], mv["p"])],
-                                      "fold int, cls int, pi array<double>, a array<array<double>>, "
-                                      "b array<array<double>>, p array<array<double>>")
-        longs = long_scores(long_rows.select(F.col("user_id").cast("string").alias("workitem"),
-                                             F.lit(0).alias("fold"), F.lit(1).alias("cls"),
-                                             "sym", "ts", "event_id"), model, SPEC_USER)
-        out = out.unionByName(longs.select(F.col("workitem").cast("bigint").alias("workitem"), "score"))
-    return out.select("workitem", r6("score").alias("score"))
+    params = {(0, 1): tuple(np.array(mv[x]) for x in ("pi", "a", "b", "p"))}
+    users = EV.user_sequences(spark, sf, block).withColumn("fold", F.lit(0))
+    return (prefix_scores(users, params, SPEC_USER, [None])
+            .select(F.col("workitem").cast("bigint").alias("workitem"), r6("score1").alias("score")))
+
+
+def q_sequence_score(spark, sf):
+    """R3 on D1 (K=5) under the start model of (fold 0, class 1)."""
+    return _user_scores(spark, sf, BL.BLOCK)
+
+
+def q_sequence_score_blocks(spark, sf):
+    """The same with sequences that are carried over block edges."""
+    return _user_scores(spark, sf, SHORT_BLOCK)
 
 
 SQL_SEQUENCE_SCORE = (
@@ -387,22 +414,29 @@ SQL_SEQUENCE_SCORE = (
     f"FROM ({Q.user_sequences_sql()}) s, (SELECT {Q.init_model_sql(SPEC_USER, SEED, '0', '1')}) m")
 
 
+def _by_model(scores: DataFrame) -> DataFrame:
+    pairs = F.array(*[F.struct(F.lit(c).alias("model"), r6(f"score{c}").alias("score")) for c in (1, 0)])
+    return scores.select("workitem", "cls", "fold", F.explode(pairs).alias("x")).select("workitem", "cls", "fold", "x.*")
+
+
+def _by_model_sql(scores: str) -> str:
+    return " UNION ALL ".join(f"SELECT workitem, cls, fold, {c} AS model, {r6sql(f'score{c}')} AS score FROM ({scores})" for c in (1, 0))
+
+
 def q_score_full(spark, sf):
-    """V1: held-out rows under the class-1 start model of their fold."""
-    s = scores_start(spark, sf)
-    return s.select("workitem", "cls", "fold", r6("score1").alias("score"))
+    """V1: held-out rows under each start model of their fold."""
+    return _by_model(scores_start(spark, sf))
 
 
-SQL_SCORE_FULL = f"SELECT workitem, cls, fold, {r6sql('score1')} AS score FROM ({scores_sql()})"
+SQL_SCORE_FULL = _by_model_sql(scores_sql())
 
 
 def q_score_prefix(spark, sf):
     """V2: the same on the first T=3 symbols."""
-    s = scores_start(spark, sf, T_PREFIX)
-    return s.select("workitem", "cls", "fold", r6("score1").alias("score"))
+    return _by_model(scores_start(spark, sf, T_PREFIX))
 
 
-SQL_SCORE_PREFIX = f"SELECT workitem, cls, fold, {r6sql('score1')} AS score FROM ({scores_sql(T_PREFIX)})"
+SQL_SCORE_PREFIX = _by_model_sql(scores_sql(T_PREFIX))
 
 
 def q_score_both_models(spark, sf):
@@ -467,7 +501,7 @@ def q_pending_folds(spark, sf):
     path = os.path.join(new_work_dir(spark, "metrics"), "metrics")
     counts = confusion_counts(scores_start(spark, sf))
     ST.append_metrics(fold_metrics(counts).where(F.col("fold") < 2), path)
-    all_folds = folded(spark, sf).select(F.col("kfold").alias("fold")).distinct()
+    all_folds = folded_keys(spark, sf).select(F.col("kfold").alias("fold")).distinct()
     return ST.pending_folds(spark, all_folds, path)
 
 
@@ -478,8 +512,7 @@ SQL_PENDING_FOLDS = f"SELECT DISTINCT kfold AS fold FROM ({FOLDED_SQL}) WHERE kf
 
 def _trace(spark, sf, what: str) -> DataFrame:
     fld = folded(spark, sf)
-    models = start_models(fld).where(F.col("cls") == 1)
-    return kernel_long_form(FO.validation_rows(fld), models, SPEC, what, K_FOLDS)
+    return kernel_long_form(FO.validation_rows(fld), start_models(fld), SPEC, what)
 
 
 def _traced(what: str) -> Callable[[SparkSession, str], DataFrame]:
@@ -491,8 +524,15 @@ def _traced(what: str) -> Callable[[SparkSession, str], DataFrame]:
 def q_e_step_stats(spark, sf):
     from segstate.operators.estep import e_step_stats_folded
     fld = folded(spark, sf)
-    models = start_models(fld)
-    st = e_step_stats_folded(fld, models, SPEC, K_FOLDS)
+    st = e_step_stats_folded(fld, start_models(fld), SPEC, K_FOLDS)
+    return st.select("fold", "cls", "param", "i", "j", r6("value").alias("value"))
+
+
+def q_e_step_blocks(spark, sf):
+    """R9 on D1 with sequences that are carried over block edges."""
+    from segstate.operators.estep import e_step_stats_folded
+    fld = materialize(FO.folded_sequences(EV.user_sequences(spark, sf, SHORT_BLOCK), K_FOLDS, SEED), "folded")
+    st = e_step_stats_folded(fld, start_models(fld, SPEC_USER), SPEC_USER, K_FOLDS)
     return st.select("fold", "cls", "param", "i", "j", r6("value").alias("value"))
 
 
@@ -500,8 +540,7 @@ def q_m_step(spark, sf):
     from segstate.operators.estep import e_step_stats_folded
     from segstate.operators.mstep import m_step
     fld = folded(spark, sf)
-    models = start_models(fld)
-    new = m_step(e_step_stats_folded(fld, models, SPEC, K_FOLDS), SPEC)
+    new = m_step(e_step_stats_folded(fld, start_models(fld), SPEC, K_FOLDS), SPEC)
     return ST.model_long(new).withColumn("value", r6("value"))
 
 
@@ -516,30 +555,13 @@ def q_em_one_iteration(spark, sf):
 
 
 def q_em_train(spark, sf):
-    m = _em(spark, sf, RUN.max_iterations)
-    return ST.model_long(m).withColumn("value", r6("value"))
-
-
-def q_trace_resume(spark, sf):
-    """Stop after 2 iterations, resume to 3 from the trace table."""
-    from segstate.plans.em import read_trace, train_models
-    work = new_work_dir(spark, "resume")
-    fld = folded(spark, sf)
-    train_models(fld, SPEC, K_FOLDS, SEED, work, RUN.epsilon, 2)
-    train_models(fld, SPEC, K_FOLDS, SEED, work, RUN.epsilon, 3)
-    t = read_trace(spark, work)
-    return t.select("fold", "cls", "iteration", r6("loglik").alias("loglik"), "converged")
-
-
-def q_cross_validate(spark, sf):
-    from segstate.plans.crossval import cross_validate
-    arrays, long_rows = EV.labelled_sequence_set(spark, sf, MAX_ARRAY_LEN)
-    return cross_validate(arrays, RUN, new_work_dir(spark, "cv"), long_rows)
+    """The parameters of every model, trained to the end."""
+    return ST.model_long(_em(spark, sf, RUN.max_iterations)).withColumn("value", r6("value"))
 
 
 def q_em_train_converged(spark, sf):
-    """Every model trained until it converges or diverges."""
-    m = _em(spark, sf, FULL.max_iterations)
+    """How the training of every model ended, with its parameters."""
+    m = _em(spark, sf, RUN.max_iterations)
     return m.select("fold", "cls", "iteration", "converged", "status", F.round("loglik", 3).alias("loglik"), *_params())
 
 
@@ -548,42 +570,71 @@ def _params() -> list[Column]:
     return [F.transform("pi", r6).alias("pi"), *[F.transform(c, lambda row: F.transform(row, r6)).alias(c) for c in "abp"]]
 
 
-def q_trace_resume_converged(spark, sf):
-    """Stop after 2 iterations, resume to the end from the trace table."""
+def _resumed_trace(spark, sf) -> DataFrame:
+    """Stop after 2 iterations, resume to the end from the trace."""
     from segstate.plans.em import read_trace, train_models
     work = new_work_dir(spark, "resume")
     fld = folded(spark, sf)
-    train_models(fld, SPEC, K_FOLDS, SEED, work, FULL.epsilon, 2)
-    train_models(fld, SPEC, K_FOLDS, SEED, work, FULL.epsilon, FULL.max_iterations)
-    t = read_trace(spark, work)
-    return t.select("fold", "cls", "iteration", F.round("loglik", 3).alias("loglik"), "converged", "status", *_params())
+    train_models(fld, SPEC, K_FOLDS, SEED, work, RUN.epsilon, 2)
+    train_models(fld, SPEC, K_FOLDS, SEED, work, RUN.epsilon, RUN.max_iterations)
+    return read_trace(spark, work)
 
 
-def q_cross_validate_converged(spark, sf):
+def q_trace_resume(spark, sf):
+    return _resumed_trace(spark, sf).select("fold", "cls", "iteration", r6("loglik").alias("loglik"), "converged")
+
+
+def q_trace_resume_converged(spark, sf):
+    """The same with the status and the parameters of every iteration."""
+    return _resumed_trace(spark, sf).select("fold", "cls", "iteration", F.round("loglik", 3).alias("loglik"), "converged", "status",
+                                            *_params())
+
+
+def q_cross_validate(spark, sf):
     """V6 with models trained to the end."""
     from segstate.plans.crossval import cross_validate
-    arrays, long_rows = EV.labelled_sequence_set(spark, sf, MAX_ARRAY_LEN)
-    return cross_validate(arrays, FULL, new_work_dir(spark, "cv"), long_rows)
+    return cross_validate(d2(spark, sf), RUN, new_work_dir(spark, "cv"))
 
 
 def q_cross_validate_prefix(spark, sf):
+    """V7 with models trained to the end."""
     from segstate.plans.crossval import cross_validate_prefix
-    arrays, long_rows = EV.labelled_sequence_set(spark, sf, MAX_ARRAY_LEN)
-    return cross_validate_prefix(arrays, RUN, new_work_dir(spark, "cvp"), [1, 2, T_PREFIX], long_rows)
+    return cross_validate_prefix(d2(spark, sf), RUN, new_work_dir(spark, "cvp"), [1, 2, T_PREFIX])
 
 
-def q_cross_validate_prefix_converged(spark, sf):
-    """V7 with models trained to the end."""
-    from segstate.plans.crossval import cross_validate_prefix
-    arrays, long_rows = EV.labelled_sequence_set(spark, sf, MAX_ARRAY_LEN)
-    return cross_validate_prefix(arrays, FULL, new_work_dir(spark, "cvp"), [1, 2, T_PREFIX], long_rows)
+def q_run_audit(spark, sf):
+    """V3, Q18: the accounts of a whole run from text files."""
+    from segstate.plans import audit
+    from segstate.plans.jobs import cross_validation
+    base, work = new_work_dir(spark, "raw"), new_work_dir(spark, "cv")
+    seqs = d2_lines(spark, sf)
+    paths = {c: os.path.join(base, f"class{c}") for c in (0, 1)}
+    for c, p in paths.items():
+        ST.write_raw_sequences(seqs.where(F.col("cls") == c), p)
+    cross_validation(spark, paths[1], paths[0], RUN, work)
+    return audit.read(spark, work).select("stage", "cls", F.coalesce("fold", F.lit(-1)).alias("fold"), "name", "n")
+
+
+SQL_RUN_AUDIT = (
+    f"WITH f AS ({FOLDED_SQL}) "
+    "SELECT 'input' AS stage, cls, -1 AS fold, name, count(*) AS n FROM f, (VALUES ('read'), ('kept')) v(name) GROUP BY ALL "
+    "UNION ALL SELECT 'input', cls, -1, 'repeated ids', count(*) - count(DISTINCT workitem) FROM f GROUP BY cls "
+    "UNION ALL SELECT 'evaluated', cls, kfold, name, count(*) FROM f, (VALUES ('held out'), ('scored')) v(name) GROUP BY ALL")
+
+
+def scoped(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """The query with its work tables deleted when its result stands."""
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        with WorkScope(spark) as scope:
+            return scope.result(fn(spark, sf))
+    return run
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "em_train_converged": q_em_train_converged,
-    "cross_validate_converged": q_cross_validate_converged,
+    "cross_validate_converged": q_cross_validate,
     "trace_resume_converged": q_trace_resume_converged,
-    "cross_validate_prefix_converged": q_cross_validate_prefix_converged,
+    "cross_validate_prefix_converged": q_cross_validate_prefix,
     "user_sequences": q_user_sequences,
     "build_sequences": q_build_sequences,
     "source_sequences": q_source_sequences,
@@ -605,7 +656,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "model_matrix_to_flat": q_model_matrix_to_flat,
     "model_flat_to_matrix": q_model_flat_to_matrix,
     "em_converged": q_em_converged,
+    "sequence_symbols": q_sequence_symbols,
     "sequence_score": q_sequence_score,
+    "sequence_score_blocks": q_sequence_score_blocks,
     "score_full": q_score_full,
     "score_prefix": q_score_prefix,
     "score_both_models": q_score_both_models,
@@ -625,13 +678,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "estimate_duration": _traced("estimate_duration"),
     "estimate_initial": _traced("estimate_initial"),
     "e_step_stats": q_e_step_stats,
+    "e_step_blocks": q_e_step_blocks,
     "m_step": q_m_step,
     "em_one_iteration": q_em_one_iteration,
     "em_train": q_em_train,
     "trace_resume": q_trace_resume,
     "cross_validate": q_cross_validate,
     "cross_validate_prefix": q_cross_validate_prefix,
+    "run_audit": q_run_audit,
 }
+QUERIES = {name: scoped(fn) for name, fn in QUERIES.items()}
 
 ORACLES: dict[str, str] = {
     "user_sequences": SQL_USER_SEQUENCES,
@@ -653,7 +709,10 @@ ORACLES: dict[str, str] = {
     "matrix_normalize": SQL_MATRIX_NORMALIZE,
     "init_params": SQL_INIT_PARAMS,
     "em_converged": SQL_EM_CONVERGED,
+    "sequence_symbols": SQL_SEQUENCE_SYMBOLS,
     "sequence_score": SQL_SEQUENCE_SCORE,
+    "sequence_score_blocks": SQL_SEQUENCE_SCORE,
+    "run_audit": SQL_RUN_AUDIT,
     "score_full": SQL_SCORE_FULL,
     "score_prefix": SQL_SCORE_PREFIX,
     "score_both_models": SQL_SCORE_BOTH,
@@ -667,8 +726,8 @@ ORACLES: dict[str, str] = {
 
 # ------------------------------------------ oracles of the recursion keys
 
-_TRACE_BASE = (f"SELECT f.workitem, f.obs, m.pi, m.a, m.b, m.p FROM ({FOLDED_SQL}) f "
-               f"JOIN ({MODELS_SQL}) m ON m.fold = f.kfold AND m.cls = 1")
+_TRACE_BASE = (f"SELECT f.workitem, m.cls, f.obs, m.pi, m.a, m.b, m.p FROM ({FOLDED_SQL}) f "
+               f"JOIN ({MODELS_SQL}) m ON m.fold = f.kfold")
 _LAYERS = Q.estep_layers_sql(_TRACE_BASE, SPEC)
 # quantity -> (list column, axes, size of the t axis)
 _TRACE_SHAPES = {
@@ -695,7 +754,7 @@ def _trace_sql(names: list[str]) -> str:
         idx = {"t": "t", "i": "i", "j": "j"}
         access = "x." + col + "".join(f"[{idx[a]} + 1]" for a in axes)
         parts.append(
-            f"SELECT x.workitem, '{name}' AS param, "
+            f"SELECT x.workitem, x.cls, '{name}' AS param, "
             f"CAST({'t' if 't' in axes else 0} AS INTEGER) AS t, "
             f"CAST({'i' if 'i' in axes else 0} AS INTEGER) AS i, "
             f"CAST({'j' if 'j' in axes else 0} AS INTEGER) AS j, "
@@ -709,21 +768,33 @@ _ESTEP_BASE = (f"SELECT ff.fold, s.cls, s.obs, m.pi, m.a, m.b, m.p FROM ({FOLDED
                f"JOIN ({MODELS_SQL}) m ON m.fold = ff.fold AND m.cls = s.cls")
 
 
-def _estep_sums_sql() -> str:
-    layers = Q.estep_layers_sql(_ESTEP_BASE, SPEC)
+def _estep_sums_sql(base: str = _ESTEP_BASE, spec: HsmmSpec = SPEC) -> str:
+    """Sums of the estimates of every model over rows (fold, cls, obs, pi, a, b, p)."""
+    layers = Q.estep_layers_sql(base, spec)
     scal = (f"SELECT fold, cls, 'loglik' AS param, 0 AS i, 0 AS j, sum(loglik) AS value FROM x GROUP BY ALL "
             f"UNION ALL SELECT fold, cls, 'n_seq', 0, 0, CAST(count(*) AS DOUBLE) FROM x GROUP BY ALL "
             f"UNION ALL SELECT fold, cls, 'n_undefined', 0, 0, "
             f"CAST(sum(CASE WHEN isfinite(loglik) THEN 0 ELSE 1 END) AS DOUBLE) FROM x GROUP BY ALL")
     mats = []
-    for col, name, n_j in (("new_a", "a", SPEC.m), ("new_b", "b", SPEC.k), ("new_p", "p", SPEC.d)):
+    for col, name, n_j in (("new_a", "a", spec.m), ("new_b", "b", spec.k), ("new_p", "p", spec.d)):
         mats.append(f"SELECT fold, cls, '{name}', CAST(i AS INTEGER), CAST(j AS INTEGER), "
-                    f"sum({col}[i + 1][j + 1]) FROM x, range({SPEC.m}) ri(i), range({n_j}) rj(j) GROUP BY ALL")
+                    f"sum({col}[i + 1][j + 1]) FROM x, range({spec.m}) ri(i), range({n_j}) rj(j) GROUP BY ALL")
     pi = (f"SELECT fold, cls, 'pi', CAST(i AS INTEGER), 0, sum(new_pi[i + 1]) "
-          f"FROM x, range({SPEC.m}) ri(i) GROUP BY ALL")
+          f"FROM x, range({spec.m}) ri(i) GROUP BY ALL")
     return f"WITH x AS ({layers}) " + " UNION ALL ".join([scal, pi] + mats)
 
 
+_USER_FOLDED_SQL = (
+    "SELECT workitem, 1 AS cls, obs, "
+    f"CAST((row_number() OVER (ORDER BY md5(concat_ws(':', {SEED}, 'fold', workitem)), workitem) - 1) % {K_FOLDS} AS INTEGER) AS kfold "
+    f"FROM ({Q.user_sequences_sql()})")
+_USER_ESTEP_BASE = (
+    f"SELECT ff.fold, s.cls, s.obs, m.pi, m.a, m.b, m.p FROM ({_USER_FOLDED_SQL}) s "
+    f"JOIN (SELECT CAST(range AS INTEGER) AS fold FROM range({K_FOLDS})) ff ON s.kfold <> ff.fold "
+    f"JOIN (SELECT fold, cls, {Q.init_model_sql(SPEC_USER, SEED)} FROM (SELECT CAST(f AS INTEGER) AS fold, 1 AS cls "
+    f"FROM range({K_FOLDS}) rf(f))) m ON m.fold = ff.fold AND m.cls = s.cls")
+ORACLES["e_step_blocks"] = (f"SELECT fold, cls, param, i, j, {r6sql('value')} AS value "
+                            f"FROM ({_estep_sums_sql(_USER_ESTEP_BASE, SPEC_USER)})")
 SQL_ESTEP_SUMS = _estep_sums_sql()
 SQL_E_STEP_STATS = f"SELECT fold, cls, param, i, j, {r6sql('value')} AS value FROM ({SQL_ESTEP_SUMS})"
 SQL_M_STEP = (
@@ -758,19 +829,7 @@ ORACLES["model_matrix_to_flat"] = (
     f"value FROM ({SQL_M_STEP})")
 
 
-# ------------------------------------------ EM, V6 and V7 unrolled in SQL
-
-def _estep_sums_sql_from(base: str) -> str:
-    layers = Q.estep_layers_sql(base, SPEC)
-    scal = ("SELECT fold, cls, 'loglik' AS param, 0 AS i, 0 AS j, sum(loglik) AS value FROM x GROUP BY ALL")
-    mats = []
-    for col, name, n_j in (("new_a", "a", SPEC.m), ("new_b", "b", SPEC.k), ("new_p", "p", SPEC.d)):
-        mats.append(f"SELECT fold, cls, '{name}', CAST(i AS INTEGER), CAST(j AS INTEGER), "
-                    f"sum({col}[i + 1][j + 1]) FROM x, range({SPEC.m}) ri(i), range({n_j}) rj(j) GROUP BY ALL")
-    pi = (f"SELECT fold, cls, 'pi', CAST(i AS INTEGER), 0, sum(new_pi[i + 1]) "
-          f"FROM x, range({SPEC.m}) ri(i) GROUP BY ALL")
-    return f"WITH x AS ({layers}) " + " UNION ALL ".join([scal, pi] + mats)
-
+# ------------------------------------- EM, V6 and V7 as a recursive CTE in SQL
 
 _NORM = ("CASE WHEN param = 'p' THEN value * (1.0 / sum(value) OVER (PARTITION BY fold, cls, param)) "
          "WHEN param = 'pi' THEN CASE WHEN sum(abs(value)) OVER (PARTITION BY fold, cls, param) = 0 THEN value "
@@ -796,39 +855,32 @@ def _converged(cur: str, prev: str, eps: float) -> str:
             f"< {eps!r}, false)")
 
 
-def em_sql(iterations: int) -> str:
-    """WITH-chain: start, per-iteration sums/models, trace and final models."""
+def em_sql(max_iterations: int, epsilon: float) -> str:
+    """WITH-chain: the start models, ``em`` with a row per model and iteration,
+    the trace and the final models. A step reads the models of the iteration before
+    that are still running, so the recursion ends by itself."""
+    base = ("SELECT t.fold, t.cls, t.obs, m.pi, m.a, m.b, s.p FROM train t JOIN em m ON m.fold = t.fold AND m.cls = t.cls "
+            f"JOIN start s ON s.fold = t.fold AND s.cls = t.cls WHERE m.status = 'running' AND m.iteration < {max_iterations - 1}")
+    undefined = ("isnan(n.loglik) OR list_bool_or(list_transform(n.pi, lambda v_: isnan(v_))) OR "
+                 "list_bool_or(list_transform(flatten(n.a), lambda v_: isnan(v_))) OR "
+                 "list_bool_or(list_transform(flatten(n.b), lambda v_: isnan(v_)))")
+    conv = _converged("n.loglik", "m.loglik", epsilon)
+    step = (f"WITH sums AS MATERIALIZED ({_estep_sums_sql(base)}), n AS ({_model_from_sums('sums')}) "
+            f"SELECT n.fold, n.cls, m.iteration + 1 AS iteration, n.pi, n.a, n.b, n.p, n.loglik, "
+            f"CASE WHEN {conv} THEN 'converged' WHEN {undefined} THEN 'diverged' ELSE 'running' END AS status "
+            f"FROM n JOIN em m ON m.fold = n.fold AND m.cls = n.cls")
     ctes = [
-        f"folded AS ({FOLDED_SQL})",
-        f"start AS (SELECT fold, cls, {Q.init_model_sql(SPEC, SEED)} FROM "
+        f"folded AS MATERIALIZED ({FOLDED_SQL})",
+        f"start AS MATERIALIZED (SELECT fold, cls, {Q.init_model_sql(SPEC, SEED)} FROM "
         f"(SELECT CAST(f AS INTEGER) AS fold, CAST(c AS INTEGER) AS cls FROM range({K_FOLDS}) rf(f), range(2) rc(c)))",
-        f"train AS (SELECT ff.fold, s.cls, s.obs FROM folded s JOIN (SELECT CAST(range AS INTEGER) AS fold "
+        f"train AS MATERIALIZED (SELECT ff.fold, s.cls, s.obs FROM folded s JOIN (SELECT CAST(range AS INTEGER) AS fold "
         f"FROM range({K_FOLDS})) ff ON s.kfold <> ff.fold)",
-        "par0 AS (SELECT fold, cls, pi, a, b, p FROM start)",
+        "em AS (SELECT fold, cls, -1 AS iteration, pi, a, b, p, '-inf'::DOUBLE AS loglik, 'running' AS status FROM start "
+        f"UNION ALL SELECT * FROM ({step}))",
+        "trace AS MATERIALIZED (SELECT *, status = 'converged' AS converged FROM em WHERE iteration >= 0)",
+        "final AS MATERIALIZED (SELECT * FROM trace QUALIFY iteration = max(iteration) OVER (PARTITION BY fold, cls))",
     ]
-    for it in range(iterations):
-        base = (f"SELECT t.fold, t.cls, t.obs, m.pi, m.a, m.b, m.p FROM train t "
-                f"JOIN par{it} m ON m.fold = t.fold AND m.cls = t.cls")
-        ctes.append(f"sum{it} AS ({_estep_sums_sql_from(base)})")
-        ctes.append(f"mod{it} AS ({_model_from_sums(f'sum{it}')})")
-        ctes.append(f"par{it + 1} AS (SELECT m.fold, m.cls, m.pi, m.a, m.b, s.p FROM mod{it} m "
-                    f"JOIN start s ON s.fold = m.fold AND s.cls = m.cls)")
-    # trace: iteration it exists while no earlier iteration converged
-    trace_parts = []
-    for it in range(iterations):
-        prev = "'-inf'::DOUBLE" if it == 0 else f"mod{it - 1}.loglik"
-        joins = " ".join(f"JOIN mod{q} ON mod{q}.fold = mod{it}.fold AND mod{q}.cls = mod{it}.cls"
-                         for q in range(it))
-        alive = " AND ".join(["true"] + [
-            f"NOT {_converged(f'mod{q}.loglik', 'mod' + str(q - 1) + '.loglik' if q else chr(39) + '-inf' + chr(39) + '::DOUBLE', RUN.epsilon)}"
-            for q in range(it)])
-        trace_parts.append(
-            f"SELECT mod{it}.fold, mod{it}.cls, {it} AS iteration, mod{it}.pi, mod{it}.a, mod{it}.b, mod{it}.p, "
-            f"mod{it}.loglik, {_converged(f'mod{it}.loglik', prev, RUN.epsilon)} AS converged "
-            f"FROM mod{it} {joins} WHERE {alive}")
-    ctes.append("trace AS (" + " UNION ALL ".join(trace_parts) + ")")
-    ctes.append("final AS (SELECT * FROM trace QUALIFY iteration = max(iteration) OVER (PARTITION BY fold, cls))")
-    return "WITH " + ", ".join(ctes) + " "
+    return "WITH RECURSIVE " + ", ".join(ctes) + " "
 
 
 def _cv_scores_sql(t_prefix: int | None, models: str = "final") -> str:
@@ -839,11 +891,18 @@ def _cv_scores_sql(t_prefix: int | None, models: str = "final") -> str:
             f"JOIN {models} m0 ON m0.fold = f.kfold AND m0.cls = 0")
 
 
-_EM3 = em_sql(RUN.max_iterations)
-ORACLES["em_train"] = _EM3 + (
+_EM = em_sql(RUN.max_iterations, RUN.epsilon)
+_LL3 = "round(loglik, 3) AS loglik"
+_PARAMS_SQL = ", ".join([f"list_transform(pi, lambda v_: {r6sql('v_')}) AS pi"] + [
+    f"list_transform({c}, lambda r_: list_transform(r_, lambda v_: {r6sql('v_')})) AS {c}" for c in "abp"])
+ORACLES["em_train"] = _EM + (
     f"SELECT fold, cls, param, i, j, {r6sql('value')} AS value FROM ({long_model_sql('SELECT * FROM final')})")
-ORACLES["trace_resume"] = _EM3 + (
+ORACLES["em_train_converged"] = _EM + (
+    f"SELECT fold, cls, iteration, converged, status, {_LL3}, {_PARAMS_SQL} FROM final")
+ORACLES["trace_resume"] = _EM + (
     f"SELECT fold, cls, iteration, {r6sql('loglik')} AS loglik, converged FROM trace")
-ORACLES["cross_validate"] = _EM3 + _metrics_sql(_counts_sql(_cv_scores_sql(None)))
-ORACLES["cross_validate_prefix"] = _EM3 + _metrics_sql(_counts_sql(" UNION ALL ".join(
+ORACLES["trace_resume_converged"] = _EM + (
+    f"SELECT fold, cls, iteration, {_LL3}, converged, status, {_PARAMS_SQL} FROM trace")
+ORACLES["cross_validate"] = ORACLES["cross_validate_converged"] = _EM + _metrics_sql(_counts_sql(_cv_scores_sql(None)))
+ORACLES["cross_validate_prefix"] = ORACLES["cross_validate_prefix_converged"] = _EM + _metrics_sql(_counts_sql(" UNION ALL ".join(
     f"SELECT {t} AS t_prefix, * FROM ({_cv_scores_sql(t)})" for t in (1, 2, T_PREFIX)), "t_prefix, fold"))

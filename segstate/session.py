@@ -50,10 +50,54 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return current
 
 
+class WorkScope:
+    """Tables that a run makes and that are gone when it ends.
+
+    Inside ``with WorkScope(spark) as scope`` every folder of ``new_work_dir``
+    belongs to the scope and is deleted at its end, also after a failure, but for
+    those given to ``keep``. Scopes nest; a folder belongs to the innermost one."""
+
+    _open: list[WorkScope] = []
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths, self.kept = spark, [], set()
+
+    def __enter__(self) -> WorkScope:
+        WorkScope._open.append(self)
+        return self
+
+    def __exit__(self, *_) -> None:
+        WorkScope._open.remove(self)
+        for path in self.paths:
+            if path not in self.kept:
+                _delete(self.spark, path)
+
+    def keep(self, path: str) -> str:
+        self.kept.add(path)
+        return path
+
+    def result(self, df):
+        """``df`` as it is if the scope has made no table, else written to a
+        folder that outlives the scope."""
+        if not self.paths:
+            return df
+        path = self.keep(new_work_dir(self.spark, "result"))
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def new_work_dir(spark: SparkSession, name: str = "run") -> str:
     """A fresh folder for the tables of one run, under the checkpoint dir."""
     base = ensure_checkpoint_dir(spark)
-    return os.path.join(base, "segstate", f"{name}-{uuid.uuid4().hex[:12]}")
+    path = os.path.join(base, "segstate", f"{name}-{uuid.uuid4().hex[:12]}")
+    if WorkScope._open:
+        WorkScope._open[-1].paths.append(path)
+    return path
 
 
 def materialize(df, name: str = "table"):
@@ -62,4 +106,4 @@ def materialize(df, name: str = "table"):
     lineage, and a lost executor recomputes nothing before it."""
     path = os.path.join(new_work_dir(df.sparkSession, name), name)
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

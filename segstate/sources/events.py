@@ -1,21 +1,15 @@
-"""Building observation sequences from an event table (S1b) and the fixture
-sequence tables D1-D3 of FIXTURES.md.
-
-A sequence is the time-ordered list of symbols of one entity. Grouping uses a
-two-phase hash aggregate (``collect_list`` partials are merged after the
-shuffle on the entity key), then one ``array_sort`` of (ts, event_id, symbol)
-structs per entity fixes the order independently of task order.
+"""The fixture sequence tables D1 and D2 of FIXTURES.md, built from the event
+table in blocks (S1b, ``sources.blocks``), and the hash sample (P1).
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from segstate.functions.hashing import hash_key, md5_uniform
 from segstate.functions.obs import symbol_index
+from segstate.sources.blocks import BLOCK, event_blocks
 
 # The event alphabets of the fixtures (FIXTURES.md section 3).
 # D1 uses every event type in alphabetical order (K = 5).
@@ -31,70 +25,10 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def ordered_symbols(ts: Column, tie: Column, sym: Column, keep: Column | None = None) -> Column:
-    """Aggregate expression: symbols of the group ordered by (ts, tie).
-
-    Rows with ``keep`` false are left out (collect_list skips nulls)."""
-    item = F.struct(ts.alias("ts"), tie.alias("tie"), sym.alias("sym"))
-    if keep is not None:
-        item = F.when(keep, item)
-    return F.transform(F.array_sort(F.collect_list(item)), lambda s: s["sym"])
-
-
-def build_sequences(events: DataFrame, entity: Sequence[str], alphabet: Sequence[str],
-                    ts: str = "ts", tie: str = "event_id", kind: str = "event_type") -> DataFrame:
-    """One row per entity with ``obs array<int>`` ordered by (ts, tie)."""
-    sym = symbol_index(F.col(kind), alphabet)
-    return (events.select(*entity, ts, tie, sym.alias("_sym"))
-            .groupBy(*entity)
-            .agg(ordered_symbols(F.col(ts), F.col(tie), F.col("_sym")).alias("obs")))
-
-
-def build_sequence_set(events: DataFrame, entity: Sequence[str], alphabet: Sequence[str],
-                       max_len: int, ts: str = "ts", tie: str = "event_id",
-                       kind: str = "event_type") -> tuple[DataFrame, DataFrame]:
-    """S1b split by length: entities with at most ``max_len`` events become
-    array rows; the events of longer ones stay rows (entity, ts, tie, sym)
-    for the streaming path. Long entities number at most events / max_len;
-    their keys are written once and broadcast when that bound fits."""
-    from segstate.session import materialize
-
-    sym = symbol_index(F.col(kind), alphabet)
-    base = events.select(*entity, ts, tie, sym.alias("sym"))
-    keys = _long_keys(base.groupBy(*entity).count().where(F.col("count") > max_len).select(*entity),
-                      "long_entities")
-    arrays = base.groupBy(*entity).agg(ordered_symbols(F.col(ts), F.col(tie), F.col("sym")).alias("obs"))
-    if keys is None:
-        return arrays, None
-    arrays = (base.join(keys, list(entity), "left_anti").groupBy(*entity)
-              .agg(ordered_symbols(F.col(ts), F.col(tie), F.col("sym")).alias("obs")))
-    return arrays, base.join(keys, list(entity))
-
-
-def _long_keys(candidates: DataFrame, name: str, limit_bytes: int = 64 << 20) -> DataFrame | None:
-    """Keys of the sequences too long for arrays, or None when there are none.
-
-    Up to ``limit_bytes / LONG_KEY_BYTES`` keys are fetched in one job and
-    re-enter the plan as a broadcast relation; beyond that they are written
-    under the work folder and joined by shuffle."""
-    from segstate.session import materialize
-
-    # Python rows on the driver weigh far more than their bytes: cap the count too
-    cap = max(1, min(limit_bytes // LONG_KEY_BYTES, MAX_DRIVER_KEYS))
-    rows = candidates.limit(cap + 1).collect()
-    if not rows:
-        return None
-    if len(rows) <= cap:
-        spark = candidates.sparkSession
-        return F.broadcast(spark.createDataFrame(rows, candidates.schema))
-    return materialize(candidates, name)
-
-
-def user_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+def user_sequences(spark: SparkSession, sf_dir: str, block: int = BLOCK) -> DataFrame:
     """Fixture D1: one sequence per user over all event types (K = 5)."""
-    events = read_table(spark, sf_dir, "events")
-    return (build_sequences(events, ["user_id"], USER_ALPHABET)
-            .select(F.col("user_id").alias("workitem"), "obs"))
+    return event_blocks(read_table(spark, sf_dir, "events"), F.col("user_id"),
+                        symbol_index(F.col("event_type"), USER_ALPHABET), block=block)
 
 
 def bucket_of(ts: Column) -> Column:
@@ -102,64 +36,26 @@ def bucket_of(ts: Column) -> Column:
     return F.floor(days / F.lit(BUCKET_DAYS)).cast("bigint")
 
 
-def _labelled_base(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = read_table(spark, sf_dir, "events")
-    is_label = F.col("event_type") == F.lit(LABEL_EVENT)
-    return ev.select(
-        "user_id", "ts", "event_id",
-        bucket_of(F.col("ts")).alias("bucket"),
-        is_label.alias("_lab"),
-        symbol_index(F.col("event_type"), LABELLED_ALPHABET).alias("_sym"),
-    )
-
-
 def _workitem() -> Column:
-    return F.concat_ws("-", F.col("user_id").cast("string"), F.col("bucket").cast("string"))
+    return F.concat_ws("-", F.col("user_id").cast("string"), bucket_of(F.col("ts")).cast("string"))
 
 
-def labelled_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+def labelled_sequences(spark: SparkSession, sf_dir: str, block: int = BLOCK) -> DataFrame:
     """Fixture D2 (flagship input): one sequence per (user, 3-day bucket).
 
     ``cls`` is 1 when the bucket holds an error event; the error events are
     the label, the other types are the observations (K = 4). Buckets with no
     observation left are dropped."""
-    return _labelled_arrays(_labelled_base(spark, sf_dir))
-
-
-def _labelled_arrays(base: DataFrame) -> DataFrame:
-    seqs = (base.groupBy("user_id", "bucket")
-            .agg(F.max(F.col("_lab").cast("int")).alias("cls"),
-                 ordered_symbols(F.col("ts"), F.col("event_id"), F.col("_sym"),
-                                 keep=~F.col("_lab")).alias("obs")))
-    return (seqs.where(F.size("obs") > 0)
-            .select(_workitem().alias("workitem"), F.col("cls").cast("int").alias("cls"), "obs"))
-
-
-LONG_KEY_BYTES = 96  # user_id, bucket, workitem text and class of one long sequence
-MAX_DRIVER_KEYS = 100_000  # more long keys are written and joined instead
-
-
-def labelled_sequence_set(spark: SparkSession, sf_dir: str, max_len: int,
-                          broadcast_limit: int = 64 << 20) -> tuple[DataFrame, DataFrame]:
-    """D2 split by length. Sequences with at most ``max_len`` observations
-    become arrays; longer ones are never collected: their key row carries a
-    null ``obs`` and their events stay rows (workitem, cls, ts, event_id, sym)
-    for the streaming path. The number of long sequences is at most
-    events / max_len, which bounds the key table that is broadcast."""
-    base = _labelled_base(spark, sf_dir)
-    sizes = base.groupBy("user_id", "bucket").agg(
-        F.sum(F.when(~F.col("_lab"), 1).otherwise(0)).alias("n_obs"),
-        F.max(F.col("_lab").cast("int")).alias("cls"))
-    keys = _long_keys(sizes.where(F.col("n_obs") > max_len).select(
-        "user_id", "bucket", _workitem().alias("workitem"), F.col("cls").cast("int").alias("cls")),
-        "long_keys", broadcast_limit)
-    if keys is None:
-        return _labelled_arrays(base), None
-    arrays = _labelled_arrays(base.join(keys.select("user_id", "bucket"), ["user_id", "bucket"], "left_anti"))
-    arrays = arrays.unionByName(keys.select("workitem", "cls", F.lit(None).cast("array<int>").alias("obs")))
-    long_rows = (base.where(~F.col("_lab")).join(keys, ["user_id", "bucket"])
-                 .select("workitem", "cls", "ts", "event_id", F.col("_sym").alias("sym")))
-    return arrays, long_rows
+    return event_blocks(read_table(spark, sf_dir, "events"), _workitem(), symbol_index(F.col("event_type"), LABELLED_ALPHABET),
+                        F.col("event_type") == F.lit(LABEL_EVENT), block=block)
+
+
+def labelled_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(workitem, cls) of D2 from counts alone, for what needs no symbols."""
+    lab = (F.col("event_type") == F.lit(LABEL_EVENT)).cast("int")
+    return (read_table(spark, sf_dir, "events").select(_workitem().alias("workitem"), lab.alias("lab"))
+            .groupBy("workitem").agg(F.max("lab").alias("cls"), F.min("lab").alias("only"))
+            .where("only = 0").select("workitem", "cls"))
 
 
 def hash_sample(df: DataFrame, fraction: float, seed: int, key: str = "workitem") -> DataFrame:
@@ -168,5 +64,3 @@ def hash_sample(df: DataFrame, fraction: float, seed: int, key: str = "workitem"
     if fraction >= 1.0:
         return df
     return df.where(md5_uniform(hash_key(F.lit(seed), F.col(key))) < F.lit(float(fraction)))
-
-

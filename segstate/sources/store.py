@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from segstate.functions.obs import obs_to_str, parse_obs
+from segstate.sources.files import exists, names
 from segstate.spec import HsmmSpec
 
 RAW_SCHEMA = "workitem string, str_obs string"
@@ -16,17 +17,16 @@ FOLDS_SCHEMA = "workitem string, str_obs string, row_id bigint, kfold int"
 SCORES_SCHEMA = "workitem string, score1 double, score0 double"
 
 
-def path_exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(conf).exists(p)
-
-
 def is_complete(spark: SparkSession, path: str) -> bool:
     """Whether a table was written to the end; a folder that an interrupted
     job left behind is not."""
-    return path_exists(spark, f"{path}/_SUCCESS")
+    return exists(spark, f"{path}/_SUCCESS")
+
+
+def has_partitions(spark: SparkSession, path: str) -> bool:
+    """Whether a table that is replaced per partition holds one. Such a write
+    leaves no mark of its end; its partitions appear whole."""
+    return any("=" in name for name in names(spark, path))
 
 
 # ---------------------------------------------------------------- S1
@@ -36,23 +36,32 @@ def write_raw_sequences(seqs: DataFrame, path: str) -> None:
         .write.mode("overwrite").csv(path)
 
 
-def read_raw_sequences(spark: SparkSession, paths: dict[int, str]) -> DataFrame:
-    """One headerless CSV per class -> (workitem, cls, obs), typed."""
-    parts = [spark.read.schema(RAW_SCHEMA).csv(p).withColumn("cls", F.lit(c).cast("int"))
+def read_raw_lines(spark: SparkSession, paths: dict[int, str]) -> DataFrame:
+    """S1 with nothing lost: (workitem, cls, obs, raw). ``raw`` is the text of a
+    line that has not the two columns of the layout, else null."""
+    schema = RAW_SCHEMA + ", raw string"
+    parts = [spark.read.schema(schema).option("columnNameOfCorruptRecord", "raw").csv(p).withColumn("cls", F.lit(c).cast("int"))
              for c, p in sorted(paths.items())]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out.select("workitem", "cls", parse_obs(F.col("str_obs")).alias("obs"))
+    return out.select("workitem", "cls", parse_obs(F.col("str_obs")).alias("obs"), "raw")
+
+
+def read_raw_sequences(spark: SparkSession, paths: dict[int, str]) -> DataFrame:
+    """One headerless CSV per class -> (workitem, cls, obs), typed."""
+    return read_raw_lines(spark, paths).drop("raw")
 
 
 # ------------------------------------------------------------ S2 / S3
+FOLD_TABLE = "rid long, workitem string, t0 long, whole boolean, obs array<int>, row_id bigint, cls int, kfold int"
+
+
 def write_folds(folded: DataFrame, path: str) -> None:
     """S3: fold assignment, partitioned by class and fold (prunable). The
-    observations are stored typed (``array<int>``, null for a long-form
-    sequence), so the scans of every EM iteration parse nothing."""
-    (folded.select(F.col("workitem").cast("string"), F.col("obs").cast("array<int>"),
-                   "row_id", "kfold", "cls")
+    observations are stored typed and in blocks, so the scans of every EM
+    iteration parse nothing."""
+    (folded.select("rid", F.col("workitem").cast("string"), "t0", "whole", F.col("obs").cast("array<int>"), "row_id", "kfold", "cls")
      .write.mode("overwrite").partitionBy("cls", "kfold").parquet(path))
 
 
@@ -73,9 +82,8 @@ def read_folds_csv(spark: SparkSession, paths: dict[int, str]) -> DataFrame:
 
 
 def read_folds(spark: SparkSession, path: str) -> DataFrame:
-    """Typed read back -> (workitem, cls, obs, row_id, kfold)."""
-    df = spark.read.schema("workitem string, obs array<int>, row_id bigint, cls int, kfold int").parquet(path)
-    return df.select("workitem", "cls", "obs", "row_id", "kfold")
+    """Typed read back of the fold table."""
+    return spark.read.schema(FOLD_TABLE).parquet(path)
 
 
 # ------------------------------------------------------------ S4 / S5
@@ -90,8 +98,7 @@ def write_scores(scores: DataFrame, path: str) -> None:
 
 def read_scores(spark: SparkSession, path: str) -> DataFrame:
     """Typed reuse (scores stay doubles, so the comparison is numeric)."""
-    df = spark.read.parquet(path)
-    return df.select(*[F.col(c) for c in df.columns])
+    return spark.read.parquet(path)
 
 
 # ---------------------------------------------------------------- S6
@@ -185,17 +192,17 @@ def model_long(models: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- S8
 def append_metrics(metrics: DataFrame, path: str) -> None:
-    """One row per finished fold; a fold present here is committed.
-    Folders are per fold and replaced idempotently."""
+    """One row per finished fold, or per (t_prefix, fold); what is present
+    here is committed. Folders are per key and replaced idempotently."""
     (metrics.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("fold").parquet(path))
+     .partitionBy(*[c for c in ("t_prefix", "fold") if c in metrics.columns]).parquet(path))
 
 
 def pending_folds(spark: SparkSession, all_folds: DataFrame, metrics_path: str,
                   keys: list[str] | None = None) -> DataFrame:
     """Folds still to do: every fold (``all_folds``) left-anti the metrics."""
     keys = keys or ["fold"]
-    if not path_exists(spark, metrics_path):
+    if not has_partitions(spark, metrics_path):
         return all_folds
     done = spark.read.parquet(metrics_path).select(*keys).distinct()
     return all_folds.join(done, keys, "left_anti")

@@ -3,6 +3,7 @@ import pytest
 
 from segstate.plans import catalog as C
 from segstate.session import new_work_dir
+from segstate.sources import blocks as BL
 from segstate.sources import store as ST
 from segstate.sources.events import hash_sample
 from segstate.operators import folds as FO
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 
 def test_folds_csv_round_trip(spark):
-    fld = C.folded(spark, SF_SMALL, with_row_ids=True)
+    fld = BL.arrays(C.folded(spark, SF_SMALL, with_row_ids=True), ["row_id", "kfold"])
     base = new_work_dir(spark, "foldscsv")
     paths = {c: f"{base}/class{c}" for c in (0, 1)}
     for c, path in paths.items():

@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 
 from segstate.operators import folds as FO
 from segstate.operators.estep import e_step_stats_folded
-from segstate.operators.evaluate import score_both
 from segstate.plans import catalog as C
 from tests.conftest import SF_SMALL
 
@@ -25,14 +24,15 @@ def test_estep_independent_of_partitioning(spark):
 
 
 def test_salted_model_join_equals_broadcast(spark):
-    fld = FO.validation_rows(C.folded(spark, SF_SMALL))
-    models = C.start_models(C.folded(spark, SF_SMALL))
-    want = {r.workitem: (r.score1, r.score0) for r in score_both(fld, models, C.SPEC, C.K_FOLDS).collect()}
+    from segstate.operators.forward import score_sequences
+    fld = FO.validation_rows(C.folded(spark, SF_SMALL)).select("workitem", "fold", "obs")
+    models = C.start_models(C.folded(spark, SF_SMALL)).where("cls = 1").drop("cls")
+    want = {r.workitem: r.score for r in score_sequences(fld, models, C.SPEC, ["fold"]).collect()}
     spark.conf.set("segstate.modelBroadcastLimit", "1")
     try:
-        salted = score_both(fld, models, C.SPEC, C.K_FOLDS)
+        salted = score_sequences(fld, models, C.SPEC, ["fold"])
         plan = salted._jdf.queryExecution().executedPlan().toString()
-        got = {r.workitem: (r.score1, r.score0) for r in salted.collect()}
+        got = {r.workitem: r.score for r in salted.collect()}
     finally:
         spark.conf.unset("segstate.modelBroadcastLimit")
     assert "_salt" in plan
@@ -40,7 +40,7 @@ def test_salted_model_join_equals_broadcast(spark):
 
 
 def test_trained_models_are_normalised(spark):
-    m = C.q_em_train(spark, SF_SMALL).collect()
+    m = C.q_em_one_iteration(spark, SF_SMALL).collect()
     cells = {}
     for r in m:
         cells.setdefault((r.fold, r.cls, r.param, r.i), []).append(r.value)
