@@ -3,26 +3,30 @@
 For the distinct words of a batch a greedy longest match proposes tokens. A
 proposal is right exactly if each of its tokens encodes to itself and each pair
 of neighbours is compatible, that is, the merges of the joined text of the two
-give the two tokens back. Pairs are tested once per task by exact merging and
-then looked up; the test of all neighbours of a batch is one vectorised lookup
-in a sorted array. Only words with a failing pair undergo exact merging.
+give the two tokens back. Pairs are tested by exact merging and then looked up;
+the test of all neighbours of a batch is one vectorised lookup in a table. Only
+words with a failing pair undergo exact merging, all those of a batch at a time.
 
 The vocabulary file (word-level BPE with an end-of-word mark, ids of about
 50,000 tokens, so bounded) is a parameter and is read in the tasks.
 
 Defined results: null is the empty text, which has no tokens and decodes to the
 empty text; the strings of special tokens inside a text become their ids;
-unused truncation and padding; equal rows get equal results; words are
-remembered up to ``MEMO`` per task, after which the memory starts anew.
+unused truncation and padding; equal rows get equal results; an empty table gives
+no rows; columns of any other name are never read. What a task remembers (results
+of chunks and words, verdicts on pairs) is bounded by ``MEMO_BYTES`` and
+``PAIR_SLOTS`` and is dropped at its end; a forgotten word is worked out again.
 """
 
 from __future__ import annotations
 
 import functools
+import gc
 import hashlib
+import heapq
 import json
 import unicodedata
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +35,8 @@ from pyspark.sql import DataFrame
 
 from segstate.llm.common import texts
 
-MEMO = 400_000
+MEMO_BYTES = 24 << 20  # each of the two memories, a word costs some 200 bytes
+PAIR_SLOTS = 1 << 18
 END = "</w>"
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 ENCODED = "doc_id long, ids array<int>"
@@ -57,6 +62,158 @@ _SEPARATORS = regex.compile(r"[\x1c-\x1f]")
 _SPACES = regex.compile(r"\s+")
 
 
+class Merges:
+    """Exact merging by rank, the leftmost of equals first, of many words at a time.
+
+    Words of one width stand in a matrix of token ids with links to the next and
+    the previous live place; each step merges the best pair of every word that
+    still has one. Pairs are looked up in an open-addressed table."""
+
+    WIDEST = 64
+    NONE = np.int32(2**31 - 1)
+
+    def __init__(self, ids: dict[str, int], merges: list[tuple[str, str]]):
+        self.ids, self.rank = ids, {m: i for i, m in enumerate(merges)}
+        self.into = np.array([ids[a + b] for a, b in merges], dtype=np.int64)
+        codes = np.array([ids[a] << 20 | ids[b] for a, b in merges], dtype=np.int64)
+        self.bits = max(4, int(4 * len(codes)).bit_length())
+        self.key = np.full(1 << self.bits, -1, dtype=np.int64)
+        self.value = np.full(1 << self.bits, self.NONE, dtype=np.int32)
+        todo, rank, at = codes, np.arange(len(codes), dtype=np.int32), self.slot(codes)
+        while len(todo):
+            # one of the codes that want a free place gets it, the others go on
+            free = self.key[at] < 0
+            self.key[at[free]], self.value[at[free]] = todo[free], rank[free]
+            left = self.key[at] != todo
+            todo, rank, at = todo[left], rank[left], (at[left] + 1) % len(self.key)
+        letters = [t for t in ids if len(t.removesuffix(END)) == 1 and t != END]
+        top = max((ord(t[0]) for t in letters), default=0)
+        self.plain, self.ending = np.full(top + 2, -1, dtype=np.int64), np.full(top + 2, -1, dtype=np.int64)
+        for t in letters:
+            (self.ending if t.endswith(END) else self.plain)[ord(t[0])] = ids[t]
+
+    def slot(self, codes: np.ndarray) -> np.ndarray:
+        return (codes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank of each pair of ids; ``NONE`` if it does not merge."""
+        out = np.full(len(left), self.NONE, dtype=np.int32)
+        at = np.flatnonzero((left >= 0) & (right >= 0))
+        codes = left[at] << 20 | right[at]
+        slot = self.slot(codes)
+        while len(at):
+            key = self.key[slot]
+            hit = key == codes
+            out[at[hit]] = self.value[slot[hit]]
+            go = ~hit & (key >= 0)
+            at, codes, slot = at[go], codes[go], (slot[go] + 1) % len(self.key)
+        return out
+
+    def many(self, words: list[str], ends: np.ndarray) -> list[list[int]]:
+        """Ids of each word; ``ends`` tells whether its last letter ends a word."""
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        out: list = [None] * len(words)
+        width = np.left_shift(1, np.ceil(np.log2(np.maximum(size, 4))).astype(np.int64))
+        for w in np.unique(width).tolist():
+            group = np.flatnonzero(width == w)
+            if w > self.WIDEST:
+                for i in group.tolist():
+                    out[i] = self.long(words[i], bool(ends[i]))
+                continue
+            for lo in range(0, len(group), 65536):
+                part = group[lo:lo + 65536]
+                for i, found in zip(part.tolist(), self.matrix([words[i] for i in part.tolist()], size[part], ends[part], w), strict=True):
+                    out[i] = found
+        return out
+
+    def matrix(self, words: list[str], size: np.ndarray, ends: np.ndarray, width: int) -> list[list[int]]:
+        n = len(words)
+        codes = np.frombuffer("".join(words).encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
+        codes = np.minimum(codes, len(self.plain) - 1)  # the last place is no letter
+        inside = np.arange(width) < size[:, None]
+        sym = np.full((n, width), -1, dtype=np.int64)
+        sym[inside] = self.plain[codes]
+        last = np.flatnonzero(ends & (size > 0))
+        final = np.cumsum(size)[last] - 1
+        sym[last, size[last] - 1] = self.ending[codes[final]]
+        after = np.broadcast_to(np.arange(1, width + 1), (n, width)).copy()
+        after[after >= size[:, None]] = width
+        before = np.broadcast_to(np.arange(-1, width - 1), (n, width)).copy()
+        rank = np.full((n, width), self.NONE, dtype=np.int32)
+        rank[:, :-1] = self.ranks(sym[:, :-1].ravel(), sym[:, 1:].ravel()).reshape(n, width - 1)
+        rank[~inside] = self.NONE
+        live = np.arange(n)
+        while len(live):
+            best = rank[live]
+            i = best.argmin(axis=1)
+            r = best[np.arange(len(live)), i]
+            more = r < self.NONE
+            live, i, r = live[more], i[more], r[more]
+            j = after[live, i]
+            k = after[live, j]
+            sym[live, i], sym[live, j] = self.into[r], -1
+            rank[live, j] = self.NONE
+            after[live, i] = k
+            rest = k < width
+            before[live[rest], k[rest]] = i[rest]
+            rank[live, i] = np.where(rest, self.ranks(sym[live, i], sym[live, np.minimum(k, width - 1)]), self.NONE)
+            h = before[live, i]
+            has = h >= 0
+            rank[live[has], h[has]] = self.ranks(sym[live[has], h[has]], sym[live[has], i[has]])
+        used = sym >= 0
+        flat, stop = sym[used].tolist(), np.cumsum(used.sum(axis=1)).tolist()
+        return [flat[a:b] for a, b in zip([0, *stop], stop, strict=False)]
+
+    def long(self, word: str, ends: bool) -> list[int]:
+        """One long word, its pairs in a heap by rank and place."""
+        sym = list(word)
+        if ends:
+            sym[-1] += END
+        n, rank = len(sym), self.rank
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(rank[p], i, *p) for i, p in enumerate(zip(sym, sym[1:], strict=False)) if p in rank]
+        heapq.heapify(heap)
+        while heap:
+            _, i, a, b = heapq.heappop(heap)
+            j = after[i] if sym[i] is not None else n
+            if j >= n or sym[i] != a or sym[j] != b:
+                continue  # one of the two was merged since
+            sym[i], sym[j] = a + b, None
+            after[i] = k = after[j]
+            if k < n:
+                before[k] = i
+            for x, y in ((before[i], i), (i, k)):
+                if x >= 0 and y < n and (p := (sym[x], sym[y])) in rank:
+                    heapq.heappush(heap, (rank[p], x, *p))
+        return [self.ids[t] for t in sym if t in self.ids]
+
+
+class Recent:
+    """Results of words, bounded by bytes. When full, only the words of the last
+    use stay, which are the ones that come again."""
+
+    def __init__(self, limit: int):
+        self.limit, self.size, self.kept = limit, 0, {}
+
+    def take(self, words: Iterable[str], work_out: Callable[[list[str]], Iterable[tuple]]) -> dict[str, tuple]:
+        """Results of all words, those that are not kept worked out."""
+        kept = self.kept
+        missing = [w for w in words if w not in kept]
+        made = dict(zip(missing, work_out(missing), strict=True)) if missing else {}
+        now = {w: kept[w] for w in words if w in kept} | made
+        self.size += sum([200 + len(w) + len(r[0]) + len(r[2]) for w, r in made.items()])
+        kept.update(made)
+        if self.size > self.limit:
+            self.kept = now
+            self.size = sum([200 + len(w) + len(r[0]) + len(r[2]) for w, r in now.items()])
+            if self.size > self.limit:
+                self.forget()
+        return now
+
+    def forget(self) -> None:
+        self.kept, self.size = {}, 0
+
+
 class Vocabulary:
     """Tokens, ranks of merges and special strings of one vocabulary file."""
 
@@ -65,8 +222,7 @@ class Vocabulary:
             spec = json.load(f)
         model = spec["model"]
         self.ids: dict[str, int] = model["vocab"]
-        merges = (m.split(" ") if isinstance(m, str) else m for m in model["merges"])
-        self.rank = {tuple(m): i for i, m in enumerate(merges)}
+        self.merges = Merges(self.ids, [tuple(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]])
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.token = {i: t for t, i in self.ids.items()} | {i: t for t, i in self.special.items()}
         self.split = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
@@ -74,43 +230,28 @@ class Vocabulary:
         self.letter = dict(enumerate(byte_letters()))
         self.text = {i: str(i) for i in self.token}
         self.marks = {s: (str(i), 1, s) for s, i in self.special.items()}
-        self.longest = max(len(t.removesuffix(END)) for t in self.ids)
-        self.known = np.zeros(0, dtype=np.int64)
-        self.good = np.zeros(0, dtype=bool)
-        self.memo: dict[str, tuple[str, int, str]] = {}
-        self.codes: dict[str, list[int]] = {}
-
-    # -- exact merging -------------------------------------------------------
-    def symbols(self, word: str, ends: bool) -> list[str]:
-        out = list(word)
-        if ends and out:
-            out[-1] += END
-        return out
-
-    def merged(self, parts: list[str]) -> list[str]:
-        """Merges by rank, the leftmost of equals first."""
-        rank, none = self.rank, len(self.rank)
-        parts = list(parts)
-        ranks = [rank.get(p, none) for p in zip(parts, parts[1:], strict=False)]
-        while ranks and (best := min(ranks)) < none:
-            i = ranks.index(best)
-            parts[i] += parts.pop(i + 1)
-            del ranks[i]
-            if i:
-                ranks[i - 1] = rank.get((parts[i - 1], parts[i]), none)
-            if i < len(ranks):
-                ranks[i] = rank.get((parts[i], parts[i + 1]), none)
-        return parts
-
-    def exact(self, word: str) -> list[int]:
-        return [self.ids[p] for p in self.merged(self.symbols(word, True)) if p in self.ids]
+        # how long a token can be that starts with these three letters
+        self.reach: dict[str, int] = {}
+        for t in self.ids:
+            bare = t.removesuffix(END)
+            if len(bare) > 2:
+                self.reach[bare[:3]] = max(len(bare), self.reach.get(bare[:3], 0))
+        self.chunks, self.words = Recent(MEMO_BYTES), Recent(MEMO_BYTES)
+        self.forget()
+
+    def forget(self) -> None:
+        """Drops what was remembered; the vocabulary stays."""
+        self.chunks.forget()
+        self.words.forget()
+        self.pair = np.full(PAIR_SLOTS, -1, dtype=np.int64)
+        self.good = np.zeros(PAIR_SLOTS, dtype=bool)
 
     # -- speculation ---------------------------------------------------------
     def propose(self, word: str) -> list[int]:
         """Greedy longest match; empty if a character starts no token."""
-        out, i, n, ids = [], 0, len(word), self.ids
+        out, i, n, ids, reach = [], 0, len(word), self.ids, self.reach
         while i < n:
-            for j in range(min(n, i + self.longest), i, -1):
+            for j in range(min(n, i + reach.get(word[i:i + 3], 2)), i, -1):
                 t = ids.get(word[i:j] + END if j == n else word[i:j])
                 if t is not None:
                     out.append(t)
@@ -120,24 +261,27 @@ class Vocabulary:
                 return []
         return out
 
-    def compatible(self, left: int, right: int) -> bool:
-        """Whether the text of two tokens encodes to them; ``right`` is -1 for
-        a token on its own."""
-        a = self.token[left]
-        tokens = [a] if right < 0 else [a, self.token[right]]
-        last = tokens[-1]
-        word = "".join(t.removesuffix(END) for t in tokens)
-        return self.merged(self.symbols(word, last.endswith(END))) == tokens
+    def compatible(self, pairs: list[int]) -> list[bool]:
+        """Whether the text of the two tokens of each pair encodes to them; the
+        right one is 0 for a token on its own, else its id and 1."""
+        tokens = [[p >> 20, (p & 0xFFFFF) - 1] if p & 0xFFFFF else [p >> 20] for p in pairs]
+        words = ["".join([self.token[t].removesuffix(END) for t in ts]) for ts in tokens]
+        ends = np.fromiter((self.token[ts[-1]].endswith(END) for ts in tokens), bool, len(tokens))
+        return [found == ts for found, ts in zip(self.merges.many(words, ends), tokens, strict=True)]
 
     def verify(self, pairs: np.ndarray) -> np.ndarray:
-        """Compatibility of each pair (coded as one number)."""
-        new = np.setdiff1d(pairs, self.known)
-        if len(new):
-            ok = np.fromiter((self.compatible(int(p >> 20), int(p & 0xFFFFF) - 1) for p in new), bool, len(new))
-            known = np.concatenate([self.known, new])
-            order = np.argsort(known)
-            self.known, self.good = known[order], np.concatenate([self.good, ok])[order]
-        return self.good[np.searchsorted(self.known, pairs)]
+        """Compatibility of each pair (coded as one number). Verdicts are kept in a
+        table of fixed size, where a new pair takes the place of another."""
+        slot = (pairs.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(46)).astype(np.int64) % PAIR_SLOTS
+        ok = self.good[slot]
+        miss = np.flatnonzero(self.pair[slot] != pairs)
+        if len(miss):
+            new, first, back = np.unique(pairs[miss], return_index=True, return_inverse=True)
+            verdict = np.array(self.compatible(new.tolist()), dtype=bool)
+            ok[miss] = verdict[back]
+            at = slot[miss[first]]
+            self.pair[at], self.good[at] = new, verdict
+        return ok
 
     def encode_words(self, words: list[str]) -> list[list[int]]:
         """Ids of words given in byte letters."""
@@ -153,7 +297,10 @@ class Vocabulary:
             inner = np.flatnonzero(owner[1:] == owner[:-1])
             fine = self.verify((flat[inner] << 20) | (flat[inner + 1] + 1))
             ok[owner[inner[~fine]]] = False
-        return [p if good else self.exact(w) for w, p, good in zip(words, proposals, ok, strict=True)]
+        failed = np.flatnonzero(~ok).tolist()
+        for i, ids in zip(failed, self.merges.many([words[i] for i in failed], np.ones(len(failed), dtype=bool)), strict=True):
+            proposals[i] = ids
+        return proposals
 
     # -- texts ---------------------------------------------------------------
     def normal(self, chunk: str) -> str:
@@ -170,20 +317,23 @@ class Vocabulary:
             return [text]
         return [w.encode("utf-8").decode("latin-1").translate(self.letter) for w in self.split.findall(text)]
 
-    def learn(self, chunks: set[str]) -> None:
-        """Remembers the ids and the decoded text of chunks between spaces."""
-        if len(self.memo) > MEMO:
-            self.memo.clear()
-        if len(self.codes) > MEMO:
-            self.codes.clear()
-        missing = [c for c in chunks if c not in self.memo]
-        split = [self.words_of(c) for c in missing]
-        words = list({w for ws in split for w in ws if w not in self.codes})
-        self.codes.update(zip(words, self.encode_words(words), strict=True))
-        code, text, token = self.codes, self.text, self.token
-        for chunk, ws in zip(missing, split, strict=True):
-            ids = code[ws[0]] if len(ws) == 1 else [t for w in ws for t in code[w]]
-            self.memo[chunk] = (" ".join([text[i] for i in ids]), len(ids), " ".join([token[i] for i in ids]))
+    def results(self, words: list[str]) -> list[tuple[str, int, str]]:
+        """(ids as text, number of ids, tokens as text) of each word."""
+        text, token = self.text, self.token
+        return [(" ".join([text[i] for i in ids]), len(ids), " ".join([token[i] for i in ids])) for ids in self.encode_words(words)]
+
+    def chunk_results(self, chunks: list[str]) -> list[tuple[str, int, str]]:
+        """The same of chunks between spaces."""
+        split = [self.words_of(c) for c in chunks]
+        of = self.words.take({w for ws in split for w in ws}, self.results)
+        out = []
+        for ws in split:
+            if len(ws) == 1:
+                out.append(of[ws[0]])
+            else:
+                ids, counts, tokens = zip(*[of[w] for w in ws], strict=True) if ws else ((), (), ())
+                out.append((" ".join(filter(None, ids)), sum(counts), " ".join(filter(None, tokens))))
+        return out
 
     def pieces(self, text: str) -> list[str]:
         """Chunks between spaces and special strings, in order."""
@@ -201,9 +351,9 @@ class Vocabulary:
         """Per text the (ids as text, number of ids, tokens as text) of each of
         its chunks."""
         split = [self.pieces(t) for t in batch]
-        self.learn({c for p in split for c in p if c not in self.special})
-        memo = {**self.memo, **self.marks} if any("<|" in t for t in batch) else self.memo
-        return [[memo[c] for c in p] for p in split]
+        of = self.chunks.take({c for p in split for c in p if c not in self.special}, self.chunk_results)
+        of.update(self.marks)
+        return [[of[c] for c in p] for p in split]
 
     def decode(self, ids: Iterable[int]) -> str:
         """Tokens joined by one space, as a file without a decoder has it;
@@ -233,15 +383,25 @@ def _slices(column: pa.Array, size: int = 1 << 20) -> Iterator[tuple[int, list[s
 def _runner(path: str, digest: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(path)
+        v.forget()
+        # no cycles are made here, and the collector would walk the vocabulary
+        gc.disable()
+        try:
+            yield from encoded(v, batches)
+        finally:
+            gc.enable()
+            v.forget()
+
+    def encoded(v: Vocabulary, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, held in _slices(batch.column("text")):
                 ids = batch.column("doc_id")[lo:lo + len(held)]
                 found = v.encode_batch(held)
                 if digest:
                     sha = lambda s: hashlib.sha256(s.encode("utf-8")).hexdigest()
-                    cols = [pa.array([sum(c[1] for c in d) for d in found], pa.int64()),
-                            pa.array([sha(" ".join([c[0] for c in d if c[1]])) for d in found]),
-                            pa.array([sha(" ".join([c[2] for c in d if c[1]])) for d in found])]
+                    parts = [zip(*d, strict=True) if d else ((), (), ()) for d in found]
+                    rows = [(sum(n), sha(" ".join(filter(None, ids))), sha(" ".join(filter(None, tokens)))) for ids, n, tokens in parts]
+                    cols = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.string(), pa.string()), strict=True)]
                     yield pa.RecordBatch.from_arrays([ids, *cols],
                                                      names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
                 else:
