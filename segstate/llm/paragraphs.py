@@ -16,12 +16,17 @@ repeated units that touch or overlap are one passage, and passages of
 ``MIN_PASSAGE`` words or more are returned. Of each component the first
 unit by (doc_id, position) stays, the others are to be removed.
 
+Most units are alone in all their bands. The bands go through one exchange as
+(band, class) and only shared ones come out of it; units whose class neither
+occurs twice nor shares a band are dropped before anything else is joined.
+
 Defined results: null, empty and very short texts have no units and no
 rows; fewer than ``MIN_PARAGRAPH`` words before the first cut of a text are no
 fragment; a passage repeated inside one document counts; rows that share a doc_id
 are told apart by their text, and equal rows are each other's copies; a null
 doc_id comes first in the order; documents without repeated passages have no
-rows.
+rows; very long texts are cut to units block by block; an empty table gives no
+rows; columns of any other name are never read.
 """
 
 from __future__ import annotations
@@ -35,14 +40,15 @@ from pyspark.sql import functions as F
 
 from segstate.llm import textarrays as T
 from segstate.llm.common import row_key, stored
-from segstate.llm.similarity import link, shared_buckets
+from segstate.llm.similarity import link
 
 K, PERCENT = 5, 75
 REACH, BANDS = 6, 3
 MIN_PARAGRAPH, MIN_PASSAGE, LONG_LINE = 6, 14, 25
 FRAGMENT, WRITTEN = 0, 1
 
-UNITS = "doc_id long, rk long, rid long, kind int, start int, n_words int, n int, cid long, h array<long>"
+UNITS = "doc_id long, rk long, rid long, kind int, start int, n_words int, cid long"
+BANDED = "h long, cid long"
 _TOP = np.uint64(2**64 - 1)
 
 
@@ -100,6 +106,13 @@ def _unit_shingles(w: T.Words, starts: np.ndarray, sizes: np.ndarray, kinds: np.
     return h, wins
 
 
+def _classes(sh: np.ndarray, wins: np.ndarray) -> np.ndarray:
+    """Class of each unit: the order of the words counts, it is a sequence."""
+    at = np.cumsum(wins) - wins
+    order = (np.arange(len(sh)) - np.repeat(at, wins)).astype(np.uint64)
+    return T.mix(T.group_sum(T.mix(sh + order * np.uint64(0xD1B54A32D192ED03)), wins) + wins.astype(np.uint64))
+
+
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for block in T.blocks(batch.column("text")):
@@ -107,21 +120,36 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not len(starts):
                 continue
             doc = np.searchsorted(w.offsets, starts, "right") - 1
-            sh, wins = _unit_shingles(w, starts, sizes, kinds)
-            at = np.cumsum(wins) - wins
-            mins = np.stack([np.minimum.reduceat(T.seeded(sh, 50 + b), at) for b in range(BANDS)], axis=1)
-            mins = T.mix(mins + np.arange(BANDS, dtype=np.uint64))
-            # the order of the words counts: a class is a sequence
-            order = (np.arange(len(sh)) - np.repeat(at, wins)).astype(np.uint64)
-            cid = T.mix(T.group_sum(T.mix(sh + order * np.uint64(0xD1B54A32D192ED03)), wins) + wins.astype(np.uint64))
-            lists = pa.ListArray.from_arrays(np.arange(len(starts) + 1, dtype=np.int32) * BANDS,
-                                             pa.array(T.signed(mins.ravel())))
             rows = pa.array(block.first + doc)
             yield pa.RecordBatch.from_arrays([
                 batch.column("doc_id").take(rows), batch.column("rk").take(rows), batch.column("rid").take(rows),
                 pa.array(kinds.astype(np.int32)), pa.array((starts - w.offsets[doc]).astype(np.int32)),
-                pa.array(sizes.astype(np.int32)), pa.array(wins.astype(np.int32)), pa.array(T.signed(cid)), lists],
-                names=["doc_id", "rk", "rid", "kind", "start", "n_words", "n", "cid", "h"])
+                pa.array(sizes.astype(np.int32)), pa.array(T.signed(_classes(*_unit_shingles(w, starts, sizes, kinds))))],
+                names=["doc_id", "rk", "rid", "kind", "start", "n_words", "cid"])
+
+
+def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(h, cid) of each class, once for a block of texts."""
+    for batch in batches:
+        for block in T.blocks(batch.column("text")):
+            w, starts, sizes, kinds = paragraphs(block)
+            if not len(starts):
+                continue
+            sh, wins = _unit_shingles(w, starts, sizes, kinds)
+            cid, first = np.unique(_classes(sh, wins), return_index=True)
+            at = np.cumsum(wins) - wins
+            for b in range(BANDS):
+                low = T.mix(np.minimum.reduceat(T.seeded(sh, 50 + b), at)[first] + np.uint64(b))
+                yield pa.RecordBatch.from_arrays([pa.array(T.signed(low)), pa.array(T.signed(cid))], names=["h", "cid"])
+
+
+def shared_bands(docs: DataFrame) -> DataFrame:
+    """(h, cid, k): the members of the bands of two classes or more."""
+    band = Window.partitionBy("h")
+    rows = (docs.select("text").mapInArrow(_bands, BANDED)
+            .withColumn("low", F.min("cid").over(band)).withColumn("top", F.max("cid").over(band)).where("low < top"))
+    rows = stored(rows.select("h", "cid").distinct(), "bands")
+    return rows.join(rows.groupBy("h").agg(F.count("*").alias("k")), "h")
 
 
 def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,11 +181,17 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_PASSAGE) -> DataFram
     words of the passage that go."""
     units = stored(docs.select("doc_id", row_key().alias("rk"), F.monotonically_increasing_id().alias("rid"), "text")
                    .mapInArrow(_units, UNITS), "paragraphs")
-    classes = units.groupBy("cid").agg(F.any_value("h").alias("hs"), F.min("n").alias("n"))
-    shared = shared_buckets(classes.select("cid", "n", F.explode("hs").alias("h")))
-    near = shared.select("cid").distinct()
-    reps = units.join(near, "cid").groupBy("cid").agg(F.min(F.struct("rk", "start", "n_words", "kind")).alias("r"))
-    wanted = reps.groupBy("r.rk").agg(F.collect_list(F.struct("cid", "r.start", "r.n_words", "r.kind")).alias("want"))
+    bands = shared_bands(docs)
+    near = bands.select("cid").distinct()
+    twice = units.groupBy("cid").agg(F.count("*").alias("k")).where("k > 1").select("cid")
+    slim = units.select("rid", "kind", "start", "n_words", "cid")
+    live = stored(slim.join(near.unionByName(twice).distinct(), "cid"), "live")
+    rows = stored(units.groupBy("rid").agg(F.first("doc_id").alias("doc_id"), F.first("rk").alias("rk")), "rows")
+    reps = (live.join(near, "cid").groupBy("cid").agg(F.min(F.struct("rid", "start", "n_words", "kind")).alias("r"))
+            .select("cid", "r.*").join(rows.select("rid", "rk"), "rid"))
+    reps = stored(reps, "reps")
+    shared = stored(bands.join(reps.select("cid", (F.col("n_words") - K + 1).alias("n")), "cid"), "buckets")
+    wanted = reps.groupBy("rk").agg(F.collect_list(F.struct("cid", "start", "n_words", "kind")).alias("want"))
     sets = stored(docs.select(row_key().alias("rk"), "text").join(wanted, "rk").dropDuplicates(["rk"])
                   .select("text", "want").mapInArrow(_contents, "cid long, set array<long>"), "contents")
 
@@ -167,7 +201,7 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_PASSAGE) -> DataFram
         return pairs.join(a, "a").join(b, "b").where(similar(F.col("sa"), F.col("sb"))).select("a", "b")
 
     labels = link(shared, verify, PERCENT, lambda wanted: sets.join(wanted, "cid"))
-    whole = units.drop("h", "n", "rk").join(labels, F.col("cid") == F.col("node"), "left").select(
+    whole = live.join(labels, F.col("cid") == F.col("node"), "left").join(rows.drop("rk"), "rid").select(
         "doc_id", "rid", "kind", "start", "n_words", F.coalesce("comp", "cid").alias("comp"))
     whole = stored(whole, "labelled")
     firsts = (whole.groupBy("comp").agg(F.count("*").alias("k"), F.min(F.struct("doc_id", "rid", "start")).alias("first"))
