@@ -15,9 +15,10 @@ string can stand there, and dropping it again gives the text back.
 
 Defined results: null text and null role are empty; a message whose parent is
 missing (or null, or itself) is a root; nodes that lie on a cycle belong to no
-path; repeated rows (same tree and node) count once, the least row wins; null
-tree ids are left out of trees; ties in score go to the smaller leaf; an empty
-table gives no rows.
+path; repeated rows (same tree and node) count once, the least row wins; rows
+with a null tree id are one tree; a null node is no message; ties in score go to the
+smaller leaf; a text of any length is one turn, written and read as a whole; an
+empty table gives no rows; columns of any other name are never read.
 """
 
 from __future__ import annotations
@@ -58,9 +59,12 @@ def chains(conversations: DataFrame) -> DataFrame:
 
 def chosen_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
     """(tree, leaf, rank, depth, role, text) of the messages of the chosen paths."""
-    nodes = stored(messages.select("tree", "node", "parent", "role", "text",
+    kind = messages.schema["tree"].dataType
+    # a key that joins on null as well
+    key = F.coalesce(F.concat(F.lit("1"), F.col("tree").cast("string")), F.lit("0"))
+    nodes = stored(messages.select(key.alias("tree"), "node", "parent", "role", "text",
                                    F.coalesce("score", F.lit(0.0)).cast("double").alias("score"))
-                   .where("tree is not null and node is not null")
+                   .where("node is not null")
                    .groupBy("tree", "node").agg(F.min(F.struct("parent", "role", "text", "score")).alias("m"))
                    .select("tree", "node", "m.*"), "messages")
     parents = nodes.select("tree", F.col("node").alias("anc"), F.lit(True).alias("there"))
@@ -96,7 +100,8 @@ def chosen_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
         path = stored(path.unionByName(path.join(step, ["tree", "node"]).drop("node").withColumnRenamed("up", "node")), "path")
     return (path.join(rooted.select("tree", "node", "depth"), ["tree", "node"])
             .join(nodes.select("tree", "node", "role", "text"), ["tree", "node"])
-            .select("tree", "leaf", "rank", "depth", "role", "text"))
+            .select(F.when(F.col("tree") != "0", F.substring("tree", 2, 1 << 20)).cast(kind).alias("tree"),
+                    "leaf", "rank", "depth", "role", "text"))
 
 
 FORMATTED = "tree long, leaf long, part long, formatted string, loss array<struct<start:long,end:long>>"

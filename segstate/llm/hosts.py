@@ -5,13 +5,19 @@ the rate of a suffix towards the rate of all labelled pages, that of a
 registered domain towards its suffix, that of a host towards its domain. The
 strength of each prior is fitted from the spread between the units of a level
 (method of moments of the beta-binomial). A host is blocked if the lower bound
-of its posterior bad rate exceeds ``threshold``; explicit rules come first.
+of its posterior bad rate exceeds ``lift`` times the rate of all labelled pages, so
+that a host goes which is worse than the rest beyond doubt, whatever the share of
+bad pages; explicit rules come first. The suffix of a host is its last label, or
+the last two of ``SUFFIXES``, and its registered domain has one label more.
 
 Defined results: null urls and urls without ``://`` have empty host and path,
 follow no rule and take the posterior of the empty host; hosts that no label
 reaches take the posterior mean of the nearest level that has one; labels that
 are null are ignored; repeated pages are judged one by one and counted one by
-one; no labels at all: everything that no rule blocks is allowed.
+one; a bound that equals the limit is allowed; urls of any length; a run of digits
+that is no 64-bit number is no document; no labels at all: everything that no rule
+blocks is allowed; an empty table gives no rows; columns of any other name are
+never read.
 """
 
 from __future__ import annotations
@@ -33,9 +39,15 @@ RULES = [
 ]
 
 Z = 1.6448536269514722  # one-sided 95 % bound
-THRESHOLD = 0.5
+LIFT = 1.0
 MIN_STRENGTH, MAX_STRENGTH = 1.0, 1000.0
 
+# Public suffixes of two labels, under which owners are unrelated.
+SUFFIXES = ["ac.uk", "co.uk", "gov.uk", "org.uk", "com.au", "net.au", "org.au", "co.nz", "co.jp", "ne.jp", "or.jp", "co.kr",
+            "com.br", "org.br", "com.ar", "com.mx", "com.cn", "com.tw", "com.hk", "com.sg", "com.tr", "co.in", "co.za", "co.il",
+            "blogspot.com", "github.io", "gitlab.io", "herokuapp.com", "netlify.app", "pages.dev", "vercel.app", "web.app",
+            "wordpress.com"]
+
 
 def host_of(url: Column) -> Column:
     rest = F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://([^/?#]*)", 1)
@@ -57,8 +69,11 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
 
 
 def levels(host: Column) -> tuple[Column, Column]:
-    """Registered domain (the last two labels) and suffix (the last label)."""
-    return F.substring_index(host, ".", -2), F.substring_index(host, ".", -1)
+    """Registered domain and suffix."""
+    last = F.substring_index(host, ".", -2)
+    long = last.isin(SUFFIXES)
+    return (F.when(long, F.substring_index(host, ".", -3)).otherwise(last),
+            F.when(long, last).otherwise(F.substring_index(host, ".", -1)))
 
 
 def _strength(units: DataFrame, mean: Column) -> float:
@@ -77,7 +92,8 @@ def _strength(units: DataFrame, mean: Column) -> float:
 
 
 def reputation(pages: DataFrame, outcomes: DataFrame) -> DataFrame:
-    """(host, n, bad, mean, lower) of every host of ``pages``.
+    """(host, n, bad, mean, lower, rate) of every host of ``pages``; ``rate`` is that
+    of all labelled pages.
 
     pages: host, key; outcomes: key, bad (0/1). Counts are aggregated to hosts
     before anything else, so a host with a third of all pages is one row, and
@@ -107,17 +123,18 @@ def reputation(pages: DataFrame, outcomes: DataFrame) -> DataFrame:
     sd = F.sqrt(F.col("m3") * (1 - F.col("m3")) / (F.col("n") + s + 1))
     return hst.withColumn("m3", mean).select(
         "host", F.col("n").cast("long").alias("n"), F.col("y").cast("long").alias("bad"),
-        F.round("m3", 6).alias("mean"), F.round(F.greatest(F.col("m3") - Z * sd, F.lit(0.0)), 6).alias("lower"))
+        F.round("m3", 6).alias("mean"), F.round(F.greatest(F.col("m3") - Z * sd, F.lit(0.0)), 6).alias("lower"),
+        rate.alias("rate"))
 
 
-def judge(pages: DataFrame, outcomes: DataFrame, key: Column, threshold: float = THRESHOLD) -> DataFrame:
+def judge(pages: DataFrame, outcomes: DataFrame, key: Column, lift: float = LIFT) -> DataFrame:
     """Verdict of every page: page_id, host, path, rule, verdict, lower."""
     p = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"),
                      key.alias("key"))
     rep = reputation(p.select("host", "key"), outcomes)
     rule, verdict = rule_of(F.col("host"), F.col("path"))
-    own = F.when(F.col("lower") > threshold, "block").otherwise("allow")
-    return (p.join(rep.select("host", "lower"), "host")
+    own = F.when(F.col("lower") > lift * F.col("rate"), "block").otherwise("allow")
+    return (p.join(rep.select("host", "lower", "rate"), "host")
             .select("page_id", "host", "path", rule.alias("rule"),
                     F.coalesce(verdict, own).alias("verdict"), "lower"))
 
@@ -133,5 +150,4 @@ def labelled_outcomes(labels: DataFrame) -> DataFrame:
 def page_document(url: Column) -> Column:
     """Number of the document that a page shows: the last run of digits of the
     path; null without one."""
-    digits = F.regexp_extract(path_of(url), r"([0-9]{1,18})[^0-9]*$", 1)
-    return F.when(digits != "", digits).cast("long")
+    return F.regexp_extract(path_of(url), r"([0-9]+)[^0-9]*$", 1).try_cast("long")

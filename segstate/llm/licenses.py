@@ -3,18 +3,22 @@
 Every document is a sequence of lower-case words. The rolling hashes of all
 its ``K``-word windows are joined to the positions of the same windows in the
 templates. Each match votes for the diagonal (document position less template
-position) of its template; votes are aggregated per diagonal, diagonals that
-lie within ``GAP`` words of each other (inserted or dropped words) are merged,
-and the span they cover is verified: the share of template words that the
-votes cover must reach ``MIN_SHARE``.
+position) of its template; votes are aggregated per diagonal, and diagonals that
+lie within ``GAP`` words of each other (inserted or dropped words) are merged to
+runs. Runs of one template that follow each other in the document and in the
+template, at most a template's length apart, are one notice with longer
+insertions or gaps. The span of a notice is verified: the share of template words
+that its votes cover must reach ``MIN_SHARE``. Templates of fewer than ``K`` words
+are one window of their own length.
 
 The templates are fixed texts, so the table of their windows has a fixed size
 and is broadcast; windows that no template has are dropped where they are
 hashed, which is the same join done early.
 
-Defined results: null text is empty and has no words; equal rows and rows that
-share a doc_id are told apart by their text and get a row each; a document
-without a match has empty labels and score 0.
+Defined results: null text is empty and has no words; each row gets a row, repeated
+or not; a document without a match has empty labels and score 0; labels are a
+set, so ties add nothing; very long texts are read in blocks; an empty table
+gives no rows; columns of any other name are never read.
 """
 
 from __future__ import annotations
@@ -73,7 +77,7 @@ TEMPLATES = {
     "cc-by-sa": ["Licensed under CC BY-SA 4.0."],
     "cc0": ["This work is dedicated to the public domain under CC0 1.0."],
     "mpl": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
-    "proprietary": ["All rights reserved. No part of this publication may be reproduced"],
+    "proprietary": ["All rights reserved. No part of this publication may be reproduced", "All rights reserved."],
 }
 
 
@@ -104,10 +108,12 @@ SCANNED = ("doc_id long, rid long, n_words long, n_base long, first_word long, l
            " hits array<struct<pos:long,h:long>>")
 
 
-def _scanner(wanted: list[int]):
+def _scanner(wanted: dict[int, int]):
+    """``wanted``: hashes of the template windows with their widths."""
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys = np.unique(np.array(wanted, dtype=np.int64)).view(np.uint64)
+        keys = np.unique(np.array(list(wanted), dtype=np.int64)).view(np.uint64)
         keys.sort()
+        widths = sorted(set(wanted.values()))
         table = np.zeros(1 << 16, dtype=bool)
         table[(keys & np.uint64(0xFFFF)).astype(np.int64)] = True
         phrases = _phrase_hashes()
@@ -128,13 +134,16 @@ def _scanner(wanted: list[int]):
                 place = np.concatenate(places)
                 owner, kinds = doc[place], np.array(kinds, dtype=object)
                 rel = place - w.offsets[owner]
-                sh, at, wins = T.shingles(w.hash, w.offsets, K, True)
-                some = np.flatnonzero(table[(sh & np.uint64(0xFFFF)).astype(np.int64)])
-                some = some[np.isin(sh[some], keys)]
-                hit_doc = np.searchsorted(np.cumsum(wins), some, "right")
-                hit_pos = at[some] - w.offsets[hit_doc]
+                hits = []
+                for k in widths:
+                    sh, at, wins = T.shingles(w.hash, w.offsets, k, False)
+                    some = np.flatnonzero(table[(sh & np.uint64(0xFFFF)).astype(np.int64)])
+                    some = some[np.isin(sh[some], keys)]
+                    hits.append((np.searchsorted(np.cumsum(wins), some, "right"), at[some], sh[some]))
+                hit_doc, hit_pos, hit = (np.concatenate(x) for x in zip(*hits, strict=True))
+                order = np.argsort(hit_doc, kind="stable")
+                hit_doc, hit_pos, hit = hit_doc[order], hit_pos[order] - w.offsets[hit_doc[order]], T.signed(hit[order])
                 cuts = np.searchsorted(hit_doc, np.arange(block.n + 1))
-                hit = T.signed(sh[some])
                 rows = []
                 found = set(owner.tolist())
                 for i in range(block.n):
@@ -171,7 +180,15 @@ def spans(scanned: DataFrame, min_share: float = MIN_SHARE) -> DataFrame:
     near = Window.partitionBy("rid", "label", "template").orderBy("diagonal")
     runs = (diagonals.withColumn("new", (F.col("diagonal") - F.lag("diagonal").over(near) > GAP).cast("int"))
             .withColumn("run", F.sum(F.coalesce("new", F.lit(0))).over(near)))
-    merged = runs.groupBy("rid", "label", "template", "t_words", "run").agg(
+    one = Window.partitionBy("rid", "label", "template").orderBy("start", "end", "run")
+    joined = runs.groupBy("rid", "label", "template", "t_words", "run").agg(
+        F.array_distinct(F.flatten(F.collect_list("covers"))).alias("covers"), F.min("start").alias("start"), F.max("end").alias("end"))
+    # a notice goes on while the template does
+    follows = ((F.col("start") - F.lag("end").over(one) <= F.col("t_words"))
+               & (F.array_min("covers") >= F.lag(F.array_min("covers")).over(one))
+               & (F.array_max("covers") > F.lag(F.array_max("covers")).over(one)))
+    notices = joined.withColumn("notice", F.sum((~F.coalesce(follows, F.lit(False))).cast("int")).over(one))
+    merged = notices.groupBy("rid", "label", "template", "t_words", "notice").agg(
         F.size(F.array_distinct(F.flatten(F.collect_list("covers")))).alias("n"),
         F.min("start").alias("start"), F.max("end").alias("end"))
     share = F.round(F.col("n") / F.col("t_words"), 6)
@@ -182,7 +199,7 @@ def spans(scanned: DataFrame, min_share: float = MIN_SHARE) -> DataFrame:
 def scan(docs: DataFrame) -> DataFrame:
     """Base places, labels and score of every document."""
     spark = docs.sparkSession
-    wanted = [r[4] for r in _template_rows()]
+    wanted = {h: min(words, K) for _, _, words, _, h in _template_rows()}
     # the id is fixed by writing it, together with what is measured
     seen = stored(docs.select("doc_id", F.monotonically_increasing_id().alias("rid"), "text")
                   .mapInArrow(_scanner(wanted), SCANNED), "licenses")

@@ -68,25 +68,28 @@ def _rules() -> tuple[str, str]:
         fits = f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')"
         rule += f" {fits} THEN '{h}{p}'"
         verdict += f" {fits} THEN '{kind}'"
-    return f"CASE{rule} END", f"CASE{verdict} ELSE CASE WHEN lower > {hosts.THRESHOLD} THEN 'block' ELSE 'allow' END END"
+    return f"CASE{rule} END", f"CASE{verdict} ELSE CASE WHEN lower > {hosts.LIFT} * g.m THEN 'block' ELSE 'allow' END END"
 
 
+_LONG = "array_to_string(string_split(host, '.')[-2:], '.') IN (" + ", ".join(f"'{s}'" for s in hosts.SUFFIXES) + ")"
+
 HOSTS = rf"""
 WITH o AS (SELECT doc_id AS key, CAST(2 * sum(bad) >= count(*) AS INTEGER) AS bad FROM (
   SELECT doc_id, CASE WHEN quality = 0 OR toxic = 1 THEN 1 WHEN quality IS NOT NULL OR toxic IS NOT NULL THEN 0 END AS bad
   FROM labels) WHERE doc_id IS NOT NULL AND bad IS NOT NULL GROUP BY doc_id),
 q AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), '{hosts.UPPER}', '{hosts.LOWER}') AS host,
              regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
-p AS (SELECT *, try_cast(regexp_extract(path, '([0-9]{{1,18}})[^0-9]*$', 1) AS BIGINT) AS key FROM q),
+p AS (SELECT *, try_cast(regexp_extract(path, '([0-9]+)[^0-9]*$', 1) AS BIGINT) AS key FROM q),
 h AS (SELECT host, CAST(count(bad) AS DOUBLE) AS n, CAST(coalesce(sum(bad), 0) AS DOUBLE) AS y,
-             array_to_string(string_split(host, '.')[-2:], '.') AS domain, string_split(host, '.')[-1] AS suffix
+             array_to_string(string_split(host, '.')[CASE WHEN {_LONG} THEN -3 ELSE -2 END:], '.') AS domain,
+             array_to_string(string_split(host, '.')[CASE WHEN {_LONG} THEN -2 ELSE -1 END:], '.') AS suffix
       FROM p LEFT JOIN o USING (key) GROUP BY host),
 g AS (SELECT (coalesce(sum(y), 0) + 0.5) / (coalesce(sum(n), 0) + 1) AS m FROM h),
 {_level("SELECT suffix, sum(n) AS n, sum(y) AS y, any_value(m) AS m FROM h, g GROUP BY suffix", "sfx", "m")},
 {_level("SELECT h.domain, suffix, sum(h.n) AS n, sum(h.y) AS y, any_value(post) AS m FROM h JOIN sfx_m USING (suffix) GROUP BY ALL", "dom", "m")},
 {_level("SELECT h.host, h.n, h.y, post AS m FROM h JOIN dom_m USING (domain, suffix)", "hst", "m")},
 v AS (SELECT host, round(greatest(post - {hosts.Z} * sqrt(post * (1 - post) / (n + s + 1)), 0), 6) AS lower FROM hst_m)
-SELECT page_id, host, path, {_rules()[0]} AS rule, {_rules()[1]} AS verdict FROM p JOIN v USING (host)
+SELECT page_id, host, path, {_rules()[0]} AS rule, {_rules()[1]} AS verdict FROM p JOIN v USING (host), g
 """
 
 ORACLES = {

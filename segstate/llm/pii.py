@@ -4,24 +4,29 @@ The base patterns (email, ip, card, phone) give the seeds: each whole base
 span, overlapping ones taken together, is a trusted occurrence. Every other
 token with a digit or ``@`` that is long enough to identify something, and any
 token with a fixed secret prefix, is an occurrence as well. Lexical patterns
-are the word before, the word after and the written prefix (up to ``=`` or
-``:``); the words stand alone, for identifiers of any form, and with the coarse
-form of the occurrence (has ``@``, has a digit, neither). Spark keeps the graph
-of patterns and instances (lower-cased occurrences): in each round a
-pattern scores the share of its instances that are trusted, patterns of high
-score and enough trusted instances are promoted, and instances that a promoted
-pattern holds become trusted with its score. Occurrences that a promoted
-pattern holds and that no base span touches are returned as spans of kind
-``id``. Fixed prefixes that name a secret are patterns from the start.
+are the word before, the word after and the written prefix (a name up to ``=`` or
+``:``, with or without spaces and quotes around the sign); the words stand alone,
+for identifiers of any form, and with the coarse form of the occurrence (has ``@``,
+has a digit, neither). Spark keeps the graph of patterns and instances
+(lower-cased occurrences): in each round a pattern scores the share of its
+instances that are trusted, patterns of high score and enough trusted instances
+are promoted, and instances that a promoted pattern holds become trusted with its
+score. Rounds go on until nothing changes. Occurrences that a promoted pattern
+holds and that no base span touches are returned as spans of kind ``id``. Fixed
+prefixes that name a secret are patterns from the start.
 
 Defined results: null is the empty text; each row gives one row, repeated or
 not; rows that share a doc_id are told apart by an id written with the first
 pass; ties in score are all promoted; without seeds only the fixed prefixes
-promote anything.
+promote anything; very long texts are read in time that grows with their length,
+and words of over ``LONGEST`` characters stand for themselves by a digest; an empty
+table gives no rows; columns of any other name are never read.
 """
 
 from __future__ import annotations
 
+import bisect
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -32,7 +37,9 @@ from pyspark.sql import functions as F
 from segstate.llm.common import stored
 
 KINDS = ("email", "ip", "card", "phone")
-ROUNDS, MIN_SCORE, MIN_SUPPORT, MIN_TOKEN = 3, 0.8, 3, 6
+MIN_SCORE, MIN_SUPPORT, MIN_TOKEN = 0.8, 3, 6
+DIGITS = 4  # of scores, so that the rounds come to an end
+LONGEST = 256
 
 # Written prefixes that announce a secret.
 SECRET_PREFIXES = ("password=", "passwd=", "pwd=", "token=", "secret=", "api_key=", "apikey=", "key=",
@@ -48,9 +55,14 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _TOKEN = re.compile(r"(?<!\S)[^\s0-9@=:]*+[0-9@=:]\S*+")
 _NOT_DIGIT = re.compile("[^0-9]+")
 _PREFIX = re.compile(r"[A-Za-z_]+[=:]")
-_GLUED = re.compile(r"(?<![A-Za-z_])[A-Za-z_]+[=:]\Z")
-NEAR = 64  # characters read on either side
-_EDGE = " \t\n\r.,;:!?\"'()[]{}<>|"
+_WORD = re.compile(r"\S+")
+_QUOTES = "\"'`"
+_LETTERS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz_")
+# a secret's name, the sign and a value that stands apart
+_SECRET = re.compile(r"(?<![A-Za-z_])(?:" + "|".join(sorted({p[:-1] for p in SECRET_PREFIXES}, key=len, reverse=True))
+                     + r")\s*[=:]\s+[\"'`]?(\S+)|(?<![A-Za-z_])(?:" + "|".join(sorted({p[:-1] for p in SECRET_PREFIXES}, key=len, reverse=True))
+                     + r")\s+[=:]\s*[\"'`]?(\S+)", re.IGNORECASE)
+_EDGE = " \t\n\r.,;:!?\"'`()[]{}<>|#$%&*~^"
 
 
 def luhn(digits: str) -> bool:
@@ -112,42 +124,92 @@ def whole(base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _occurrence(text: str, start: int, end: int, seed: bool) -> dict:
+def _key(word: str) -> str:
+    """A word as a node of the graph."""
+    return word if len(word) <= LONGEST else "sha256 " + hashlib.sha256(word.encode()).hexdigest()
+
+
+def written_prefix(text: str, start: int) -> str:
+    """The name and the sign before a place, over spaces and quotes: ``token=``
+    for ``token = "``; empty without one."""
+    i = start
+    while i and text[i - 1] in _QUOTES:
+        i -= 1
+    while i and text[i - 1] in " \t":
+        i -= 1
+    if not i or text[i - 1] not in "=:":
+        return ""
+    sign = text[i - 1]
+    i -= 1
+    while i and text[i - 1] in " \t":
+        i -= 1
+    end = i
+    while i and text[i - 1] in _LETTERS:
+        i -= 1
+    return _key(text[i:end].lower()) + sign if i < end else ""
+
+
+class _Words:
+    """The words of a text by place, found when they are first needed."""
+
+    def __init__(self, text: str):
+        self.text, self.starts, self.ends = text, None, None
+
+    def around(self, start: int, end: int) -> tuple[str, str]:
+        """The words before and after the word or words that a range touches."""
+        if self.starts is None:
+            spans = [m.span() for m in _WORD.finditer(self.text)]
+            self.starts, self.ends = [a for a, _ in spans], [b for _, b in spans]
+        i = bisect.bisect_right(self.ends, start) - 1
+        j = bisect.bisect_left(self.starts, end)
+        return (self.text[self.starts[i]:self.ends[i]] if i >= 0 else "",
+                self.text[self.starts[j]:self.ends[j]] if j < len(self.starts) else "")
+
+
+def _occurrence(text: str, words: _Words, start: int, end: int, seed: bool) -> dict:
     """The range with the patterns around it."""
     token = text[start:end]
-    left, right = text[max(0, start - NEAR):start], text[end:end + NEAR]
-    before, after = left.split(), right.split()
-    glued = before.pop() if before and not left[-1].isspace() else ""
-    if after and not right[0].isspace():
-        after = after[1:]
     patterns = []
-    for kind, word in (("L", before[-1:]), ("R", after[:1])):
+    for kind, word in zip("LR", words.around(start, end), strict=True):
         if word:
-            patterns += [f"{kind}:{word[0].lower()}", f"{kind}:{word[0].lower()}|{form(token)}"]
-    prefix = _GLUED.search(glued) if seed else _PREFIX.match(token)
+            word = _key(word.lower())
+            patterns += [f"{kind}:{word}", f"{kind}:{word}|{form(token)}"]
+    glued = None if seed else _PREFIX.match(token)
+    prefix = _key(glued[0].lower()) if glued else written_prefix(text, start)
     if prefix:
-        patterns.append(f"P:{prefix[0].lower()}")
-    return {"start": start, "end": end, "instance": token.lower()[:256], "patterns": patterns, "seed": seed}
+        patterns.append(f"P:{prefix}")
+    return {"start": start, "end": end, "instance": _key(token.lower()), "patterns": patterns, "seed": seed}
 
 
-def token_occurrences(text: str, base: list[tuple[int, int, int]]) -> list[dict]:
-    """Whole base spans and identifier-like tokens with their patterns."""
-    spans = whole(base)
-    out = [_occurrence(text, a, b, True) for a, b in spans]
-    at = 0
+def _candidates(text: str) -> list[tuple[int, int]]:
+    """Ranges of the tokens that may identify something, in order."""
+    found = {}
     for m in _TOKEN.finditer(text):
-        raw = m[0]
-        token = raw.strip(_EDGE)
+        token = m[0].strip(_EDGE)
         prefix = _PREFIX.match(token)
         secret = prefix and prefix[0].lower() in SECRET_PREFIXES and prefix.end() < len(token)
-        if not secret and (len(token) < MIN_TOKEN or form(token) == "a"):
-            continue
-        start = m.start() + raw.index(token)
-        end = start + len(token)
+        if secret or (len(token) >= MIN_TOKEN and form(token) != "a"):
+            start = m.start() + m[0].index(token)
+            found[start] = start + len(token)
+    for m in _SECRET.finditer(text):
+        group = 1 if m[1] else 2
+        token = m[group].strip(_EDGE)
+        if token:
+            start = m.start(group) + m[group].index(token)
+            found[start] = start + len(token)
+    return sorted(found.items())
+
+
+def token_occurrences(text: str, base: list[tuple[int, int, int]]) -> list[dict]:
+    """Whole base spans and identifier-like tokens with their patterns."""
+    spans, words = whole(base), _Words(text)
+    out = [_occurrence(text, words, a, b, True) for a, b in spans]
+    at = 0
+    for start, end in _candidates(text):
         while at < len(spans) and spans[at][1] <= start:
             at += 1
         if at == len(spans) or end <= spans[at][0]:
-            out.append(_occurrence(text, start, end, False))
+            out.append(_occurrence(text, words, start, end, False))
     return out
 
 
@@ -170,22 +232,26 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                           pa.array(tokens, _TOKENS)], names=["doc_id", "rid", "base", "tokens"])
 
 
-def promoted_patterns(edges: DataFrame, rounds: int = ROUNDS, min_score: float = MIN_SCORE,
-                      min_support: int = MIN_SUPPORT) -> DataFrame:
-    """(pattern, score) after the rounds. ``edges``: pattern, instance, seed."""
+def promoted_patterns(edges: DataFrame, min_score: float = MIN_SCORE, min_support: int = MIN_SUPPORT) -> DataFrame:
+    """(pattern, score) when nothing changes any more. ``edges``: pattern,
+    instance, seed. Scores only grow and have ``DIGITS`` digits, so it ends."""
     edges = stored(edges.groupBy("pattern", "instance").agg(F.max("seed").alias("seed")), "edges")
     trust = stored(edges.where("seed").select("instance", F.lit(1.0).alias("trust")).distinct(), "trust")
     fixed = F.substring("pattern", 3, 1 << 20).isin(*SECRET_PREFIXES) & F.col("pattern").startswith("P:")
-    patterns = None
-    for _ in range(rounds):
+    before = None
+    while True:
         scored = edges.join(trust, "instance", "left").groupBy("pattern").agg(
-            (F.sum(F.coalesce("trust", F.lit(0.0))) / F.count("*")).alias("score"),
+            F.round(F.sum(F.coalesce("trust", F.lit(0.0))) / F.count("*"), DIGITS).alias("score"),
             F.count(F.when(F.col("trust") >= min_score, 1)).alias("support"))
         patterns = stored(scored.where(fixed | ((F.col("score") >= min_score) & (F.col("support") >= min_support)))
                           .select("pattern", F.when(fixed, 1.0).otherwise(F.col("score")).alias("score")), "patterns")
+        # the sum of whole numbers does not depend on the order of the rows
+        state = patterns.agg(F.count("*"), F.sum(F.round(F.col("score") * 10**DIGITS).cast("long"))).first()
+        if state == before:
+            return patterns
+        before = state
         held = edges.join(patterns, "pattern").groupBy("instance").agg(F.max("score").alias("trust"))
         trust = stored(trust.unionByName(held).groupBy("instance").agg(F.max("trust").alias("trust")), "trust")
-    return patterns
 
 
 def personal_data(docs: DataFrame) -> DataFrame:
@@ -209,4 +275,5 @@ def personal_data(docs: DataFrame) -> DataFrame:
     return found.drop("tokens").join(extra, "rid", "left").select(
         "doc_id", *[count(i).alias(f"n_{k}") for i, k in enumerate(KINDS)],
         F.sha2(joined(F.col("base")), 256).alias("base_sha256"),
-        joined(F.array_sort(F.concat("base", more))).alias("spans"))
+        joined(F.array_sort(F.concat("base", more))).alias("spans"), F.size(more).cast("long").alias("n_id"),
+        ((F.size("base") > 0) | (F.size(more) > 0)).alias("has_personal_data"))

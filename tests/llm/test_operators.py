@@ -2,6 +2,8 @@
 empty and long texts, ties, repeated rows and columns of clashing names."""
 
 import random
+import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -133,17 +135,53 @@ def test_pii_contexts_of_whole_spans(spark):
     assert spans[first + 5] == "" and all("id" not in spans[i] for i in range(8))
 
 
+def test_pii_finds_the_secrets_of_the_table(spark):
+    """Every planted secret of the whole table, and no clean document."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = {r.doc_id: r.text or "" for r in docs.select("doc_id", "text").collect()}
+    planted = {d: [m.span(1) for m in re.finditer(r'token = "([0-9a-f]{40})"', t)] for d, t in texts.items()}
+    planted = {d: s for d, s in planted.items() if s}
+    got = {r.doc_id: r for r in pii.personal_data(docs).collect()}
+    assert len(planted) == 12
+    for d, spans in planted.items():
+        assert all(f"id:{a}:{b}" in got[d].spans.split(",") for a, b in spans), d
+    assert {d for d, r in got.items() if r.n_id} == set(planted)
+    assert all(r.has_personal_data == (r.spans != "") for r in got.values())
+
+
+def test_pii_written_forms(spark):
+    """Prefixes over spaces and quotes, marks at the edges, long tokens that differ
+    at their end, and rounds that follow each other."""
+    long = "x1" * 400
+    texts = ["my password : hunter now", "api_key='abc'", 'Token="q"', "secret\t=\tzz%%%", "monkey = 5", "a token is here",
+             f"password={long}a", f"password={long}b", "key=", "token = "]
+    _, df = make(spark, texts)
+    spans = {r.doc_id: [texts[r.doc_id][int(a):int(b)] for _, a, b in (s.split(":") for s in r.spans.split(",") if s)]
+             for r in pii.personal_data(df).collect()}
+    assert spans == {0: ["hunter"], 1: ["api_key='abc"], 2: ['Token="q'], 3: ["zz"], 4: [], 5: [], 6: [f"password={long}a"],
+                     7: [f"password={long}b"], 8: [], 9: []}
+    one, two = (pii.token_occurrences(t, [])[0]["instance"] for t in texts[6:8])
+    assert one != two and len(one) < 100
+
+
+def test_pii_long_text_in_linear_time():
+    text = "a@b.cd," * 40_000 + " token = " + "9" * 100_000
+    start = time.process_time()
+    assert len(pii.token_occurrences(text, pii.base_spans(text))) > 30_000
+    assert time.process_time() - start < 20
+
+
 def test_promotion_rounds(spark):
     """Plain version of the scoring loop."""
     rows = [(f"p{i % 4}", f"i{i % 9}", i % 9 < 4) for i in range(60)] + [("P:password=", "zz", False)]
     edges = {(p, i): s for p, i, s in rows}
-    trust = {i: 1.0 for (p, i), s in edges.items() if s}
-    for _ in range(pii.ROUNDS):
-        good = {}
+    trust, good, before = {i: 1.0 for (p, i), s in edges.items() if s}, {}, None
+    while before != good:
+        before, good = good, {}
         for p in {p for p, _ in edges}:
             own = [trust.get(i, 0.0) for q, i in edges if q == p]
             if p[:2] == "P:" or sum(own) / len(own) >= 0.8 and sum(t >= 0.8 for t in own) >= 3:
-                good[p] = 1.0 if p[:2] == "P:" else sum(own) / len(own)
+                good[p] = 1.0 if p[:2] == "P:" else round(sum(own) / len(own), pii.DIGITS)
         for p, i in edges:
             if p in good:
                 trust[i] = max(trust.get(i, 0.0), good[p])
@@ -294,10 +332,10 @@ def test_paragraphs_in_short_lines_and_with_a_changed_word(spark):
 
 def test_chat(spark):
     rows = [(1, 0, "user", "hi"), (1, 1, "assistant", None), (1, 2, None, "</s>\n<s>[user]\n\\[x]"), (2, 5, "assistant", ""),
-            (2, 5, "assistant", ""), (3, 0, "system", "é" * 10), (3, 7, "assistant", "a<b\\"), (None, 0, "user", "lost")]
+            (2, 5, "assistant", ""), (3, 0, "system", "é" * 10), (3, 7, "assistant", "a<b\\"), (None, 0, "user", "kept"), (None, 1, "assistant", "too")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("node", F.lit(1))
     got = {r.tree: r for r in chat.read_back(chat.format_paths(chat.chosen_paths(chat.chains(df)))).collect()}
-    assert set(got) == {1, 2, 3}
+    assert set(got) == {1, 2, 3, None}
     for c in got:
         own = [(r or "", t or "") for i, _, r, t in rows if i == c]
         said = "".join(t for r, t in own if r == "assistant")
@@ -380,6 +418,19 @@ def test_license_diagonals(spark):
     assert got[0].labels == "mit" and 0.6 < got[0].score < 1 and got[1].labels == ""
 
 
+def test_license_notices_in_pieces(spark):
+    """Ten words inserted in the middle, a page of text between the halves, the
+    halves in the wrong order, and a template shorter than a window."""
+    rng = random.Random(4)
+    w = licenses.TEMPLATES["mit"][0].split()
+    texts = [" ".join([*w[:40], *prose(rng, 10).split(), *w[40:]]), " ".join([*w[:40], *prose(rng, 60).split(), *w[40:]]),
+             " ".join([*w[:40], *prose(rng, 400).split(), *w[40:]]), " ".join([*w[45:], *prose(rng, 10).split(), *w[:40]]),
+             prose(rng, 20) + " All rights reserved. " + prose(rng, 20), "All rights reserved.", "all rights\nRESERVED", "all rights"]
+    _, df = make(spark, texts)
+    got = {r.doc_id: r.labels for r in licenses.scan(df).collect()}
+    assert got == {0: "mit", 1: "mit", 2: "", 3: "", 4: "proprietary", 5: "proprietary", 6: "proprietary", 7: ""}
+
+
 def test_hosts(spark):
     urls = ["http://WWW.Example.com/en/1?x#y", "https://example.com/en/2", "http://a.net/es/3", "http://a.net/de/4", None, "nourl",
             "x://net/fr/", "http://com", "http://evilexample.com/en/5", "ftp://b.org?/en/#://c.net/es/", "http://a.org/p#://z/", "http://c.com/a"]
@@ -407,6 +458,22 @@ def test_host_posterior(spark):
     assert {r.host for r in out if r.verdict == "block"} == {"h3.d3.org"}
 
 
+def test_host_levels(spark):
+    df = spark.createDataFrame([("a.b.co.uk",), ("b.co.uk",), ("co.uk",), ("x.y.example.com",), ("me.github.io",), ("",), ("com",)], "host string")
+    got = {r.host: (r.d, r.s) for r in df.select("host", *[c.alias(n) for c, n in zip(hosts.levels(F.col("host")), "ds")]).collect()}
+    assert got == {"a.b.co.uk": ("b.co.uk", "co.uk"), "b.co.uk": ("b.co.uk", "co.uk"), "co.uk": ("co.uk", "co.uk"),
+                   "x.y.example.com": ("example.com", "com"), "me.github.io": ("me.github.io", "github.io"), "": ("", ""), "com": ("com", "com")}
+
+
+def test_hosts_are_blocked_on_the_tables(spark):
+    """The posterior decides pages that no rule judges; other hosts stay."""
+    sf = "/root/testdata/check_s"
+    out = hosts.judge(spark.read.parquet(f"{sf}/pages.parquet"), hosts.labelled_outcomes(spark.read.parquet(f"{sf}/labels.parquet")),
+                      hosts.page_document(F.col("url"))).where("rule is null")
+    got = {r.verdict: (r.hosts, r.k) for r in out.groupBy("verdict").agg(F.countDistinct("host").alias("hosts"), F.count("*").alias("k")).collect()}
+    assert 0 < got["block"][0] < got["allow"][0] and 0 < got["block"][1] < got["allow"][1]
+
+
 def test_empty_tables(spark):
     df = spark.createDataFrame([], EMPTY)
     bench = spark.createDataFrame([], "item_id long, text string")
