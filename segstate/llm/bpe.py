@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 
 from segstate.llm.common import texts
 
-MEMO_BYTES = 24 << 20  # each of the two memories, a word costs some 200 bytes
+MEMO_BYTES = 32 << 20  # each of the two memories, a word costs some 200 bytes
 PAIR_SLOTS = 1 << 18
 END = "</w>"
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -62,6 +62,40 @@ _SEPARATORS = regex.compile(r"[\x1c-\x1f]")
 _SPACES = regex.compile(r"\s+")
 
 
+class Table:
+    """Numbers by code, open-addressed, looked up many at a time."""
+
+    def __init__(self, codes: np.ndarray, values: np.ndarray):
+        self.bits = max(4, int(3 * len(codes)).bit_length())
+        self.key = np.full(1 << self.bits, -1, dtype=np.int64)
+        self.value = np.zeros(1 << self.bits, dtype=np.int32)
+        at = self.slot(codes)
+        while len(codes):
+            # one of the codes that want a free place gets it, the others go on
+            free = self.key[at] < 0
+            self.key[at[free]], self.value[at[free]] = codes[free], values[free]
+            left = self.key[at] != codes
+            codes, values, at = codes[left], values[left], (at[left] + 1) % len(self.key)
+
+    def slot(self, codes: np.ndarray) -> np.ndarray:
+        return (codes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, codes: np.ndarray, default: int) -> np.ndarray:
+        slot = self.slot(codes)
+        key = self.key[slot]
+        out = np.where(key == codes, self.value[slot], default)
+        at = np.flatnonzero((key != codes) & (key >= 0))
+        slot = slot[at]
+        while len(at):
+            slot = (slot + 1) % len(self.key)
+            key = self.key[slot]
+            hit = key == codes[at]
+            out[at[hit]] = self.value[slot[hit]]
+            go = ~hit & (key >= 0)
+            at, slot = at[go], slot[go]
+        return out
+
+
 class Merges:
     """Exact merging by rank, the leftmost of equals first, of many words at a time.
 
@@ -76,38 +110,17 @@ class Merges:
         self.ids, self.rank = ids, {m: i for i, m in enumerate(merges)}
         self.into = np.array([ids[a + b] for a, b in merges], dtype=np.int64)
         codes = np.array([ids[a] << 20 | ids[b] for a, b in merges], dtype=np.int64)
-        self.bits = max(4, int(4 * len(codes)).bit_length())
-        self.key = np.full(1 << self.bits, -1, dtype=np.int64)
-        self.value = np.full(1 << self.bits, self.NONE, dtype=np.int32)
-        todo, rank, at = codes, np.arange(len(codes), dtype=np.int32), self.slot(codes)
-        while len(todo):
-            # one of the codes that want a free place gets it, the others go on
-            free = self.key[at] < 0
-            self.key[at[free]], self.value[at[free]] = todo[free], rank[free]
-            left = self.key[at] != todo
-            todo, rank, at = todo[left], rank[left], (at[left] + 1) % len(self.key)
+        self.pairs = Table(codes, np.arange(len(codes), dtype=np.int32))
         letters = [t for t in ids if len(t.removesuffix(END)) == 1 and t != END]
         top = max((ord(t[0]) for t in letters), default=0)
         self.plain, self.ending = np.full(top + 2, -1, dtype=np.int64), np.full(top + 2, -1, dtype=np.int64)
         for t in letters:
             (self.ending if t.endswith(END) else self.plain)[ord(t[0])] = ids[t]
 
-    def slot(self, codes: np.ndarray) -> np.ndarray:
-        return (codes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).astype(np.int64)
-
     def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of each pair of ids; ``NONE`` if it does not merge."""
-        out = np.full(len(left), self.NONE, dtype=np.int32)
-        at = np.flatnonzero((left >= 0) & (right >= 0))
-        codes = left[at] << 20 | right[at]
-        slot = self.slot(codes)
-        while len(at):
-            key = self.key[slot]
-            hit = key == codes
-            out[at[hit]] = self.value[slot[hit]]
-            go = ~hit & (key >= 0)
-            at, codes, slot = at[go], codes[go], (slot[go] + 1) % len(self.key)
-        return out
+        # a place without a letter gives a code that no pair has
+        return self.pairs.find(np.where((left < 0) | (right < 0), 1 << 62, left << 20 | right), self.NONE)
 
     def many(self, words: list[str], ends: np.ndarray) -> list[list[int]]:
         """Ids of each word; ``ends`` tells whether its last letter ends a word."""
@@ -188,6 +201,59 @@ class Merges:
         return [self.ids[t] for t in sym if t in self.ids]
 
 
+class Tokens:
+    """Greedy longest match of many words at a time, in a trie of the tokens whose
+    steps (node, letter) are looked up in an open-addressed table."""
+
+    def __init__(self, ids: dict[str, int]):
+        step: dict[int, int] = {}
+        plain, ending = [-1], [-1]
+        for token, i in ids.items():
+            node = 0
+            for c in token.removesuffix(END):
+                code = node << 12 | ord(c)
+                node = step.setdefault(code, len(plain))
+                if node == len(plain):
+                    plain.append(-1)
+                    ending.append(-1)
+            (ending if token.endswith(END) else plain)[node] = i
+        self.plain, self.ending = np.array(plain), np.array(ending)
+        self.steps = Table(np.fromiter(step, np.int64, len(step)), np.fromiter(step.values(), np.int32, len(step)))
+
+    def propose(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words in a row and how many each has; none if a place of the
+        word starts no token."""
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        letters = np.frombuffer("".join(words).encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
+        letters = np.append(np.minimum(letters, 4095), 4095)
+        end = np.cumsum(size)
+        at = end - size
+        node, token, after = np.zeros(len(words), np.int64), np.full(len(words), -1), at.copy()
+        live, failed, found = np.flatnonzero(size > 0), [], []
+        while len(live):
+            to = self.steps.find(node[live] << 12 | letters[at[live]], -1)
+            to[at[live] >= end[live]] = -1
+            on = live[to >= 0]
+            node[on] = to[to >= 0]
+            at[on] += 1
+            here = np.where(at[on] == end[on], self.ending[node[on]], self.plain[node[on]])
+            token[on[here >= 0]], after[on[here >= 0]] = here[here >= 0], at[on[here >= 0]]
+            done = live[to < 0]
+            failed.append(done[token[done] < 0])
+            done = done[token[done] >= 0]
+            found.append((done, token[done]))
+            at[done], node[done], token[done] = after[done], 0, -1
+            done = done[at[done] < end[done]]
+            live = np.concatenate([on, done])
+        owner, flat = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
+        order = np.argsort(owner, kind="stable")
+        owner, flat = owner[order], flat[order]
+        if failed:
+            good = ~np.isin(owner, np.concatenate(failed))
+            owner, flat = owner[good], flat[good]
+        return flat, np.bincount(owner, minlength=len(words))
+
+
 class Recent:
     """Results of words, bounded by bytes. When full, only the words of the last
     use stay, which are the ones that come again."""
@@ -196,20 +262,26 @@ class Recent:
         self.limit, self.size, self.kept = limit, 0, {}
 
     def take(self, words: Iterable[str], work_out: Callable[[list[str]], Iterable[tuple]]) -> dict[str, tuple]:
-        """Results of all words, those that are not kept worked out."""
+        """A table with the results of all words, those that are not kept worked
+        out."""
         kept = self.kept
         missing = [w for w in words if w not in kept]
         made = dict(zip(missing, work_out(missing), strict=True)) if missing else {}
+        self.size += self.bytes(made)
+        if self.size <= self.limit:
+            kept.update(made)
+            return kept
         now = {w: kept[w] for w in words if w in kept} | made
-        self.size += sum([200 + len(w) + len(r[0]) + len(r[2]) for w, r in made.items()])
-        kept.update(made)
+        self.kept, self.size = now, self.bytes(now)
         if self.size > self.limit:
-            self.kept = now
-            self.size = sum([200 + len(w) + len(r[0]) + len(r[2]) for w, r in now.items()])
-            if self.size > self.limit:
-                self.forget()
+            self.forget()
         return now
 
+    @staticmethod
+    def bytes(results: dict[str, tuple]) -> int:
+        """An estimate: a letter has an id of six digits at most, and a token."""
+        return 250 * len(results) + 9 * sum(map(len, results))
+
     def forget(self) -> None:
         self.kept, self.size = {}, 0
 
@@ -230,12 +302,7 @@ class Vocabulary:
         self.letter = dict(enumerate(byte_letters()))
         self.text = {i: str(i) for i in self.token}
         self.marks = {s: (str(i), 1, s) for s, i in self.special.items()}
-        # how long a token can be that starts with these three letters
-        self.reach: dict[str, int] = {}
-        for t in self.ids:
-            bare = t.removesuffix(END)
-            if len(bare) > 2:
-                self.reach[bare[:3]] = max(len(bare), self.reach.get(bare[:3], 0))
+        self.tokens = Tokens(self.ids)
         self.chunks, self.words = Recent(MEMO_BYTES), Recent(MEMO_BYTES)
         self.forget()
 
@@ -247,20 +314,6 @@ class Vocabulary:
         self.good = np.zeros(PAIR_SLOTS, dtype=bool)
 
     # -- speculation ---------------------------------------------------------
-    def propose(self, word: str) -> list[int]:
-        """Greedy longest match; empty if a character starts no token."""
-        out, i, n, ids, reach = [], 0, len(word), self.ids, self.reach
-        while i < n:
-            for j in range(min(n, i + reach.get(word[i:i + 3], 2)), i, -1):
-                t = ids.get(word[i:j] + END if j == n else word[i:j])
-                if t is not None:
-                    out.append(t)
-                    i = j
-                    break
-            else:
-                return []
-        return out
-
     def compatible(self, pairs: list[int]) -> list[bool]:
         """Whether the text of the two tokens of each pair encodes to them; the
         right one is 0 for a token on its own, else its id and 1."""
@@ -285,22 +338,18 @@ class Vocabulary:
 
     def encode_words(self, words: list[str]) -> list[list[int]]:
         """Ids of words given in byte letters."""
-        proposals = [self.propose(w) for w in words]
-        count = np.fromiter(map(len, proposals), np.int64, len(words))
-        flat = np.fromiter((t for p in proposals for t in p), np.int64, int(count.sum()))
-        ok = np.ones(len(words), dtype=bool)
-        ok[count == 0] = False
-        if len(flat):
-            owner = np.repeat(np.arange(len(words)), count)
-            fine = self.verify(flat << 20)
-            ok[owner[~fine]] = False
-            inner = np.flatnonzero(owner[1:] == owner[:-1])
-            fine = self.verify((flat[inner] << 20) | (flat[inner + 1] + 1))
-            ok[owner[inner[~fine]]] = False
+        flat, count = self.tokens.propose(words)
+        ok = count > 0
+        owner = np.repeat(np.arange(len(words)), count)
+        ok[owner[~self.verify(flat << 20)]] = False
+        inner = np.flatnonzero(owner[1:] == owner[:-1])
+        ok[owner[inner[~self.verify((flat[inner] << 20) | (flat[inner + 1] + 1))]]] = False
+        stop, tokens = np.cumsum(count).tolist(), flat.tolist()
+        out = [tokens[a:b] for a, b in zip([0, *stop], stop, strict=False)]
         failed = np.flatnonzero(~ok).tolist()
         for i, ids in zip(failed, self.merges.many([words[i] for i in failed], np.ones(len(failed), dtype=bool)), strict=True):
-            proposals[i] = ids
-        return proposals
+            out[i] = ids
+        return out
 
     # -- texts ---------------------------------------------------------------
     def normal(self, chunk: str) -> str:
@@ -324,12 +373,14 @@ class Vocabulary:
 
     def chunk_results(self, chunks: list[str]) -> list[tuple[str, int, str]]:
         """The same of chunks between spaces."""
-        split = [self.words_of(c) for c in chunks]
+        split = [[c.lower()] if c.isascii() and c.isalpha() else self.words_of(c) for c in chunks]
         of = self.words.take({w for ws in split for w in ws}, self.results)
         out = []
         for ws in split:
             if len(ws) == 1:
                 out.append(of[ws[0]])
+            elif len(ws) == 2 and (a := of[ws[0]])[1] and (b := of[ws[1]])[1]:
+                out.append((f"{a[0]} {b[0]}", a[1] + b[1], f"{a[2]} {b[2]}"))
             else:
                 ids, counts, tokens = zip(*[of[w] for w in ws], strict=True) if ws else ((), (), ())
                 out.append((" ".join(filter(None, ids)), sum(counts), " ".join(filter(None, tokens))))
@@ -351,8 +402,12 @@ class Vocabulary:
         """Per text the (ids as text, number of ids, tokens as text) of each of
         its chunks."""
         split = [self.pieces(t) for t in batch]
-        of = self.chunks.take({c for p in split for c in p if c not in self.special}, self.chunk_results)
-        of.update(self.marks)
+        seen = set()
+        for p in split:
+            seen.update(p)
+        of = self.chunks.take(seen.difference(self.special), self.chunk_results)
+        if not seen.isdisjoint(self.special):
+            of = {**of, **self.marks}
         return [[of[c] for c in p] for p in split]
 
     def decode(self, ids: Iterable[int]) -> str:
