@@ -14,7 +14,7 @@ Defined results: null is the empty text, which has no tokens and decodes to the
 empty text; the strings of special tokens inside a text become their ids;
 unused truncation and padding; equal rows get equal results; an empty table gives
 no rows; columns of any other name are never read. What a task remembers (results
-of chunks and words, verdicts on pairs) is bounded by ``MEMO_BYTES`` and
+of words, verdicts on pairs) is bounded by ``MEMO_BYTES`` and
 ``PAIR_SLOTS`` and is dropped at its end; a forgotten word is worked out again.
 """
 
@@ -25,6 +25,7 @@ import gc
 import hashlib
 import heapq
 import json
+import re
 import unicodedata
 from collections.abc import Callable, Iterable, Iterator
 
@@ -35,7 +36,7 @@ from pyspark.sql import DataFrame
 
 from segstate.llm.common import texts
 
-MEMO_BYTES = 32 << 20  # each of the two memories, a word costs some 200 bytes
+MEMO_BYTES = 48 << 20  # for words, which cost some 300 bytes each
 PAIR_SLOTS = 1 << 18
 END = "</w>"
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -56,12 +57,6 @@ def byte_letters() -> list[str]:
     return letters
 
 
-# White space of the vocabulary's patterns; str.split() also cuts at the four
-# separators below, which are ordinary characters there.
-_SEPARATORS = regex.compile(r"[\x1c-\x1f]")
-_SPACES = regex.compile(r"\s+")
-
-
 class Table:
     """Numbers by code, open-addressed, looked up many at a time."""
 
@@ -297,18 +292,20 @@ class Vocabulary:
         self.merges = Merges(self.ids, [tuple(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]])
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.token = {i: t for t, i in self.ids.items()} | {i: t for t, i in self.special.items()}
-        self.split = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
+        pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+        self.split = regex.compile(pattern)
+        # the same for ASCII texts; the classes stand inside brackets
+        self.split_ascii = re.compile(pattern.replace(r"\p{L}", "A-Za-z").replace(r"\p{N}", "0-9").replace(r"\s", r" \t-\r"))
         self.special_split = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
         self.letter = dict(enumerate(byte_letters()))
         self.text = {i: str(i) for i in self.token}
         self.marks = {s: (str(i), 1, s) for s, i in self.special.items()}
         self.tokens = Tokens(self.ids)
-        self.chunks, self.words = Recent(MEMO_BYTES), Recent(MEMO_BYTES)
+        self.words = Recent(MEMO_BYTES)
         self.forget()
 
     def forget(self) -> None:
         """Drops what was remembered; the vocabulary stays."""
-        self.chunks.forget()
         self.words.forget()
         self.pair = np.full(PAIR_SLOTS, -1, dtype=np.int64)
         self.good = np.zeros(PAIR_SLOTS, dtype=bool)
@@ -352,63 +349,41 @@ class Vocabulary:
         return out
 
     # -- texts ---------------------------------------------------------------
-    def normal(self, chunk: str) -> str:
+    def normal(self, text: str) -> str:
         """NFC, then lower case code point by code point; the capital sigma is
         the only one that ``lower`` treats by its place in the word."""
-        if chunk.isascii():
-            return chunk.lower()
-        return unicodedata.normalize("NFC", chunk).replace("\u03a3", "\u03c3").lower()
-
-    def words_of(self, chunk: str) -> list[str]:
-        """Words of a chunk in byte letters."""
-        text = self.normal(chunk)
-        if text.isascii() and text.isalpha():
-            return [text]
-        return [w.encode("utf-8").decode("latin-1").translate(self.letter) for w in self.split.findall(text)]
+        if text.isascii():
+            return text.lower()
+        return unicodedata.normalize("NFC", text).replace("\u03a3", "\u03c3").lower()
 
     def results(self, words: list[str]) -> list[tuple[str, int, str]]:
         """(ids as text, number of ids, tokens as text) of each word."""
-        text, token = self.text, self.token
-        return [(" ".join([text[i] for i in ids]), len(ids), " ".join([token[i] for i in ids])) for ids in self.encode_words(words)]
-
-    def chunk_results(self, chunks: list[str]) -> list[tuple[str, int, str]]:
-        """The same of chunks between spaces."""
-        split = [[c.lower()] if c.isascii() and c.isalpha() else self.words_of(c) for c in chunks]
-        of = self.words.take({w for ws in split for w in ws}, self.results)
-        out = []
-        for ws in split:
-            if len(ws) == 1:
-                out.append(of[ws[0]])
-            elif len(ws) == 2 and (a := of[ws[0]])[1] and (b := of[ws[1]])[1]:
-                out.append((f"{a[0]} {b[0]}", a[1] + b[1], f"{a[2]} {b[2]}"))
-            else:
-                ids, counts, tokens = zip(*[of[w] for w in ws], strict=True) if ws else ((), (), ())
-                out.append((" ".join(filter(None, ids)), sum(counts), " ".join(filter(None, tokens))))
-        return out
+        text, token, letter = self.text, self.token, self.letter
+        letters = [w if w.isascii() and w.isalnum() else w.encode("utf-8").decode("latin-1").translate(letter) for w in words]
+        return [(" ".join([text[i] for i in ids]), len(ids), " ".join([token[i] for i in ids])) for ids in self.encode_words(letters)]
 
     def pieces(self, text: str) -> list[str]:
-        """Chunks between spaces and special strings, in order."""
+        """Words of the normal text and special strings, in order."""
         out = []
         for part in self.special_split.split(text) if "<|" in text else (text,):
             if part in self.special:
                 out.append(part)
-            elif _SEPARATORS.search(part):
-                out += [c for c in _SPACES.split(part) if c]
             else:
-                out += part.split()
+                part = self.normal(part)
+                out += (self.split_ascii if part.isascii() else self.split).findall(part)
         return out
 
     def encode_batch(self, batch: list[str]) -> list[list[tuple[str, int, str]]]:
         """Per text the (ids as text, number of ids, tokens as text) of each of
-        its chunks."""
+        its words."""
         split = [self.pieces(t) for t in batch]
         seen = set()
         for p in split:
             seen.update(p)
-        of = self.chunks.take(seen.difference(self.special), self.chunk_results)
+        of = self.words.take(seen.difference(self.special), self.results)
         if not seen.isdisjoint(self.special):
             of = {**of, **self.marks}
-        return [[of[c] for c in p] for p in split]
+        return [[of[w] for w in p] for p in split]
 
     def decode(self, ids: Iterable[int]) -> str:
         """Tokens joined by one space, as a file without a decoder has it;
