@@ -536,6 +536,24 @@ def q_e_step_blocks(spark, sf):
     return st.select("fold", "cls", "param", "i", "j", r6("value").alias("value"))
 
 
+def q_e_step_wide(spark, sf):
+    """R9 with the emission matrices as cells that are joined by symbol, the form
+    of models that do not travel with the tasks (P7)."""
+    from segstate.operators.wide import wide_e_step
+    fld = folded(spark, sf)
+    st = wide_e_step(fld, start_models(fld), SPEC)
+    return st.select("fold", "cls", "param", "i", "j", r6("value").alias("value"))
+
+
+def q_attach_models(spark, sf):
+    """The parameters of both models of its fold on every held-out sequence."""
+    fld = folded(spark, sf)
+    rows = FO.validation_rows(fld.where(F.col("t0") == 0))
+    models = start_models(fld).select("fold", F.col("cls").alias("model"), "pi", "a", "b", "p")
+    joined = attach_models(rows.select("workitem", "cls", "fold"), models, ["fold"], SPEC, n_models=2 * K_FOLDS)
+    return joined.select("workitem", "cls", "fold", "model", *_params())
+
+
 def q_m_step(spark, sf):
     from segstate.operators.estep import e_step_stats_folded
     from segstate.operators.mstep import m_step
@@ -679,6 +697,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "estimate_initial": _traced("estimate_initial"),
     "e_step_stats": q_e_step_stats,
     "e_step_blocks": q_e_step_blocks,
+    "e_step_wide": q_e_step_wide,
+    "attach_models": q_attach_models,
     "m_step": q_m_step,
     "em_one_iteration": q_em_one_iteration,
     "em_train": q_em_train,
@@ -819,7 +839,7 @@ for _key, _names in {
     "estimate_initial": ["new_pi"],
 }.items():
     ORACLES[_key] = _trace_sql(_names)
-ORACLES["e_step_stats"] = SQL_E_STEP_STATS
+ORACLES["e_step_stats"] = ORACLES["e_step_wide"] = SQL_E_STEP_STATS
 ORACLES["m_step"] = SQL_M_STEP
 ORACLES["em_one_iteration"] = SQL_M_STEP
 # the models that stand in the text files are those of one EM step
@@ -895,6 +915,8 @@ _EM = em_sql(RUN.max_iterations, RUN.epsilon)
 _LL3 = "round(loglik, 3) AS loglik"
 _PARAMS_SQL = ", ".join([f"list_transform(pi, lambda v_: {r6sql('v_')}) AS pi"] + [
     f"list_transform({c}, lambda r_: list_transform(r_, lambda v_: {r6sql('v_')})) AS {c}" for c in "abp"])
+ORACLES["attach_models"] = (f"SELECT f.workitem, f.cls, f.kfold AS fold, m.cls AS model, {_PARAMS_SQL} "
+                            f"FROM ({FOLDED_SQL}) f JOIN ({MODELS_SQL}) m ON m.fold = f.kfold")
 ORACLES["em_train"] = _EM + (
     f"SELECT fold, cls, param, i, j, {r6sql('value')} AS value FROM ({long_model_sql('SELECT * FROM final')})")
 ORACLES["em_train_converged"] = _EM + (
