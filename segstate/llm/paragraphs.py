@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from segstate.llm import textarrays as T
 from segstate.llm.common import row_key, stored
-from segstate.llm.similarity import link
+from segstate.llm.similarity import link, pruned_components
 
 K, PERCENT = 5, 75
 REACH, BANDS = 6, 3
@@ -200,7 +200,8 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_PASSAGE) -> DataFram
         b = sets.select(F.col("cid").alias("b"), F.col("set").alias("sb"))
         return pairs.join(a, "a").join(b, "b").where(similar(F.col("sa"), F.col("sb"))).select("a", "b")
 
-    labels = link(shared, verify, PERCENT, lambda wanted: sets.join(wanted, "cid"))
+    labels = link(shared, verify, PERCENT, lambda wanted: sets.join(wanted, "cid"),
+                  few_bands=True, group=pruned_components)
     whole = live.join(labels, F.col("cid") == F.col("node"), "left").join(rows.drop("rk"), "rid").select(
         "doc_id", "rid", "kind", "start", "n_words", F.coalesce("comp", "cid").alias("comp"))
     whole = stored(whole, "labelled")

@@ -16,6 +16,8 @@ tokens there, so a large group of them makes few pairs and not their square.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -65,6 +67,30 @@ def components(edges: DataFrame) -> DataFrame:
         e.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
 
 
+def pruned_components(edges: DataFrame) -> DataFrame:
+    """As ``components``, for graphs where most nodes have a single edge, as the
+    copies around a hub have. Such ends are set aside by one aggregate, the
+    steps run over what is left, and the ends take the label of their centre."""
+    e = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    ends = (both.groupBy("u").agg(F.count("*").alias("k"), F.min("v").alias("v")).where("k = 1")
+            .select(F.col("u").alias("end"), F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")))
+    # an edge between two ends is a component of its own, with the smaller as its centre
+    ends = ends.groupBy("u", "v").agg(F.max("end").alias("end"))
+    ends = stored(ends.withColumn("centre", F.when(F.col("end") == F.col("u"), F.col("v")).otherwise(F.col("u"))), "ends")
+    core = components(e.join(ends.select("u", "v"), ["u", "v"], "left_anti").select(F.col("u").alias("a"), F.col("v").alias("b")))
+    core = stored(core, "core")
+    centres = (ends.groupBy("centre").agg(F.min("end").alias("low")).join(core, F.col("centre") == F.col("node"), "left")
+               .select("centre", "low", F.col("node").isNull().alias("bare"), F.coalesce("comp", "centre").alias("comp")))
+    centres = stored(centres, "centres")
+    # the smallest node of a component can be one of its ends
+    least = centres.groupBy("comp").agg(F.min("low").alias("low"))
+    inner = core.join(least, "comp", "left").select("node", F.least("comp", "low").alias("comp"))
+    outer = centres.drop("low").join(least, "comp").select("centre", "bare", F.least("comp", "low").alias("comp"))
+    return (inner.unionByName(outer.where("bare").select(F.col("centre").alias("node"), "comp"))
+            .unionByName(ends.select("end", "centre").join(outer, "centre").select(F.col("end").alias("node"), "comp")))
+
+
 def shared_buckets(bands: DataFrame) -> DataFrame:
     """Rows (h, cid, n, k) of the buckets with two items or more; ``k`` is how
     many."""
@@ -76,10 +102,15 @@ def shared_buckets(bands: DataFrame) -> DataFrame:
 
 
 def link(shared: DataFrame, verify: Callable[[DataFrame], DataFrame], percent: int,
-         sets_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
+         sets_of: Callable[[DataFrame], DataFrame], few_bands: bool = False,
+         group: Callable[[DataFrame], DataFrame] = components) -> DataFrame:
     """(node, comp) of every item that has a link. ``verify`` takes pairs (a, b)
     and returns those that are linked; ``sets_of`` takes rows (cid) and returns
-    the distinct tokens (cid, set) of these items."""
+    the distinct tokens (cid, set) of these items. With ``few_bands`` the last
+    step joins on bucket and prefix token together, so items that share a token
+    alone never meet; with many bands or long prefixes these rows would be too
+    many, and the buckets of a pair are compared after the join. ``group`` makes
+    components of edges."""
     # an item that meets many others, such as the origin of many copies, makes the best hub
     met = shared.join(shared.groupBy("cid").agg(F.sum("k").alias("met")), "cid").select("h", "cid", "n", "met")
     met = stored(met, "met")
@@ -88,7 +119,7 @@ def link(shared: DataFrame, verify: Callable[[DataFrame], DataFrame], percent: i
     tested = stored(near.groupBy("cid").agg(F.max("hub").alias("hub"))
                     .select(F.least("cid", "hub.cid").alias("a"), F.greatest("cid", "hub.cid").alias("b")).distinct(), "pairs")
     links = stored(verify(tested), "links")
-    labels = components(links)
+    labels = group(links)
     rows = stored(met.join(labels, F.col("cid") == F.col("node"), "left").select(
         "h", "cid", "n", F.coalesce("comp", "cid").alias("comp")), "open")
     sizes = rows.groupBy("h", "comp").agg(F.count("*").alias("k"))
@@ -99,18 +130,24 @@ def link(shared: DataFrame, verify: Callable[[DataFrame], DataFrame], percent: i
         F.min("comp").alias("comp"), F.collect_set("h").alias("hs"), F.max(F.col("comp") != F.col("major")).alias("minor")), "open")
     sets = stored(sets_of(items.select("cid")), "sets")
     heads = stored(prefixes(sets, percent).join(items.drop("hs"), "cid"), "prefixes")
-    other = heads.where("minor").select("t", *[F.col(c).alias(f"x_{c}") for c in ("cid", "n", "comp", "pos")])
+    on = ["t"]
+    if few_bands:
+        on = ["h", "t"]
+        heads = heads.join(items.select("cid", F.explode("hs").alias("h")), "cid")
+    other = heads.where("minor").select(*on, *[F.col(c).alias(f"x_{c}") for c in ("cid", "n", "comp", "pos")])
     least = percent * (F.col("n") + F.col("x_n"))
     possible = ((F.col("comp") != F.col("x_comp")) & size_fits(F.col("n"), F.col("x_n"), percent)
                 # two minor items meet once
                 & (~F.col("minor") | (F.col("cid") < F.col("x_cid")))
                 # tokens from the shared one on are enough for the pair
                 & ((100 + percent) * F.least(F.col("n") - F.col("pos"), F.col("x_n") - F.col("x_pos")) >= least))
-    pairs = (heads.withColumnRenamed("t", "t2").join(other, (F.col("t2") == F.col("t")) & possible)
+    same = [F.col(f"o_{c}") == F.col(c) for c in on]
+    pairs = (heads.withColumnsRenamed({c: f"o_{c}" for c in on}).join(other, reduce(and_, same, possible))
              .select(F.least("cid", "x_cid").alias("a"), F.greatest("cid", "x_cid").alias("b")).distinct())
-    buckets = [items.select(F.col("cid").alias(c), F.col("hs").alias(f"h{c}")) for c in ("a", "b")]
-    pairs = pairs.join(buckets[0], "a").join(buckets[1], "b").where(F.arrays_overlap("ha", "hb")).select("a", "b")
+    if not few_bands:
+        buckets = [items.select(F.col("cid").alias(c), F.col("hs").alias(f"h{c}")) for c in ("a", "b")]
+        pairs = pairs.join(buckets[0], "a").join(buckets[1], "b").where(F.arrays_overlap("ha", "hb")).select("a", "b")
     found = stored(verify(stored(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")), "links")
     if found.isEmpty():
         return labels
-    return components(found.unionByName(labels.select(F.col("node").alias("a"), F.col("comp").alias("b"))))
+    return group(found.unionByName(labels.select(F.col("node").alias("a"), F.col("comp").alias("b"))))
