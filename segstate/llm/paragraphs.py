@@ -201,7 +201,7 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_PASSAGE) -> DataFram
         return pairs.join(a, "a").join(b, "b").where(similar(F.col("sa"), F.col("sb"))).select("a", "b")
 
     labels = link(shared, verify, PERCENT, lambda wanted: sets.join(wanted, "cid"),
-                  few_bands=True, group=pruned_components)
+                  group=pruned_components)
     whole = live.join(labels, F.col("cid") == F.col("node"), "left").join(rows.drop("rk"), "rid").select(
         "doc_id", "rid", "kind", "start", "n_words", F.coalesce("comp", "cid").alias("comp"))
     whole = stored(whole, "labelled")

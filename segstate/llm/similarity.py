@@ -9,15 +9,14 @@ component are compared with items of other components there, so no link
 between components is lost. Which of them can be linked at all is told by
 prefixes: with the tokens of every item ordered from the rarest to the most
 frequent, two items that share enough tokens share one among the first few of
-each. This test is exact. Near copies whose changes are their own have only own
+each. This test is exact, and so is the one beside it: the bits in which two
+bitmaps of tokens differ are at most as many as the tokens of one set alone. Near copies whose changes are their own have only own
 tokens there, so a large group of them makes few pairs and not their square.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
-from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,16 +30,20 @@ def size_fits(a: Column, b: Column, percent: int) -> Column:
 
 
 def prefixes(sets: DataFrame, percent: int) -> DataFrame:
-    """(cid, n, t, pos): the rarest tokens of each set of (cid, set), as many as
+    """(cid, n, bits, t, pos): the rarest tokens of each set of (cid, set), as many as
     a pair of that similarity can need. ``pos`` is the place of token ``t`` in
-    the order of its set; tokens of one set only come first and are left out."""
+    the order of its set; tokens of one set only come first and are left out.
+    ``bits`` has the parity of the number of tokens with each value of 6 bits."""
+    one = F.lit(1).cast("long")
+    bits = F.aggregate("set", F.lit(0).cast("long"), lambda b, t: b.bitwiseXOR(
+        F.call_function("shiftleft", one, t.bitwiseAND(F.lit(63)).cast("int"))))
     tokens = sets.select("cid", F.explode("set").alias("t"))
     held = stored(tokens.groupBy("t").agg(F.count("*").alias("k")).where("k > 1"), "held")
     common = tokens.join(held, "t").groupBy("cid").agg(F.array_sort(F.collect_list(F.struct("k", "t"))).alias("ts"))
-    ranked = common.join(sets.select("cid", F.size("set").cast("long").alias("n")), "cid").withColumn("own", F.col("n") - F.size("ts"))
+    ranked = common.join(sets.select("cid", F.size("set").cast("long").alias("n"), bits.alias("bits")), "cid").withColumn("own", F.col("n") - F.size("ts"))
     length = F.greatest(F.lit(0), F.floor(F.col("n") * (100 - percent) / 100) + 1 - F.col("own")).cast("int")
-    return (ranked.select("cid", "n", "own", F.posexplode(F.slice("ts", F.lit(1), length)).alias("i", "x"))
-            .select("cid", "n", F.col("x.t").alias("t"), (F.col("own") + F.col("i")).alias("pos")))
+    return (ranked.select("cid", "n", "bits", "own", F.posexplode(F.slice("ts", F.lit(1), length)).alias("i", "x"))
+            .select("cid", "n", "bits", F.col("x.t").alias("t"), (F.col("own") + F.col("i")).alias("pos")))
 
 
 def _all_stars(edges: DataFrame) -> bool:
@@ -102,15 +105,11 @@ def shared_buckets(bands: DataFrame) -> DataFrame:
 
 
 def link(shared: DataFrame, verify: Callable[[DataFrame], DataFrame], percent: int,
-         sets_of: Callable[[DataFrame], DataFrame], few_bands: bool = False,
-         group: Callable[[DataFrame], DataFrame] = components) -> DataFrame:
+         sets_of: Callable[[DataFrame], DataFrame], group: Callable[[DataFrame], DataFrame] = components) -> DataFrame:
     """(node, comp) of every item that has a link. ``verify`` takes pairs (a, b)
     and returns those that are linked; ``sets_of`` takes rows (cid) and returns
-    the distinct tokens (cid, set) of these items. With ``few_bands`` the last
-    step joins on bucket and prefix token together, so items that share a token
-    alone never meet; with many bands or long prefixes these rows would be too
-    many, and the buckets of a pair are compared after the join. ``group`` makes
-    components of edges."""
+    the distinct tokens (cid, set) of these items; ``group`` makes components of
+    the links to hubs."""
     # an item that meets many others, such as the origin of many copies, makes the best hub
     met = shared.join(shared.groupBy("cid").agg(F.sum("k").alias("met")), "cid").select("h", "cid", "n", "met")
     met = stored(met, "met")
@@ -119,7 +118,7 @@ def link(shared: DataFrame, verify: Callable[[DataFrame], DataFrame], percent: i
     tested = stored(near.groupBy("cid").agg(F.max("hub").alias("hub"))
                     .select(F.least("cid", "hub.cid").alias("a"), F.greatest("cid", "hub.cid").alias("b")).distinct(), "pairs")
     links = stored(verify(tested), "links")
-    labels = group(links)
+    labels = stored(group(links), "labels")
     rows = stored(met.join(labels, F.col("cid") == F.col("node"), "left").select(
         "h", "cid", "n", F.coalesce("comp", "cid").alias("comp")), "open")
     sizes = rows.groupBy("h", "comp").agg(F.count("*").alias("k"))
@@ -130,24 +129,26 @@ def link(shared: DataFrame, verify: Callable[[DataFrame], DataFrame], percent: i
         F.min("comp").alias("comp"), F.collect_set("h").alias("hs"), F.max(F.col("comp") != F.col("major")).alias("minor")), "open")
     sets = stored(sets_of(items.select("cid")), "sets")
     heads = stored(prefixes(sets, percent).join(items.drop("hs"), "cid"), "prefixes")
-    on = ["t"]
-    if few_bands:
-        on = ["h", "t"]
-        heads = heads.join(items.select("cid", F.explode("hs").alias("h")), "cid")
-    other = heads.where("minor").select(*on, *[F.col(c).alias(f"x_{c}") for c in ("cid", "n", "comp", "pos")])
+    other = heads.where("minor").select("t", *[F.col(c).alias(f"x_{c}") for c in ("cid", "n", "comp", "pos", "bits")])
     least = percent * (F.col("n") + F.col("x_n"))
     possible = ((F.col("comp") != F.col("x_comp")) & size_fits(F.col("n"), F.col("x_n"), percent)
                 # two minor items meet once
                 & (~F.col("minor") | (F.col("cid") < F.col("x_cid")))
                 # tokens from the shared one on are enough for the pair
-                & ((100 + percent) * F.least(F.col("n") - F.col("pos"), F.col("x_n") - F.col("x_pos")) >= least))
-    same = [F.col(f"o_{c}") == F.col(c) for c in on]
-    pairs = (heads.withColumnsRenamed({c: f"o_{c}" for c in on}).join(other, reduce(and_, same, possible))
-             .select(F.least("cid", "x_cid").alias("a"), F.greatest("cid", "x_cid").alias("b")).distinct())
-    if not few_bands:
-        buckets = [items.select(F.col("cid").alias(c), F.col("hs").alias(f"h{c}")) for c in ("a", "b")]
-        pairs = pairs.join(buckets[0], "a").join(buckets[1], "b").where(F.arrays_overlap("ha", "hb")).select("a", "b")
-    found = stored(verify(stored(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")), "links")
+                & ((100 + percent) * F.least(F.col("n") - F.col("pos"), F.col("x_n") - F.col("x_pos")) >= least)
+                # every token of one set alone changes one bit
+                & ((100 + percent) * F.bit_count(F.col("bits").bitwiseXOR(F.col("x_bits"))) <= (100 - percent) * (F.col("n") + F.col("x_n"))))
+    pairs = (heads.withColumnRenamed("t", "t2").join(other, (F.col("t2") == F.col("t")) & possible)
+             .select(F.least("cid", "x_cid").alias("a"), F.greatest("cid", "x_cid").alias("b"),
+                     F.least("comp", "x_comp").alias("u"), F.greatest("comp", "x_comp").alias("v")).distinct())
+    buckets = [items.select(F.col("cid").alias(c), F.col("hs").alias(f"h{c}")) for c in ("a", "b")]
+    pairs = pairs.join(buckets[0], "a").join(buckets[1], "b").where(F.arrays_overlap("ha", "hb")).drop("ha", "hb")
+    pairs = stored(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+    found = stored(verify(pairs.select("a", "b")).join(pairs, ["a", "b"]).select(F.col("u").alias("a"), F.col("v").alias("b")).distinct(), "links")
     if found.isEmpty():
         return labels
-    return group(found.unionByName(labels.select(F.col("node").alias("a"), F.col("comp").alias("b"))))
+    # the components found so far are the nodes of what is left to join
+    merged = stored(components(found), "merged")
+    roots = merged.select(F.col("node").alias("comp"), F.col("comp").alias("root"))
+    return (labels.join(roots, "comp", "left").select("node", F.coalesce("root", "comp").alias("comp"))
+            .unionByName(merged.join(labels, "node", "left_anti")))

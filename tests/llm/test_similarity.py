@@ -49,7 +49,7 @@ def test_components_of_random_graphs(spark):
     assert got == brute(edges)
 
 
-def test_link_finds_the_same_by_bucket_and_token(spark):
+def test_link_loses_no_link_between_components(spark):
     """Many short sets that share tokens, buckets by the least of three orders."""
     rng = random.Random(8)
     sets = {}
@@ -75,6 +75,6 @@ def test_link_finds_the_same_by_bucket_and_token(spark):
         a, b = (content.select(F.col("cid").alias(c), F.col("set").alias(f"s{c}")) for c in "ab")
         return pairs.join(a, "a").join(b, "b").where(similar(F.col("sa"), F.col("sb"))).select("a", "b")
 
-    for more in ({}, {"few_bands": True, "group": pruned_components}):
+    for more in ({}, {"group": pruned_components}):
         got = link(shared, verify, 75, lambda wanted: content.join(wanted, "cid"), **more).collect()
         assert {r["node"]: r["comp"] for r in got} == brute(edges)
