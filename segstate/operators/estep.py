@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from segstate.operators import blockpass, kernel
-from segstate.operators.blockpass import CELL_BUDGET, check_symbols
+from segstate.operators.blockpass import CELL_BUDGET, add_by_model, check_symbols
 from segstate.operators.scoring import model_params
 from segstate.spec import HsmmSpec
 
@@ -46,13 +46,6 @@ def _emit(sums: dict, spec: HsmmSpec) -> pa.RecordBatch:
          pa.array(np.concatenate([p[4] for p in parts]))], schema=_ARROW)
 
 
-def _add(total: np.ndarray, model: np.ndarray, values: np.ndarray) -> None:
-    """total[model] += values, for sorted ``model``."""
-    if len(model):
-        starts = np.flatnonzero(np.append(True, model[1:] != model[:-1]))
-        total[model[starts]] += np.add.reduceat(values, starts, axis=0)
-
-
 def partial_sums_by_fold(spec: HsmmSpec, params: dict, k: int, skip_undefined: bool = False):
     """Sums over whole sequences (cls, kfold, obs) of the models in ``params``.
     With ``skip_undefined`` a sequence whose estimates hold a NaN (0/0, Q10) is
@@ -108,11 +101,11 @@ def partial_sums_by_fold(spec: HsmmSpec, params: dict, k: int, skip_undefined: b
                         good = ~(np.isnan(npi).any(axis=1) | np.isnan(na).any(axis=(1, 2))
                                  | np.isnan(nb).any(axis=(1, 2)) | np.isnan(np_).any(axis=(1, 2)))
                     seen[mdl] = True
-                    _add(sums["n_undefined"], mdl, (~good | ~np.isfinite(sc)).astype(float))
+                    add_by_model(sums["n_undefined"], mdl, (~good | ~np.isfinite(sc)).astype(float))
                     g = mdl[good]
-                    _add(sums["n_seq"], g, np.ones(len(g)))
+                    add_by_model(sums["n_seq"], g, np.ones(len(g)))
                     for name, v in (("loglik", sc), ("pi", npi), ("a", na), ("b", nb), ("p", np_)):
-                        _add(sums[name], g, v[good])
+                        add_by_model(sums[name], g, v[good])
         acc = {keys[n]: {name: v[n] for name, v in sums.items()} for n in np.flatnonzero(seen)}
         if acc:
             yield _emit(acc, spec)

@@ -192,6 +192,14 @@ def new_emission(num_b, sum_g):
     return l1(_ratio(num_b, sum_g[:, :, None]), axis=2)
 
 
+def new_emission_cells(num_b, sum_g, at):
+    """``new_emission`` of cells (C,M), the symbols of sequence ``at`` (C,)."""
+    found = _ratio(num_b, sum_g[at])
+    n = np.stack([np.bincount(at, weights=np.abs(v), minlength=len(sum_g)) for v in found.T], axis=1)[at]
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return np.where(n == 0, found, found / n)
+
+
 def new_duration(num_p):
     new_p = _ratio(num_p, num_p.sum(axis=2, keepdims=True))
     with np.errstate(invalid="ignore", divide="ignore"):

@@ -82,38 +82,62 @@ def _whole(params: dict, spec: HsmmSpec, lengths: list[int | None]):
 
 
 class _Running:
-    """Running sums of one sequence in blocks."""
+    """Running sums of sequences in blocks, one per pair and wanted length."""
 
     def __init__(self, lengths: list[int | None]):
-        self.lengths, self.row = lengths, None
-
-    def __call__(self, row, hist, heads, keys, scale):
-        if row is None:
-            if self.row is None:
-                return []
-            out = []
-            for t in self.lengths:
-                of = dict(zip(self.classes, self.at.get(t, self.total).tolist(), strict=True))
-                out.append((self.row[3], self.row[0], self.row[2], t, of.get(1), of.get(0)))
-            self.row = None
-            return out
-        if self.row is None:
-            self.row, self.total, self.at, self.classes = row, np.zeros(len(keys)), {}, [c for _, c in keys]
+        self.lengths, self.now, self.sums, self.row = lengths, None, None, None
+
+    def scales(self, c: blockpass.Chunk, rows, pair, scale):
+        if c is not self.now:
+            self.now, self.sums = c, c.room(self.sums, len(self.lengths) + 1)  # the last one is of all symbols
+        before = np.where(c.on[rows][:, None], c.handed(self.sums, rows, pair), 0.0)
         with np.errstate(invalid="ignore", divide="ignore"):
-            sums = self.total[:, None] + np.cumsum(np.log(scale), axis=1)
-        for t in self.lengths:
-            if t is not None and row[4] < t <= row[4] + scale.shape[1]:
-                self.at[t] = sums[:, t - row[4] - 1]
-        self.total = sums[:, -1]
-        return ()
+            sums = before[:, -1:] + np.cumsum(np.log(scale), axis=1)
+        after = np.repeat(sums[:, -1:], before.shape[1], axis=1)
+        for i, t in enumerate(self.lengths):
+            if t is not None:
+                rest = t - c.t0[rows]
+                at = np.clip(rest, 1, scale.shape[1]) - 1
+                after[:, i] = np.where(rest > 0, sums[np.arange(len(at)), at], before[:, i])
+        self.sums[c.carried + pair] = after
+
+    def chunk(self, c: blockpass.Chunk, hist, held, heads):
+        """The rows that end a sequence; whether the last one does is not known yet."""
+        if not c.on[0]:
+            yield from self.close()
+        n = len(c.on) - 1
+        ends = np.flatnonzero(~c.on[1:])
+        if len(ends):
+            yield self.out(c, ends)
+        self.row = c, np.array([n]), self.sums
+
+    def out(self, c: blockpass.Chunk, rows: np.ndarray, sums: np.ndarray | None = None) -> pa.RecordBatch:
+        sums = self.sums if sums is None else sums
+        of = np.full(len(c.on), -1)
+        of[rows] = np.arange(len(rows))
+        row = np.repeat(of, c.counts)
+        pair = np.flatnonzero(row >= 0)
+        cls = np.array([key[1] for key in c.models.keys])[c.model[pair]]
+        n = len(self.lengths)
+        scores = []
+        for wanted in (1, 0):
+            used = pair[cls == wanted]
+            values, absent = np.zeros((len(rows), n)), np.ones((len(rows), n), dtype=bool)
+            values[row[used]], absent[row[used]] = sums[c.carried + used, :n], False
+            scores.append(pa.array(values.ravel(), mask=absent.ravel()))
+        at = pa.array(np.repeat(rows, n))
+        columns = [c.batch.column(x).take(at) for x in ("workitem", "cls", "kfold")]
+        return pa.RecordBatch.from_arrays([*columns, pa.array(self.lengths * len(rows), pa.int32()), *scores], schema=blockpass._schema(SCORES))
+
+    def close(self):
+        if self.row is not None:
+            c, rows, sums = self.row
+            self.row = None
+            yield self.out(c, rows, sums)
 
 
 def _parts(params: dict, spec: HsmmSpec, lengths: list[int | None]):
-    def run(batches):
-        inner = blockpass.forward_blocks(params, spec, blockpass.held_out(params), _Running(lengths))
-        for rows in inner(batches):
-            yield blockpass._out(rows, SCORES)
-    return run
+    return blockpass.forward_blocks(params, spec, blockpass.held_out(params), lambda: _Running(lengths))
 
 
 def prefix_scores(valid: DataFrame, params: dict, spec: HsmmSpec, lengths: list[int | None]) -> DataFrame:

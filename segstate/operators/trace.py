@@ -79,8 +79,10 @@ class _Recursions:
         return {name: kernel.new_emission(kernel.symbol_sums(self.obs, self["gamma"], self.k), self["gamma"].sum(axis=1))}
 
 
-def _emit(workitems: list, classes: list[int], name: str, values: np.ndarray, t0: int = 0) -> Iterator[pa.RecordBatch]:
-    """Rows of an array whose first axis runs over (workitem, class) pairs."""
+def _emit(workitems: list, classes: list[int], name: str, values: np.ndarray,
+          t0: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+    """Rows of an array whose first axis runs over (workitem, class) pairs, ``t0``
+    the place of the first position of each."""
     ids, models = pa.array(workitems, pa.string()), np.asarray(classes, dtype=np.int32)
     cells = int(np.prod(values.shape[1:]))
     flat = values.reshape(-1)
@@ -89,7 +91,7 @@ def _emit(workitems: list, classes: list[int], name: str, values: np.ndarray, t0
         row, rest = at // cells, at % cells
         places = dict(zip(_AXES[name], np.unravel_index(rest, values.shape[1:]), strict=True))
         zero = np.zeros(len(at), dtype=np.int32)
-        t, i, j = (pa.array(places.get(x, zero).astype(np.int32) + (t0 if x == "t" and x in places else 0), pa.int32()) for x in "tij")
+        t, i, j = (pa.array(places.get(x, zero).astype(np.int32) + (t0[row].astype(np.int32) if t0 is not None and x == "t" and x in places else 0), pa.int32()) for x in "tij")
         yield pa.RecordBatch.from_arrays([ids.take(pa.array(row)), pa.array(models[row]),
                                           pa.array([name]).take(pa.array(np.zeros(len(at), dtype=np.int64))), t, i, j, pa.array(flat[at])],
                                          schema=_ARROW)
@@ -126,22 +128,17 @@ class _Parts:
     """The same for sequences in blocks."""
 
     def __init__(self, spec: HsmmSpec, names: list[str]):
-        self.spec, self.names, self.sums = spec, names, {}
+        self.spec, self.names, self.open = spec, names, blockpass.Open()
 
     def block(self, x: blockpass.Block):
         for name in self.names:
-            values, t0 = self.values(name, x), x.t0
+            values = self.values(name, x)
             if values is not None:
-                yield from _emit([x.row[3]] * len(x.keys), [key[1] for key in x.keys], name, values, t0)
-
-    def total(self, name: str, x: blockpass.Block, value: np.ndarray) -> np.ndarray | None:
-        """The running sum of a sequence, at its last block."""
-        key = (name, x.keys[0])
-        self.sums[key] = value + (0 if x.first else self.sums[key])
-        return self.sums.pop(key) if x.last else None
+                ids = x.chunk.batch.column("workitem").take(pa.array(x.rows)).to_pylist()
+                yield from _emit(ids, [x.models.keys[i][1] for i in x.model], name, values, x.t0)
 
     def values(self, name: str, x: blockpass.Block) -> np.ndarray | None:
-        end = x.obs.shape[0]
+        end = x.obs.shape[1]
         simple = {"u": x.u, "alpha": x.alpha, "scale": x.scale, "beta": x.beta, "gamma": x.gamma}
         if name in simple:
             return simple[name]
@@ -156,14 +153,13 @@ class _Parts:
         if name == "new_pi":
             return kernel.new_initial(x.gamma[:, 0]) if x.first else None
         if name == "new_a":
-            total = self.total(name, x, kernel.transition_posterior(x.alpha, x.stack[1], x.bp).sum(axis=1))
+            total = self.open.add(x, name, kernel.transition_posterior(x.alpha, x.stack[1], x.bp).sum(axis=1))
             return None if total is None else kernel.new_transition(total)
         if name == "new_p":
-            total = self.total(name, x, x.durations().sum(axis=1))
+            total = self.open.add(x, name, x.durations().sum(axis=1))
             return None if total is None else kernel.new_duration(total)
-        symbols = np.broadcast_to(x.obs, (len(x.keys), end))
-        by_symbol = self.total(name, x, kernel.symbol_sums(symbols, x.gamma, self.spec.k))
-        every = self.total("sum_g", x, x.gamma.sum(axis=1))
+        by_symbol = self.open.add(x, name, kernel.symbol_sums(x.obs, x.gamma, self.spec.k))
+        every = self.open.add(x, "sum_g", x.gamma.sum(axis=1))
         return None if by_symbol is None else kernel.new_emission(by_symbol, every)
 
     def close(self):

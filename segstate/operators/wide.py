@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from segstate.operators import blockpass
 from segstate.operators.estep import STATS_SCHEMA, _emit
-from segstate.operators.scoring import SCORES, _Running
+from segstate.operators.scoring import SCORES, _parts
 from segstate.spec import HsmmSpec
 
 SMALL = ["fold", "cls", "pi", "a", "p"]
@@ -125,11 +125,7 @@ def wide_scores(valid: DataFrame, models: DataFrame, spec: HsmmSpec, lengths: li
     """Scores under both models of the fold of each row, as ``prefix_scores``."""
     params = small_params(models)
     ready = with_cells(_standard(valid.withColumn("kfold", F.col("fold"))), params, emission_cells(models), spec)
-
-    def run(batches):
-        inner = blockpass.forward_blocks(params, spec, blockpass.held_out(params), _Running(lengths))
-        for rows in inner(batches):
-            yield blockpass._out(rows, SCORES)
+    run = _parts(params, spec, lengths)
     found = ready.where("whole").drop("whole").mapInArrow(run, SCORES)
     if "whole" in valid.columns:
         found = found.unionByName(blockpass.sorted_parts(ready.where("not whole").drop("whole")).mapInArrow(run, SCORES))
